@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, pii, simhash, token_counts, token_store
+from . import media, mixing, packing, pii, simhash, token_counts, token_store
 from .common import shared_path, table
 
 
@@ -17,6 +17,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.measured(table(spark, sf_dir, "documents")))
+
+
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mixed(docs).select("doc_id", "source", "stream", "block", "place", "slot")
+
+
 def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
@@ -40,10 +49,12 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_pfair_mixing": op3_pfair_mixing,
     "op2_media_jpeg": op2_media_jpeg,
     "op4_token_counts": op4_token_counts,
     "op5_token_store": op5_token_store,
     "op6_pii_anchors": op6_pii_anchors,
     "op10_simhash_components": op10_simhash_components,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_pfair_mixing": mixing.oracle()}

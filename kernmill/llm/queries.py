@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, pii, simhash, token_counts, token_store
+from . import ann, media, mixing, packing, pii, simhash, token_counts, token_store
 from .common import shared_path, table
 
 
@@ -44,6 +44,10 @@ def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_ann_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_store": op5_token_store,
     "op6_pii_anchors": op6_pii_anchors,
+    "op9_ann_kmeans_tree": op9_ann_kmeans_tree,
     "op10_simhash_components": op10_simhash_components,
 }
 ORACLE_SQL: dict[str, str] = {"op3_pfair_mixing": mixing.oracle()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, media, mixing, packing, pii, simhash, token_counts, token_store
+from . import ann, media, mixing, packing, pii, simhash, token_counts, token_store, toxicity, url_filter
 from .common import shared_path, table
 
 
@@ -44,6 +44,15 @@ def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op9_ann_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -59,7 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_store": op5_token_store,
     "op6_pii_anchors": op6_pii_anchors,
+    "op7_toxicity_viterbi": op7_toxicity_viterbi,
+    "op8_url_rules": op8_url_rules,
     "op9_ann_kmeans_tree": op9_ann_kmeans_tree,
     "op10_simhash_components": op10_simhash_components,
 }
-ORACLE_SQL: dict[str, str] = {"op3_pfair_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_pfair_mixing": mixing.oracle(),
+    "op8_url_rules": url_filter.oracle(),
+}

@@ -86,7 +86,8 @@ def mixed(docs: DataFrame, quotas: dict[str, int] | None = None, other: int = OT
     per = keyed.groupBy("stream", "_bucket").agg(F.count("*").alias("n"))  # BUCKETS rows a stream at most
     before = per.select("stream", "_bucket", (F.sum("n").over(Window.partitionBy("stream").orderBy("_bucket")) - F.col("n")).alias("_before"))
     ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("stream", "_bucket").orderBy("_h", "doc_id")))
-    ranked = ranked.join(F.broadcast(before), ["stream", "_bucket"]).withColumn("_r", F.col("_before") + F.col("_r") - 1)
+    # dealt by the join's keys already, so the counts come to the rows, not the rows to the counts
+    ranked = ranked.join(before, ["stream", "_bucket"]).withColumn("_r", F.col("_before") + F.col("_r") - 1)
     own = F.element_at(F.array(*[F.lit(x).cast("long") for x in amounts]), F.col("stream") + 1)
     ranked = ranked.withColumns({"block": F.expr(f"_r div {block}"), "place": F.expr(f"cast(_r % {block} as int)"), "_q": own})
     ranked = ranked.withColumns({"_cycle": F.expr("block div _q"), "_k": F.expr("block % _q")})

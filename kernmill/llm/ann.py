@@ -28,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
 SAMPLE = 65536
 CALIBRATION = 256
 TARGET = 0.97
-LEAF = 256
+LEAF = 512
 BRANCH = 16
 CHUNK = 4096
 SEED = 7
@@ -117,14 +118,20 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres[used], np.searchsorted(used, own)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of doubles from stored little-endian doubles."""
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Rows of doubles from stored little-endian floats."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1) if rows else np.empty((0, 0))
+    return np.frombuffer(b"".join(rows), kind).astype(np.float64).reshape(len(rows), -1) if rows else np.empty((0, 0))
+
+
+def stored_kind(rows: DataFrame, vector: str) -> str:
+    """Vectors are moved as they are stored: 32-bit floats lose nothing, others go as doubles."""
+    return "<f4" if isinstance(rows.schema[vector].dataType.elementType, T.FloatType) else "<f8"
 
 
 def valid_vectors(rows: DataFrame, id_: str, vector: str) -> DataFrame:
-    """(id, vec): the vectors that take part, as bytes of doubles; all of one size."""
+    """(id, vec): the vectors that take part, as bytes of stored_kind(); all of one size."""
+    kind = stored_kind(rows, vector)
     v = F.col(vector).cast("array<double>")
     good = F.size(v) > 0
     good &= ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0.0)
@@ -137,7 +144,7 @@ def valid_vectors(rows: DataFrame, id_: str, vector: str) -> DataFrame:
             flat, n = b.column(1), b.num_rows
             if n:
                 x = flat.flatten().to_numpy().reshape(n, -1) + 0.0  # no negative zeros: equal vectors have equal bytes
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())], ["id", "vec"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], ["id", "vec"])
 
     return own.mapInArrow(store, "id long, vec binary")
 
@@ -164,12 +171,12 @@ _MEET = "key long, best array<struct<n: double, id: long>>"
 
 def search(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of every row whose id `every` divides."""
-    spark = rows.sparkSession
+    spark, kind = rows.sparkSession, stored_kind(rows, vector)
     vectors = valid_vectors(rows, id_, vector)
     found = cut(entries(vectors, k, every))
     total = found.count()
     sample = found.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").toArrow()
-    x = _matrix(sample.column("vec").combine_chunks() if sample.num_rows else pa.array([], pa.binary()))
+    x = _matrix(sample.column("vec").combine_chunks() if sample.num_rows else pa.array([], pa.binary()), kind)
     tree = Tree(x, max(2, LEAF * len(x) // max(total, 1)))
     tree.calibrate(x, k, target)
     shared = spark.sparkContext.broadcast(tree)  # centres of at most SAMPLE vectors
@@ -177,7 +184,7 @@ def search(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: i
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                leaf = shared.value.leaf_of(_matrix(b.column(0)))
+                leaf = shared.value.leaf_of(_matrix(b.column(0), kind))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column(1), b.column(0)], ["leaf", "ids", "vec"])
 
     placed = found.select("vec", "ids").mapInArrow(assign, "leaf long, ids array<long>, vec binary")
@@ -195,7 +202,7 @@ def search(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: i
         for b in batches:
             vec, keys = b.column(0).to_pylist(), [ids[0] for ids in b.column(1).to_pylist()]
             for v, key in zip(vec, keys, strict=True):
-                group = [(n << 24) | c for n in shared.value.walk(np.frombuffer(v, "<f8"), shared.value.visits) for c in range(parts.value.get(n, 0))]
+                group = [(n << 24) | c for n in shared.value.walk(np.frombuffer(v, kind).astype(np.float64), shared.value.visits) for c in range(parts.value.get(n, 0))]
                 m = len(group)
                 yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array([1] * m, pa.int32()), pa.array([key] * m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([v] * m, pa.binary())], ["part", "tag", "key", "ids", "vec"])
 
@@ -212,13 +219,13 @@ def search(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: i
                     part, ids, pieces, data = parts_[begin], [], [], None
                 if tags[begin] == 0:
                     ids += run.column(3).to_pylist()
-                    pieces.append(_matrix(run.column(4)))
+                    pieces.append(_matrix(run.column(4), kind))
                     data = None
                 elif ids:
                     data = np.concatenate(pieces) if data is None else data
                     for s in range(0, run.num_rows, 256):
                         block = run.slice(s, 256)
-                        yield pa.RecordBatch.from_arrays([block.column(2), pa.array(_nearest(_matrix(block.column(4)), data, ids, k + 1), pa.list_(pa.struct([("n", pa.float64()), ("id", pa.int64())])))], ["key", "best"])
+                        yield pa.RecordBatch.from_arrays([block.column(2), pa.array(_nearest(_matrix(block.column(4), kind), data, ids, k + 1), pa.list_(pa.struct([("n", pa.float64()), ("id", pa.int64())])))], ["key", "best"])
 
     schema = "part long, tag int, key long, ids array<long>, vec binary"
     both = placed.mapInArrow(dealt, schema).unionByName(found.where("asked").select("vec", "ids").mapInArrow(route, schema))

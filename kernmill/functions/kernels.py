@@ -31,6 +31,15 @@ class Kernel:
         raise NotImplementedError
 
 
+def should_reject(kernel: Kernel, weight: Column, prob: Column, prob_mu: Column, mu: float, delta: float) -> Column:
+    """Whether a point of a weight and collision probability adds too much
+    variance at a density mu: log_mu(weight prob_mu / prob^2) - 1 < -delta, with
+    the kernel's slack."""
+    at = math.log(mu)
+    slack = math.log(kernel.reject_slack) / at
+    return (F.log(weight) + F.log(prob_mu) - 2 * F.log(prob)) / at - 1 < slack - delta
+
+
 @dataclass(frozen=True)
 class Gaussian(Kernel):
     """exp(-d2 / h2); with half, exp(-d2 / (2 h2))."""
@@ -55,6 +64,13 @@ class Gaussian(Kernel):
         """Of hashing estimators: e^1.854 / sqrt(mu), or 4 e^1.5 mu^-delta."""
         return math.exp(1.854) / mu**0.5 if delta is None else 4 * math.exp(1.5) * mu**-delta
 
+    #: Slack of should_reject, as a factor in densities.
+    reject_slack = 4 * math.exp(1.5)
+
+    def find_level(self, mu: Column, most: int, r: float) -> Column:
+        """The level of a density, at most `most`: ceil(log_(1/4) of mu exp(2 / (pi r^2)))."""
+        return F.least(F.lit(most), F.ceil(F.log(mu * math.exp(2 / math.pi / r / r)) / math.log(0.25)).cast("int"))
+
     def inverse(self, p: float) -> float:
         """The distance at which the kernel is p."""
         return self.h * math.sqrt(-math.log(p))
@@ -80,6 +96,11 @@ class Exponential(Kernel):
         """e^1.5 / sqrt(mu), or mu^-delta."""
         return math.exp(1.5) / mu**0.5 if delta is None else mu**-delta
 
+    reject_slack = 1.0
+
+    def find_level(self, mu: Column, most: int, r: float = 1.0) -> Column:
+        return F.least(F.lit(most), F.ceil(F.log(mu) / math.log(0.25)).cast("int"))
+
     def inverse(self, p: float) -> float:
         return -self.h * math.log(p)
 

@@ -58,5 +58,13 @@ def hash_power(diameter: float, beta: float = 0.5) -> int:
     return min(3 * math.ceil((beta * diameter) ** 2), math.ceil(beta * diameter * math.sqrt(math.pi / 2)))
 
 
+def hash_power_of_density(mu: float, beta: float = 0.5) -> int:
+    return math.ceil(math.sqrt(2 * math.pi) * beta * math.log(1 / mu))
+
+
+def hash_power_of_width(width: float, beta: float = 0.5) -> int:
+    return math.ceil(beta * math.sqrt(math.pi / 2) * width)
+
+
 def hash_width(power: int, beta: float = 0.5) -> float:
     return power / (beta * math.sqrt(math.pi / 2))

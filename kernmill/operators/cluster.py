@@ -20,9 +20,9 @@ from .sweep import matrix, slices, sqdist
 MOST_CENTERS = 4096
 
 
-def kcenter(points: DataFrame, k: int, first: int | None = None) -> list[tuple[int, list[float]]]:
+def kcenter(points: DataFrame, k: int, first: int | None = None, seeds: list[tuple[int, list[float]]] | None = None) -> list[tuple[int, list[float]]]:
     """Farthest-point seeds (id, x): from the point `first` (the smallest id, if
-    none) on, always the point farthest from all seeds so far, ties to the
+    none) or from given seeds on, always the point farthest from all seeds so far, ties to the
     smaller id; stops early once every point is a seed's copy. One aggregate a
     seed; nothing but seeds comes to the driver."""
     if k > MOST_CENTERS:
@@ -31,7 +31,7 @@ def kcenter(points: DataFrame, k: int, first: int | None = None) -> list[tuple[i
     row = start.agg(F.min_by(F.struct("id", "x"), "id").alias("p")).first()["p"]
     if row is None:
         return []
-    seeds = [(row["id"], list(row["x"]))]
+    seeds = list(seeds) if seeds else [(row["id"], list(row["x"]))]
     while len(seeds) < k:
         centers = np.array([x for _, x in seeds])
 
@@ -142,6 +142,18 @@ def seeds_by_distance(points: DataFrame, k: int, salt: str = "seed") -> list[lis
     return centers
 
 
+def seeds_by_elimination(points: DataFrame, k: int, extra: int, salt: str = "seed") -> list[list[float]]:
+    """k + extra seeds by distance, less those whose loss costs least, one by one."""
+    centers = seeds_by_distance(points, k + extra, salt)
+    while len(centers) > k:
+        two = F.array_sort(F.array(*[F.struct(distance(F.col("x"), literal(c)).alias("d"), F.lit(i).alias("k")) for i, c in enumerate(centers)]))
+        rows = points.select(two.alias("t")).select(F.col("t")[0]["k"].alias("k"), (F.col("t")[1]["d"] - F.col("t")[0]["d"]).alias("loss"))
+        loss = {r["k"]: r["s"] for r in rows.groupBy("k").agg(F.sum("loss").alias("s")).collect()}
+        drop = min(range(len(centers)), key=lambda i: (loss.get(i, 0.0), i))
+        centers = centers[:drop] + centers[drop + 1 :]
+    return centers
+
+
 # -------------------------------------------------------------- space partition
 def projection(d: int, salt: str) -> list[float]:
     v = np.array([uniform_value(j, salt) - 0.5 for j in range(d)])

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Gaussian, Kernel
+from ..functions.random import uniform_value
 from ..functions.scalar import collision, hash_power, hash_width
 from ..functions.vector import sqdist
 from .lsh import Hashes, buckets
 from .order import dense_index
-from .sampling import draws, weighted_draws
+from .sampling import draws, permuted, weighted_draws
 
 
 # ------------------------------------------------------------ uniform sampling
@@ -61,10 +62,16 @@ def probe(table: DataFrame, points: DataFrame, queries: DataFrame, hashes: Hashe
     return per.groupBy("qid").agg((F.sum("z") / tables).alias("est"))
 
 
-def hbe_uniform(points: DataFrame, queries: DataFrame, hashes: Hashes, kernel: Kernel, salt: str = "rep", exact_collision: bool = False) -> DataFrame:
-    """Tables over all points, each bucket with its count and a uniform member."""
+def hbe_uniform(points: DataFrame, queries: DataFrame, hashes: Hashes, kernel: Kernel, salt: str = "rep", exact_collision: bool = False, subsample: int | None = None) -> DataFrame:
+    """Tables over all points, each bucket with its count and a uniform member;
+    with a subsample, each table over a block of so many rows of one permutation."""
     n = points.count()
     keyed = hashes.keys(points)
+    if subsample and 1 < subsample < n:
+        starts = [int(uniform_value(t, f"{salt}-block") * (n - subsample)) for t in range(hashes.g.shape[0])]
+        begin = F.element_at(F.array(*map(F.lit, starts)), F.col("tbl") + 1)
+        keyed = keyed.join(permuted(points.select("id"), f"{salt}-perm"), "id").where((F.col("row") >= begin) & (F.col("row") < begin + subsample))
+        n = subsample
     return probe(buckets(keyed, salt=salt), points, queries, hashes, kernel, F.col("cnt") / F.lit(float(n)), exact_collision)
 
 
@@ -78,6 +85,18 @@ def hbe_weighted(points: DataFrame, queries: DataFrame, hashes: Hashes, kernel:
     return probe(table, points, queries, hashes, kernel, F.col("wsum") / F.lit(float(n)))
 
 
+def hbe_sketch(points: DataFrame, queries: DataFrame, hashes: Hashes, sketches: list[Hashes], kernel: Kernel, m: int, salt: str = "hs") -> DataFrame:
+    """Tables over m weighted draws each, from the sketches in turn."""
+    drawn = None
+    for k, sketch in enumerate(sketches):
+        members = sketch_members(points, sketch).select("id", "prob", "weight")
+        for t in range(k, hashes.g.shape[0], len(sketches)):
+            own = weighted_draws(members, "prob", m, f"{salt}{t}").join(members.select("id", "weight"), "id").select("id", F.lit(t).alias("tbl"), "weight")
+            drawn = own if drawn is None else drawn.unionByName(own)
+    keyed = drawn.groupBy("id", "tbl").agg(F.sum("weight").alias("_w")).join(hashes.keys(points), ["id", "tbl"])
+    return probe(buckets(keyed, "_w", salt=salt), points, queries, hashes, kernel, F.col("wsum") / float(m))
+
+
 # --------------------------------------------------------------------- sketches
 @dataclass(frozen=True)
 class SketchRule:
@@ -174,12 +193,28 @@ def level_frame(spark, table: list[Level]) -> DataFrame:
     return spark.sql(f"select * from values {rows} as t(level, mu, m, t, k, w)")
 
 
-def adaptive_fold(estimates: DataFrame, table: list[Level], n: int, groups: int = 3, gamma: float = 0.5) -> DataFrame:
+def relaxation_levels(tau: float, eps: float, kernel: Kernel | None = None) -> list[Level]:
+    """Levels of mean relaxation: densities 1, 1/2 ... with samples 3 ceil(V /
+    eps^2) for hashing, or floor(12 / (eps^2 mu)) from 1/2 on for uniform draws."""
+    if kernel is None:
+        return [Level(i, 2.0 ** -(i + 1), int(12 / eps**2 * 2 ** (i + 1)), 0.0, 0, 0.0) for i in range(math.ceil(math.log2(1 / (eps * tau))))]
+    out, r = [], math.sqrt(math.log(1 / tau))
+    for i in range(math.ceil(math.log2(1 / tau)) + 1):
+        mu = 2.0**-i
+        v = kernel.relative_variance(mu, 0.75) if isinstance(kernel, Gaussian) else kernel.relative_variance(mu)
+        t = math.sqrt(math.log(1 / mu)) / 2
+        k = 3 * math.ceil(r * t)
+        out.append(Level(i, mu, 3 * math.ceil(v / eps**2), t, k, k / t * math.sqrt(2 / math.pi) if k else 1.0))
+    return out
+
+
+def adaptive_fold(estimates: DataFrame, table: list[Level], n: int, groups: int = 3, gamma: float = 0.5, skip: bool = True) -> DataFrame:
     """qid, est, samples, level from estimates (qid, level, est) of all levels.
 
     From the first level on: stop if the estimate reaches the level's density or
     the level would sample more than all rows; else go on to the level that the
-    estimate suggests, the next one at least. An estimate of zero goes to the next."""
+    estimate suggests, the next one at least. An estimate of zero goes to the next.
+    skip: without it only the estimate stops, and levels follow one by one."""
     mu = F.array(*[F.lit(x.mu) for x in table])
     m = F.array(*[F.lit(x.m * groups).cast("long") for x in table])
     rows = F.array_sort(F.collect_list(F.struct("level", "est")))
@@ -189,8 +224,8 @@ def adaptive_fold(estimates: DataFrame, table: list[Level], n: int, groups: int
         i, est = e["level"], e["est"]
         at = a["done"] | (i != a["next"])
         cost = F.element_at(m, i + 1)
-        stop = (est >= F.element_at(mu, i + 1)) | (cost > n)
-        jump = F.when(est > 0, F.floor(F.log(est) / math.log(1 - gamma)).cast("int")).otherwise(i + 1)
+        stop = (est >= F.element_at(mu, i + 1)) | (cost > n if skip else F.lit(False))
+        jump = F.when(est > 0, F.floor(F.log(est) / math.log(1 - gamma)).cast("int")).otherwise(i + 1) if skip else i + 1
         moved = F.struct(F.greatest(jump, i + 1).alias("next"), est.alias("est"), (a["samples"] + cost).alias("samples"), i.alias("level"), stop.alias("done"))
         return F.when(at, a).otherwise(moved)
 
@@ -198,10 +233,8 @@ def adaptive_fold(estimates: DataFrame, table: list[Level], n: int, groups: int
     return folded.select("qid", F.col("a.est").alias("est"), F.col("a.samples").alias("samples"), F.col("a.level").alias("level"))
 
 
-def adaptive_rs(points: DataFrame, queries: DataFrame, kernel: Kernel, tau: float, eps: float, groups: int = 3, salt: str = "ars") -> DataFrame:
-    """Adaptive uniform sampling: at each level the median of `groups` means."""
-    n = points.count()
-    table = levels(tau, eps)
+def rs_levels(points: DataFrame, queries: DataFrame, kernel: Kernel, table: list[Level], n: int, groups: int = 3, salt: str = "ars") -> DataFrame:
+    """qid, level, est: at each level the median of `groups` means of uniform draws."""
     rows, est = dense_index(points.select("id", "x"), ["id"]), None
     spark = points.sparkSession
     small = F.broadcast(_small(queries))
@@ -210,7 +243,14 @@ def adaptive_rs(points: DataFrame, queries: DataFrame, kernel: Kernel, tau: floa
         mean = d.groupBy("qid", F.expr(f"r div {x.m}").alias("grp")).agg(F.avg(kernel.column(sqdist(F.col("x"), F.col("q")))).alias("e"))
         own = mean.groupBy("qid").agg(F.median("e").alias("est")).withColumn("level", F.lit(x.level))
         est = own if est is None else est.unionByName(own)
-    return adaptive_fold(est, table, n, groups)
+    return est
+
+
+def adaptive_rs(points: DataFrame, queries: DataFrame, kernel: Kernel, tau: float, eps: float, groups: int = 3, salt: str = "ars", skip: bool = True) -> DataFrame:
+    """Adaptive uniform sampling; without skip, mean relaxation."""
+    n = points.count()
+    table = levels(tau, eps) if skip else relaxation_levels(tau, eps)
+    return adaptive_fold(rs_levels(points, queries, kernel, table, n, groups, salt), table, n, groups, skip=skip)
 
 
 def adaptive_hbe(points: DataFrame, queries: DataFrame, kernel: Kernel, table: list[Level], d: int, groups: int = 3, tables: int | None = None, seed: int = 11) -> DataFrame:

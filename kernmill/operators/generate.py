@@ -136,6 +136,18 @@ class Instance:
         return own.select(F.col("id").alias("qid"), F.transform("z", lambda v: v * F.col("r") / math.sqrt(self.d)).alias("q"))
 
 
+def mixed_queries(instance: Instance, spark: SparkSession, n: int) -> DataFrame:
+    """n correlated queries, and n uncorrelated ones after them."""
+    free = instance.queries(spark, n, correlated=False).select((F.col("qid") + n).alias("qid"), "q")
+    return instance.queries(spark, n).unionByName(free)
+
+
+def sweep(spark: SparkSession, n: int, d: int, clusters: list[int], kernel: Kernel = Exponential(), scales: int = 4, spread: float = 0.001, density: float = 0.001) -> dict[int, DataFrame]:
+    """Instances of about n points for each number of clusters."""
+    share = {c: Instance(max(1, n // (c * scales)), c, scales, density, d, spread, kernel, f"sweep{c}") for c in clusters}
+    return {c: i.frame(spark) for c, i in share.items()}
+
+
 def concat(parts: list[DataFrame]) -> DataFrame:
     """Instances below each other, ids made new: the part's number in the upper bits."""
     out = None

@@ -34,6 +34,8 @@ class Hashes:
     def keys(self, points: DataFrame, id_: str = "id", x: str = "x") -> DataFrame:
         """(id, tbl, key): key is the text of the ceiled projections, comma-joined; never folded to fewer bits."""
         tables, power, d = self.g.shape
+        if not power:  # no hash: one bucket a table
+            return points.select(F.col(id_).cast("long").alias(id_), F.explode(F.array(*[F.lit(t) for t in range(tables)])).alias("tbl"), F.lit("").alias("key"))
         flat, width, b = self.g.reshape(tables * power, d), self.width, self.b.reshape(-1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

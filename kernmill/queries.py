@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .functions.kernels import Exponential, Gaussian, Kernel, Laplace, Matern, Polynomial
-from .functions.random import normal_sql, uniform, uniform_sql
+from .functions.kernels import Exponential, Gaussian, Kernel, Laplace, Matern, Polynomial, should_reject
+from .functions.random import normal_sql, uniform, uniform_sql, uniform_value
 from .functions.vector import sqdist
-from .operators import cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling
+from .operators import cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, tree
 from .plans import planner
 from .sources import matrices
 from .storage import shared_path
@@ -342,6 +342,15 @@ def kernel_bounds(spark, sf_dir):
     )
 
 
+@query(f"""with {GRID} select id, least(9, ceil(ln(mu * exp(2 / pi())) / ln(0.25::double))::int)::int as g, least(9, ceil(ln(mu) / ln(0.25::double))::int)::int as e,
+(ln(0.4::double) + ln(0.3::double) - 2 * ln(mu)) / ln(0.01::double) - 1 < -0.5 as r, (ln(0.4::double) + ln(0.3::double) - 2 * ln(mu)) / ln(0.01::double) - 1 < ln(4 * exp(1.5::double)) / ln(0.01::double) - 0.5 as rg
+from (select id, c / 5 as mu from grid where c < 5)""")
+def kernel_levels(spark, sf_dir):
+    mu = F.col("c") / 5
+    reject = lambda k: should_reject(k, F.lit(0.4), mu, F.lit(0.3), 0.01, 0.5)
+    return _grid(spark).where("c < 5").select("id", Gaussian().find_level(mu, 9, 1.0).alias("g"), Exponential().find_level(mu, 9).alias("e"), reject(Exponential()).alias("r"), reject(Gaussian()).alias("rg"))
+
+
 def _level_rows(table: list[estimators.Level]) -> str:
     return "values " + ", ".join(f"({x.level}, {x.mu!r}::double, {x.m})" for x in table)
 
@@ -454,6 +463,25 @@ def hbe_scales(spark, sf_dir):
     return rounded(estimators.hbe_weighted(v, asked(v), HASHES, GAUSS, "w", lsh.scale_index(F.col("w"), 1.0, STEP)), "est", places=8)
 
 
+BLOCK_ROWS = 120
+
+
+def _block_sql(n_sql: str = "(select count(*) from points)") -> str:
+    starts = ", ".join(f"({t}, floor({uniform_value(t, 'rep-block')!r}::double * ({n_sql} - {BLOCK_ROWS})))" for t in range(8))
+    return f"""with {P}, perm as (select id, row_number() over (order by {uniform_sql("id", "'rep-perm'")}, id) - 1 as row from points), begins as (select * from (values {starts}) as b(tbl, s)),
+keyed0 as ({HASHES.sql("points")}), keyed1 as (select k.* from keyed0 k join perm using (id) join begins using (tbl) where row >= s and row < s + {BLOCK_ROWS}),
+table_ as (select tbl, key, count(*) / {BLOCK_ROWS}::double as mass, {_race()} as id from keyed1 group by tbl, key),
+met as (select k.id as qid, k.tbl, t.mass, t.id from keyed0 k left join table_ t using (tbl, key)),
+z as (select qid, sum({GAUSS.sql("d2")} / {COLLIDE} * mass) as z from met join pairs using (qid, id) group by qid)
+select qid, round(coalesce(z, 0) / 8, 8) as est from queries left join z using (qid)"""
+
+
+@query(_block_sql())
+def hbe_subsampled(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(estimators.hbe_uniform(v, asked(v), HASHES, GAUSS, subsample=BLOCK_ROWS), "est", places=8)
+
+
 # ------------------------------------------------------------------- sampling
 def _rows(n: str = "points") -> str:
     return f"rows_ as (select id, x, row_number() over (order by id) - 1 as row from {n}), total as (select count(*) as n from {n})"
@@ -520,6 +548,12 @@ def hbs_sketch(spark, sf_dir):
     return rounded(estimators.evaluate_sketch(sketch, v, asked(v), EXPO), "est")
 
 
+@query()
+def hbe_sketch(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(estimators.hbe_sketch(v, asked(v), HASHES, SKETCH[:2], EXPO, 22), "est", places=8)
+
+
 @query()
 def sketch_median(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -558,10 +592,10 @@ walk as (select qid, level, est, cost::bigint as samples, stop, next from step w
 select qid, round(arg_max(est, level), 9) as est, max(samples)::bigint as samples, max(level)::int as level from walk group by qid"""
 
 
-def _ars_levels() -> str:
+def _ars_levels(levels: list[estimators.Level] = A_LEVELS, salt: str = "ars") -> str:
     out = []
-    for x in A_LEVELS:
-        out.append(f"select qid, {x.level} as level, median(e) as est from (select qid, r // {x.m} as g, avg({FOLD_KERNEL.sql('d2')}) as e from ({_draws_sql(x.m * 3, f'ars{x.level}')}) join rows_ using (row) join pairs using (qid, id) group by all) group by qid")
+    for x in levels:
+        out.append(f"select qid, {x.level} as level, median(e) as est from (select qid, r // {x.m} as g, avg({FOLD_KERNEL.sql('d2')}) as e from ({_draws_sql(x.m * 3, f'{salt}{x.level}')}) join rows_ using (row) join pairs using (qid, id) group by all) group by qid")
     return " union all ".join(out)
 
 
@@ -571,6 +605,34 @@ def adaptive_rs(spark, sf_dir):
     return rounded(estimators.adaptive_rs(v, asked(v), FOLD_KERNEL, A_TAU, A_EPS), "est")
 
 
+R_LEVELS = estimators.relaxation_levels(1 / 4, 0.8)
+
+
+@query(f"""with recursive {P}, {_rows()}, lv as ({_ars_levels(R_LEVELS, "amr")}), lt as (select * from ({_level_rows(R_LEVELS)}) as t(level, mu, m)),
+step as (select qid, lv.level, est, m * 3 as cost, est >= mu as stop from lv join lt on lt.level = lv.level),
+walk as (select qid, level, est, cost::bigint as samples, stop from step where level = 0 union all select s.qid, s.level, s.est, w.samples + s.cost, s.stop from walk w join step s on s.qid = w.qid and s.level = w.level + 1 where not w.stop)
+select qid, round(arg_max(est, level), 9) as est, max(samples)::bigint as samples, max(level)::int as level from walk group by qid""")
+def mean_relaxation(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(estimators.adaptive_rs(v, asked(v), FOLD_KERNEL, 1 / 4, 0.8, salt="amr", skip=False), "est")
+
+
+@query(f"""with {P}, {_rows()}, lv as ({_ars_levels()}), truth as (select qid, avg({FOLD_KERNEL.sql("d2")}) as density from pairs group by qid)
+select qid, coalesce(min(level) filter (abs(est - density) <= 0.1 * density), {len(A_LEVELS) - 1})::int as level from lv join truth using (qid) group by qid""")
+def diag_actual_level(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    est = estimators.rs_levels(v, asked(v), FOLD_KERNEL, A_LEVELS, v.count())
+    return diagnose.actual_level(est, exact.kde(v, asked(v), FOLD_KERNEL), len(A_LEVELS) - 1, 0.1)
+
+
+@query()
+def relaxation_hbe(spark, sf_dir):
+    """Mean relaxation over hashing levels, from density one on."""
+    v = vectors(spark, sf_dir)
+    table = estimators.relaxation_levels(1 / 4, 0.8, Gaussian())
+    return rounded(estimators.adaptive_hbe(v, asked(v), FOLD_KERNEL, table, D, groups=1, tables=4), "est")
+
+
 B_LEVELS = [estimators.Level(i, 2.0 ** -(i + 1), 8 << i, 0.0, 2, 4.0 / (i + 1)) for i in range(3)]
 
 
@@ -688,6 +750,35 @@ def treecode(spark, sf_dir):
     return rounded(gauss.skeleton_transform(v, asked(v), Gaussian(0.5), 4, 48, 0.3), "potential", places=4)
 
 
+# ----------------------------------------------------------------------- trees
+NODES = "node_ as (select n::bigint as n from range(1, 64) t(n)), two as (select a.n as a, b.n as b, length(bin(a.n)) - 1 as la, length(bin(b.n)) - 1 as lb from node_ a, node_ b)"
+
+
+@query(f"with {NODES} select a, b, lb > la and (b >> greatest(lb - la, 0)) = a as above, (a + 1) * (2 ** (5 - la))::bigint * 6 - 6 + 5 - la < (b + 1) * (2 ** (5 - lb))::bigint * 6 - 6 + 5 - lb as before from two")
+def tree_predicates(spark, sf_dir):
+    n = spark.range(1, 64)
+    two = n.select(F.col("id").alias("a")).crossJoin(n.select(F.col("id").alias("b")))
+    a, b = F.col("a"), F.col("b")
+    return two.select("a", "b", tree.is_ancestor(a, b).alias("above"), (tree.tree_order(a, 5) < tree.tree_order(b, 5)).alias("before"))
+
+
+@query(f"""with {P}, {_tree_sql(4, "sp")}, near as (select distinct qid, leaf from (select k.qid, s.leaf from (select * from ({KNN}) where rank <= 3) k join sp s on s.id = k.id union all select id, leaf from sp)),
+kept as (select distinct qid, leaf >> s as node from near, range(5) t(s) where leaf >> s >= 1), far as (select distinct qid, xor(node, 1) as node from kept where node > 1)
+select f.node, count(*) as n, sum(f.qid)::bigint as ids from far f anti join kept using (qid, node) group by f.node""")
+def interaction_lists(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    leaves = cluster.space_partition(v, 4, D, "sp", keep=("id", "x")).select("id", "leaf")
+    lists = knn.knn(v, asked(v), 3).select("qid", "id").join(leaves, "id").select("qid", "leaf")
+    return tree.inverted(tree.interaction_lists(leaves.select(F.col("id").alias("qid"), "leaf"), lists, 4)[1])
+
+
+@query()
+def far_field_sample(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    leaves = cluster.space_partition(v, 3, D, "sp").select("id", "leaf")
+    return tree.far_sample(leaves, leaves.where("id < 40"), 10).groupBy("leaf").agg(F.count("*").alias("n"))
+
+
 # --------------------------------------------------------------------- metrics
 @query(f"""with {P}, {_rows()}, drawn as ({_draws_sql(64, "rs")}), est as (select qid, avg({GAUSS.sql("d2")}) as est from drawn join rows_ using (row) join pairs using (qid, id) group by qid),
 truth as (select qid, avg({GAUSS.sql("d2")}) as density from pairs group by qid), e as (select *, abs(est - density) as d, abs(est - density) / density as rel from est join truth using (qid))
@@ -724,6 +815,12 @@ def set_difference(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).join(c, "id", "left_anti").distinct()
 
 
+@query("select c_custkey as id from customer where c_custkey not in (select o_custkey from orders)")
+def set_complement(spark, sf_dir):
+    taken = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(taken, "id", "left_anti")
+
+
 @query("select distinct l_orderkey, l_linenumber from lineitem")
 def set_distinct(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates()

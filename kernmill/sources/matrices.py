@@ -82,6 +82,35 @@ def read_knn(spark: SparkSession, path: str) -> DataFrame:
     return parts.where("size(p) > 2").select(F.element_at("p", 1).cast("long").alias("qid"), F.explode(rows).alias("r")).select("qid", "r.*")
 
 
+def read_knn_binary(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """qid, rank, dist2, id from files of records: the query's id, then k pairs of distance (double) and id, all of 64 bits."""
+    record = np.dtype([("q", "<i8"), ("n", [("d", "<f8"), ("i", "<i8")], (k,))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                m = np.frombuffer(data, record)
+                rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(m))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(m["q"], k)), pa.array(rank), pa.array(m["n"]["d"].ravel()), pa.array(m["n"]["i"].ravel())], ["qid", "rank", "dist2", "id"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "qid long, rank int, dist2 double, id long")
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of the files that a path or pattern names, in any store that Spark reads."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+def line_count(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
+def convert_inputs(points: DataFrame, densities: DataFrame, points_path: str, queries_path: str) -> None:
+    """Points as lines of numbers, and as queries the rows that exact densities (density, idx) name."""
+    write_matrix(points, points_path, " ")
+    write_matrix(points.join(densities.select(F.col("idx").alias("id")), "id"), queries_path, " ")
+
+
 def with_charges(points: DataFrame, kind: str, salt: str = "charge") -> DataFrame:
     """points with charge: ones (1 / sqrt n), rand (uniform, of unit norm), norm, zeros or debug (the id)."""
     from ..functions.random import normal, uniform

@@ -244,3 +244,71 @@ def test_subpackage_is_optional():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"(from|import)[^\n]*\bllm\b", f.read_text()), f
+
+
+def test_tree_order_is_post_order(spark):
+    from kernmill.operators import tree
+
+    def walk(n, depth):
+        if depth:
+            yield from walk(2 * n, depth - 1)
+            yield from walk(2 * n + 1, depth - 1)
+        yield n
+
+    rows = spark.range(1, 32).select("id", tree.tree_order(F.col("id"), 4).alias("o")).orderBy("o").collect()
+    assert [r["id"] for r in rows] == list(walk(1, 4))
+
+
+def test_interaction_lists_cover_every_leaf_once(spark):
+    from kernmill.operators import tree
+
+    own = spark.createDataFrame([(1, 16), (2, 21)], "qid long, leaf long")
+    near, far = tree.interaction_lists(own, spark.createDataFrame([(1, 19), (2, 30)], "qid long, leaf long"), 4)
+    for q in (1, 2):
+        leaves = [r["leaf"] for r in near.where(f"qid = {q}").collect()]
+        for r in far.where(f"qid = {q}").collect():
+            n, steps = r["node"], 5 - r["node"].bit_length()
+            leaves += list(range(n << steps, (n + 1) << steps))
+        assert sorted(leaves) == list(range(16, 32))
+
+
+def test_far_samples_avoid_near_rows(spark):
+    from kernmill.operators import tree
+
+    points = spark.range(64).select("id", (F.col("id") / 8).cast("long").alias("leaf"))
+    near = spark.range(8).crossJoin(spark.range(8, 20).withColumnRenamed("id", "n")).select(F.col("id").alias("leaf"), F.col("n").alias("id"))
+    rows = tree.far_sample(points, near, 5, over=4).collect()
+    assert rows and all(r["id"] // 8 != r["leaf"] and not 8 <= r["id"] < 20 for r in rows)
+
+
+def test_further_files(spark, data, tmp_path):
+    record = np.dtype([("q", "<i8"), ("n", [("d", "<f8"), ("i", "<i8")], (2,))])
+    rows = np.array([(7, [(0.5, 1), (0.75, 2)]), (9, [(0.25, 3), (1.0, 4)])], record)
+    (tmp_path / "k.bin").write_bytes(rows.tobytes())
+    got = matrices.read_knn_binary(spark, str(tmp_path / "k.bin"), 2).orderBy("qid", "rank").collect()
+    assert [tuple(r) for r in got] == [(7, 1, 0.5, 1), (7, 2, 0.75, 2), (9, 1, 0.25, 3), (9, 2, 1.0, 4)]
+    exact_rows = spark.createDataFrame([(0.1, 5), (0.2, 8)], "density double, idx long")
+    matrices.convert_inputs(data[1], exact_rows, str(tmp_path / "p"), str(tmp_path / "q"))
+    assert matrices.line_count(spark, str(tmp_path / "p")) == 300 and matrices.line_count(spark, str(tmp_path / "q")) == 2
+    assert matrices.listing(spark, str(tmp_path / "k.bin")).first()["length"] == rows.nbytes
+
+
+def test_seeding(data):
+    x, p = data
+    assert len(cluster.seeds_by_elimination(p, 3, 2)) == 3
+    three = cluster.kcenter(p, 3)
+    assert cluster.kcenter(p, 5, seeds=three) == cluster.kcenter(p, 5)
+
+
+def test_sketch_tables_are_near_exact(data):
+    x, p = data
+    k = Gaussian(0.7)
+    tables, sketches = lsh.Hashes.seeded(40, 1, 3, 2.0, 4), [lsh.Hashes.seeded(1, 2, 3, 1.0, 50 + i) for i in range(2)]
+    est = by_id(estimators.hbe_sketch(p, asked(p), tables, sketches, k, 60), "est")
+    assert abs((est / k.block(pairwise(x)).mean(axis=1)).mean() - 1) < 0.25
+
+
+def test_sweep_of_instances(spark):
+    made = generate.sweep(spark, 400, 4, [1, 5], density=0.1)
+    assert set(made) == {1, 5} and all(v.count() for v in made.values())
+    assert generate.mixed_queries(generate.Instance(10, 3, 2, 0.1, 4, 0.1), spark, 5).count() == 10

@@ -8,10 +8,10 @@ document's place in the file and its length, so that offsets over the whole
 store are read from three small columns and not from the ids.
 
 The ids of a text are those of its pieces between white space, which this
-tokenizer drops and no merge crosses.  Each worker caches pieces and, below them,
-pre-tokens; the pre-tokens of a chunk of documents that are in neither cache are
-encoded by the library as one text and told apart by the vocabulary's mark for
-the end of a word.  A text with a special token's string, or with white space on
+tokenizer drops and no merge crosses.  Each worker caches pieces and the
+pre-tokens that they consist of; those of a chunk of documents that are not in
+the cache are encoded by the library as one text and told apart by the
+vocabulary's mark for the end of a word.  A text with a special token's string, or with white space on
 which Python and the library may differ, is encoded whole.
 
 Defined results: a null or empty text has the end id alone; equal doc_ids stand
@@ -35,7 +35,7 @@ from .common import chunks, texts, with_text
 from .token_counts import DOUBTFUL as NOT_LATIN
 from .token_counts import load, specials
 
-#: A worker keeps so many pieces, and as many pre-tokens; beyond that it forgets the later half.
+#: A worker keeps so many pieces and pre-tokens; beyond that it forgets the later half.
 CACHE = 700_000
 #: The published pre-token pattern over lower-case ASCII and Latin-1 letters.
 PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -52,8 +52,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.special = load(path), specials(path)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -65,44 +64,48 @@ class Encoder:
         return cls._own[path]
 
     def encode(self, group: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE:
-            self.pieces = dict(islice(self.pieces.items(), CACHE // 2))
-        if len(self.words) > CACHE:
-            self.words = dict(islice(self.words.items(), CACHE // 2))
+        if len(self.cache) > CACHE:
+            self.cache = dict(islice(self.cache.items(), CACHE // 2))
         out, latin, other = [b""] * len(group), [], []
         for k, text in enumerate(group):
-            if DOUBTFUL.search(text) or any(s in text for s in self.special):
-                out[k] = self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            elif NOT_LATIN.search(text):
-                other.append((k, text.split()))
-            else:
+            if any(s in text for s in self.special):
+                out[k] = self._whole(text)
+            elif not NOT_LATIN.search(text):
                 latin.append((k, text.lower().split()))
-        missing = set().union(*(p for _, p in latin)).difference(self.pieces)
+            elif DOUBTFUL.search(text):
+                out[k] = self._whole(text)
+            else:
+                other.append((k, text.split()))
+        missing = set().union(*(p for _, p in latin)).difference(self.cache)
         if missing:
             self._learn(missing)
-        unknown = list(set().union(*(p for _, p in other)).difference(self.pieces))
+        unknown = list(set().union(*(p for _, p in other)).difference(self.cache))
         if unknown:
-            self.pieces.update(zip(unknown, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)), strict=True))
+            self.cache.update(zip(unknown, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)), strict=True))
         for k, pieces in [*latin, *other]:
-            out[k] = b"".join(map(self.pieces.__getitem__, pieces))
+            out[k] = b"".join(map(self.cache.__getitem__, pieces))
         return out
 
+    def _whole(self, text: str) -> bytes:
+        return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def _learn(self, pieces: set[str]) -> None:
-        split = [(p, PRE_TOKEN.findall(p)) for p in pieces]
-        words = list(set().union(*(w for _, w in split)).difference(self.words))
+        """A piece of letters alone is one pre-token; others are put together from theirs."""
+        cache = self.cache
+        split = [(p, PRE_TOKEN.findall(p)) for p in pieces if not p.isalpha()]
+        words = {p for p in pieces if p.isalpha()}
+        words.update(w for _, own in split for w in own if w not in cache)
+        words = list(words)
         for k in range(0, len(words), 2000):
             some = words[k : k + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) != len(some):
                 raise ValueError("a pre-token without an end")
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(some, ends.tolist(), strict=True):
-                self.words[word] = data[begin:end]
-                begin = end
-        get = self.words.__getitem__
+            data, edges = ids.tobytes(), [0, *ends.tolist()]
+            cache.update(zip(some, map(data.__getitem__, map(slice, edges, edges[1:])), strict=True))
         for p, own in split:
-            self.pieces[p] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+            cache[p] = b"".join(map(cache.__getitem__, own))
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:

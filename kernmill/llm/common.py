@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_dir, shared_path
+
+__all__ = ["chunks", "cut", "quiet_tokenizers", "shared_dir", "shared_path", "table", "texts", "with_text"]
+
 #: Texts handed to one Python loop at a time hold about so many bytes, or are one text.
 CHUNK_BYTES = 4 << 20
 
@@ -19,30 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's
-    spark.checkpoint.dir; only where a session has none (tests, local mode) a
-    folder under /tmp is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/checkpoints/kernmill"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared folder, so that a lost executor
-    costs no recomputation of what stands before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings, nulls as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

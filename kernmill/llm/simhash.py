@@ -203,16 +203,28 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ components
+#: A key's rows are spread over so many tasks where they meet the one row of its minimum.
+SALTS = 16
+
+
+def _spread(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with `one`, which has a row for each key: the rows of a hot
+    key are split by a hash of another column, and its one row goes to each part."""
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = one.withColumn("_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return salted.join(copies.hint("merge"), [key, "_s"]).drop("_s")  # copies grow with the input: never broadcast
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node that is not its component's smallest, and that smallest.
-    edges: (a, b) in any order.  Minima are pre-aggregated and joined back, so
-    a hub's neighbours never meet in one task's memory."""
+    edges: (a, b) in any order.  Minima are pre-aggregated and joined back by
+    salted keys, so a hub's neighbours are spread over tasks."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = _spread(both.where("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
@@ -231,13 +243,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = components(links(first))
     labelled = first.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = labelled.join(least, "root").select("fp", "component_id")
+    by_fp = _spread(labelled, least, "root", "fp").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, one row of each group: that with the
-    smallest doc_id, of repeated rows one. Rows with a null doc_id take no part
-    and stay."""
+    smallest doc_id. Rows that share a doc_id are one document, of which one
+    stays; rows with a null doc_id take no part and stay."""
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
     return docs.where("doc_id is not null").join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

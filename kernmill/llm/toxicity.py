@@ -5,7 +5,9 @@ a lattice of characters: each sign stands for the letters it may replace, a run
 for one or two of its letters, a separator for nothing.  Viterbi decoding finds
 the likeliest readings under a trigram character language model whose counts come
 from all documents; among the best few a word of the classifier's vocabulary is
-preferred.  The restored words are scored by a logistic regression over the
+preferred.  Characters set apart by white space are one run of any length; a gap in
+it stands for nothing or for the end of a word, and all words of the vocabulary in
+the run are found.  The restored words are scored by a logistic regression over the
 presence of words, trained on labelled documents.
 
 The classifier is fitted on at most TRAIN labelled documents (the smallest of a
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, islice
 
@@ -38,14 +40,21 @@ VOCABULARY = 1024
 LEAST_DOCS, LEAST_RATIO = 8, 40.0
 THRESHOLD = 0.3
 CACHE = 600_000
-#: A lattice has so many segments at most: longer tokens are no obfuscated words.
+#: A lattice of a token has so many segments at most: longer tokens are no obfuscated words. Runs have no limit.
 LONGEST = 32
+#: Shorter words are taken out of a run only where the language model parts it so.
+ANYWHERE = 4
+#: Longer runs are not kept in the cache.
+CACHED_RUN = 256
 BEST = 6
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 SEPARATORS = "._-*~'"
 EDGES = ".,;:!?\"'()[]{}<>|%*&#$-_/\\=+~`"
-SPACED = re.compile(r"(?<!\S)(?:[^\s.,;:?] ){3,}[^\s.,;:?](?!\S)")
+#: Two or more single characters, perhaps with punctuation, between white space.
+_MARKS = r"[.,;:?\"'()\[\]{}<>]"
+_UNIT = rf"(?=\S){_MARKS}*+(?:[^\s.,;:?\"'()\[\]{{}}<>]{_MARKS}*+)?+(?!\S)"
+SPACED = re.compile(rf"(?<!\S){_UNIT}(?:\s++{_UNIT})++")
 WORD = re.compile(r"[a-zß-öø-ÿ]+")
 #: Character classes of the language model: 0 is all that is no letter.
 SIZE = 60
@@ -134,6 +143,96 @@ def decode(segments: list[list[tuple[str, float]]], logp: np.ndarray, best: int
     return sorted(chain.from_iterable(states.values()), reverse=True)[:best]
 
 
+def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """Segments of a run of single characters, as of lattice(); a space among the
+    letters is the end of a word. Signs that are no letters part words."""
+    chars = "".join(run.split())
+    out: list[list[tuple[str, float]]] = []
+    k, n = 0, len(chars)
+    while k < n:
+        c = chars[k]
+        run_ = 1
+        while k + run_ < n and chars[k + run_] == c:
+            run_ += 1
+        k += run_
+        if WORD.match(c):
+            out.append([(c, 0.0)] if run_ == 1 else [(c * 2, 0.0 if run_ == 2 else -0.7), (f"{c} {c}", 0.0 if run_ == 2 else -0.7), (c, -2.5 if run_ == 2 else -0.7)])
+        elif c in LEET:
+            own = [(x * m, -1.0 - math.log(len(LEET[c]))) for x in LEET[c] for m in range(1, min(run_, 2) + 1)]
+            own += [(f"{x} {x}", -1.0 - math.log(len(LEET[c]))) for x in LEET[c]] if run_ > 1 else []
+            out.append(own + [("", -4.0)] * (c in SEPARATORS) + [(" ", -1.0)] * (c in EDGES))
+        else:
+            out.append([(" ", 0.0), ("", -1.0)] if c in SEPARATORS else [(" ", 0.0)])
+    return out
+
+
+def read_run(segments: list[list[tuple[str, float]]], logp: np.ndarray, best: int = BEST) -> list[list[str]]:
+    """The words of the likeliest readings of a run, best first: as decode(), with
+    a word's end or nothing in each gap, and paths as links, so that time and
+    memory are in proportion to the run."""
+    gap = [("", 0.0), (" ", 0.0)]
+    states: dict[tuple[int, int], list] = {(0, 0): [(0.0, None)]}
+    for k in range(2 * len(segments)):
+        alternatives = [("\0", 0.0)] if k == 2 * len(segments) - 1 else gap if k % 2 else segments[k // 2]
+        after: dict[tuple[int, int], list] = {}
+        for (a, b), paths in states.items():
+            for letters, channel in alternatives:
+                x, y, gain = a, b, channel
+                for c in letters:
+                    z = int(_CLASS[ord(c)]) if c not in "\0 " else 0
+                    if y or z or c == "\0":  # runs of class 0 are one, as in the counts
+                        gain += float(logp[x, y, z])
+                        x, y = y, z
+                after.setdefault((x, y), []).extend((p + gain, (path, letters)) for p, path in paths)
+        states = {s: sorted(v, key=lambda e: -e[0])[:best] for s, v in after.items()}
+    out = []
+    for _, path in sorted(chain.from_iterable(states.values()), key=lambda e: -e[0])[:best]:
+        parts = []
+        while path:
+            path, letters = path
+            parts.append(letters)
+        out.append("".join(reversed(parts)).strip("\0").split())
+    return out
+
+
+def trie(words: Iterable[str]) -> dict:
+    """Nested by letter; the word itself under the empty key."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = w
+    return root
+
+
+def spotted(segments: list[list[tuple[str, float]]], root: dict) -> list[tuple[int, int, str]]:
+    """(first segment, last segment, word): all words of a trie that some reading
+    of a run holds with gaps at both ends and no word's end within."""
+
+    def walk(node: dict | None, letters: str) -> dict | None:
+        for c in letters:
+            node = node.get(c) if node else None
+        return node
+
+    out: dict[tuple[int, int, str], None] = {}
+    live: dict[tuple[int, int], dict] = {}
+    for k, alternatives in enumerate(segments):
+        after: dict[tuple[int, int], dict] = {}
+        for letters, _ in alternatives:
+            head, *tails = letters.split(" ")
+            steps = [(start, walk(node, head), not tails) for (start, _), node in live.items()]
+            steps += [(k, walk(root, x), x is tails[-1] if tails else True) for x in (head, *tails) if x]
+            for start, node, on in steps:
+                if node:
+                    if "" in node:
+                        out[start, k, node[""]] = None
+                    if on:
+                        after[start, id(node)] = node
+        live = after
+    return list(out)
+
+
 def plain(token: str) -> bool:
     """Whether a lower-case token without its edges is an undisguised word: letters, none three times in a row."""
     return WORD.fullmatch(token) is not None and not re.search(r"(.)\1\1", token)
@@ -147,9 +246,39 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -100.0
     cache: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    tree: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "tree": {}}
+
+    def known_tree(self) -> dict:
+        """The trie of the vocabulary."""
+        if not self.tree and self.weights:
+            self.tree = trie(self.weights)
+        return self.tree
+
+    def restore_run(self, run: str) -> tuple[str, ...]:
+        """The words of single characters set apart: with a vocabulary all its
+        words of ANYWHERE letters and more, or that are the whole run, but for
+        those within longer ones, and shorter ones of a likely reading; without
+        one the words of the likeliest reading."""
+        segments = spaced_lattice(run)
+        if not self.weights:
+            return tuple(dict.fromkeys(w for w in read_run(segments, self.logp, 1)[0] if len(w) > 1))
+        found = spotted(segments, self.known_tree())
+        if not found:
+            return ()
+        known = dict.fromkeys(w for s, e, w in found if len(w) >= ANYWHERE or (s, e) == (0, len(segments) - 1))
+        if any(w not in known for _, _, w in found):
+            readings = ([w for w in r if len(w) > 1 and w in self.weights] for r in read_run(segments, self.logp))
+            known.update(dict.fromkeys(next(filter(None, readings), [])))
+        widest: list[tuple[int, int, str]] = []
+        reach = -1
+        for s, e, w in sorted(found, key=lambda m: (m[0], -m[1])):
+            if e > reach or (widest and (s, e) == widest[-1][:2]):
+                widest.append((s, e, w))
+                reach = max(reach, e)
+        return tuple(w for w in known if any(w == x for _, _, x in widest))
 
     def restore(self, token: str) -> tuple[str, ...]:
         """The words of a lower-case token."""
@@ -180,11 +309,15 @@ class Model:
         for text in group:
             text = text.lower()
             tokens = set(text.split())
-            tokens.update(SPACED.findall(text))
+            runs = {" ".join(r.split()) for r in SPACED.findall(text)}
+            long = {r for r in runs if len(r) > CACHED_RUN}
             for t in tokens.difference(cache):
                 own = self.restore(t)
                 cache[t] = tuple(w for w in own if w in weights) if known else own
-            out.append(set(chain.from_iterable(map(cache.__getitem__, tokens))))
+            for r in (runs - long).difference(cache):
+                cache[r] = self.restore_run(r) if weights or not known else ()
+            own = set(chain.from_iterable(map(cache.__getitem__, chain(tokens, runs - long))))
+            out.append(own.union(*map(self.restore_run, long if weights or not known else ())))
         return out
 
     def scores(self, group: list[str]) -> list[float]:

@@ -214,6 +214,18 @@ def test_clean_texts_stay(text):
     assert small_model().scores([text])[0] < 0.1
 
 
+@pytest.mark.parametrize("text", ["a l o s e r", "s t u p i d i d i o t", "i\td\ti\to\tt", "i  d \n i o t", "i d i o t, and", "i d i o t !", "a a a " + "w e n t t o t h e " * 20 + "t r a s h " + "w i t h " * 20])
+def test_deobfuscation_of_runs(text):
+    assert small_model().scores([f"well {text} then"])[0] > 0.5
+
+
+def test_short_runs_and_words_within_words():
+    model = small_model()
+    assert model.words(["h e r e i d i o t s t u p i d"], known=True) == [{"idiot", "stupid"}]
+    model = toxicity.Model(model.logp, {"fat": 6.0, "oaf": 6.0, "pathetic": 6.0, "path": 6.0}, -4.0)
+    assert model.words(["so f a t", "o @ f", "p a t h e t i c", "w e n t t o p a t h"], known=True) == [{"fat"}, {"oaf"}, {"pathetic"}, {"path"}]
+
+
 def test_viterbi_finds_the_likeliest():
     """Against all readings of a lattice, scored one by one."""
     from itertools import product

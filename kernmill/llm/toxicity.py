@@ -1,6 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A token that is no plain word (leetspeak, letters set apart, letters repeated) is
+A token that may be no plain word (leetspeak, also without any letter; letters set
+apart; letters repeated, even once, unless the word is common as it stands) is
 a lattice of characters: each sign stands for the letters it may replace, a run
 for one or two of its letters, a separator for nothing.  Viterbi decoding finds
 the likeliest readings under a trigram character language model whose counts come
@@ -56,6 +57,7 @@ _MARKS = r"[.,;:?\"'()\[\]{}<>]"
 _UNIT = rf"(?=\S){_MARKS}*+(?:[^\s.,;:?\"'()\[\]{{}}<>]{_MARKS}*+)?+(?!\S)"
 SPACED = re.compile(rf"(?<!\S){_UNIT}(?:\s++{_UNIT})++")
 WORD = re.compile(r"[a-zß-öø-ÿ]+")
+DOUBLED = re.compile(r"(.)\1")
 #: Character classes of the language model: 0 is all that is no letter.
 SIZE = 60
 _CLASS = np.zeros(256, np.int32)
@@ -233,6 +235,24 @@ def spotted(segments: list[list[tuple[str, float]]], root: dict) -> list[tuple[i
     return list(out)
 
 
+def readable(segments: list[list[tuple[str, float]]], root: dict) -> bool:
+    """Whether some reading of a lattice is a word of a trie."""
+    live = [root]
+    for alternatives in segments:
+        after: dict[int, dict] = {}
+        for node in live:
+            for letters, _ in alternatives:
+                to = node
+                for c in letters:
+                    to = to.get(c) if to else None
+                if to:
+                    after[id(to)] = to
+        if not after:
+            return False
+        live = list(after.values())
+    return any("" in node for node in live)
+
+
 def plain(token: str) -> bool:
     """Whether a lower-case token without its edges is an undisguised word: letters, none three times in a row."""
     return WORD.fullmatch(token) is not None and not re.search(r"(.)\1\1", token)
@@ -247,6 +267,8 @@ class Model:
     bias: float = -100.0
     cache: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
     tree: dict = field(default_factory=dict, repr=False)
+    #: Words with a doubled letter that are common as they stand, so that they are no disguise.
+    common: frozenset[str] = frozenset()
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}, "tree": {}}
@@ -280,17 +302,28 @@ class Model:
                 reach = max(reach, e)
         return tuple(w for w in known if any(w == x for _, _, x in widest))
 
+    def likeliest(self, form: str) -> tuple[str, ...]:
+        """Of a form that may be no disguise the likeliest reading in the vocabulary, if there is one among the best; without a vocabulary the likeliest of all."""
+        segments = lattice(form)
+        if not segments or self.weights and not readable(segments, self.known_tree()):
+            return ()
+        readings = (s for _, s in decode(segments, self.logp) if s in self.weights or not self.weights)
+        return tuple(islice(readings, 1))
+
     def restore(self, token: str) -> tuple[str, ...]:
         """The words of a lower-case token."""
         core = token.strip(EDGES)
         if plain(core):
             form = token.rstrip(EDGES)
-            if form[0] not in LEET or not self.weights:
-                return (core,)
-            readings = (s for _, s in decode(lattice(form), self.logp) if s in self.weights)
-            return (core, *islice(readings, 1))
+            found = [core]
+            if DOUBLED.search(core) and core not in self.weights and core not in self.common:
+                found += self.likeliest(core)
+            if form[0] in LEET and self.weights:
+                found += self.likeliest(form)
+            return tuple(dict.fromkeys(found))
         if not any(WORD.match(c) for c in token):
-            return ()
+            forms = dict.fromkeys(f for f in (core, token.strip(".,;:?\"'")) if len(f) > 1)
+            return tuple(dict.fromkeys(w for f in forms for w in self.likeliest(f) if len(w) > 1))
         words = WORD.findall(core)
         found = dict.fromkeys(w for w in words if len(w) > 1)
         for form in dict.fromkeys((core, token.strip(".,;:?\"'"))):
@@ -386,6 +419,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = sorted(zip(data.column("at").to_pylist(), data.column("toxic").to_pylist(), strict=True))
     w, model.bias = logistic([x for x, _ in order], np.array([y for _, y in order], float), len(index))
     model.weights = {word: float(w[k]) for word, k in index.items()}
+    root = model.known_tree()
+    doubled = found.select("word").where(F.col("word").rlike(DOUBLED.pattern)).toLocalIterator()  # of at most TRAIN documents, each word in LEAST_DOCS
+    model.common = frozenset(r["word"] for r in doubled if plain(r["word"]) and r["word"] not in index and readable(lattice(r["word"]), root))
     return model
 
 

@@ -219,6 +219,19 @@ def test_deobfuscation_of_runs(text):
     assert small_model().scores([f"well {text} then"])[0] > 0.5
 
 
+@pytest.mark.parametrize("text", ["stuppid", "iddiot", "ttrash,", "losser!", "(cllown)"])
+def test_deobfuscation_of_doubled_letters(text):
+    assert small_model().scores([f"well {text} then"])[0] > 0.5
+
+
+def test_words_of_digits_and_common_doubles():
+    model = small_model()
+    model.weights |= {"toast": 6.0, "ass": 6.0, "god": 6.0}
+    assert model.words(["70457 4$$", "455", "1984 1234 5678 2026-11-26 10:30 100%"], known=True) == [{"toast", "ass"}, {"ass"}, set()]
+    assert model.words(["good"], known=True) == [{"god"}]
+    assert toxicity.Model(model.logp, model.weights, -4.0, common=frozenset(["good"])).words(["good iddiot"], known=True) == [{"idiot"}]
+
+
 def test_short_runs_and_words_within_words():
     model = small_model()
     assert model.words(["h e r e i d i o t s t u p i d"], known=True) == [{"idiot", "stupid"}]

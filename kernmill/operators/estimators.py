@@ -13,6 +13,7 @@ from ..functions.kernels import Gaussian, Kernel
 from ..functions.random import uniform_value
 from ..functions.scalar import collision, hash_power, hash_width
 from ..functions.vector import sqdist
+from . import sweep
 from .lsh import Hashes, buckets
 from .order import dense_index
 from .sampling import draws, permuted, weighted_draws
@@ -31,15 +32,15 @@ def random_sampling(points: DataFrame, queries: DataFrame, kernel: Kernel, m: in
     if m == n:
         return kde(own, queries, kernel).withColumnRenamed("density", "est")
     rows = dense_index(own.select("id", "x"), ["id"])
-    drawn = draws(points.sparkSession, queries, m, n, salt).join(rows, "row").join(F.broadcast(_small(queries)), "qid")
+    drawn = draws(points.sparkSession, queries, m, n, salt).join(rows, "row").join(_asked(queries), "qid")
     return drawn.groupBy("qid").agg(F.avg(kernel.column(sqdist(F.col("x"), F.col("q")))).alias("est"))
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    """Queries of the sampling estimators are broadcast; their number is checked."""
-    if queries.count() > 100_000:
-        raise ValueError("estimate in batches of at most 100,000 queries")
-    return queries.select("qid", "q")
+def _asked(queries: DataFrame) -> DataFrame:
+    """qid and q, for a join by qid: broadcast up to BROADCAST_BYTES of vectors, else both sides are shuffled."""
+    own = queries.select("qid", "q")
+    size = own.agg((F.sum(F.size("q")) * 8).alias("b")).first()["b"] or 0
+    return F.broadcast(own) if size <= sweep.BROADCAST_BYTES else own.hint("merge")
 
 
 def floored(est: Column, low: float) -> Column:
@@ -55,7 +56,7 @@ def probe(table: DataFrame, points: DataFrame, queries: DataFrame, hashes: Hashe
     tables, power, _ = hashes.g.shape
     asked = hashes.keys(queries, "qid", "q")
     reps = table.select("tbl", "key", mass.alias("mass"), F.col("rep_id").alias("id")).join(points.select("id", "x"), "id")
-    met = asked.join(reps, ["tbl", "key"], "left").join(F.broadcast(_small(queries)), "qid")
+    met = asked.join(reps, ["tbl", "key"], "left").join(_asked(queries), "qid")
     d2 = sqdist(F.col("x"), F.col("q"))
     z = kernel.column(d2) / collision(F.sqrt(d2), hashes.width, F.lit(power), exact_collision) * F.col("mass")
     per = met.groupBy("qid", "tbl").agg(F.sum(F.coalesce(z, F.lit(0.0))).alias("z"))  # scales of a bucket add up
@@ -237,9 +238,9 @@ def rs_levels(points: DataFrame, queries: DataFrame, kernel: Kernel, table: list
     """qid, level, est: at each level the median of `groups` means of uniform draws."""
     rows, est = dense_index(points.select("id", "x"), ["id"]), None
     spark = points.sparkSession
-    small = F.broadcast(_small(queries))
+    asked = _asked(queries)
     for x in table:
-        d = draws(spark, queries, x.m * groups, n, f"{salt}{x.level}").join(rows, "row").join(small, "qid")
+        d = draws(spark, queries, x.m * groups, n, f"{salt}{x.level}").join(rows, "row").join(asked, "qid")
         mean = d.groupBy("qid", F.expr(f"r div {x.m}").alias("grp")).agg(F.avg(kernel.column(sqdist(F.col("x"), F.col("q")))).alias("e"))
         own = mean.groupBy("qid").agg(F.median("e").alias("est")).withColumn("level", F.lit(x.level))
         est = own if est is None else est.unionByName(own)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
+from . import sweep as sweep_module
 from .sweep import matrix, slices, sqdist, sweep
 
 
@@ -88,13 +89,21 @@ def kde(points: DataFrame, queries: DataFrame, kernel: Kernel, loo: bool = False
 
 def kde_columns(points: DataFrame, queries: DataFrame, kernel: Kernel) -> DataFrame:
     """kde() by column expressions alone: a nested-loop join with the broadcast
-    queries and a partial average. For kernels that have no numpy form; the
-    queries' number is checked."""
+    queries and a partial average. For kernels that have no numpy form. More
+    queries than BROADCAST_BYTES of vectors are dealt with slices of the points
+    over a grid of cells, as in a sweep."""
     from ..functions.vector import sqdist as distance
 
-    if queries.count() > 10_000:
-        raise ValueError("too many queries for a broadcast join: use kde()")
-    pairs = points.select("x").crossJoin(F.broadcast(queries.select("qid", "q")))
+    measured = queries.agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("d")).first()
+    if 8 * (measured["d"] or 0) <= sweep_module.BROADCAST_BYTES:
+        pairs = points.select("x").crossJoin(F.broadcast(queries.select("qid", "q")))
+    else:
+        blocks = -(-measured["n"] // sweep_module.BLOCK_QUERIES)
+        parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = queries.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("_b"), every(parts).alias("_s"), "qid", "q")
+        there = points.select(every(blocks).alias("_b"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_s"), "x")
+        pairs = there.join(asked.hint("merge"), ["_b", "_s"])
     return pairs.groupBy("qid").agg(F.avg(kernel.column(distance(F.col("x"), F.col("q")))).alias("density"))
 
 

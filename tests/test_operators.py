@@ -67,6 +67,28 @@ def test_dealt_sweep_equals_broadcast(data, monkeypatch):
     assert near.count() == int((pairwise(data[0]) <= 0.04).sum())
 
 
+def test_estimators_take_any_number_of_queries(spark, data, monkeypatch):
+    """More queries than were allowed; and the joins for queries beyond the broadcast."""
+    x, p = data
+    many = spark.range(100_001).select(F.col("id").alias("qid"), F.array(*[F.col("id") % k / k for k in (2.0, 3.0, 5.0)]).alias("q"))
+    out = estimators.random_sampling(p, many, Gaussian(0.3), 1).agg(F.count("*"), F.countDistinct("qid")).first()
+    assert tuple(out) == (100_001, 100_001)
+    few = p.limit(3).cache()
+    assert exact.kde_columns(few, many.limit(10_001), Gaussian(0.3)).count() == 10_001
+    h = lsh.Hashes.seeded(4, 1, 3, 1.0)
+    runs = (
+        lambda: estimators.random_sampling(p, asked(p), Gaussian(0.3), 8), lambda: estimators.hbe_uniform(p, asked(p), h, Gaussian(0.3)),
+        lambda: estimators.adaptive_rs(p, asked(p), Gaussian(0.3), 0.25, 0.9), lambda: exact.kde_columns(p, asked(p), Gaussian(0.3)).withColumnRenamed("density", "est"),
+    )
+    before = [by_id(r(), "est") for r in runs]
+    monkeypatch.setattr(sweep, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(sweep, "BLOCK_QUERIES", 128)
+    for r, want in zip(runs, before, strict=True):
+        got = r()
+        assert len(want) == len(x) and np.allclose(by_id(got, "est"), want)
+        assert "SortMergeJoin" in got._jdf.queryExecution().toString()
+
+
 def test_ties_go_to_the_smaller_id(spark):
     p = spark.createDataFrame([(i, [float(i // 3)]) for i in (5, 4, 3, 2, 1, 0)], "id long, x array<double>")
     q = spark.createDataFrame([(0, [0.0])], "qid long, q array<double>")

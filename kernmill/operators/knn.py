@@ -18,20 +18,33 @@ def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     smaller id. Each partition sends its k best of each query, no more."""
 
     def work(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare = k + 8  # candidates by rounded distances; the exact ones decide
-        best_d, best_i, best_x = np.full((len(q), 0), np.inf), np.empty((len(q), 0), np.int64), None
+        best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        seen, size, every = 0, (q * q).sum(axis=1), np.arange(len(q))
         for b in batches:
             if not b.num_rows:
                 continue
             x, ids = matrix(b.column(1)), b.column(0).to_numpy()
             for s in slices(len(q), x):
-                d = sqdist(q, x[s])
-                near = np.argpartition(d, spare - 1, axis=1)[:, :spare] if d.shape[1] > spare else np.tile(np.arange(d.shape[1]), (len(q), 1))
-                found = x[s][near]
-                exact = ((q[:, None, :] - found) ** 2).sum(axis=2)
-                all_d, all_i = np.concatenate((best_d, exact), axis=1), np.concatenate((best_i, ids[s][near]), axis=1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+                own, own_ids = x[s], ids[s]
+                d = sqdist(q, own)
+                bound = best_d[:, k - 1] if seen >= k else np.full(len(q), np.inf)
+                if d.shape[1] > k:
+                    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+                    bound = np.minimum(bound, _exact(q, own, np.repeat(every, k), near.ravel()).reshape(-1, k).max(axis=1))
+                # all that tie with the k-th or that rounding may have put beyond it; exact distances and ids decide
+                slack = 1e-9 * bound + 1e-11 * (size + (own * own).sum(axis=1).max())
+                i, j = np.nonzero(~(d > (bound + slack)[:, None]))
+                held = min(seen, k)
+                all_q = np.concatenate((np.repeat(every, held), i))
+                all_d = np.concatenate((best_d[:, :held].ravel(), _exact(q, own, i, j)))
+                all_i = np.concatenate((best_i[:, :held].ravel(), own_ids[j]))
+                order = np.lexsort((all_i, all_d, all_q))
+                n = np.bincount(all_q, minlength=len(q))
+                place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+                order, place = order[place < k], place[place < k]
+                best_d[all_q[order], place], best_i[all_q[order], place] = all_d[order], all_i[order]
+                seen += len(own)
+        best_d, best_i = best_d[:, :seen], best_i[:, :seen]
         n = best_d.shape[1]
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best_d.ravel()), pa.array(best_i.ravel())], ["qid", "dist2", "id"])
@@ -39,6 +52,15 @@ def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return merge(sweep(points.select("id", "x"), queries, work, "qid long, dist2 double, id long"), k)
 
 
+def _exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs (rows of q, rows of x), summed by component."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), 1 << 14):
+        s = slice(k, k + (1 << 14))
+        out[s] = ((q[i[s]] - x[j[s]]) ** 2).sum(axis=1)
+    return out
+
+
 def merge(lists: DataFrame, k: int) -> DataFrame:
     """Neighbour lists (qid, dist2, id) of any origin: without repeats, the k best."""
     once = lists.groupBy("qid", "id").agg(F.min("dist2").alias("dist2"))

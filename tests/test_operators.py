@@ -95,6 +95,20 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r["id"] for r in knn.knn(p, q, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("d", [2, 20])
+def test_many_copies_go_to_the_smallest_ids(spark, d):
+    """More copies in a slice than any fixed number of candidates, against a full sort."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate((np.tile(rng.random((1, d)), (600, 1)), np.tile(rng.random((1, d)), (300, 1)), rng.random((100, d))))
+    ids = rng.permutation(len(x))
+    p = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, x array<double>").coalesce(1)
+    got = {}
+    for r in knn.knn(p, asked(p), 7).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    exact_d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert got == {int(i): ids[np.lexsort((ids, row))[:7]].tolist() for i, row in zip(ids, exact_d, strict=True)}
+
+
 def test_empty_points_and_queries(spark, data):
     _, p = data
     none = p.limit(0)

@@ -7,12 +7,12 @@ indexes (the writer's default).  With them stand doc_id, the file's number, the
 document's place in the file and its length, so that offsets over the whole
 store are read from three small columns and not from the ids.
 
-The ids of a text are those of its pieces between white space, which this
-tokenizer drops and no merge crosses.  Each worker caches pieces and the
-pre-tokens that they consist of; those of a chunk of documents that are not in
-the cache are encoded by the library as one text and told apart by the
-vocabulary's mark for the end of a word.  A text with a special token's string, or with white space on
-which Python and the library may differ, is encoded whole.
+The ids of a text are those of its pieces between ASCII white space, which this
+tokenizer drops and no merge, normalisation or pre-token crosses; strings of special
+tokens are taken out before, as the library does by default.  Each worker caches
+pieces and the pre-tokens that they consist of; those of a chunk of documents that
+are not in the cache are encoded by the library, Latin ones as one text that is told
+apart by the vocabulary's mark for the end of a word.
 
 Defined results: a null or empty text has the end id alone; equal doc_ids stand
 in the order of their texts; a null doc_id comes first; an empty table gives an
@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import chunks, texts, with_text
 from .token_counts import DOUBTFUL as NOT_LATIN
-from .token_counts import load, specials
+from .token_counts import load, special_pattern, specials
 
-#: A worker keeps so many pieces and pre-tokens; beyond that it forgets the later half.
-CACHE = 700_000
+#: A worker keeps so many pieces and pre-tokens; beyond that it forgets the later half. Longer ones are never kept.
+CACHE, LONG = 700_000, 64
 #: The published pre-token pattern over lower-case ASCII and Latin-1 letters.
 PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Control characters and non-ASCII white space, and marks that might join with what stands before.
-DOUBTFUL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]")
+#: White space to every library.
+SPACES = re.compile("[ \t\n\v\f\r]+")
 STORED = "doc_id long, part int, place long, n_tokens long, ids array<int>"
 ROW_GROUP, PAGE, DICTIONARY = 32 << 20, 1 << 20, 1 << 20
 
@@ -51,9 +51,11 @@ class Encoder:
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        self.tokenizer, self.special = load(path), specials(path)
+        self.tokenizer, plain = load(path), special_pattern(path)
+        self.special = re.compile(f"({plain.pattern})") if plain else None
         self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
+        self.reserved = {s: self._ids([self.tokenizer.token_to_id(s)]) for s in specials(path)}
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
@@ -66,31 +68,32 @@ class Encoder:
     def encode(self, group: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache = dict(islice(self.cache.items(), CACHE // 2))
-        out, latin, other = [b""] * len(group), [], []
-        for k, text in enumerate(group):
-            if any(s in text for s in self.special):
-                out[k] = self._whole(text)
-            elif not NOT_LATIN.search(text):
-                latin.append((k, text.lower().split()))
-            elif DOUBTFUL.search(text):
-                out[k] = self._whole(text)
+        # of each text its stretches between special tokens, which stand as themselves
+        stretches = [(k, m, part) for k, text in enumerate(group) for m, part in enumerate(self.special.split(text) if self.special else [text])]
+        latin, other, split = set(), set(), []
+        for k, m, part in stretches:
+            if m % 2:
+                split.append((k, m, [part]))
+            elif NOT_LATIN.search(part):
+                split.append((k, m, [p for p in SPACES.split(part) if p]))
+                other.update(split[-1][2])
             else:
-                other.append((k, text.split()))
-        missing = set().union(*(p for _, p in latin)).difference(self.cache)
-        if missing:
-            self._learn(missing)
-        unknown = list(set().union(*(p for _, p in other)).difference(self.cache))
+                split.append((k, m, part.lower().split()))
+                latin.update(split[-1][2])
+        long = self._learn(latin.difference(self.cache))
+        unknown = list(other.difference(self.cache))
         if unknown:
             self.cache.update(zip(unknown, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)), strict=True))
-        for k, pieces in [*latin, *other]:
-            out[k] = b"".join(map(self.cache.__getitem__, pieces))
-        return out
-
-    def _whole(self, text: str) -> bytes:
-        return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """A piece of letters alone is one pre-token; others are put together from theirs."""
+        out = [[] for _ in group]
+        for k, m, pieces in split:
+            out[k] += [self.reserved[pieces[0]]] if m % 2 else map(self.cache.__getitem__, pieces)
+        joined = [b"".join(x) for x in out]
+        for p in chain(long, (p for p in unknown if len(p) > LONG)):
+            self.cache.pop(p, None)
+        return joined
+
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """A piece of letters alone is one pre-token; others are put together from theirs. Returns what is too long to keep."""
         cache = self.cache
         split = [(p, PRE_TOKEN.findall(p)) for p in pieces if not p.isalpha()]
         words = {p for p in pieces if p.isalpha()}
@@ -106,6 +109,7 @@ class Encoder:
             cache.update(zip(some, map(data.__getitem__, map(slice, edges, edges[1:])), strict=True))
         for p, own in split:
             cache[p] = b"".join(map(cache.__getitem__, own))
+        return [p for p in chain(pieces, words) if len(p) > LONG]
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:
@@ -149,13 +153,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return stored.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("place"))
 
 
+#: Ids digested at a time, or those of one document.
+SLICE_IDS = 1 << 20
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.column(3)
-        data = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
-        edges = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
-        crc = [zlib.crc32(data[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    for batch in batches:
+        step = np.cumsum(batch.column(2).to_numpy()) // SLICE_IDS
+        edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+        for b in (batch.slice(x, y - x) for x, y in zip(edges, edges[1:], strict=False) if y > x):
+            ids = b.column(3)
+            offsets = ids.offsets.to_numpy().astype(np.int64)
+            data = memoryview(ids.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
+            cuts = ((offsets - offsets[0]) * 4).tolist()
+            crc = [zlib.crc32(data[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def digest(stored: DataFrame) -> DataFrame:

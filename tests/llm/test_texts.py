@@ -86,25 +86,44 @@ def test_media_query(edge, none, clashing):
 # ----------------------------------------------------------------------- tokens
 def texts_for_tokens():
     rnd = random.Random(1)
-    alphabet = "ab 1'st\n\t!é\x0b-<|Ωя \x85"
+    alphabet = "ab 1'st\n\t!é\x0b-<|Ωя \x85“—日\u0301\u2003\x1c"
     return [t for _, t in TEXTS] + ["don'T'll 'S", "a  ", " a", "İΣς", "x́", "<|startoftext|><|endoftext|>"] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(800)]
 
 
-def test_counts_equal_the_library():
+def test_counts_equal_the_library(spark, sample):
     tokenizer, group = Tokenizer.from_file(BYTE), texts_for_tokens()
-    counter = token_counts.Counter(BYTE, token_counts.frequent_table(BYTE))
-    assert counter.counts(group) == [len(tokenizer.encode(t, add_special_tokens=False)) for t in group]
-    empty = token_counts.Counter(BYTE, {})  # all by the second tier
-    assert empty.counts(group) == counter.counts(group)
-
-
-def test_counts_query(edge, none, clashing):
-    tokenizer = Tokenizer.from_file(BYTE)
-    got = rows(token_counts.token_counts(edge, BYTE, limit=20), "doc_id", "n_bytes", "n_tokens", "over_limit")
-    want = [(i, len(t.encode()), n := len(tokenizer.encode(t, add_special_tokens=False)), n > 20) for i, t in TEXTS]
-    assert got == sorted(want, key=str)
-    assert token_counts.token_counts(none, BYTE).count() == 0
-    assert token_counts.token_counts(clashing, BYTE).count() == len(EDGE)
+    want = [len(tokenizer.encode(t, add_special_tokens=False)) for t in group]
+    lengths = token_counts.Lengths(BYTE, token_counts.frequent_table(sample, BYTE))
+    assert lengths.counts(group) == want
+    assert token_counts.Lengths(BYTE, {}).counts(group) == want  # all by the second tier
+    assert all(len(w) <= token_counts.LONG for w in lengths.known)
+
+
+def test_pre_tokens_equal_the_library():
+    """Of every text, those with curly quotes, other scripts and odd white space as well."""
+    tokenizer, splitter = Tokenizer.from_file(BYTE), token_counts.Splitter(BYTE)
+    for t in texts_for_tokens():
+        if "<|" not in t:
+            assert splitter.split(t) == ([t[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(t)], 0)
+    assert splitter.split("a<|endoftext|><|endoftext|> b") == (["a", " b"], 2)
+
+
+def test_summary_keeps_what_is_frequent():
+    rnd = random.Random(3)
+    stream = [f"w{int(rnd.paretovariate(0.6)) % 100_000}" for _ in range(60_000)]
+    summary = token_counts.Summary(200)
+    for k in range(0, len(stream), 500):
+        summary.add(stream[k : k + 500])
+    for w, n in token_counts.Counter(stream).items():
+        assert n - len(stream) / 200 <= summary.counts[w] <= n
+    assert len(summary.counts) <= 2 * 200 + 500
+
+
+def test_first_tier_holds_most_pre_tokens(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table, splitter = token_counts.frequent_table(docs, BYTE), token_counts.Splitter(BYTE)
+    words = [w for r in docs.select("text").collect() for w in splitter.split(r["text"] or "")[0]]
+    assert len(table) <= token_counts.FREQUENT and sum(w in table for w in words) / len(words) > 0.9
 
 
 def test_ids_equal_the_library(monkeypatch):

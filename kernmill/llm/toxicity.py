@@ -12,8 +12,10 @@ the run are found.  The restored words are scored by a logistic regression over
 presence of words, trained on labelled documents.
 
 The classifier is fitted on at most TRAIN labelled documents (the smallest of a
-seeded hash of the id) that are not held out, and at most VOCABULARY words with
-the largest likelihood ratio.  Labels, language, source and id are never inputs.
+seeded hash of the id) that are not held out, copies counting once.  Its vocabulary
+are all words whose likelihood ratio passes a test at level ALPHA for as many words
+as there are.  The ridge is the one of RIDGES with the least log-loss over FOLDS
+folds of those documents.  Labels, language, source and id are never inputs.
 
 Defined results: a null or empty text gets the score of no words; a document
 without a label is scored like any other; repeated rows each get their row; with
@@ -22,6 +24,7 @@ no labelled documents every score is the prior, 0.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -36,27 +39,27 @@ from pyspark.sql import functions as F
 from .common import chunks, cut, texts, with_text
 
 TRAIN = 20000
-VOCABULARY = 1024
-#: A word needs so many training documents, and so large a likelihood ratio.
-LEAST_DOCS, LEAST_RATIO = 8, 40.0
+#: Chance that any word that says nothing enters the vocabulary.
+ALPHA = 0.05
+RIDGES, FOLDS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0), 4
 THRESHOLD = 0.3
-CACHE = 600_000
-#: A lattice of a token has so many segments at most: longer tokens are no obfuscated words. Runs have no limit.
-LONGEST = 32
+#: Tokens that a worker keeps, if of at most so many characters; longer ones are restored anew.
+CACHE, CACHED_TOKEN = 600_000, 64
 #: Shorter words are taken out of a run only where the language model parts it so.
 ANYWHERE = 4
-#: Longer runs are not kept in the cache.
-CACHED_RUN = 256
 BEST = 6
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 SEPARATORS = "._-*~'"
+_PARTED = {ord(c): None for c in SEPARATORS if c not in LEET}
 EDGES = ".,;:!?\"'()[]{}<>|%*&#$-_/\\=+~`"
 #: Two or more single characters, perhaps with punctuation, between white space.
 _MARKS = r"[.,;:?\"'()\[\]{}<>]"
 _UNIT = rf"(?=\S){_MARKS}*+(?:[^\s.,;:?\"'()\[\]{{}}<>]{_MARKS}*+)?+(?!\S)"
 SPACED = re.compile(rf"(?<!\S){_UNIT}(?:\s++{_UNIT})++")
 WORD = re.compile(r"[a-zß-öø-ÿ]+")
+#: A run of what a lattice can hold.
+PIECE = re.compile(rf"[a-zß-öø-ÿ{re.escape(''.join(LEET) + SEPARATORS)}]+")
 DOUBLED = re.compile(r"(.)\1")
 #: Character classes of the language model: 0 is all that is no letter.
 SIZE = 60
@@ -103,6 +106,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Segments of alternatives (letters, log-probability of the channel);
     empty if the token is no candidate."""
     out: list[list[tuple[str, float]]] = []
+    token = token.translate(_PARTED)  # so that letters repeat across separators, too
     k, n = 0, len(token)
     while k < n:
         c = token[k]
@@ -118,21 +122,27 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             if run > 1:
                 own += [(x, -1.7 - math.log(len(letters))) for x in letters]
             out.append(own + [("", -4.0)] * (c in SEPARATORS))
-        elif c in SEPARATORS or c == " ":
-            continue
         else:
             return []
-        if len(out) > LONGEST:
-            return []
     return out
 
 
+def _spelt(path: tuple | None) -> str:
+    """The letters of a path of links."""
+    parts = []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts)).strip("\0")
+
+
 def decode(segments: list[list[tuple[str, float]]], logp: np.ndarray, best: int = BEST) -> list[tuple[float, str]]:
     """The likeliest readings, best first: Viterbi with a list of paths for each
-    state, a state being the last two classes."""
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+    state, a state being the last two classes. Paths are links, so time and
+    memory are in proportion to the lattice."""
+    states: dict[tuple[int, int], list] = {(0, 0): [(0.0, None)]}
     for alternatives in [*segments, None]:
-        after: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        after: dict[tuple[int, int], list] = {}
         for (a, b), paths in states.items():
             for letters, channel in alternatives or [("\0", 0.0)]:
                 x, y, gain = a, b, channel
@@ -140,9 +150,10 @@ def decode(segments: list[list[tuple[str, float]]], logp: np.ndarray, best: int
                     z = int(_CLASS[ord(c)]) if c != "\0" else 0
                     gain += float(logp[x, y, z])
                     x, y = y, z
-                after.setdefault((x, y), []).extend((p + gain, s + letters.strip("\0")) for p, s in paths)
-        states = {k: sorted(v, reverse=True)[:best] for k, v in after.items()}
-    return sorted(chain.from_iterable(states.values()), reverse=True)[:best]
+                after.setdefault((x, y), []).extend((p + gain, (path, letters) if letters else path) for p, path in paths)
+        states = {k: sorted(v, key=lambda e: -e[0])[:best] for k, v in after.items()}
+    found = sorted(chain.from_iterable(states.values()), key=lambda e: -e[0])[:best]
+    return sorted(((p, _spelt(path)) for p, path in found), reverse=True)
 
 
 def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
@@ -187,14 +198,7 @@ def read_run(segments: list[list[tuple[str, float]]], logp: np.ndarray, best: in
                         x, y = y, z
                 after.setdefault((x, y), []).extend((p + gain, (path, letters)) for p, path in paths)
         states = {s: sorted(v, key=lambda e: -e[0])[:best] for s, v in after.items()}
-    out = []
-    for _, path in sorted(chain.from_iterable(states.values()), key=lambda e: -e[0])[:best]:
-        parts = []
-        while path:
-            path, letters = path
-            parts.append(letters)
-        out.append("".join(reversed(parts)).strip("\0").split())
-    return out
+    return [_spelt(path).split() for _, path in sorted(chain.from_iterable(states.values()), key=lambda e: -e[0])[:best]]
 
 
 def trie(words: Iterable[str]) -> dict:
@@ -269,6 +273,7 @@ class Model:
     tree: dict = field(default_factory=dict, repr=False)
     #: Words with a doubled letter that are common as they stand, so that they are no disguise.
     common: frozenset[str] = frozenset()
+    ridge: float = 0.0
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}, "tree": {}}
@@ -327,11 +332,9 @@ class Model:
         words = WORD.findall(core)
         found = dict.fromkeys(w for w in words if len(w) > 1)
         for form in dict.fromkeys((core, token.strip(".,;:?\"'"))):
-            segments = lattice(form)
-            if len(segments) > 2 and (len(words) > 1 or form != words[0] or not plain(form)):
-                readings = [s for _, s in decode(segments, self.logp)]
-                known = [s for s in readings if s in self.weights]
-                found.update(dict.fromkeys((known or readings)[:1]))
+            for piece in PIECE.findall(form):
+                if len(piece) > 2 and not plain(piece):
+                    found.update(dict.fromkeys(self.likeliest(piece)))
         return tuple(found)
 
     def words(self, group: list[str], known: bool) -> list[set[str]]:
@@ -342,15 +345,20 @@ class Model:
         for text in group:
             text = text.lower()
             tokens = set(text.split())
-            runs = {" ".join(r.split()) for r in SPACED.findall(text)}
-            long = {r for r in runs if len(r) > CACHED_RUN}
+            runs = {" ".join(r.split()) for r in SPACED.findall(text)} if weights or not known else set()
+            long = {t for t in tokens if len(t) > CACHED_TOKEN}
+            tokens -= long
             for t in tokens.difference(cache):
                 own = self.restore(t)
                 cache[t] = tuple(w for w in own if w in weights) if known else own
-            for r in (runs - long).difference(cache):
-                cache[r] = self.restore_run(r) if weights or not known else ()
-            own = set(chain.from_iterable(map(cache.__getitem__, chain(tokens, runs - long))))
-            out.append(own.union(*map(self.restore_run, long if weights or not known else ())))
+            kept = {r for r in runs if len(r) <= CACHED_TOKEN}
+            for r in kept.difference(cache):
+                cache[r] = self.restore_run(r)
+            own = set(chain.from_iterable(map(cache.__getitem__, chain(tokens, kept))))
+            for w in chain(chain.from_iterable(map(self.restore, long)), chain.from_iterable(map(self.restore_run, runs - kept))):
+                if not known or w in weights:
+                    own.add(w)
+            out.append(own)
         return out
 
     def scores(self, group: list[str]) -> list[float]:
@@ -362,22 +370,73 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("long").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias over present words, by accelerated gradient steps; the bias is not shrunk."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.fromiter(chain.from_iterable(rows), np.int64, len(at))
-    w, b = np.zeros(size), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    v, c, step = w.copy(), b, 4.0 / (ridge + 1.0 + np.bincount(col, minlength=size).max(initial=1) * max(1, np.bincount(at, minlength=len(rows)).max(initial=1)))
-    b_step = 4.0 / len(y)
-    for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, weights=v[col], minlength=len(rows)) + c, -500, 500)))
-        g = p - y
-        w_new = v - step * (np.bincount(col, weights=g[at], minlength=size) + ridge * v)
-        b_new = c - b_step * g.sum()
-        m = (k - 1) / (k + 2)
-        v, c = w_new + m * (w_new - w), b_new + m * (b_new - b)
-        w, b = w_new, b_new
-    return w, b
+class Incidence:
+    """Which words (columns) are in which documents (rows), as index pairs."""
+
+    def __init__(self, rows: list[list[int]], size: int):
+        self.rows, self.size = len(rows), size
+        self.at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.col = np.fromiter(chain.from_iterable(rows), np.int64, len(self.at))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=w[self.col], minlength=self.rows)
+
+    def sums(self, p: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=p[self.at], minlength=self.size)
+
+
+def logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and bias over present words, by Newton steps whose systems are
+    solved by conjugate gradients; the bias is not shrunk."""
+    x, w, b = Incidence(rows, size), np.zeros(size), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+
+    def loss(w: np.ndarray, b: float) -> float:
+        z = x.times(w) + b
+        return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + ridge / 2 * (w @ w))
+
+    now = loss(w, b)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -500, 500)))
+        v = np.maximum(p * (1 - p), 1e-9)
+        g = np.append(x.sums(p - y) + ridge * w, (p - y).sum())
+        if np.abs(g).max() < 1e-8 * max(1, len(y)):
+            break
+        scale = 1 / np.append(x.sums(v) + ridge, v.sum())  # the diagonal, as preconditioner
+        step, rest = np.zeros(size + 1), -g
+        z = scale * rest
+        d, gain = z.copy(), rest @ z
+        for _ in range(200):
+            t = v * (x.times(d[:-1]) + d[-1])
+            hd = np.append(x.sums(t) + ridge * d[:-1], t.sum())
+            a = gain / (d @ hd)
+            step, rest = step + a * d, rest - a * hd
+            z = scale * rest
+            gain, before = rest @ z, gain
+            if gain <= 1e-16 * (g @ (scale * g)):
+                break
+            d = z + gain / before * d
+        size_ = 1.0
+        while size_ > 1e-6 and (after := loss(w + size_ * step[:-1], b + size_ * step[-1])) > now:
+            size_ /= 2
+        if size_ <= 1e-6:
+            break
+        w, b, now = w + size_ * step[:-1], b + size_ * step[-1], after
+    return w, float(b)
+
+
+def best_ridge(rows: list[list[int]], y: np.ndarray, size: int, fold: np.ndarray) -> tuple[float, dict[float, float]]:
+    """The ridge with the least log-loss over the folds, the larger of equals; and the losses."""
+    loss = {}
+    for ridge in RIDGES:
+        total = 0.0
+        for k in np.unique(fold):
+            there = np.flatnonzero(fold != k)
+            if 0 < y[there].sum() < len(there):
+                w, b = logistic([rows[i] for i in there], y[there], size, ridge)
+                z = np.array([w[rows[i]].sum() + b for i in np.flatnonzero(fold == k)])
+                total += float(np.logaddexp(0, np.where(y[fold == k] > 0, -z, z)).sum())
+        loss[ridge] = total / len(y)
+    return min(RIDGES, key=lambda r: (loss[r], -r)), loss
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -389,21 +448,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, most=1 << 20):
-            own = known.value.words(texts(b.column(1)), known=False)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([sorted(w) for w in own], pa.list_(pa.string()))], ["toxic", "words"])
+            group = texts(b.column(1))
+            own = known.value.words(group, known=False)
+            key = [int.from_bytes(hashlib.md5(" ".join(t.lower().split()).encode()).digest()[:8], "big", signed=True) for t in group]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(key), pa.array([sorted(w) for w in own], pa.list_(pa.string()))], ["toxic", "key", "words"])
 
     labelled = with_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # TRAIN rows of two numbers
-    own = cut(labelled.mapInArrow(words, "toxic int, words array<string>"))
+    each = labelled.mapInArrow(words, "toxic int, key long, words array<string>")
+    own = cut(each.groupBy("key").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words")))  # copies count once
     total = own.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"], total["t"] or 0
     if not t or t == n:
         model.bias = 100.0 if n and t == n else -100.0
         return model
-    found = own.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("d")).where(F.col("d") >= LEAST_DOCS)
+    found = own.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("d")).where("d > 1")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     a, d = F.col("a").cast("double"), F.col("d").cast("double")
     ratio = 2 * (part(a, d * t / n) + part(d - a, d * (n - t) / n) + part(t - a, (n - d) * t / n) + part(n - d - t + a, (n - d) * (n - t) / n))
-    rows = found.withColumn("g", ratio).where(F.col("g") >= LEAST_RATIO).orderBy(F.desc("g"), "word").limit(VOCABULARY).collect()
+    tested = found.count()
+    least = 2 * math.log(max(tested, 1) / ALPHA)  # exp(-g / 2) bounds the chance of a ratio of g
+    rows = found.withColumn("g", ratio).where(F.col("g") >= least).orderBy(F.desc("g"), "word").collect()  # words of TRAIN documents
     index = {r["word"]: k for k, r in enumerate(rows)}
     if not index:
         model.bias = math.log(t / (n - t))
@@ -412,15 +476,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [sorted(vocabulary.value[w] for w in x if w in vocabulary.value) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "at"])
-
-    data = own.mapInArrow(present, "toxic int, at array<int>").toArrow()  # of the bounded sample
-    order = sorted(zip(data.column("at").to_pylist(), data.column("toxic").to_pylist(), strict=True))
-    w, model.bias = logistic([x for x, _ in order], np.array([y for _, y in order], float), len(index))
+            rows = [sorted(vocabulary.value[w] for w in x if w in vocabulary.value) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "key", "at"])
+
+    data = own.select("toxic", "key", "words").mapInArrow(present, "toxic int, key long, at array<int>").toArrow()  # of the bounded sample
+    order = sorted(zip(data.column("key").to_pylist(), data.column("at").to_pylist(), data.column("toxic").to_pylist(), strict=True))
+    at, y = [x for _, x, _ in order], np.array([v for _, _, v in order], float)
+    model.ridge, _ = best_ridge(at, y, len(index), np.array([k % FOLDS for k, _, _ in order]))
+    w, model.bias = logistic(at, y, len(index), model.ridge)
     model.weights = {word: float(w[k]) for word, k in index.items()}
     root = model.known_tree()
-    doubled = found.select("word").where(F.col("word").rlike(DOUBLED.pattern)).toLocalIterator()  # of at most TRAIN documents, each word in LEAST_DOCS
+    doubled = found.select("word").where(F.col("word").rlike(DOUBLED.pattern)).toLocalIterator()  # of at most TRAIN documents, each word in two or more
     model.common = frozenset(r["word"] for r in doubled if plain(r["word"]) and r["word"] not in index and readable(lattice(r["word"]), root))
     return model
 

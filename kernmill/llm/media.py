@@ -390,10 +390,12 @@ def decode(data: bytes) -> bytes:
 
 def feature(samples: np.ndarray) -> str:
     """A 64-bit hash of the thumbnail: which cells of an 8x8 grid of means are
-    brighter than their mean, after the dimensions in blocks."""
-    flat = samples.reshape(-1).astype(np.float64)
-    edges = np.arange(64) * flat.size // 64
-    means = np.add.reduceat(flat, edges) / np.diff(np.append(edges, flat.size))
+    brighter than their mean, after the dimensions in blocks. Cell (i, j) holds the
+    rows and columns from i and j eighths on, one of each at least."""
+    edges = [np.arange(8) * n // 8 for n in samples.shape]
+    counts = [np.maximum(np.diff(np.append(e, n)), 1) for e, n in zip(edges, samples.shape, strict=True)]
+    sums = np.add.reduceat(np.add.reduceat(samples.astype(np.float64), edges[0], axis=0), edges[1], axis=1)
+    means = (sums / counts[0][:, None] / counts[1]).reshape(-1)
     bits = int("".join("1" if x else "0" for x in means > means.mean()), 2)
     return f"{samples.shape[1]}x{samples.shape[0]}:{bits:016x}"
 

@@ -11,8 +11,12 @@ leftmost, non-overlapping scan for each kind, a candidate that fails its check
 being dropped without a retry.  address and account are added.  Positions are
 code points, the end exclusive.
 
+Every parser goes on behind what it has read, so a text takes time in proportion
+to its length.
+
 Defined results: a null or empty text has no spans; kinds may overlap each
-other; redact() merges overlapping spans and names the first.
+other; redact() merges overlapping spans and names the first; a host that fails
+its check is not tried again within itself.
 """
 
 from __future__ import annotations
@@ -41,7 +45,8 @@ QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 DIGITS = re.compile(r"[0-9]+")
 GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])+")
 DIALLED = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ADDRESS = re.compile(r"(?:[A-Za-z0-9._~%!$&'()*+,;=:-]+@)?([A-Za-z0-9.-]+)(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>\\^`{|}]*)?")
+_PLACE = r"([A-Za-z0-9.-]+)(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>\\^`{|}]*)?"
+ADDRESS = {"s": re.compile(r"(?:[A-Za-z0-9._~%!$&'()*+,;=:-]+@)?" + _PLACE), "w": re.compile(_PLACE)}
 IDENTIFIER = re.compile(r"(?:\s+(?:no|number|nr|id|is)\b)?[\s.:=#]{0,4}[\"']?([A-Za-z0-9](?:[A-Za-z0-9_-]{4,62})[A-Za-z0-9])(?![A-Za-z0-9_-])", re.I)
 _KIND = {"@": "@", "+": "+", "://": "s", "www.": "w"}
 
@@ -117,11 +122,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                     continue
             elif at and text[at - 1] in WORD:
                 continue
-            m = ADDRESS.match(text, last + 1 if anchor == "s" else at)
-            if m and "." in (host := m[1].strip(".")) and ".." not in host:
-                end = m.start() + len(m[0].rstrip(".,;:!?)'"))
-                found["address"].append((begin, end))
-                done["address"] = m.end()
+            if m := ADDRESS[anchor].match(text, last + 1 if anchor == "s" else at):
+                done["address"] = m.end(1)  # so that every part of a text is read once
+                if "." in (host := m[1].strip(".")) and ".." not in host:
+                    end = m.start() + len(m[0].rstrip(".,;:!?)'"))
+                    found["address"].append((begin, end))
+                    done["address"] = m.end()
     return [(k, a, b) for k in KINDS for a, b in found[k]]
 
 
@@ -135,7 +141,7 @@ def redact(text: str, own: list[tuple[str, int, int]] | None = None) -> str:
     return "".join([*out, text[at:]])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_address long, n_account long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_address long, n_account long, n_spans long"
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +154,8 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n[kind] += 1
             said = [f"{k}:{s}:{e}" for k, s, e in own]
             base = ",".join(said[: sum(n[k] for k in BASE)])
-            rows.append((*(n[k] for k in BASE), hashlib.sha256(base.encode()).hexdigest(), ",".join(said), n["address"], n["account"]))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            rows.append((*(n[k] for k in BASE), hashlib.sha256(base.encode()).hexdigest(), ",".join(said), n["address"], n["account"], len(own)))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
 

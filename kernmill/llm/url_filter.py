@@ -12,18 +12,19 @@ Verdict: that of the longest host rule that fits; else allow if an exception
 pattern fits, block if a pattern does, and allow.
 
 Defined results: a null url, or one without `://`, has an empty host and path,
-fits no rule and is allowed; repeated rows each get their row.
+fits no rule and is allowed; repeated rows and null page_ids each get their row.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, texts
@@ -40,20 +41,30 @@ HOST_RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: The list that the query uses, beside this module: a pattern a line, `@@` before those that allow.
+LIST = os.path.join(os.path.dirname(os.path.abspath(__file__)), "url_patterns.txt")
+#: Rules are a parameter and are broadcast, up to so many characters of patterns.
+MOST_CHARS = 32 << 20
+
+
+def parse_list(lines: Iterable[str]) -> list[tuple[str, str]]:
+    """(verdict, pattern) of the lines of a filter list; empty lines and comments (`!`) are passed over."""
+    kept = (x.strip() for x in lines)
+    return [("allow", x[2:]) if x.startswith("@@") else ("block", x) for x in kept if x and not x.startswith("!")]
+
+
+def read_list(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """parse_list() of a list in any store that Spark reads."""
+    return parse_list(r["value"] for r in spark.read.text(path).collect())
+
+
+def own_list() -> list[tuple[str, str]]:
+    with open(LIST, encoding="utf-8") as f:
+        return parse_list(f)
+
+
 #: (verdict, pattern); a block pattern gives way to an allow pattern.
-PATTERNS = (
-    ("block", "||spam-*^"),
-    ("block", "||casino-*^"),
-    ("block", "||free-bets.*^"),
-    ("block", "||adult-*^"),
-    ("block", "||warez.*^"),
-    ("block", "||*-phishing.*^"),
-    ("block", "/cgi-bin/*.exe^"),
-    ("block", "/ads/banner^"),
-    ("block", "^popunder="),
-    ("block", "|ftp://*/incoming/"),
-    ("allow", "||*^responsible-gaming^"),
-)
+PATTERNS = tuple(own_list())
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -80,7 +91,8 @@ class Rule:
 
 
 def host_rule(verdict: str, host: str, path: str) -> Rule:
-    tokens = TOKEN.findall(host) + [t for t in _sure(path, open_end=True)]
+    # tokens are looked up by those of the url in lower case, a path is compared as it is
+    tokens = TOKEN.findall(host) + _sure(path.translate(ASCII_LOWER), open_end=True)
     return Rule(host + path, verdict, rf"\A(?:[^/?#]*\.)?{re.escape(host)}{re.escape(path)}", tuple(tokens), True)
 
 
@@ -168,6 +180,8 @@ def token_counts(urls: DataFrame, tokens: set[str]) -> dict[str, int]:
 def judged(pages: DataFrame, all_rules: list[Rule] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, pattern."""
     all_rules = rules() if all_rules is None else all_rules
+    if sum(len(r.name) + len(r.regex) for r in all_rules) > MOST_CHARS:
+        raise ValueError(f"rules of more than {MOST_CHARS} characters")
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
     index = pages.sparkSession.sparkContext.broadcast((all_rules, token_counts(urls.select("url"), {t for r in all_rules for t in r.tokens})))
 

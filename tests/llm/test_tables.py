@@ -259,6 +259,20 @@ def test_url_rules_equal_sql(spark):
         same(got, sql(url_filter.oracle(), pages=pages.select("page_id", "url").toPandas().astype({"url": "string"})))
 
 
+def test_rules_with_capitals_and_of_a_file(spark, tmp_path):
+    path = tmp_path / "list.txt"
+    path.write_text("! comment\n\n||bad-*^\n@@||bad-but-fine.*^\n")
+    patterns = url_filter.read_list(spark, str(path))
+    assert patterns == [("block", "||bad-*^"), ("allow", "||bad-but-fine.*^")]
+    hosts = [("block", "x.com", "/En/")]
+    index = url_filter.Index(url_filter.rules(hosts, patterns), {"x": 5, "com": 1000})
+    verdicts = [index.judge(u)[3] for u in ("http://x.com/En/a", "http://x.com/en/a", "http://bad-a.org", "http://bad-but-fine.org", "http://worse.org")]
+    assert verdicts == ["block", "allow", "block", "allow", "allow"]
+    pages = spark.createDataFrame([(None, "http://x.com/En/"), (1, None)], "page_id long, url string")
+    got = url_filter.judged(pages, url_filter.rules(hosts, patterns)).select("page_id", "verdict").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "allow"), (None, "block")]
+
+
 def test_candidates_come_by_the_rarest_token():
     rules = url_filter.rules()
     index = url_filter.Index(rules, {"com": 100, "example": 10, "en": 50, "www": 5, "net": 90, "es": 3, "fr": 4})

@@ -64,6 +64,29 @@ def test_media_reads_ac_coefficients():
     assert media.thumbnails(media.parse(stream))[0].tolist() == [[128 + 10, 128 + 4]]
 
 
+@pytest.mark.parametrize("size", [1, 500, 192 * 40, 192 * 300])
+def test_media_equals_a_foreign_decoder(spark, size):
+    """The JVM's own JPEG reader sees each block flat, in the payload's bytes."""
+    payload = media.pad(random.Random(size).randbytes(size))
+    image = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.ByteArrayInputStream(media.encode(payload)))
+    rows, columns = len(payload) // media.ROW, media.ROW
+    assert (image.getWidth(), image.getHeight()) == (8 * columns, 8 * rows)
+    raster = image.getRaster()
+    for x, y in ((0, 0), (7, 7), (3, 5)):
+        got = [raster.getSample(8 * c + x, 8 * r + y, 0) for r in range(min(rows, 4)) for c in range(columns)]
+        assert got == list(payload[: len(got)])
+
+
+def test_media_feature_is_a_grid():
+    """Cell by cell, for thumbnails of any shape."""
+    for shape in ((1, 192), (3, 192), (8, 8), (41, 192)):
+        x = np.random.default_rng(shape[0]).integers(0, 256, shape).astype(np.uint8)
+        cell = lambda i, n: slice(i * n // 8, max((i + 1) * n // 8, i * n // 8 + 1))
+        means = [x[cell(i, shape[0]), cell(j, shape[1])].mean() for i in range(8) for j in range(8)]
+        bits = "".join("1" if m > np.mean(means) else "0" for m in means)
+        assert media.feature(x) == f"{shape[1]}x{shape[0]}:{int(bits, 2):016x}"
+
+
 def test_media_rejects_others():
     good = media.encode(media.pad(b"abc"))
     for bad in (b"", b"GIF89a", good[:-4], good.replace(b"\xff\xc0", b"\xff\xc2")):
@@ -200,6 +223,18 @@ def test_added_spans_and_redaction():
     assert pii.redact("clean words") == "clean words"
 
 
+@pytest.mark.parametrize("unit", ["www.", "www.a,", "http://", "a@", "+1 ", "account ", "1.1.1.", "://a.", "a.www.b..", "token\t"])
+def test_personal_data_in_linear_time(unit):
+    import time
+
+    spent = []
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        pii.spans(unit * n)
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 8 * 4 * max(spent[0], 0.02)
+
+
 def test_pii_query(edge, none, clashing, sample):
     got = {r["doc_id"]: r for r in pii.find(edge).collect()}
     r = got[9]

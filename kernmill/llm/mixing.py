@@ -19,7 +19,8 @@ and the counts of the buckets before it, so a source with a third of all rows is
 spread over all tasks.  Nothing is dropped or repeated.
 
 Defined results: a null source and sources without a quota form one stream,
-`other`; repeated rows each get a place; an empty table gives an empty result;
+`other`; rows without an id are ordered by what they hold; repeated rows each get a
+place; an empty table gives an empty result;
 columns of the input named slot, place, stream or block give way to the result's.
 """
 
@@ -79,13 +80,15 @@ def mixed(docs: DataFrame, quotas: dict[str, int] | None = None, other: int = OT
     quotas = QUOTAS if quotas is None else quotas
     names, amounts = list(quotas), [other, *quotas.values()]
     stream = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col("source")), F.lit(0)).cast("int") if names else F.lit(0)
-    order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
     kept = [c for c in docs.columns if c not in ("slot", "place", "stream", "block")]
-    keyed = docs.select("doc_id", stream.alias("stream"), order.alias("_h"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    # rows without an id are dealt by what they hold
+    order = F.when(F.col("doc_id").isNotNull(), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(seed)))).otherwise(F.md5(F.concat_ws(":", F.to_json(row, {"ignoreNullFields": "false"}), F.lit(seed))))
+    keyed = docs.select("doc_id", stream.alias("stream"), order.alias("_h"), row.alias("_row"))
     keyed = keyed.withColumn("_bucket", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     per = keyed.groupBy("stream", "_bucket").agg(F.count("*").alias("n"))  # BUCKETS rows a stream at most
     before = per.select("stream", "_bucket", (F.sum("n").over(Window.partitionBy("stream").orderBy("_bucket")) - F.col("n")).alias("_before"))
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("stream", "_bucket").orderBy("_h", "doc_id")))
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("stream", "_bucket").orderBy("_h", "doc_id", F.xxhash64("_row"))))
     # dealt by the join's keys already, so the counts come to the rows, not the rows to the counts
     ranked = ranked.join(before, ["stream", "_bucket"]).withColumn("_r", F.col("_before") + F.col("_r") - 1)
     own = F.element_at(F.array(*[F.lit(x).cast("long") for x in amounts]), F.col("stream") + 1)
@@ -111,7 +114,7 @@ def oracle(quotas: dict[str, int] | None = None, other: int = OTHER, block: int
 with recursive keyed as (
     select doc_id, source, coalesce(list_position([{names}], source), 0)::int as stream,
         row_number() over (partition by coalesce(list_position([{names}], source), 0)
-            order by md5(concat_ws(':', coalesce(doc_id::varchar, ''), '{seed}')), doc_id nulls first) - 1 as r from {docs}),
+            order by md5(concat_ws(':', coalesce(doc_id::varchar, to_json({{'doc_id': doc_id, 'source': source}})::varchar), '{seed}')), doc_id nulls first) - 1 as r from {docs}),
 have as (select list(h order by s) as have, {q} as q from (
     select s, coalesce((n + {block - 1}) // {block}, 0)::bigint as h from range({n}) t(s)
         left join (select stream, count(*) as n from keyed group by 1) on stream = s)),

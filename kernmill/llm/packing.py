@@ -11,9 +11,10 @@ A bin is compatible if the piece's duplicate cluster is not in it, and no source
 is in it that conflicts with the piece's.  Pairs of sources that conflict are a
 parameter (a source may conflict with itself).
 
-Blocks bound a task: each holds so many documents by a hash of the id, or by a
-column that the caller gives, and is packed by itself.  Texts are not moved: only
-lengths, clusters and sources are.
+Blocks bound a task: the caller gives their number, or a column that deals the
+documents, and each is packed by itself.  Repeated rows are counted first and told
+apart by a copy's number, so that they too are dealt over all blocks.  Texts are not
+moved: only lengths, clusters and sources are.
 
 Defined results: a null or empty text is one piece of length zero, which goes to
 the tightest compatible bin; ties go by doc_id; repeated rows are copies of each
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 16384
+#: Documents of a block, about: what one task packs at a time.
 BLOCK_DOCS = 2048
 #: Sources that may not share a bin.
 CONFLICTS = (("src1", "src2"), ("src3", "src4"), ("src0", "src5"))
@@ -96,15 +98,25 @@ def pack_block(doc_ids: list, lengths: list[int], cluster: list, source: list, c
     return rows
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, conflicts: Iterable[tuple[str, str]] = CONFLICTS, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """items: doc_id, length, cluster, source and, if the caller deals them,
-    block (long). Returns a row for each piece; a bin's number holds its block's
-    in the upper bits."""
+#: Copies of a row that one array holds.
+COPIES = 1 << 16
+
+
+def dealt(items: DataFrame, blocks: int) -> DataFrame:
+    """items with block. Repeated rows are counted, map-side first, and each copy is dealt by its number."""
+    each = items.groupBy("doc_id", "length", "cluster", "source").agg(F.count("*").alias("_n"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}"))).alias("_g"))
+    each = each.select("*", F.explode(F.sequence(F.col("_g") * COPIES, F.least(F.col("_n"), (F.col("_g") + 1) * COPIES) - 1)).alias("_copy"))
+    return each.select("doc_id", "length", "cluster", "source", F.pmod(F.xxhash64("doc_id", "cluster", "_copy", F.lit("block")), F.lit(blocks)).alias("block"))
+
+
+def pack(items: DataFrame, blocks: int | None = None, capacity: int = CAPACITY, conflicts: Iterable[tuple[str, str]] = CONFLICTS) -> DataFrame:
+    """items: doc_id, length, cluster, source and, unless a number of blocks is
+    given, block (long). Returns a row for each piece; a bin's number holds its
+    block's in the upper bits."""
     conflicts = tuple(conflicts)
-    if "block" not in items.columns:
-        blocks = max(1, -(-items.count() // block_docs))
-        items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "cluster", F.lit("block")), F.lit(blocks)))
-        # copies are dealt by their ids, so a cluster of any size is spread over all blocks
+    if blocks is not None:
+        items = dealt(items, blocks)
 
     def block(key: tuple, part: pa.Table) -> pa.Table:
         columns = [part.column(c).to_pylist() for c in ("doc_id", "length", "cluster", "source")]
@@ -118,6 +130,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, conflicts: Iterable[tuple[s
     return items.select("block", "doc_id", "length", "cluster", "source").groupBy("block").applyInArrow(block, PACKED)
 
 
+def blocks_of(items: DataFrame, block_docs: int = BLOCK_DOCS) -> int:
+    """So many blocks that each holds about block_docs documents."""
+    return max(1, -(-items.count() // block_docs))
+
+
 def measured(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, source, length (UTF-8 bytes) and cluster of documents, and the columns in more."""
     length = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")

@@ -18,7 +18,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.measured(table(spark, sf_dir, "documents")))
+    items = packing.measured(table(spark, sf_dir, "documents"))
+    return packing.pack(items, blocks=packing.blocks_of(items))
 
 
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

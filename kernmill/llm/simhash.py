@@ -12,8 +12,9 @@ differing bits.
 Lists hold distinct fingerprints, so exact copies cost one entry.  Within a list
 only a spanning star of each linked set is kept: short lists are compared by
 offsets, all at once; a long one is flooded, each reached fingerprint being
-compared with those not yet reached, which is linear for a tight group.  Links
-meet in connected components by alternating large-star and small-star steps,
+compared with those not yet reached, which is linear for a tight group; one of
+strangers is split by a fourth position, which a pair that reaches the minimum
+shares, too.  Links meet in connected components by alternating large-star and small-star steps,
 each written to the shared checkpoint folder.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
@@ -36,8 +37,8 @@ from .common import chunks, cut, texts, with_text
 
 BITS = 4
 SHINGLE = 4
-#: Lists of up to so many fingerprints are compared by offsets.
-SHORT = 48
+#: Lists of up to so many fingerprints are compared by offsets; longer ones than LONG are split.
+SHORT, LONG = 48, 1024
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -158,9 +159,35 @@ def flood(list_: np.ndarray, forest: Forest, bits: int = BITS) -> None:
                 front += list(reached)
 
 
+def split(list_: np.ndarray, positions: list[int], forest: Forest, bits: int = BITS) -> None:
+    """As flood(), for a long list of a triple: tight groups are taken out by floods
+    from every LONG-th, and the rest meets again by each further position, of which
+    what is linked shares one at least."""
+    left = list_
+    for seed in list_[::LONG]:
+        near = linked(left, np.full(1, seed), bits)
+        if near.sum() * 64 < left.size:
+            continue  # a stranger stays, and so do its links
+        front, left = list(left[near]), left[~near]
+        for y in front:
+            forest.join(int(seed), int(y))
+        while front and left.size:
+            near = linked(left, np.full(1, front.pop()), bits)
+            if near.any():
+                reached, left = left[near], left[~near]
+                for y in reached.tolist():
+                    forest.join(int(seed), y)
+                front += list(reached)
+    for p in positions:
+        byte = (left >> np.uint64(8 * p)) & np.uint64(255)
+        order = np.argsort(byte, kind="stable")
+        for part in np.split(left[order], np.flatnonzero(np.diff(byte[order])) + 1):
+            flood(part, forest, bits)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: the links of each list as stars."""
-    kept_fp, kept_key = np.empty(0, np.int64), np.empty(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last list, which may go on in the next batch
 
     def work(fp: np.ndarray, key: np.ndarray) -> pa.RecordBatch | None:
         forest = Forest()
@@ -168,7 +195,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate(([0], edges))
         sizes = np.diff(np.append(starts, key.size))
         for k in np.flatnonzero(sizes > SHORT).tolist():
-            flood(fp[starts[k] : starts[k] + sizes[k]].view(np.uint64), forest)
+            own = fp[starts[k] : starts[k] + sizes[k]].view(np.uint64)
+            if len(own) > LONG:
+                triple = TRIPLES[int(key[starts[k]]) >> 24]
+                split(own, [q for q in range(8) if q not in triple], forest)
+            else:
+                flood(own, forest)
         short = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
         f, q = fp[short].view(np.uint64), key[short]
         for k in range(1, SHORT):
@@ -183,15 +215,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
         return None
 
+    def flush() -> pa.RecordBatch | None:
+        out = work(np.concatenate([f for f, _ in held]), np.concatenate([k for _, k in held])) if held else None
+        held.clear()
+        return out
+
     for b in batches:
-        fp, key = np.concatenate((kept_fp, b.column(0).to_numpy())), np.concatenate((kept_key, b.column(1).to_numpy()))
+        fp, key = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not key.size:
             continue
-        last = int(np.searchsorted(key, key[-1]))  # the last list may go on in the next batch
-        kept_fp, kept_key = fp[last:], key[last:]
-        if last and (out := work(fp[:last], key[:last])):
-            yield out
-    if kept_key.size and (out := work(kept_fp, kept_key)):
+        last = int(np.searchsorted(key, key[-1]))
+        if last or (held and held[-1][1][-1] != key[0]):
+            held.append((fp[:last], key[:last])) if last else None
+            if out := flush():
+                yield out
+        held.append((fp[last:], key[last:]))
+    if out := flush():
         yield out
 
 
@@ -235,16 +274,26 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+#: A fingerprint of more than a HOT-th of all documents is hot; there are fewer than HOT.
+HOT = 1024
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id
     that chains of links reach."""
     own = cut(fingerprinted(docs))
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     stars = components(links(first))
     labelled = first.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = _spread(labelled, least, "root", "fp").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # the documents of a hot fingerprint are spread, its one row goes to each part
+    total = own.count()
+    hot = [r["fp"] for r in first.where(F.col("n") * HOT > total).select("fp").collect()]
+    is_hot = F.col("fp").isin(hot) if hot else F.lit(False)
+    there = by_fp.select("fp", "component_id", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_s"))
+    here = own.withColumn("_s", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    return here.join(there, ["fp", "_s"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

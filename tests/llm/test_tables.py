@@ -63,6 +63,14 @@ def test_mix_stays_within_a_block(spark):
     assert by_slot.stream.tolist()[:10] == earliest_deadline_first([3, 5, 2])
 
 
+def test_mix_spreads_rows_without_an_id(spark):
+    docs = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").cast("string").alias("text"))
+    out = mixing.mixed(docs, {"a": 5}).toPandas()
+    assert out.text.nunique() == 9000 and not out.duplicated(["slot", "place"]).any()
+    plan = mixing.mixed(docs, {"a": 5})
+    assert plan.exceptAll(mixing.mixed(docs.repartition(7), {"a": 5})).count() == 0
+
+
 def test_mix_keeps_columns_and_repeats(clashing):
     out = mixing.mixed(clashing)
     assert out.count() == len(EDGE) and "_row" in out.columns and out.select("slot", "place").distinct().count() == len(EDGE)
@@ -95,7 +103,7 @@ def test_best_fit_equals_a_full_search():
 def test_packing_keeps_its_rules(spark, edge, none, clashing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     items = packing.measured(docs)
-    out = packing.pack(items, block_docs=300).join(items.select("doc_id", "source", "cluster"), "doc_id").toPandas()
+    out = packing.pack(items, blocks=packing.blocks_of(items, 300)).join(items.select("doc_id", "source", "cluster"), "doc_id").toPandas()
     length = items.toPandas().set_index("doc_id").length
     assert (out.groupby("doc_id").length.sum() == length.reindex(out.doc_id.unique()).sort_index()).all()
     against = {frozenset(p) for p in packing.CONFLICTS}
@@ -103,13 +111,42 @@ def test_packing_keeps_its_rules(spark, edge, none, clashing):
         assert b.length.sum() <= packing.CAPACITY
         assert b.cluster.is_unique
         assert not any(frozenset(p) in against for p in combinations(set(b.source), 2))
-    assert packing.pack(packing.measured(none)).count() == 0
+    assert packing.pack(packing.measured(none), blocks=packing.blocks_of(packing.measured(none))).count() == 0
     for odd in (edge, clashing):
-        rows = packing.pack(packing.measured(odd)).toPandas()
+        rows = packing.pack(packing.measured(odd), blocks=1).toPandas()
         assert len(rows) == len(EDGE) - 1 + -(-200_000 * 6 // 5 // packing.CAPACITY)
         assert rows[rows.doc_id == 1].bin.nunique() == 2  # copies keep apart
 
 
+def test_packed_blocks_equal_a_full_search(spark):
+    """The bins of whole blocks, against a plain best fit over each block's rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = packing.dealt(packing.measured(docs), 3).toPandas()
+    out = packing.pack(packing.measured(docs), blocks=3).toPandas().set_index(["doc_id", "piece"])
+    names = sorted({s for pair in packing.CONFLICTS for s in pair})
+    bit = {s: 1 << k for k, s in enumerate(names)}
+    against = {s: sum(bit[b if a == s else a] for a, b in packing.CONFLICTS if s in (a, b)) for s in names}
+    for block, part in items.groupby("block"):
+        shared = {c: 1 << k for k, c in enumerate(part.cluster[part.cluster.duplicated()].unique())}
+        rows = [(n % packing.CAPACITY, i, n // packing.CAPACITY, c, s) for i, n, c, s in zip(part.doc_id, part.length, part.cluster, part.source, strict=True) if n % packing.CAPACITY or not n]
+        rows.sort(key=lambda r: (-r[0], r[1]))
+        want = naive_best_fit([(n, shared.get(c, 0), bit.get(s, 0), against.get(s, 0)) for n, _, _, c, s in rows], packing.CAPACITY)
+        full = int((part.length // packing.CAPACITY).sum())
+        got = [out.loc[(i, p)].bin - (block << 32) - full for _, i, p, _, _ in rows]
+        assert got == want
+
+
+def test_packing_deals_many_copies(spark):
+    """A third of all rows are one row."""
+    rows = spark.range(60_000).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("x").alias("source"), F.lit("some text").alias("text"))
+    items = packing.measured(rows.withColumn("text", F.concat("text", F.col("doc_id").cast("string"))))
+    blocks = packing.blocks_of(items)
+    sizes = packing.dealt(items, blocks).groupBy("block").count().toPandas()["count"]
+    assert sizes.sum() == 60_000 and sizes.max() < 1.2 * packing.BLOCK_DOCS
+    out = packing.pack(items, blocks=blocks).toPandas()
+    assert len(out) == 60_000 and not out[out.doc_id == 7].bin.duplicated().any()
+
+
 def test_packing_of_one_hot_cluster():
     rows = packing.pack_block(list(range(500)), [10] * 500, [7] * 400 + list(range(1000, 1100)), ["s"] * 500, 100, ())
     bins = defaultdict(list)
@@ -168,8 +205,9 @@ def test_links_lose_none(spark, monkeypatch):
     fps = sorted(fps)
     want = slow_components(fps, fps)
     df = spark.createDataFrame(pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64)}))
-    for short in (48, 3):
+    for short, long in ((48, 1024), (3, 1024), (3, 5)):
         monkeypatch.setattr(simhash, "SHORT", short)
+        monkeypatch.setattr(simhash, "LONG", long)
         stars = {r["a"]: r["b"] for r in simhash.components(simhash.links(df)).collect()}
         groups = defaultdict(set)
         for f in fps:
@@ -181,6 +219,34 @@ def test_links_lose_none(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_long_lists_lose_no_link(monkeypatch):
+    """Lists of one triple, of strangers, chains and a tight group, against all pairs."""
+    monkeypatch.setattr(simhash, "LONG", 32)
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        fps = {int(x) & ~0xFFFFFF for x in rng.integers(0, 2**63, 300)}
+        for x in list(fps)[:60]:
+            for b in rng.choice(range(24, 64), 3, replace=False).tolist():
+                fps.add(x := x ^ (1 << b))
+        centre = int(rng.integers(0, 2**63)) & ~0xFFFFFF
+        fps |= {centre ^ (1 << a) ^ (1 << b) for a, b in combinations(range(24, 40), 2)}
+        fps = sorted(fps)
+        forest = simhash.Forest()
+        simhash.split(rng.permutation(np.array(fps, np.uint64)), [3, 4, 5, 6, 7], forest)
+        want = slow_components(fps, fps)
+        assert [forest.root(f) for f in fps] == want
+
+
+def test_strangers_in_one_list_take_less_than_all_pairs():
+    import time
+
+    rng = np.random.default_rng(9)
+    strangers = np.unique(rng.integers(0, 2**63, 50_000).astype(np.uint64) & ~np.uint64(0xFFFFFF))
+    began = time.perf_counter()
+    simhash.split(strangers, [3, 4, 5, 6, 7], simhash.Forest())
+    assert time.perf_counter() - began < 60
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(1001, 1400)]
     got = {r["a"]: r["b"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

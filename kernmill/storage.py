@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where a session has none (tests,
-    local mode) a folder under /tmp."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/kernmill"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
+    """The session's spark.checkpoint.dir, or else the folder that was given to
+    setCheckpointDir. In local mode alone, with neither, a folder under /tmp."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if at is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "/tmp/checkpoints/kernmill"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(at)
     return at
 
 
@@ -26,3 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     recomputation of what stands before, and rows keep their partitions."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The same rows from a table in the shared folder, and its path, for forget().
+    For iterations, whose earlier tables are of no use."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written()."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -42,3 +42,40 @@ def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["qid", "density"] and out.count() == 500
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_subpackage_is_optional(tmp_path):
+    """Without the llm folders and the pipeline the entry module imports, and offers the core alone."""
+    import shutil
+    import subprocess
+    import sys
+
+    import kernmill
+
+    root = os.path.dirname(os.path.dirname(kernmill.__file__))
+    shutil.copytree(f"{root}/kernmill", tmp_path / "kernmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL))]
+
+
+def test_shared_folder(spark, monkeypatch):
+    """The setting comes first, then the context's folder; outside local mode one of them is needed."""
+    from types import SimpleNamespace
+
+    from kernmill import storage
+
+    def session(conf, given, master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: given, setCheckpointDir=lambda at: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: conf or other), sparkContext=context)
+
+    assert storage.shared_dir(session("hdfs://a/b", "hdfs://c", "yarn")) == "hdfs://a/b"
+    assert storage.shared_dir(session(None, "hdfs://c", "yarn")) == "hdfs://c"
+    assert storage.shared_dir(session(None, None, "local[4]")).startswith("/tmp/")
+    with pytest.raises(ValueError):
+        storage.shared_dir(session(None, None, "spark://host:7077"))
+    df, path = storage.written(spark.range(5), "test")
+    assert df.count() == 5
+    storage.forget(spark, path)
+    assert not os.path.exists(path)

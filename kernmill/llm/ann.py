@@ -10,8 +10,9 @@ until TARGET of these are found.
 
 Equal vectors are one entry that keeps its smallest ids, one more than k, which
 is all that a list of k can need; a vector that many rows share thus costs one
-candidate and one query.  A leaf is cut into chunks of bounded size, and a task
-holds one chunk while the queries that visit it stream past.
+candidate and one query.  Neighbouring leaves share a part up to CHUNK entries, and a
+larger leaf is cut into several; a query goes once to each part that holds a leaf it
+visits, and neighbouring parts to one task, which sends its best k of each query.
 
 Defined results: vectors that are null, zero, of another size than most, or that
 hold null or non-finite components take no part.  Rows that share the query's id
@@ -26,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
 
-SAMPLE = 65536
+#: Distinct vectors that the tree is fitted on, and their bytes as doubles.
+SAMPLE, SAMPLE_BYTES = 65536, 256 << 20
 CALIBRATION = 256
 TARGET = 0.97
 LEAF = 512
@@ -151,22 +153,54 @@ def valid_vectors(rows: DataFrame, id_: str, vector: str) -> DataFrame:
 
 def entries(vectors: DataFrame, k: int, every: int) -> DataFrame:
     """(vec, ids, asked): distinct vectors with their k + 1 smallest ids, and
-    whether a query has the vector. A batch's rows are merged before the shuffle."""
+    whether a query has the vector. A task's rows are merged before the shuffle."""
+
+    def flush(own: dict[bytes, list]) -> pa.RecordBatch:
+        ids, asked = [sorted(x[0]) for x in own.values()], [x[1] for x in own.values()]
+        return pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array(asked, pa.bool_())], ["vec", "ids", "asked"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[bytes, list] = {}
         for b in batches:
-            own: dict[bytes, list[int]] = {}
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own.setdefault(v, []).append(i)
-            asked = [any(i % every == 0 for i in ids) for ids in own.values()]
-            ids = [sorted(set(x))[: k + 1] for x in own.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array(asked, pa.bool_())], ["vec", "ids", "asked"])
+                x = own.setdefault(v, [set(), False])
+                x[0].add(i)
+                x[1] |= i % every == 0
+                if len(x[0]) > 4 * (k + 1):
+                    x[0] = set(sorted(x[0])[: k + 1])
+            if len(own) > CHUNK:
+                yield flush(own)
+                own = {}
+        if own:
+            yield flush(own)
 
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
     return vectors.mapInArrow(merge, "vec binary, ids array<long>, asked boolean").groupBy("vec").agg(ids.alias("ids"), F.max("asked").alias("asked"))
 
 
-_MEET = "key long, best array<struct<n: double, id: long>>"
+def fitted(found: DataFrame, kind: str, k: int, target: float) -> Tree:
+    """The tree over a sample of the entries, by a hash of the vectors."""
+    total, width = found.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
+    most = max(2, min(SAMPLE, SAMPLE_BYTES // (2 * (width or 1))))  # stored floats are half of doubles at least
+    share = min(1.0, 1.2 * most / max(total, 1) + 1e-3)  # so that no task sends more than its part of the sample
+    some = found.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else found
+    sample = some.orderBy(F.xxhash64("vec"), "vec").limit(most).select("vec").toArrow()
+    x = _matrix(sample.column("vec").combine_chunks() if sample.num_rows else pa.array([], pa.binary()), kind)
+    tree = Tree(x, max(2, LEAF * len(x) // max(total, 1)))
+    tree.calibrate(x, k, target)
+    return tree
+
+
+def parts_of(sizes: dict[int, int], chunk: int = CHUNK) -> dict[int, tuple[int, int]]:
+    """Leaf -> (first part, number of parts): leaves in their order share a part up to a chunk; larger ones have their own."""
+    out, part, room = {}, -1, 0
+    for leaf in sorted(sizes):
+        n = -(-sizes[leaf] // chunk)
+        if n > 1 or sizes[leaf] > room:
+            part, room = part + 1, chunk
+        out[leaf] = (part, n)
+        part, room = part + n - 1, 0 if n > 1 else room - sizes[leaf]
+    return out
 
 
 def search(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, target: float = TARGET) -> DataFrame:
@@ -174,12 +208,7 @@ def search(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: i
     spark, kind = rows.sparkSession, stored_kind(rows, vector)
     vectors = valid_vectors(rows, id_, vector)
     found = cut(entries(vectors, k, every))
-    total = found.count()
-    sample = found.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").toArrow()
-    x = _matrix(sample.column("vec").combine_chunks() if sample.num_rows else pa.array([], pa.binary()), kind)
-    tree = Tree(x, max(2, LEAF * len(x) // max(total, 1)))
-    tree.calibrate(x, k, target)
-    shared = spark.sparkContext.broadcast(tree)  # centres of at most SAMPLE vectors
+    shared = spark.sparkContext.broadcast(fitted(found, kind, k, target))  # centres of at most SAMPLE vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,63 +217,99 @@ def search(rows: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: i
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column(1), b.column(0)], ["leaf", "ids", "vec"])
 
     placed = found.select("vec", "ids").mapInArrow(assign, "leaf long, ids array<long>, vec binary")
-    sizes = {r["leaf"]: -(-r["count"] // CHUNK) for r in placed.groupBy("leaf").count().collect()}  # a row a leaf
-    parts = spark.sparkContext.broadcast(sizes)
+    parts = parts_of({r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()})  # a row a leaf
+    where = spark.sparkContext.broadcast(parts)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    beside = max(1, (max((p + m for p, m in parts.values()), default=0)) // (4 * n))  # parts that go to one task together
+    schema = "task long, part long, tag int, key long, ids array<long>, leaves array<long>, vec binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rowed(part: list[int], tag: int, key: list[int], ids: pa.Array, leaves: list[list[int]], vec: pa.Array) -> pa.RecordBatch:
+        at = np.array(part, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(at // beside), pa.array(at), pa.array(np.full(len(at), tag, np.int32)), pa.array(key, pa.int64()), ids, pa.array(leaves, pa.list_(pa.int64())), vec], names)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = b.column(0).to_pylist()
-            key = [ids[0] for ids in b.column(1).to_pylist()]
-            group = [(n << 24) | (hash(i) % parts.value[n]) for n, i in zip(leaf, key, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array([0] * len(group), pa.int32()), pa.array(key, pa.int64()), b.column(1), b.column(2)], ["part", "tag", "key", "ids", "vec"])
+            leaf, key = b.column(0).to_pylist(), [ids[0] for ids in b.column(1).to_pylist()]
+            at = [where.value[x] for x in leaf]
+            yield rowed([p + hash(i) % m for (p, m), i in zip(at, key, strict=True)], 0, key, b.column(1), [[x] for x in leaf], b.column(2))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vec, keys = b.column(0).to_pylist(), [ids[0] for ids in b.column(1).to_pylist()]
-            for v, key in zip(vec, keys, strict=True):
-                group = [(n << 24) | c for n in shared.value.walk(np.frombuffer(v, kind).astype(np.float64), shared.value.visits) for c in range(parts.value.get(n, 0))]
-                m = len(group)
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array([1] * m, pa.int32()), pa.array([key] * m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([v] * m, pa.binary())], ["part", "tag", "key", "ids", "vec"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                b = batch.slice(start, 256)
+                row, part, leaves = [], [], []
+                for i, v in enumerate(_matrix(b.column(0), kind)):
+                    own: dict[int, list[int]] = {}
+                    for leaf in shared.value.walk(v, shared.value.visits):
+                        first, m = where.value.get(leaf, (0, 0))
+                        for p in range(first, first + m):
+                            own.setdefault(p, []).append(leaf)
+                    row += [i] * len(own)
+                    part += own
+                    leaves += own.values()
+                keys = [ids[0] for ids in b.column(1).to_pylist()]
+                yield rowed(part, 1, [keys[i] for i in row], pa.nulls(len(row), pa.list_(pa.int64())), leaves, b.column(0).take(pa.array(row, pa.int64())))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, pieces, data = None, [], [], None
+        held, part = None, None
         for b in batches:
-            parts_, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
+            parts_, tags = b.column(1).to_numpy(), b.column(2).to_numpy()
             edges = np.flatnonzero((np.diff(parts_) != 0) | (np.diff(tags) != 0)) + 1
             for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(tags)], strict=True):
                 if begin == end:
                     continue
                 run = b.slice(begin, end - begin)
                 if parts_[begin] != part:
-                    part, ids, pieces, data = parts_[begin], [], [], None
+                    part, held = parts_[begin], Part()
                 if tags[begin] == 0:
-                    ids += run.column(3).to_pylist()
-                    pieces.append(_matrix(run.column(4), kind))
-                    data = None
-                elif ids:
-                    data = np.concatenate(pieces) if data is None else data
+                    held.add(run.column(4).to_pylist(), run.column(5).flatten().to_numpy(), _matrix(run.column(6), kind))
+                else:
                     for s in range(0, run.num_rows, 256):
                         block = run.slice(s, 256)
-                        yield pa.RecordBatch.from_arrays([block.column(2), pa.array(_nearest(_matrix(block.column(4), kind), data, ids, k + 1), pa.list_(pa.struct([("n", pa.float64()), ("id", pa.int64())])))], ["key", "best"])
+                        yield held.nearest(block.column(3).to_numpy(), _matrix(block.column(6), kind), block.column(5).to_pylist(), k + 1)
 
-    schema = "part long, tag int, key long, ids array<long>, vec binary"
     both = placed.mapInArrow(dealt, schema).unionByName(found.where("asked").select("vec", "ids").mapInArrow(route, schema))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = both.repartition(n, "part").sortWithinPartitions("part", "tag").mapInArrow(meet, _MEET)
-    best = met.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    met = both.repartition(n, "task").sortWithinPartitions("part", "tag").mapInArrow(meet, "key long, n double, id long")
+    # the rank's limit is applied in each task before the shuffle, too
+    top = met.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("n", "id"))).where(F.col("_r") <= k + 1)
+    best = top.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("best"))
     lists = found.where("asked").select("vec", F.element_at("ids", 1).alias("key")).join(best, "key").select("vec", "best")
     asked = vectors.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec").distinct()
     own = asked.join(lists, "vec").select("query_id", F.slice(F.filter("best", lambda s: s["id"] != F.col("query_id")), 1, k).alias("best"))
     return own.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("vec_id"), (-F.col("col.n")).alias("score"))
 
 
-def _nearest(q: np.ndarray, data: np.ndarray, ids: list[list[int]], k: int) -> list[list[dict]]:
-    """For each query the k nearest ids of a chunk, with scores negated."""
-    score = q @ data.T
-    near = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, : k + 1] if score.shape[1] > k + 1 else np.tile(np.arange(score.shape[1]), (len(q), 1))
-    out = []
-    for v, row in zip(q, near, strict=True):
-        exact = -(data[row] * v).sum(axis=1)
-        rows = sorted((n, i) for n, j in zip(exact.tolist(), row.tolist(), strict=True) for i in ids[j])
-        out.append([{"n": n, "id": i} for n, i in rows[:k]])
-    return out
+class Part:
+    """The entries of one part, by leaf."""
+
+    def __init__(self):
+        self.ids, self.leaf, self.pieces, self.data = [], [], [], np.empty((0, 0))
+
+    def add(self, ids: list[list[int]], leaf: np.ndarray, x: np.ndarray) -> None:
+        self.ids += ids
+        self.leaf.append(leaf)
+        self.pieces.append(x)
+
+    def nearest(self, keys: np.ndarray, q: np.ndarray, leaves: list[list[int]], k: int) -> pa.RecordBatch:
+        """key, n and id: of each query the k nearest ids among its leaves, with
+        scores negated. All whose rounded score may reach the k-th are scored anew,
+        one way for all, so that ties go by id."""
+        if self.pieces:
+            self.data, self.leaf, self.pieces = np.concatenate(self.pieces), [np.concatenate(self.leaf)], []
+            self.size = float(np.sqrt((self.data**2).sum(axis=1).max()))
+        out_key, out_n, out_id = [], [], []
+        if self.ids:
+            score, leaf = q @ self.data.T, self.leaf[0]
+            slack = 8 * (q.shape[1] + 2) * np.finfo(float).eps * np.sqrt((q * q).sum(axis=1)) * self.size
+            for i, own in enumerate(leaves):
+                at = np.flatnonzero(np.isin(leaf, own))
+                s = score[i, at]
+                if len(at) > k:
+                    at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - slack[i]]
+                exact = -(self.data[at] * q[i]).sum(axis=1)
+                best = sorted((n, j) for n, r in zip(exact.tolist(), at.tolist(), strict=True) for j in self.ids[r])[:k]
+                out_key += [int(keys[i])] * len(best)
+                out_n += [n for n, _ in best]
+                out_id += [j for _, j in best]
+        return pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_n, pa.float64()), pa.array(out_id, pa.int64())], ["key", "n", "id"])

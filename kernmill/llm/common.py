@@ -10,9 +10,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir, shared_path
+from ..storage import cut, forget, shared_dir, shared_path, written
 
-__all__ = ["chunks", "cut", "quiet_tokenizers", "shared_dir", "shared_path", "table", "texts", "with_text"]
+__all__ = ["chunks", "cut", "forget", "quiet_tokenizers", "shared_dir", "shared_path", "table", "texts", "with_text", "written"]
 
 #: Texts handed to one Python loop at a time hold about so many bytes, or are one text.
 CHUNK_BYTES = 4 << 20

@@ -15,7 +15,7 @@ offsets, all at once; a long one is flooded, each reached fingerprint being
 compared with those not yet reached, which is linear for a tight group; one of
 strangers is split by a fourth position, which a pair that reaches the minimum
 shares, too.  Links meet in connected components by alternating large-star and small-star steps,
-each written to the shared checkpoint folder.
+each written to the shared folder, where the one before it is deleted.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; documents with a null doc_id are fingerprinted and linked, and a
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, texts, with_text
+from .common import chunks, cut, forget, texts, with_text, written
 
 BITS = 4
 SHINGLE = 4
@@ -258,7 +258,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node that is not its component's smallest, and that smallest.
     edges: (a, b) in any order.  Minima are pre-aggregated and joined back by
     salted keys, so a hub's neighbours are spread over tasks."""
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -267,7 +267,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        before, (now, path) = path, written(small, "links")
+        forget(edges.sparkSession, before)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or not state["n"]:
             return now

@@ -303,6 +303,40 @@ def test_neighbours_edge_cases(spark):
     assert alone.count() == 0
 
 
+def test_ties_of_distinct_vectors_go_to_the_smaller_id(spark):
+    """Hundreds of different vectors with one inner product, in several leaves."""
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(np.arange(2, 1001)).tolist()
+    rows = [(i, [1.0, *(rng.integers(-8, 9, 3) / 4).tolist()]) for i in ids] + [(1, [0.5, 0.0, 0.0, 0.25]), (0, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = exact_neighbours([i for i, _ in rows], np.array([v for _, v in rows]), 20, 1000)
+    got = sorted(tuple(r) for r in ann.search(df, every=1000, target=1.0).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == want and [g[2] for g in got[:20]] == list(range(2, 22))
+
+
+def test_neighbours_recall_with_pruning(spark):
+    """Clustered vectors in many leaves, of which a query visits a few."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[rng.integers(0, 60, 20_000)] + 0.3 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    tree = ann.fitted(ann.entries(ann.valid_vectors(df, "vec_id", "embedding"), 20, 200), "<f4", 20, ann.TARGET)
+    assert tree.leaves >= 30 and tree.visits < tree.leaves / 2
+    got = ann.search(df, every=200).toPandas()
+    wide = x.astype(float)
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & set(own.vec_id.tolist()))
+        assert own.sort_values("rank").score.is_monotonic_decreasing and len(own) == 20
+    assert got.query_id.nunique() == 100 and hits / 2000 >= 0.9
+
+
+def test_parts_hold_neighbouring_leaves():
+    assert ann.parts_of({0: 3, 1: 4, 2: 5, 3: 25, 4: 1, 5: 10}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 3), 4: (5, 1), 5: (6, 1)}
+
+
 def test_tree_visits_grow_with_the_target():
     x = np.random.default_rng(0).normal(size=(2000, 16))
     tree = ann.Tree(x, 64)

@@ -271,7 +271,7 @@ def test_zscores(data):
     assert all(abs(r["mean"]) < 1e-9 and abs(r["sd"] - 1) < 1e-9 for r in s)
 
 
-def test_subpackage_is_optional():
+def test_nothing_imports_the_subpackage():
     """Nothing outside the llm subpackage imports it but the entry module, behind its guard."""
     import pathlib
     import re

@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All but the last return the
 columns of documents.
+
+Defined results: other columns of the documents are left out; a null or empty text
+passes the first and the third stage as it is, counts as a near duplicate of every
+other one without words, and is a piece of length zero; rows that share an id are one
+document from the second stage on, rows without an id all stay; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

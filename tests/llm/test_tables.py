@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kernmill.llm import ann, mixing, packing, simhash, url_filter
+from kernmill.llm import ann, mixing, packing, pii, simhash, toxicity, url_filter
 from kernmill.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.conftest import EDGE, SF
 
@@ -412,7 +412,39 @@ def test_pipeline(spark, tmp_path):
             want = slow_components([r["doc_id"] for r in rows], [slow_fingerprint(r["text"]) for r in rows])
             assert ids == set(want)
         elif name == "toxicity":
-            assert ids <= before_ids and len(ids) > 0.8 * len(before_ids)
+            model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            assert ids == {r["doc_id"] for r in docs.collect() if model.scores([r["text"] or ""])[0] < toxicity.THRESHOLD}
+        elif name == "pii":
+            texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert {r["doc_id"]: r["text"] for r in after.collect()} == {i: pii.redact(t) for i, t in texts.items()}
+        elif name == "mixing":
+            order = sql(mixing.oracle(), documents=docs.select("doc_id", "source").toPandas()).sort_values(["slot", "place"]).doc_id.tolist()
+            files = sorted(after.select(F.input_file_name().alias("f")).distinct().toPandas().f)
+            assert [i for f in files for i in pd.read_parquet(f.removeprefix("file://")).doc_id] == order
+        elif name == "packing":
+            assert ids == before_ids
+            place = sql(mixing.oracle(), documents=docs.select("doc_id", "source").toPandas()).set_index("doc_id").slot
+            got = after.toPandas()
+            assert (got.bin // 2**32 == got.doc_id.map(place) // (p.WINDOW_DOCS // mixing.BLOCK)).all()
+            assert got.groupby("bin").length.sum().max() <= packing.CAPACITY
         else:
             assert ids == before_ids
         docs = after
+
+
+@pytest.mark.parametrize("which", ["edge", "none", "clashing"])
+def test_pipeline_of_odd_documents(spark, tmp_path, request, which):
+    """Nulls, empty and long texts, repeats, an empty table, further columns."""
+    import corpus_pipeline as p
+
+    docs = request.getfixturevalue(which)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0 if which == "none" else 50).write.parquet(str(tmp_path / "labels.parquet"))
+    out = p.run(spark, str(tmp_path)).toPandas()
+    if which == "none":
+        assert out.empty
+        return
+    # 2 is a copy of 1, and 4 and 5 have no words, like 3
+    assert set(out.doc_id.dropna()) == {1, 3, 6, 7, 8, 9}
+    assert out.doc_id.isna().sum() == 2 and out[out.doc_id == 6].length.sum() == 240_000
+    assert not out.duplicated(["doc_id", "piece"]).where(out.doc_id.notna(), False).any()

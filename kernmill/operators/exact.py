@@ -11,21 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
 from . import sweep as sweep_module
-from .sweep import matrix, slices, sqdist, sweep
+from .sweep import Work, matrix, slices, sqdist, sweep
 
 
-def kernel_sums(points: DataFrame, queries: DataFrame, kernel: Kernel, weights: Sequence[str] = (), group: str | None = None, radius: float | None = None, bandwidth: str | None = None, self_id: bool = False) -> DataFrame:
-    """qid, wset, sum and n: for each query and weight column (wset 0 alone, of
-    weight one, if none) the sum of weight times kernel over all points.
-
-    group: sums by that column, too.  radius: only points within it.
-    bandwidth: distances are divided by the point's own.  self_id: points whose
-    id is the query's are left out.  Every partition pre-aggregates to a row for
-    each query, so the shuffle is of queries and not of pairs.
-    """
+def summing(points: DataFrame, kernel: Kernel, weights: Sequence[str] = (), group: str | None = None, radius: float | None = None, bandwidth: str | None = None, self_id: bool = False) -> tuple[list[str], str, Work]:
+    """For sweep() or meeting(): the columns of the points that a sum reads, and partial sums with their schema."""
     kernel_block, cut = kernel.block, None if radius is None else radius * radius
     columns = ["id", "x", *weights, *([group] if group else []), *([bandwidth] if bandwidth else [])]
-    own = points.select(*columns)
     at_w, at_g, at_h = 2, 2 + len(weights), len(columns) - 1
     sets = max(1, len(weights))
 
@@ -65,12 +57,26 @@ def kernel_sums(points: DataFrame, queries: DataFrame, kernel: Kernel, weights:
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array([g] * len(q), kind)] if group else [])], names)
 
     schema = "qid long, wset int, sum double, n long"
-    names, keys, kind = ["qid", "wset", "sum", "n"], ["qid", "wset"], None
+    names, kind = ["qid", "wset", "sum", "n"], None
     if group:
-        schema += f", {group} {own.schema[group].dataType.simpleString()}"
-        names, keys = [*names, group], [*keys, group]
-        kind = _arrow_type(own.schema[group].dataType)
-    return sweep(own, queries, work, schema).groupBy(*keys).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+        schema += f", {group} {points.schema[group].dataType.simpleString()}"
+        names = [*names, group]
+        kind = _arrow_type(points.schema[group].dataType)
+    return columns, schema, work
+
+
+def kernel_sums(points: DataFrame, queries: DataFrame, kernel: Kernel, weights: Sequence[str] = (), group: str | None = None, radius: float | None = None, bandwidth: str | None = None, self_id: bool = False) -> DataFrame:
+    """qid, wset, sum and n: for each query and weight column (wset 0 alone, of
+    weight one, if none) the sum of weight times kernel over all points.
+
+    group: sums by that column, too.  radius: only points within it.
+    bandwidth: distances are divided by the point's own.  self_id: points whose
+    id is the query's are left out.  Every partition pre-aggregates to a row for
+    each query, so the shuffle is of queries and not of pairs.
+    """
+    columns, schema, work = summing(points, kernel, weights, group, radius, bandwidth, self_id)
+    keys = ["qid", "wset", *([group] if group else [])]
+    return sweep(points.select(*columns), queries, work, schema).groupBy(*keys).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
 
 
 def _arrow_type(kind):

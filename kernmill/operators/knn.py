@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import sqdist as distance_column
-from .sweep import matrix, slices, sqdist, sweep
+from .sweep import Work, matrix, slices, sqdist, sweep
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, rank (from 1), dist2 and id of the k nearest points; ties to the
-    smaller id. Each partition sends its k best of each query, no more."""
+def nearest(k: int) -> Work:
+    """For sweep() or meeting(): of each query the k best (qid, dist2, id) of a task's points, ties to the smaller id."""
 
     def work(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
@@ -49,7 +48,13 @@ def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best_d.ravel()), pa.array(best_i.ravel())], ["qid", "dist2", "id"])
 
-    return merge(sweep(points.select("id", "x"), queries, work, "qid long, dist2 double, id long"), k)
+    return work
+
+
+def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """qid, rank (from 1), dist2 and id of the k nearest points; ties to the
+    smaller id. Each partition sends its k best of each query, no more."""
+    return merge(sweep(points.select("id", "x"), queries, nearest(k), "qid long, dist2 double, id long"), k)
 
 
 def _exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -68,10 +73,9 @@ def merge(lists: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", F.col("rank").cast("int").alias("rank"), "dist2", "id")
 
 
-def range_join(points: DataFrame, queries: DataFrame, radius: float | str, most: int | None = None) -> DataFrame:
-    """qid, id and dist2 of all points within a radius, of all queries or a
-    column of theirs; most: at most so many nearest."""
-    column = radius if isinstance(radius, str) else None
+def within(radius: float | str) -> Work:
+    """For sweep() or meeting(): the pairs (qid, id, dist2) within a radius, of all queries or a column of theirs."""
+    column = isinstance(radius, str)
 
     def work(qids: np.ndarray, q: np.ndarray, radii: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r2 = (radii.astype(float) if column else np.full(len(q), float(radius))) ** 2
@@ -81,11 +85,17 @@ def range_join(points: DataFrame, queries: DataFrame, radius: float | str, most:
             x, ids = matrix(b.column(1)), b.column(0).to_numpy()
             for s in slices(len(q), x):
                 i, j = np.nonzero(sqdist(q, x[s]) <= r2[:, None] * (1 + 1e-9) + 1e-12)
-                exact = ((q[i] - x[s][j]) ** 2).sum(axis=1)
+                exact = _exact(q, x[s], i, j)
                 good = exact <= r2[i]
                 yield pa.RecordBatch.from_arrays([pa.array(qids[i[good]]), pa.array(ids[s][j[good]]), pa.array(exact[good])], ["qid", "id", "dist2"])
 
-    out = sweep(points.select("id", "x"), queries, work, "qid long, id long, dist2 double", column)
+    return work
+
+
+def range_join(points: DataFrame, queries: DataFrame, radius: float | str, most: int | None = None) -> DataFrame:
+    """qid, id and dist2 of all points within a radius, of all queries or a
+    column of theirs; most: at most so many nearest."""
+    out = sweep(points.select("id", "x"), queries, within(radius), "qid long, id long, dist2 double", radius if isinstance(radius, str) else None)
     return merge(out, most).select("qid", "id", "dist2") if most else out
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 #: Bytes of query vectors that are broadcast; and queries in a block beyond that.
 BROADCAST_BYTES = 64 << 20
 BLOCK_QUERIES = 4096
-#: Pairs in one numpy block.
-PAIRS = 1 << 20
+#: Pairs in one numpy block; and of a sweep that is worth dealing small tables over all cores.
+PAIRS, MANY_PAIRS = 1 << 20, 1 << 25
 
 Work = Callable[[np.ndarray, np.ndarray, np.ndarray | None, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -55,6 +55,14 @@ def slices(n_queries: int, x: np.ndarray) -> Iterator[slice]:
         yield slice(k, k + step)
 
 
+def spread(rows: DataFrame, against: int = 1 << 62) -> DataFrame:
+    """The rows dealt over all cores, if they are few bytes and their pairs with so many others are many; else as they lie."""
+    n, d = rows.agg(F.count("*"), F.max(F.size(rows.columns[1]))).first()
+    if n * against > MANY_PAIRS and 8 * n * (d or 0) <= BROADCAST_BYTES:
+        return rows.repartition(min(max(1, n // 64), rows.sparkSession.sparkContext.defaultParallelism * 2))
+    return rows
+
+
 def sweep(points: DataFrame, queries: DataFrame, work: Work, schema: str, radius: str | None = None) -> DataFrame:
     """points: id, x and whatever `work` reads further on; queries: qid, q and
     perhaps a radius. work(qids, q, radii, batches of points) yields batches."""
@@ -70,18 +78,29 @@ def sweep(points: DataFrame, queries: DataFrame, work: Work, schema: str, radius
             if len(shared.value[0]):
                 yield from work(*shared.value, batches)
 
-        return points.mapInArrow(run, schema)
+        return (spread(points, measured["n"]) if measured["n"] > 1024 else points).mapInArrow(run, schema)
     return _dealt(points, queries, work, schema, -(-measured["n"] // BLOCK_QUERIES), radius)
 
 
 def _dealt(points: DataFrame, queries: DataFrame, work: Work, schema: str, blocks: int, radius: str | None) -> DataFrame:
+    """Over a grid of cells: each block of queries meets each slice of the points in one."""
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, n // blocks)
-    side = F.struct(*points.columns)
-    asked = queries.select((F.pmod(F.xxhash64("qid"), F.lit(blocks)) * parts).alias("_c"), F.struct(*queries.columns).alias("_q"))
-    asked = asked.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: F.col("_c") + s)).alias("cell"), F.lit(0).alias("tag"), "_q", F.lit(None).cast(points.select(side.alias("s")).schema["s"].dataType).alias("_p"))
-    there = points.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_s"), side.alias("_p"))
-    there = there.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * parts + F.col("_s"))).alias("cell"), F.lit(1).alias("tag"), F.lit(None).cast(asked.schema["_q"].dataType).alias("_q"), "_p")
+    every = lambda k, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), cell))
+    block, piece = F.pmod(F.xxhash64("qid"), F.lit(blocks)) * parts, F.pmod(F.xxhash64("id"), F.lit(parts))
+    asked = queries.select(block.alias("_c"), *queries.columns).select(every(parts, lambda s: F.col("_c") + s).alias("cell"), *queries.columns)
+    there = points.select(piece.alias("_s"), *points.columns).select(every(blocks, lambda b: b * parts + F.col("_s")).alias("cell"), *points.columns)
+    return meeting(there, asked, work, schema, radius)
+
+
+def meeting(points: DataFrame, queries: DataFrame, work: Work, schema: str, radius: str | None = None) -> DataFrame:
+    """As sweep(), for points and queries that share a number `cell`, their first
+    column: all queries of a cell are held while its points stream past."""
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p, q = F.struct(*points.columns[1:]), F.struct(*queries.columns[1:])
+    kind = lambda df, column: df.select(column.alias("s")).schema["s"].dataType
+    asked = queries.select(F.col("cell").cast("long").alias("cell"), F.lit(0).alias("tag"), q.alias("_q"), F.lit(None).cast(kind(points, p)).alias("_p"))
+    there = points.select(F.col("cell").cast("long").alias("cell"), F.lit(1).alias("tag"), F.lit(None).cast(kind(queries, q)).alias("_q"), p.alias("_p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def runs() -> Iterator[tuple[int, int, pa.RecordBatch]]:
@@ -101,19 +120,19 @@ def _dealt(points: DataFrame, queries: DataFrame, work: Work, schema: str, block
                 item = next(todo, None)
             if held:
                 own = pa.chunked_array(held).combine_chunks()
-                q = [own.field(k) for k in range(own.type.num_fields)]
+                fields = [own.field(k) for k in range(own.type.num_fields)]
 
             def rest(cell: int = cell) -> Iterator[pa.RecordBatch]:
                 nonlocal item
                 while item and item[0] == cell:
                     p = item[2].column(3)
-                    yield pa.RecordBatch.from_arrays([p.field(k) for k in range(p.type.num_fields)], [f.name for f in p.type])
+                    p = p.combine_chunks() if isinstance(p, pa.ChunkedArray) else p
+                    yield pa.RecordBatch.from_arrays(p.flatten(), [f.name for f in p.type])
                     item = next(todo, None)
 
             if held:
-                yield from work(q[0].to_numpy(), matrix(q[1]), q[2].to_numpy() if radius else None, rest())
+                yield from work(fields[0].to_numpy(), matrix(fields[1]), fields[2].to_numpy() if radius else None, rest())
             for _ in rest():
                 pass
 
-    both = asked.unionByName(there)
-    return both.repartition(n, "cell").sortWithinPartitions("cell", "tag").mapInArrow(run, schema)
+    return asked.unionByName(there).repartition(n, "cell").sortWithinPartitions("cell", "tag").mapInArrow(run, schema)

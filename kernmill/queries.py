@@ -17,7 +17,7 @@ from .functions import scalar
 from .functions.kernels import Exponential, Gaussian, Kernel, Laplace, Matern, Polynomial, should_reject
 from .functions.random import normal_sql, uniform, uniform_sql, uniform_value
 from .functions.vector import sqdist
-from .operators import cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, tree
+from .operators import cells, cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, tree
 from .plans import planner
 from .sources import matrices
 from .storage import shared_path
@@ -171,10 +171,11 @@ def knn_self(spark, sf_dir):
     return knn.knn(v, asked(v), 10).select("qid", "rank", "id", F.round("dist2", 8).alias("dist2"))
 
 
-@query(f"with {PART_PAIRS} select qid, rank, round(d2, 8) as dist2 from ({KNN}) where rank <= 4")
+@query(f"with {PART_PAIRS} select qid, rank, id, round(d2, 8) as dist2 from ({KNN.replace('d2, id', 'round(d2, 10), id')}) where rank <= 4")
 def knn_exact_2d(spark, sf_dir):
+    """By the leaves of a k-d partition. Points agree in a component up to rounding, so distances are compared to ten places."""
     v = parts(spark, sf_dir)
-    return knn.knn(v, asked(v), 4).select("qid", "rank", F.round("dist2", 8).alias("dist2"))
+    return cells.knn(v, asked(v), 4).select("qid", "rank", "id", F.round("dist2", 8).alias("dist2"))
 
 
 @query(f"with {P} select qid, round(sum(w * {GAUSS.sql('d2')}), 9) as potential from (select p.*, row_number() over (partition by qid order by d2, id) as rank from pairs p) where rank <= 10 group by qid")
@@ -261,7 +262,7 @@ def knn_quality(spark, sf_dir):
 
 @query(f"with {PART_PAIRS} select qid, count(*) as n from pairs where d2 <= 0.01 group by qid")
 def range_tree_count(spark, sf_dir):
-    """A range join over the leaves that each query's ball meets."""
+    """A range join over the leaves of a tree of random projections that each query's ball meets."""
     v = parts(spark, sf_dir).cache()
     depth = 6
     cuts = cluster.partition_cuts(v, depth, 2, "rt")
@@ -376,18 +377,30 @@ def level_table_exponential(spark, sf_dir):
     return rounded(estimators.level_frame(spark, table).select("level", F.col("mu").cast("double").alias("mu"), "m", "k", "w"), "w")
 
 
-@query("""with g as (select n, k, 3 as d, 1000 as m, 2 as w, 20 as t from (values (100), (1000), (100000)) a(n), (values (10), (50)) b(k))
-select n, k, w * (1 + m::double * n * (3 * d + 31)) as direct, 2 * k + 1 + n * (3 * d + d + t + w * (30 + 2 * t)) + 2 * t + w * k * t + m * (9.0::double * k + 5 * (d + t + 29 + 3 * w * t)) as series from g""")
-def flops(spark, sf_dir):
-    rows = [(n, k, planner.direct_flops(3, n, 1000, 2), planner.series_flops(3, n, 1000, 2, k, 20, 5, 9.0 * k)) for n in (100, 1000, 100000) for k in (10, 50)]
-    return spark.sql("select * from values " + ", ".join(f"({n}, {k}, {a!r}D, {b!r}D)" for n, k, a, b in rows) + " as t(n, k, direct, series)")
+PLANS = [(n, k) for n in (1000, 100000, 10000000) for k in (10, 50)]
+RATES = planner.Rates()
+_SECONDS = f"(differences * {RATES.differences!r} + kernels * {RATES.kernels!r} + products * {RATES.products!r} + moved * {RATES.moved!r}) / 8 + jobs * {RATES.jobs!r}"
+
+
+@query(f"""with g as (select n::double as n, k::double as k, 1000::double as m, 3::double as d, 2::double as w from (values (1000), (100000), (10000000)) a(n), (values (10), (50)) b(k)),
+works as (select n, k, 'sweep' as way, n * m * d as differences, n * m as kernels, n * m * w as products, 16 * m * w * 28 as moved, 2::double as jobs from g
+union all select n, k, 'cells', 64 * m * d + (n + m) * 7 * d, 64 * m, 64 * m * w, 8 * n * (d + w + 2) + 4 * m * (8 * (d + 2) + w * 28), 10 from g
+union all select n, k, 'series', (n * k * (k + 1) / 2 + m * k) * d, n + m * 3, (n + m * 3) * 20 * (1 + w), 8 * 16 * k * w * 20, k + 4 from g)
+select n::bigint as n, k::int as k, way, round({_SECONDS}, 6) as seconds from works""")
+def plan_costs(spark, sf_dir):
+    """Estimates of the three ways for 1,000 queries in three dimensions with two weight sets."""
+    rows = []
+    for n, k in PLANS:
+        works = {"sweep": planner.by_sweep(n, 1000, 3, 2, 16), "cells": planner.by_cells(n, 1000, 3, 2, 64, 4, 7), "series": planner.by_series(n, 1000, 3, 2, k, 20, 3, 16)}
+        rows += [f"({n}L, {k}, '{name}', {planner.seconds(w, RATES)!r}D)" for name, w in works.items()]
+    return spark.sql("select n, k, way, round(seconds, 6) as seconds from values " + ", ".join(rows) + " as t(n, k, way, seconds)")
 
 
 @query()
 def choose_method(spark, sf_dir):
     v = parts(spark, sf_dir).cache()
     found = planner.choose_method(v, asked(v), 0.1, 1e-2)
-    return spark.sql("select '{method}' as method, {order} as p, {clusters} as k, {direct!r}D as direct, {series!r}D as series".format(**found))
+    return spark.sql("select '{method}' as method, {order} as p, {clusters} as k, {sweep!r}D as sweep, {cells!r}D as cells, {series!r}D as series".format(**found))
 
 
 # -------------------------------------------------------------------- hashing
@@ -739,9 +752,10 @@ def ifgt_bound(spark, sf_dir):
 
 @query(f"with {PART_PAIRS} select qid, round(sum(case when d2 <= {IFGT_H**2 * math.log(1 / IFGT_EPS)!r}::double then {Gaussian(IFGT_H).sql('d2')} else 0 end), 6) as g from pairs group by qid")
 def gauss_direct_tree(spark, sf_dir):
+    """Only points of the leaves that a query's reach meets."""
     v = parts(spark, sf_dir)
     reach = IFGT_H * math.sqrt(math.log(1 / IFGT_EPS))
-    return exact.kernel_sums(v, asked(v), Gaussian(IFGT_H), radius=reach).select("qid", F.round("sum", 6).alias("g"))
+    return cells.kernel_sums(v, asked(v), Gaussian(IFGT_H), reach).select("qid", F.round("sum", 6).alias("g"))
 
 
 @query()

@@ -263,7 +263,35 @@ def test_config_and_ingest(spark, tmp_path):
 def test_planner_prefers_series_for_wide_kernels(data):
     _, p = data
     found = planner.choose_method(p, asked(p), 2.0, 1e-1)
-    assert found["method"] in found and found["direct"] == planner.direct_flops(3, 300, 300, 1)
+    assert found["method"] in found and found["sweep"] == planner.seconds(planner.by_sweep(300, 300, 3, 1, 4))
+
+
+def test_plans_follow_their_sizes():
+    rates = planner.measured()
+    assert min(rates.differences, rates.kernels, rates.products) > 0
+    many = {"sweep": planner.by_sweep(10**8, 10**5, 2, 1, 1000), "cells": planner.by_cells(10**8, 10**5, 2, 1, 200, 3, 14), "series": planner.by_series(10**8, 10**5, 2, 1, 30, 45, 4, 1000)}
+    costs = {k: planner.seconds(w, rates, 1000) for k, w in many.items()}
+    assert min(costs, key=costs.get) != "sweep"
+    assert planner.seconds(planner.by_sweep(100, 10, 2, 1, 4)) < planner.seconds(planner.by_cells(100, 10, 2, 1, 50, 2, 1))
+
+
+@pytest.mark.parametrize("part", [40, 1 << 14])
+def test_cells_equal_sweeps(spark, monkeypatch, part):
+    """Ranges, neighbours and sums by leaves, with a hot leaf of copies, queries far off, and leaves in parts."""
+    from kernmill.operators import cells
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.random((300, 2)), np.tile([[0.5, 0.25]], (150, 1))))
+    p = spark.createDataFrame([(i, v.tolist(), 1.0 + i % 2) for i, v in enumerate(x)], "id long, x array<double>, w double").repartition(3).cache()
+    q = asked(p).unionByName(spark.createDataFrame([(900, [5.0, -3.0])], "qid long, q array<double>"))
+    monkeypatch.setattr(cells, "cells", lambda points, own=cells.cells: own(points, leaf=20, part=part))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(cells.knn(p, q, 5)) == rows(knn.knn(p, q, 5))
+    assert rows(cells.range_join(p, q, 0.1)) == rows(knn.range_join(p, q, 0.1))
+    assert rows(cells.range_join(p, q.withColumn("r", F.lit(0.2)), "r", most=3)) == rows(knn.range_join(p, q.withColumn("r", F.lit(0.2)), "r", most=3))
+    a, b = (rows(f) for f in (cells.kernel_sums(p, q, Gaussian(0.1), 0.3, ["w"]), exact.kernel_sums(p, q, Gaussian(0.1), ["w"], radius=0.3)))
+    assert [(r[0], r[1], r[3]) for r in a] == [(r[0], r[1], r[3]) for r in b] and np.allclose([r[2] for r in a], [r[2] for r in b])
+    assert cells.knn(p.limit(0), q, 3).count() == 0 and cells.kernel_sums(p.limit(0), q, Gaussian(), 1.0).agg(F.sum("n")).first()[0] == 0
 
 
 def test_zscores(data):

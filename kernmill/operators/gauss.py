@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Gaussian, Kernel
-from .cluster import assigned, kcenter
+from .cluster import assigned
 from .sweep import matrix, sqdist
 
 
@@ -51,66 +51,98 @@ def truncation(d: int, h: float, eps: float, radius: float, spread: float, most:
     return most
 
 
-def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float, clusters: int, weights: Sequence[str] = ("w",), order: int | None = None) -> DataFrame:
+#: Rows that the seeds of a transform are chosen from, and coefficients of all clusters and sets.
+FIT, MOST_COEFFICIENTS = 1 << 16, 1 << 22
+#: How the series are cut off: one order for all, one a cluster, or one a point, by distances from the centers.
+ONE, BY_CLUSTER, BY_POINT = "one", "cluster", "point"
+
+
+def farthest(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows of farthest-point seeds, from the smallest id on, ties to the smaller id; fewer if all points are copies of them."""
+    order = np.argsort(ids)
+    x, picks = x[order], [0]
+    near = ((x - x[0]) ** 2).sum(axis=1)
+    while len(picks) < k and near.max() > 0:
+        picks.append(int(np.argmax(near)))
+        near = np.minimum(near, ((x - x[picks[-1]]) ** 2).sum(axis=1))
+    return order[picks]
+
+
+def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float, clusters: int, weights: Sequence[str] = ("w",), order: int | None = None, cut_off: str = ONE) -> DataFrame:
     """qid, wset, g: sum of weight * exp(-|x - q|^2 / h^2), each within eps times
     the sum of weights.
 
-    A pass over the points adds up each cluster's coefficients, map-side first;
-    they are few and broadcast. A pass over the queries evaluates the clusters
-    within reach. Radii are measured from the centers that the series use."""
-    seeds = kcenter(points, clusters)
-    centers = np.array([x for _, x in seeds])
-    own = assigned(points.select("id", "x", *weights), centers.tolist(), ("id", "x", *weights))
-    radii_rows = own.groupBy("cluster").agg(F.sqrt(F.max("dist2")).alias("r")).collect()
+    Seeds are farthest points of a bounded sample; every point is assigned, and radii
+    are measured over all points from the centers that the series use. A pass over the
+    points adds up each cluster's coefficients, map-side first; they are bounded and
+    broadcast. A pass over the queries evaluates the clusters within reach, each up to
+    the order that its cut-off needs."""
+    from .sampling import pick_set
+    from .sweep import spread as over_cores
+
+    table = pick_set(points.select("id", "x"), FIT, "seeds").toArrow()
+    if not table.num_rows:
+        zero = F.explode(F.sequence(F.lit(0), F.lit(len(weights) - 1))).alias("wset")
+        return queries.select("qid", zero).withColumn("g", F.lit(0.0))
+    x = matrix(table.column("x"))
+    centers = x[farthest(table.column("id").to_numpy(), x, clusters)]
+    own = assigned(over_cores(points.select("id", "x", *weights), 64 * len(centers)), centers.tolist(), ("id", "x", *weights))
     radii = np.zeros(len(centers))
-    for r in radii_rows:
+    for r in own.groupBy("cluster").agg(F.sqrt(F.max("dist2")).alias("r")).collect():
         radii[r["cluster"]] = r["r"]
-    d = centers.shape[1]
-    spread = points.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg((F.max("v") - F.min("v")).alias("s")).agg(F.max("s").alias("s")).first()["s"]
-    p = order or truncation(d, h, eps, float(radii.max()), spread)
+    d, sets = centers.shape[1], len(weights)
+    wide = points.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg((F.max("v") - F.min("v")).alias("s")).agg(F.max("s").alias("s")).first()["s"]
+    p = order or truncation(d, h, eps, float(radii.max()), wide)
+    if math.comb(p - 1 + d, d) * len(centers) * sets > MOST_COEFFICIENTS:
+        raise ValueError(f"more than {MOST_COEFFICIENTS} coefficients: take fewer clusters, a larger eps, or a sweep")
     alpha = multi_indices(d, p)
-    c_alpha, sets = series(alpha), len(weights)
+    degree, c_alpha = alpha.sum(axis=1), series(alpha)
+    steps = np.linspace(0.0, float(radii.max()), 33)[1:]  # upper edges of distances from a center
+    orders = np.array([min(p, truncation(d, h, eps, float(r), wide)) for r in steps]) if cut_off == BY_POINT else None
+    by_cluster = np.array([p if cut_off != BY_CLUSTER else min(p, truncation(d, h, eps, float(r), wide)) for r in radii])
+    terms = np.searchsorted(degree, by_cluster)  # monomials stand by degree
 
     def coefficients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(centers), sets, len(alpha)))
+        total = np.zeros((len(centers), len(alpha), sets))
         for b in batches:
             if not b.num_rows:
                 continue
             x, k = matrix(b.column(0)), b.column(1).to_numpy()
             w = np.stack([b.column(2 + s).to_numpy(zero_copy_only=False).astype(float) for s in range(sets)], axis=1)
-            u = (x - centers[k]) / h
-            m = monomials(u, alpha) * np.exp(-(u * u).sum(axis=1))[:, None]
-            for s in range(sets):
-                np.add.at(total[:, s], k, m * w[:, s, None])
-        used = np.flatnonzero(total.any(axis=(1, 2)))
-        for k in used:
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)] * sets, pa.int32()), pa.array(range(sets), pa.int32()), pa.array(total[k].tolist(), pa.list_(pa.float64()))], ["cluster", "wset", "c"])
+            for c in np.unique(k):
+                rows, n = np.flatnonzero(k == c), terms[c]
+                u = (x[rows] - centers[c]) / h
+                size = (u * u).sum(axis=1)
+                m = monomials(u, alpha[:n]) * np.exp(-size)[:, None]
+                if orders is not None:
+                    m[degree[None, :n] >= orders[np.minimum(np.searchsorted(steps, np.sqrt(size) * h), 31)][:, None]] = 0.0
+                total[c, :n] += m.T @ w[rows]
+        for c in np.flatnonzero(total.any(axis=(1, 2))):
+            yield pa.RecordBatch.from_arrays([pa.array([int(c)] * sets, pa.int32()), pa.array(range(sets), pa.int32()), pa.array(total[c].T.tolist(), pa.list_(pa.float64()))], ["cluster", "wset", "c"])
 
     parts = own.select("x", "cluster", *weights).mapInArrow(coefficients, "cluster int, wset int, c array<double>")
     summed = parts.select("cluster", "wset", F.posexplode("c").alias("a", "v")).groupBy("cluster", "wset", "a").agg(F.sum("v").alias("v"))
-    table = summed.toArrow()  # clusters x sets x monomials
-    coef = np.zeros((len(centers), sets, len(alpha)))
-    coef[table.column("cluster").to_numpy(), table.column("wset").to_numpy(), table.column("a").to_numpy()] = table.column("v").to_numpy()
-    coef *= c_alpha
-    shared = points.sparkSession.sparkContext.broadcast((centers, radii, alpha, coef))
+    table = summed.toArrow()  # clusters x sets x monomials, up to MOST_COEFFICIENTS
+    coef = np.zeros((len(centers), len(alpha), sets))
+    coef[table.column("cluster").to_numpy(), table.column("a").to_numpy(), table.column("wset").to_numpy()] = table.column("v").to_numpy()
+    coef *= c_alpha[:, None]
+    shared = points.sparkSession.sparkContext.broadcast((centers, radii, alpha, coef, terms))
     reach = h * math.sqrt(math.log(1 / eps))
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers, radii, alpha, coef = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q = matrix(b.column(1))
-            g = np.zeros((len(q), sets))
-            for k, c in enumerate(centers):
-                u = (q - c) / h
-                d2 = (u * u).sum(axis=1)
-                near = np.flatnonzero(np.sqrt(d2) * h <= reach + radii[k])
-                if near.size:
-                    g[near] += (monomials(u[near], alpha) @ coef[k].T) * np.exp(-d2[near])[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sets)), pa.array(np.tile(np.arange(sets, dtype=np.int32), len(q))), pa.array(g.ravel())], ["qid", "wset", "g"])
+        centers, radii, alpha, coef, terms = shared.value
+        for batch in batches:
+            for b in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                q = matrix(b.column(1))
+                d2 = sqdist(q, centers)
+                met = d2 <= (reach + radii) ** 2
+                g = np.zeros((len(q), sets))
+                for c in np.flatnonzero(met.any(axis=0)):
+                    near = np.flatnonzero(met[:, c])
+                    g[near] += (monomials((q[near] - centers[c]) / h, alpha[: terms[c]]) @ coef[c, : terms[c]]) * np.exp(-d2[near, c] / (h * h))[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sets)), pa.array(np.tile(np.arange(sets, dtype=np.int32), len(q))), pa.array(g.ravel())], ["qid", "wset", "g"])
 
-    return queries.select("qid", "q").mapInArrow(evaluate, "qid long, wset int, g double")
+    return over_cores(queries.select("qid", "q"), len(centers) * len(alpha)).mapInArrow(evaluate, "qid long, wset int, g double")
 
 
 # ----------------------------------------------------------------- small sketches
@@ -142,22 +174,22 @@ def herding(points: DataFrame, kernel: Kernel, sample: int, m: int, salt: str =
 
 def ska(points: DataFrame, kernel: Kernel, k: int, sample: int, salt: str = "ska") -> list[tuple[int, float]]:
     """(id, weight): farthest-point centers of a sample, weighted by the
-    pseudo-inverse of their kernel matrix applied to the sample's mean kernels,
-    and uniform rows for the rest; the parts are mixed in float arithmetic."""
+    pseudo-inverse of their kernel matrix applied to the sample's mean kernels, and
+    for the rest a uniform draw of the sample's rows; the parts are mixed in float
+    arithmetic."""
+    from ..functions.random import uniform_value
+
     ids, x = _dense(points, sample, salt)
-    n = len(x)
-    centers = k if k**3 <= n else max(1, int(n ** (1 / 3)))
-    picks, near = [0], ((x - x[0]) ** 2).sum(axis=1)
-    while len(picks) < centers and near.max() > 0:
-        picks.append(int(np.argmax(near)))
-        near = np.minimum(near, ((x - x[picks[-1]]) ** 2).sum(axis=1))
+    if not len(x):
+        return []
+    centers = k if k**3 <= len(x) else max(1, int(len(x) ** (1 / 3)))
+    picks = farthest(ids, x, centers)
     gram = kernel.block(sqdist(x[picks], x[picks]))
     w = np.linalg.pinv(gram) @ kernel.block(sqdist(x[picks], x)).mean(axis=1)
-    rest = [i for i in range(n) if i not in set(picks)][: k - len(picks)]
-    if not rest:
-        return [(int(ids[i]), float(v)) for i, v in zip(picks, w, strict=True)]
-    kc = len(picks)
-    return [(int(ids[i]), float(v) / kc) for i, v in zip(picks, w, strict=True)] + [(int(ids[i]), (1 - 1 / kc) / len(rest)) for i in rest]
+    taken = set(picks.tolist())
+    rest = sorted((i for i in range(len(x)) if i not in taken), key=lambda i: (uniform_value(int(ids[i]), f"{salt}-rest"), ids[i]))[: max(0, k - len(picks))]
+    share = 1.0 / len(picks) if rest else 1.0
+    return [(int(ids[i]), float(v) * share) for i, v in zip(picks, w, strict=True)] + [(int(ids[i]), (1 - share) / len(rest)) for i in rest]
 
 
 def interpolative(a: np.ndarray, rank: int | None = None, tolerance: float = 1e-6) -> tuple[list[int], np.ndarray]:
@@ -201,7 +233,7 @@ def skeleton_transform(points: DataFrame, queries: DataFrame, kernel: Gaussian,
             picks, build = interpolative(kernel.block(sqdist(far, x)), rank)
             charge = build @ w
         else:
-            picks, charge = list(range(len(x)))[:rank], np.zeros(min(rank, len(x)))
+            picks, charge, radius = [0], np.zeros(1), float("inf")
         n = len(picks)
         return pa.table({"leaf": [key[0].as_py()] * n, "id": ids[picks], "x": x[picks].tolist(), "charge": charge, "center": [center.tolist()] * n, "radius": [radius] * n})
 

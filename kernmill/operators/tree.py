@@ -54,17 +54,27 @@ def inverted(far: DataFrame) -> DataFrame:
     return far.groupBy("node").agg(F.count("*").alias("n"), F.sum("qid").alias("ids"))
 
 
-def far_sample(points: DataFrame, near: DataFrame, m: int, over: int = 2, salt: str = "far") -> DataFrame:
-    """For each leaf of points (id, leaf) m rows that are neither in it nor among
-    `near` (leaf, id): over * m seeded draws for each, less those, the first m kept."""
+def far_sample(points: DataFrame, near: DataFrame, m: int, salt: str = "far") -> DataFrame:
+    """For each leaf of points (id, leaf) m rows, or all there are, that are neither
+    in it nor among `near` (leaf, id): the first of a seeded sequence of draws, as
+    many of which are made as that takes."""
     from pyspark.sql import Window
 
     from .order import dense_index
 
-    leaves = points.select("leaf").distinct()
     n = points.count()
-    rows = dense_index(points.select("id", F.col("leaf").alias("_own")), ["id"])
-    draws = leaves.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(over * m - 1))).alias("r"))
-    draws = draws.withColumn("row", F.least(F.floor(uniform(F.concat_ws("/", F.col("leaf").cast("string"), F.col("r").cast("string")), salt) * n).cast("long"), F.lit(n - 1).cast("long")))
-    found = draws.join(rows, "row").where("leaf <> _own").groupBy("leaf", "id").agg(F.min("r").alias("r")).join(near.select("leaf", "id"), ["leaf", "id"], "left_anti")
-    return found.withColumn("_k", F.row_number().over(Window.partitionBy("leaf").orderBy("r"))).where(F.col("_k") <= m).select("leaf", "id")
+    rows = dense_index(points.select("id", F.col("leaf").alias("_own")), ["id"]).persist()
+    away = near.select("leaf", "id").distinct().join(rows, "id").where("leaf <> _own").groupBy("leaf").agg(F.count("*").alias("_n"))
+    sizes = points.groupBy("leaf").agg(F.count("*").alias("_s")).join(away, "leaf", "left")
+    wanted = sizes.select("leaf", F.least(F.lit(m), F.lit(n) - F.col("_s") - F.coalesce("_n", F.lit(0))).alias("_w")).persist()
+    draws = 2 * m
+    while True:
+        drawn = wanted.where("_w > 0").select("leaf", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
+        u = uniform(F.concat_ws("/", F.col("leaf").cast("string"), F.col("r").cast("string")), salt)
+        drawn = drawn.withColumn("row", F.least(F.floor(u * n).cast("long"), F.lit(n - 1).cast("long")))
+        found = drawn.join(rows, "row").where("leaf <> _own").groupBy("leaf", "id").agg(F.min("r").alias("r")).join(near.select("leaf", "id"), ["leaf", "id"], "left_anti")
+        kept = found.withColumn("_k", F.row_number().over(Window.partitionBy("leaf").orderBy("r"))).where(F.col("_k") <= m)
+        short = wanted.join(kept.groupBy("leaf").agg(F.count("*").alias("_c")), "leaf", "left").where(F.col("_w") > F.coalesce("_c", F.lit(0)))
+        if short.isEmpty():
+            return kept.select("leaf", "id")
+        draws *= 2

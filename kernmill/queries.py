@@ -171,11 +171,36 @@ def knn_self(spark, sf_dir):
     return knn.knn(v, asked(v), 10).select("qid", "rank", "id", F.round("dist2", 8).alias("dist2"))
 
 
-@query(f"with {PART_PAIRS} select qid, rank, id, round(d2, 8) as dist2 from ({KNN.replace('d2, id', 'round(d2, 10), id')}) where rank <= 4")
+LATTICE = """points as (select p_partkey as id, [p_size::double, floor(p_retailprice / 20)::double] as x from part),
+pairs as (select q.id as qid, p.id, pow(p.x[1] - q.x[1], 2) + pow(p.x[2] - q.x[2], 2) as d2 from points p, points q)"""
+
+
+def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, x of the parts on whole numbers: exact distances with many ties."""
+    x = F.array(F.col("p_size").cast("double"), F.floor(F.col("p_retailprice") / 20).cast("double"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), x.alias("x"))
+
+
+@query(f"with {LATTICE} select qid, rank, id, d2 as dist2 from ({KNN}) where rank <= 4")
 def knn_exact_2d(spark, sf_dir):
-    """By the leaves of a k-d partition. Points agree in a component up to rounding, so distances are compared to ten places."""
-    v = parts(spark, sf_dir)
-    return cells.knn(v, asked(v), 4).select("qid", "rank", "id", F.round("dist2", 8).alias("dist2"))
+    """By the leaves of a k-d partition."""
+    v = lattice(spark, sf_dir)
+    return cells.knn(v, asked(v), 4)
+
+
+@query(f"with {LATTICE} select qid, id, d2 as dist2 from pairs where d2 <= 4")
+def range_join_cells(spark, sf_dir):
+    v = lattice(spark, sf_dir)
+    return cells.range_join(v, asked(v), 2.0)
+
+
+@query(f"with {LATTICE} select qid, rank, id, d2 as dist2 from ({KNN}) where rank <= 6")
+def knn_sweep_2d(spark, sf_dir):
+    """All pairs."""
+    v = lattice(spark, sf_dir)
+    return knn.knn(v, asked(v), 6)
+
+
 
 
 @query(f"with {P} select qid, round(sum(w * {GAUSS.sql('d2')}), 9) as potential from (select p.*, row_number() over (partition by qid order by d2, id) as rank from pairs p) where rank <= 10 group by qid")
@@ -735,19 +760,33 @@ def kmeans_lloyd(spark, sf_dir):
 IFGT_H, IFGT_EPS = 0.4, 1e-3
 
 
-@query()
+@query(f"with {PART_PAIRS} select qid, 0 as wset, round(sum({Gaussian(IFGT_H).sql('d2')}), 6) as g from pairs group by qid")
 def ifgt_gauss(spark, sf_dir):
+    """To an error far below the places that are compared."""
     v = parts(spark, sf_dir).cache()
-    return rounded(gauss.gauss_transform(v, asked(v), IFGT_H, IFGT_EPS, 24), "g", places=6)
+    return rounded(gauss.gauss_transform(v, asked(v), IFGT_H, 1e-13, 48), "g", places=6)
 
 
-@query(f"with {PART} select id as qid, true as within from points")
-def ifgt_bound(spark, sf_dir):
-    """Whether every target's error is within eps times the sum of weights."""
-    v = parts(spark, sf_dir).cache()
-    n = v.count()
-    full = exact.kernel_sums(v, asked(v), Gaussian(IFGT_H), weights=["w"]).select("qid", "sum")
-    return gauss.gauss_transform(v, asked(v), IFGT_H, IFGT_EPS, 24).join(full, "qid").select("qid", (F.abs(F.col("g") - F.col("sum")) <= IFGT_EPS * n).alias("within"))
+_EXACT_G = f"exact as (select qid, sum({Gaussian(IFGT_H).sql('d2')}) as g from pairs group by qid)"
+
+
+def _of_cut_off(name: str, cut_off: str) -> None:
+    """Whether each target's error is within eps times the sum of weights, and how the exact sum, rounded, reads."""
+
+    def run(spark, sf_dir):
+        v = parts(spark, sf_dir).cache()
+        n = v.count()
+        full = exact.kernel_sums(v, asked(v), Gaussian(IFGT_H), weights=["w"]).select("qid", "sum")
+        found = gauss.gauss_transform(v, asked(v), IFGT_H, IFGT_EPS, 24, cut_off=cut_off).join(full, "qid")
+        return found.select("qid", F.round("sum", 6).alias("exact"), (F.abs(F.col("g") - F.col("sum")) <= IFGT_EPS * n).alias("within"))
+
+    run.__name__ = name
+    query(f"with {PART_PAIRS}, {_EXACT_G} select qid, round(g, 6) as exact, true as within from exact")(run)
+
+
+_of_cut_off("ifgt_bound", gauss.ONE)
+_of_cut_off("ifgt_bound_by_cluster", gauss.BY_CLUSTER)
+_of_cut_off("ifgt_bound_by_point", gauss.BY_POINT)
 
 
 @query(f"with {PART_PAIRS} select qid, round(sum(case when d2 <= {IFGT_H**2 * math.log(1 / IFGT_EPS)!r}::double then {Gaussian(IFGT_H).sql('d2')} else 0 end), 6) as g from pairs group by qid")
@@ -786,11 +825,17 @@ def interaction_lists(spark, sf_dir):
     return tree.inverted(tree.interaction_lists(leaves.select(F.col("id").alias("qid"), "leaf"), lists, 4)[1])
 
 
-@query()
+@query(f"""with {P}, {_tree_sql(3, "sp")}, total as (select count(*) as n from points), rows_ as (select id, leaf as own, row_number() over (order by id) - 1 as row from sp),
+near as (select distinct s.leaf, k.id from (select * from ({KNN}) where rank <= 3) k join sp s on s.id = k.qid),
+drawn as (select leaf, r, least(floor({uniform_sql("leaf || '/' || r", "'far'")} * n)::bigint, n - 1) as row from (select distinct leaf from sp), range(400) t(r), total),
+found as (select leaf, id, min(r) as r from drawn join rows_ using (row) where leaf <> own group by leaf, id)
+select leaf, id from (select f.*, row_number() over (partition by f.leaf order by r) as k from found f anti join near using (leaf, id)) where k <= 10""")
 def far_field_sample(spark, sf_dir):
+    """Ten rows far from each leaf: not in it, and not among the neighbours of its points."""
     v = vectors(spark, sf_dir)
-    leaves = cluster.space_partition(v, 3, D, "sp").select("id", "leaf")
-    return tree.far_sample(leaves, leaves.where("id < 40"), 10).groupBy("leaf").agg(F.count("*").alias("n"))
+    leaves = cluster.space_partition(v, 3, D, "sp").select("id", "leaf").cache()
+    near = knn.knn(v, asked(v), 3).select("qid", "id").join(leaves.select(F.col("id").alias("qid"), "leaf"), "qid").select("leaf", "id").distinct()
+    return tree.far_sample(leaves, near, 10)
 
 
 # --------------------------------------------------------------------- metrics

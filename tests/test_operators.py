@@ -341,7 +341,7 @@ def test_far_samples_avoid_near_rows(spark):
 
     points = spark.range(64).select("id", (F.col("id") / 8).cast("long").alias("leaf"))
     near = spark.range(8).crossJoin(spark.range(8, 20).withColumnRenamed("id", "n")).select(F.col("id").alias("leaf"), F.col("n").alias("id"))
-    rows = tree.far_sample(points, near, 5, over=4).collect()
+    rows = tree.far_sample(points, near, 5).collect()
     assert rows and all(r["id"] // 8 != r["leaf"] and not 8 <= r["id"] < 20 for r in rows)
 
 

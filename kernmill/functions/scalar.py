@@ -29,23 +29,23 @@ def erf_sql(x: str) -> str:
     return f"(sign({x}) * (1.0::double - {poly} * exp(-({x}) * ({x}))))"
 
 
-def collision(distance: Column, width: float | Column, power: int | Column, exact: bool = False) -> Column:
+def collision(distance: Column, width: float | Column, power: int | Column, exact: bool = False, near: float = 0.0) -> Column:
     """Probability that a distance collides under `power` hashes of a width. By
     default with erf(1/c), which estimates have always used; exact: with the
-    true erf(1/(sqrt(2) c)). At distance zero 1."""
+    true erf(1/(sqrt(2) c)). At distance zero 1, and at less than `near` widths."""
     width = width if isinstance(width, Column) else F.lit(float(width))
     c = distance / width
     c = F.when(c < 1e-12, F.lit(1e-12)).otherwise(c)
     inner = 1.0 / (c * math.sqrt(2.0)) if exact else 1.0 / c
     p = erf(inner) - F.lit(math.sqrt(2.0 / math.pi)) * c * (1.0 - F.exp(-1.0 / (2.0 * c * c)))
-    return F.when(distance <= 1e-12, F.lit(1.0)).otherwise(F.pow(F.greatest(p, F.lit(0.0)), power))
+    return F.when((distance <= 1e-12) | (c < near), F.lit(1.0)).otherwise(F.pow(F.greatest(p, F.lit(0.0)), power))
 
 
-def collision_sql(distance: str, width: str, power: str, exact: bool = False) -> str:
+def collision_sql(distance: str, width: str, power: str, exact: bool = False, near: float = 0.0) -> str:
     c = f"greatest(({distance}) / ({width})::double, 1e-12::double)"
     inner = f"(1.0::double / ({c} * {math.sqrt(2.0)!r}::double))" if exact else f"(1.0::double / {c})"
     p = f"({erf_sql(inner)} - {math.sqrt(2.0 / math.pi)!r}::double * {c} * (1.0::double - exp(-1.0::double / (2.0::double * {c} * {c}))))"
-    return f"(case when ({distance}) <= 1e-12::double then 1.0::double else pow(greatest({p}, 0.0::double), {power}) end)"
+    return f"(case when ({distance}) <= 1e-12::double or {c} < {near!r}::double then 1.0::double else pow(greatest({p}, 0.0::double), {power}) end)"
 
 
 def scott(n: int, d: int) -> float:

@@ -3,29 +3,47 @@ query's contributions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
 from ..functions.scalar import collision
-from ..functions.vector import sqdist
+from .sweep import matrix, slices, sqdist, sweep
 
 #: Contributions below it count for masses, not for ratios.
 NEAR_ZERO = 1e-10
 
 
 def contributions(points: DataFrame, queries: DataFrame, kernel: Kernel, width: float, power: int) -> DataFrame:
-    """qid, id, c (kernel) and p (collision probability); the query itself, where c >= 1, is left out."""
-    if queries.count() > 1000:
-        raise ValueError("diagnosis takes a sample of at most 1,000 queries")
-    pairs = points.select("id", "x").crossJoin(F.broadcast(queries.select("qid", "q")))
-    d2 = sqdist(F.col("x"), F.col("q"))
+    """qid, id, c (kernel) and p (collision probability) of every pair; the query
+    itself, where c >= 1, is left out. Pairs meet as in a sweep."""
+
+    def work(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, ids = matrix(b.column(1)), b.column(0).to_numpy()
+                for s in slices(len(q), x):
+                    n = len(x[s])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.tile(ids[s], len(qids))), pa.array(sqdist(q, x[s]).ravel())], ["qid", "id", "d2"])
+
+    d2 = F.col("d2")
+    pairs = sweep(points.select("id", "x"), queries, work, "qid long, id long, d2 double")
     return pairs.select("qid", "id", kernel.column(d2).alias("c"), collision(F.sqrt(d2), width, F.lit(power)).alias("p")).where("c < 1")
 
 
-def ringed(contrib: DataFrame, eps: float = 0.5) -> DataFrame:
+def ringed(contrib: DataFrame, eps: float = 0.5, balanced: bool = True) -> DataFrame:
     """contrib with n, u (mean) and ring: 4 below the mean; then 3 from below and
-    1 from above, each until it holds half of what is left of eps * u; 2 between."""
+    1 from above, each until it holds half of what is left of eps * u; 2 between.
+    Not balanced: 4 below the mean and 1 above, and no others."""
+    if not balanced:
+        whole = Window.partitionBy("qid")
+        out = contrib.withColumns({"n": F.count("*").over(whole), "u": F.avg("c").over(whole)})
+        return out.withColumn("ring", F.when(F.col("c") < F.col("u"), 4).otherwise(1))
     own = Window.partitionBy("qid")
     up = own.orderBy("c", "id").rowsBetween(Window.unboundedPreceding, -1)
     down = own.orderBy(F.desc("c"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,3 +96,15 @@ def actual_level(estimates: DataFrame, truth: DataFrame, last: int, eps: float)
     """qid, level: the first whose estimate is within eps of the truth; else the last."""
     good = F.abs(F.col("est") - F.col("density")) <= eps * F.col("density")
     return estimates.join(truth, "qid").groupBy("qid").agg(F.coalesce(F.min(F.when(good, F.col("level"))), F.lit(last)).alias("level"))
+
+
+def scheme_bounds(points: DataFrame, queries: DataFrame, kernel: Kernel, schemes: dict[str, tuple[float, int]], eps: float = 0.5) -> DataFrame:
+    """qid, scheme, rs and hbe: the bounds for several hashing schemes (width, power) at once."""
+    each = (variance_bounds(ring_stats(ringed(contributions(points, queries, kernel, w, k), eps))).withColumn("scheme", F.lit(name)) for name, (w, k) in schemes.items())
+    return reduce(DataFrame.unionByName, each).select("qid", "scheme", "rs", "hbe")
+
+
+def best_scheme(bounds: DataFrame) -> DataFrame:
+    """scheme and mean: of uniform sampling (`rs`) and all hashing schemes, by the mean bound, the least first."""
+    each = bounds.groupBy("scheme").agg(F.avg("hbe").alias("mean")).unionByName(bounds.agg(F.avg("rs").alias("mean")).select(F.lit("rs").alias("scheme"), "mean"))
+    return each.orderBy("mean", "scheme")

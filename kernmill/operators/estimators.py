@@ -4,7 +4,9 @@ the adaptive scheme over levels of density."""
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from ..functions.kernels import Gaussian, Kernel
 from ..functions.random import uniform_value
 from ..functions.scalar import collision, hash_power, hash_width
 from ..functions.vector import sqdist
+from ..storage import forget, written
 from . import sweep
-from .lsh import Hashes, buckets
+from .lsh import Hashes, buckets, scale_index, scale_step
 from .order import dense_index
 from .sampling import draws, permuted, weighted_draws
 
@@ -86,16 +89,22 @@ def hbe_weighted(points: DataFrame, queries: DataFrame, hashes: Hashes, kernel:
     return probe(table, points, queries, hashes, kernel, F.col("wsum") / F.lit(float(n)))
 
 
-def hbe_sketch(points: DataFrame, queries: DataFrame, hashes: Hashes, sketches: list[Hashes], kernel: Kernel, m: int, salt: str = "hs") -> DataFrame:
-    """Tables over m weighted draws each, from the sketches in turn."""
+def hbe_sketch(points: DataFrame, queries: DataFrame, hashes: Hashes, sketches: Sequence[Hashes | DataFrame], kernel: Kernel, m: int, salt: str = "hs", scales: int | None = None) -> DataFrame:
+    """Tables over m weighted draws each, from the sketches in turn. A sketch is one
+    table of hashes over the points, or given as (id, prob, weight). scales: buckets by
+    the scale of a draw's weight, too, so many between the least and the largest."""
     drawn = None
     for k, sketch in enumerate(sketches):
-        members = sketch_members(points, sketch).select("id", "prob", "weight")
+        members = (sketch_members(points, sketch) if isinstance(sketch, Hashes) else sketch).select("id", "prob", "weight")
         for t in range(k, hashes.g.shape[0], len(sketches)):
             own = weighted_draws(members, "prob", m, f"{salt}{t}").join(members.select("id", "weight"), "id").select("id", F.lit(t).alias("tbl"), "weight")
             drawn = own if drawn is None else drawn.unionByName(own)
-    keyed = drawn.groupBy("id", "tbl").agg(F.sum("weight").alias("_w")).join(hashes.keys(points), ["id", "tbl"])
-    return probe(buckets(keyed, "_w", salt=salt), points, queries, hashes, kernel, F.col("wsum") / float(m))
+    each = drawn.groupBy("id", "tbl").agg(F.sum("weight").alias("_w"), F.max("weight").alias("_one"))
+    keyed = each.join(hashes.keys(points), ["id", "tbl"])
+    if scales:
+        low, high = each.agg(F.min("_one"), F.max("_one")).first()
+        keyed = keyed.withColumn("scale", scale_index(F.col("_one"), low or 1.0, scale_step(low or 1.0, high or 1.0, scales)))
+    return probe(buckets(keyed, "_w", "scale" if scales else None, salt=salt), points, queries, hashes, kernel, F.col("wsum") / float(m))
 
 
 # --------------------------------------------------------------------- sketches
@@ -129,11 +138,15 @@ def sketch_members(points: DataFrame, hashes: Hashes, rule: SketchRule = SketchR
 
 
 def hbs_sketch(points: DataFrame, hashes: list[Hashes], m: int, salt: str = "hbs") -> DataFrame:
-    """method, id, weight: m draws shared out over the tables, the rest to the first."""
-    out = None
+    """method, id, weight: m draws shared out over the tables, the rest to the
+    first; each table stands over its own uniform rows, twice a table's share of all."""
+    from .sampling import pick_set
+
+    n, out = points.count(), None
     for k, h in enumerate(hashes):
         own = m // len(hashes) + (m % len(hashes) if k == 0 else 0)
-        members = sketch_members(points, h)
+        size = 2 * n // len(hashes)
+        members = sketch_members(pick_set(points.select("id", "x"), size, f"{salt}{k}-rows") if size < n else points, h)
         drawn = weighted_draws(members, "prob", own, f"{salt}{k}").join(members.select("id", "weight"), "id")
         part = drawn.select(F.lit("hbs").alias("method"), F.lit(k).alias("tbl"), "r", "id", (F.col("weight") / F.lit(float(m))).alias("weight"))
         out = part if out is None else out.unionByName(part)
@@ -209,66 +222,123 @@ def relaxation_levels(tau: float, eps: float, kernel: Kernel | None = None) -> l
     return out
 
 
-def adaptive_fold(estimates: DataFrame, table: list[Level], n: int, groups: int = 3, gamma: float = 0.5, skip: bool = True) -> DataFrame:
-    """qid, est, samples, level from estimates (qid, level, est) of all levels.
+#: Of a level and the queries that are open there the estimates (qid, est). Whatever has this form can be run adaptively.
+LevelEstimate = Callable[[Level, DataFrame], DataFrame]
+
+
+def mean_of_means(draw: Callable[[DataFrame, int, str], DataFrame], queries: DataFrame, m: int, groups: int = 1, low: float = 0.0, salt: str = "mom") -> DataFrame:
+    """qid, est: the median over `groups` of the means of m values each, estimates
+    below `low` as zero. draw(queries, m, salt) gives (qid, est), a mean of m values."""
+    parts = reduce(DataFrame.unionByName, (draw(queries, m, f"{salt}/{g}") for g in range(groups)))
+    return parts.groupBy("qid").agg(floored(F.median("est"), low).alias("est"))
+
+
+def adaptive(queries: DataFrame, table: list[Level], n: int, estimate: LevelEstimate, cost: Callable[[Level], int], gamma: float = 0.5, skip: bool = True) -> DataFrame:
+    """qid, est, samples, level.
 
     From the first level on: stop if the estimate reaches the level's density or
     the level would sample more than all rows; else go on to the level that the
     estimate suggests, the next one at least. An estimate of zero goes to the next.
-    skip: without it only the estimate stops, and levels follow one by one."""
-    mu = F.array(*[F.lit(x.mu) for x in table])
-    m = F.array(*[F.lit(x.m * groups).cast("long") for x in table])
-    rows = F.array_sort(F.collect_list(F.struct("level", "est")))
-    start = F.struct(F.lit(0).alias("next"), F.lit(0.0).alias("est"), F.lit(0).cast("long").alias("samples"), F.lit(-1).alias("level"), F.lit(False).alias("done"))
-
-    def step(a: Column, e: Column) -> Column:
-        i, est = e["level"], e["est"]
-        at = a["done"] | (i != a["next"])
-        cost = F.element_at(m, i + 1)
-        stop = (est >= F.element_at(mu, i + 1)) | (cost > n if skip else F.lit(False))
-        jump = F.when(est > 0, F.floor(F.log(est) / math.log(1 - gamma)).cast("int")).otherwise(i + 1) if skip else i + 1
-        moved = F.struct(F.greatest(jump, i + 1).alias("next"), est.alias("est"), (a["samples"] + cost).alias("samples"), i.alias("level"), stop.alias("done"))
-        return F.when(at, a).otherwise(moved)
+    skip: without it only the estimate stops, and levels follow one by one.
+    A level is estimated for the queries that are open there, and no others; what is
+    known of all is kept in a table in the shared folder from level to level."""
+    spark = queries.sparkSession
+    asked = queries.select("qid", "q")
+    start = asked.select("qid", F.lit(0).alias("next"), F.lit(0.0).alias("est"), F.lit(0).cast("long").alias("samples"), F.lit(-1).alias("level"))
+    now, path = written(start, "adaptive")
+    while (at := now.agg(F.min("next").alias("i")).first()["i"]) is not None and at < len(table):
+        x = table[at]
+        here = asked.join(now.where(F.col("next") == at).select("qid"), "qid", "left_semi")
+        found = estimate(x, here).select("qid", F.col("est").alias("_found"))
+        on = F.coalesce(F.col("next") == at, F.lit(False))
+        stop = (F.col("_e") >= x.mu) | F.lit(skip and cost(x) > n)
+        jump = F.when(F.col("_e") > 0, F.floor(F.log("_e") / math.log(1 - gamma)).cast("int")).otherwise(at + 1) if skip else F.lit(at + 1)
+        moved = F.when(stop, F.lit(None).cast("int")).otherwise(F.greatest(jump, F.lit(at + 1)))
+        after = now.join(found, "qid", "left").withColumn("_e", F.coalesce("_found", F.lit(0.0))).select(
+            "qid", F.when(on, moved).otherwise(F.col("next")).alias("next"), F.when(on, F.col("_e")).otherwise(F.col("est")).alias("est"),
+            F.when(on, F.col("samples") + cost(x)).otherwise(F.col("samples")).alias("samples"), F.when(on, F.lit(at)).otherwise(F.col("level")).alias("level"),
+        )
+        before, (now, path) = path, written(after, "adaptive")
+        forget(spark, before)
+    return now.select("qid", "est", "samples", "level")
+
+
+def rs_level(points: DataFrame, kernel: Kernel, n: int, groups: int = 3, salt: str = "ars") -> LevelEstimate:
+    """The median of `groups` means of uniform draws, as many as the level asks for."""
+    rows = dense_index(points.select("id", "x"), ["id"])
+
+    def estimate(x: Level, queries: DataFrame) -> DataFrame:
+        d = draws(points.sparkSession, queries, x.m * groups, n, f"{salt}{x.level}").join(rows, "row").join(_asked(queries), "qid")
+        mean = d.groupBy("qid", F.expr(f"r div {x.m}").alias("grp")).agg(F.avg(kernel.column(sqdist(F.col("x"), F.col("q")))).alias("e"))
+        return mean.groupBy("qid").agg(F.median("e").alias("est"))
 
-    folded = estimates.groupBy("qid").agg(F.aggregate(rows, start, step).alias("a"))
-    return folded.select("qid", F.col("a.est").alias("est"), F.col("a.samples").alias("samples"), F.col("a.level").alias("level"))
+    return estimate
 
 
 def rs_levels(points: DataFrame, queries: DataFrame, kernel: Kernel, table: list[Level], n: int, groups: int = 3, salt: str = "ars") -> DataFrame:
-    """qid, level, est: at each level the median of `groups` means of uniform draws."""
-    rows, est = dense_index(points.select("id", "x"), ["id"]), None
-    spark = points.sparkSession
-    asked = _asked(queries)
-    for x in table:
-        d = draws(spark, queries, x.m * groups, n, f"{salt}{x.level}").join(rows, "row").join(asked, "qid")
-        mean = d.groupBy("qid", F.expr(f"r div {x.m}").alias("grp")).agg(F.avg(kernel.column(sqdist(F.col("x"), F.col("q")))).alias("e"))
-        own = mean.groupBy("qid").agg(F.median("e").alias("est")).withColumn("level", F.lit(x.level))
-        est = own if est is None else est.unionByName(own)
-    return est
+    """qid, level, est at every level of all queries: for diagnoses."""
+    one = rs_level(points, kernel, n, groups, salt)
+    return reduce(DataFrame.unionByName, (one(x, queries).withColumn("level", F.lit(x.level)) for x in table))
+
+
+def rs_diagnosed(points: DataFrame, kernel: Kernel, n: int, groups: int = 3, salt: str = "diag") -> LevelEstimate:
+    """As rs_level(), but of groups * m draws a group, and exact where these are more than all rows."""
+    from .exact import kde
+
+    def estimate(x: Level, queries: DataFrame) -> DataFrame:
+        if x.m * groups > n:
+            return kde(points, queries, kernel).withColumnRenamed("density", "est")
+        return rs_level(points, kernel, n, groups, salt)(replace(x, m=x.m * groups), queries)
+
+    return estimate
 
 
 def adaptive_rs(points: DataFrame, queries: DataFrame, kernel: Kernel, tau: float, eps: float, groups: int = 3, salt: str = "ars", skip: bool = True) -> DataFrame:
     """Adaptive uniform sampling; without skip, mean relaxation."""
     n = points.count()
     table = levels(tau, eps) if skip else relaxation_levels(tau, eps)
-    return adaptive_fold(rs_levels(points, queries, kernel, table, n, groups, salt), table, n, groups, skip=skip)
+    return adaptive(queries, table, n, rs_level(points, kernel, n, groups, salt), lambda x: x.m * groups, skip=skip)
 
 
-def adaptive_hbe(points: DataFrame, queries: DataFrame, kernel: Kernel, table: list[Level], d: int, groups: int = 3, tables: int | None = None, seed: int = 11) -> DataFrame:
-    """Adaptive hashing: each level has tables of its own width and power; its
-    estimate is the median over `groups` of means over its tables."""
+def adaptive_rs_diagnosed(points: DataFrame, queries: DataFrame, kernel: Kernel, tau: float, eps: float, groups: int = 3, salt: str = "diag") -> DataFrame:
+    """As adaptive_rs(), by rs_diagnosed(): the levels that a diagnosis of estimators starts from."""
     n = points.count()
-    est = None
-    for x in table:
-        parts = None
-        for g in range(groups):
-            h = level_hashes(x, g, d, tables, seed)
-            e = hbe_uniform(points, queries, h, kernel, salt=f"ah{x.level}/{g}")
-            parts = e if parts is None else parts.unionByName(e)
-        own = parts.groupBy("qid").agg(F.median("est").alias("est")).withColumn("level", F.lit(x.level))
-        est = own if est is None else est.unionByName(own)
-    return adaptive_fold(est, table, n, groups)
+    return adaptive(queries, levels(tau, eps), n, rs_diagnosed(points, kernel, n, groups, salt), lambda x: n if x.m * groups > n else x.m * groups * groups)
+
+
+def hbe_level(points: DataFrame, kernel: Kernel, d: int, groups: int, tables: int | None = None, subsample: int | None = None, seed: int = 11) -> LevelEstimate:
+    """The median of `groups` means over tables of the level's own width and power, as many as it asks for or as are given."""
+
+    def estimate(x: Level, queries: DataFrame) -> DataFrame:
+        own = [hbe_uniform(points, queries, level_hashes(x, g, d, tables, seed), kernel, salt=f"ah{x.level}/{g}", subsample=subsample) for g in range(groups)]
+        return reduce(DataFrame.unionByName, own).groupBy("qid").agg(F.median("est").alias("est"))
+
+    return estimate
+
+
+def adaptive_hbe(points: DataFrame, queries: DataFrame, kernel: Kernel, table: list[Level], d: int, groups: int = 3, tables: int | None = None, subsample: int | None = None, seed: int = 11, skip: bool = True) -> DataFrame:
+    """Adaptive hashing; without skip, mean relaxation: levels follow one by one and only the estimate stops."""
+    n = points.count()
+    return adaptive(queries, table, n, hbe_level(points, kernel, d, groups, tables, subsample, seed), lambda x: (tables or x.m) * groups, skip=skip)
 
 
 def level_hashes(x: Level, group: int, d: int, tables: int | None = None, seed: int = 11) -> Hashes:
     return Hashes.seeded(tables or x.m, x.k, d, x.w, seed + 1000 * x.level + group)
+
+
+def above(estimates: DataFrame, queries: DataFrame, tau: float, column: str = "est") -> DataFrame:
+    """The queries whose estimate, or exact density, reaches tau."""
+    return queries.join(estimates.where(F.col(column) >= tau).select("qid"), "qid", "left_semi")
+
+
+def drawn_above(queries: DataFrame, estimate: Callable[[DataFrame], DataFrame], tau: float, count: int, salt: str = "redraw") -> DataFrame:
+    """`count` queries, or all there are, whose estimate reaches tau: queries are
+    drawn in a seeded order, in blocks that double, and those below tau are drawn anew."""
+    order = permuted(queries.select("qid", "q"), salt, "qid").persist()
+    total, size = order.count(), 2 * count
+    while True:
+        block = order.where(F.col("row") < size)
+        good = above(estimate(block.drop("row")), block, tau).where(F.col("row") < size)
+        if size >= total or good.count() >= count:
+            return good.orderBy("row").limit(count).select("qid", "q")
+        size *= 2

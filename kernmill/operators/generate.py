@@ -57,8 +57,9 @@ def gaussian_points(spark: SparkSession, n: int, covariance: np.ndarray, mean: n
     return transformed(normal_points(spark, n, len(covariance), salt), np.linalg.cholesky(covariance).T, mean)
 
 
-def mixture(spark: SparkSession, n: int, d: int, parts: int, spread: float = 0.1, means: str = "circle", salt: str = "m") -> DataFrame:
-    """id, x, part: Gaussians of one spread about means on a circle, on the corners of the cube, or at random."""
+def mixture(spark: SparkSession, n: int, d: int, parts: int, spread: float = 0.1, means: str = "circle", salt: str = "m", covariances: list[np.ndarray] | None = None) -> DataFrame:
+    """id, x, part: Gaussians about means on a circle, on the corners of the cube, or
+    at random, of one spread or each part of its own covariance."""
     base = spark.range(n).withColumn("part", F.floor(uniform("id", f"{salt}p") * parts).cast("int"))
     if means == "circle":
         angle = F.col("part") * (2 * math.pi / parts)
@@ -67,7 +68,17 @@ def mixture(spark: SparkSession, n: int, d: int, parts: int, spread: float = 0.1
         center = _vector(d, lambda j: F.pmod(F.floor(F.col("part") / F.pow(F.lit(2.0), j)), F.lit(2)).cast("double"))
     else:
         center = uniforms(F.col("part"), d, f"{salt}c")
-    return base.select("id", F.zip_with(center, normals(F.col("id"), d, salt), lambda c, z: c + z * spread).alias("x"), "part")
+    if covariances is None:
+        return base.select("id", F.zip_with(center, normals(F.col("id"), d, salt), lambda c, z: c + z * spread).alias("x"), "part")
+    factors = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in np.linalg.cholesky(c)]) for c in covariances])
+    noise = F.transform(F.element_at(factors, F.col("part") + 1), lambda row: F.aggregate(F.zip_with(row, F.col("z"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    return base.select("id", "part", normals(F.col("id"), d, salt).alias("z")).select("id", F.zip_with(center, noise, lambda c, e: c + e).alias("x"), "part")
+
+
+def random_covariance(d: int, seed: int, least: float = 0.01, largest: float = 0.1) -> np.ndarray:
+    """Of a random orientation, with variances between two bounds."""
+    q = rotation(d, seed)
+    return (q * np.random.default_rng(seed).uniform(least, largest, d)) @ q.T
 
 
 def sphere_surface(spark: SparkSession, n: int, d: int, radius: float = 1.0, salt: str = "s") -> DataFrame:

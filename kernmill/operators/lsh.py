@@ -51,6 +51,8 @@ class Hashes:
 
     def sql(self, source: str, id_: str = "id", x: str = "x") -> str:
         """The same rows in DuckDB's SQL, from a relation with (id, x)."""
+        if not self.g.shape[1]:
+            return f"select {id_}, tbl::int as tbl, '' as key from {source}, range({self.g.shape[0]}) t(tbl)"
         rows = ", ".join(f"({t}, {j}, {self.g[t, j].tolist()}::double[], {float(self.b[t, j])!r}::double)" for t in range(self.g.shape[0]) for j in range(self.g.shape[1]))
         return (
             f"select {id_}, tbl::int as tbl, string_agg(h::varchar, ',' order by j) as key from (select {id_}, tbl, j, "

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .functions.kernels import Exponential, Gaussian, Kernel, Laplace, Matern, Polynomial, should_reject
 from .functions.random import normal_sql, uniform, uniform_sql, uniform_value
-from .functions.vector import sqdist
+from .functions.vector import scale, sqdist
 from .operators import cells, cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, tree
 from .plans import planner
 from .sources import matrices
@@ -151,6 +151,7 @@ _of_kernel("kernel_polynomial", Polynomial(h=1.0, c=1.0, p=3))
 _of_kernel("kernel_matern_1_2", Matern(0.5, 0.5))
 _of_kernel("kernel_matern_3_2", Matern(0.5, 1.5))
 _of_kernel("kernel_matern_5_2", Matern(0.5, 2.5))
+_of_kernel("kernel_matern_0_8", Matern(0.7, 0.8), 9)
 _of_kernel("kernel_gaussian_half", Gaussian(0.4, half=True), 9, "part")
 
 
@@ -351,21 +352,38 @@ def _grid(spark: SparkSession) -> DataFrame:
 GRID = "grid as (select id, id * 0.02::double as c from range(1, 201) t(id))"
 
 
-@query(f"with {GRID} select id, round({scalar.erf_sql('c')}, 10) as erf, round({scalar.collision_sql('c', '1.0', '3.0')}, 10) as p, round({scalar.collision_sql('c', '1.0', '3.0', True)}, 10) as p_exact from grid")
+@query(f"with {GRID} select id, round({scalar.erf_sql('c')}, 10) as erf, round({scalar.collision_sql('c', '1.0', '3.0')}, 10) as p, round({scalar.collision_sql('c', '1.0', '3.0', True)}, 10) as p_exact, round({scalar.collision_sql('c', '5.0', '3.0', False, 1e-2)}, 10) as p_near from grid")
 def collision_grid(spark, sf_dir):
     c = F.col("c")
-    return _grid(spark).select("id", F.round(scalar.erf(c), 10).alias("erf"), F.round(scalar.collision(c, 1.0, F.lit(3.0)), 10).alias("p"), F.round(scalar.collision(c, 1.0, F.lit(3.0), exact=True), 10).alias("p_exact"))
+    return _grid(spark).select("id", F.round(scalar.erf(c), 10).alias("erf"), F.round(scalar.collision(c, 1.0, F.lit(3.0)), 10).alias("p"), F.round(scalar.collision(c, 1.0, F.lit(3.0), exact=True), 10).alias("p_exact"), F.round(scalar.collision(c, 5.0, F.lit(3.0), near=1e-2), 10).alias("p_near"))
 
 
-@query(f"""with {GRID}, mu as (select id, c / 5 as mu from grid where c < 5) select id, round(sqrt(-ln(mu)), 10) as inv_gauss, round(-ln(mu), 10) as inv_exp, round(exp(1.854::double) / sqrt(mu), 8) as rv_gauss,
-round(exp(1.5::double) / sqrt(mu), 8) as rv_exp, round(4 * exp(1.5::double) * pow(mu, -0.75::double), 8) as rvd_gauss, round(1 / mu, 8) as rv_rs from mu""")
+MUS = [k * 0.004 for k in range(1, 249)]
+
+
+@query(f"""with mu as (select id, id * 0.004::double as mu from range(1, 249) t(id)) select id, round(0.5 * sqrt(-ln(mu)), 10) as inv_gauss, round(-0.3 * ln(mu), 10) as inv_exp, round(exp(1.854::double) / sqrt(mu), 8) as rv_gauss,
+round(exp(1.5::double) / sqrt(mu), 8) as rv_exp, round(4 * exp(1.5::double) * pow(mu, -0.75::double), 8) as rvd_gauss, round(pow(mu, -0.75::double), 8) as rvd_exp from mu""")
 def kernel_bounds(spark, sf_dir):
-    mu = F.col("c") / 5
-    g, e = math.exp(1.854), math.exp(1.5)
-    return _grid(spark).where("c < 5").select(
-        "id", F.round(F.sqrt(-F.log(mu)), 10).alias("inv_gauss"), F.round(-F.log(mu), 10).alias("inv_exp"), F.round(g / F.sqrt(mu), 8).alias("rv_gauss"),
-        F.round(e / F.sqrt(mu), 8).alias("rv_exp"), F.round(4 * e * F.pow(mu, F.lit(-0.75)), 8).alias("rvd_gauss"), F.round(1 / mu, 8).alias("rv_rs"),
-    )
+    """The library's inverses and variance bounds, of which the planner's levels are made."""
+    rows = [(k, *(round(v, 10) for v in (GAUSS.inverse(mu), EXPO.inverse(mu))), *(round(v, 8) for v in (GAUSS.relative_variance(mu), EXPO.relative_variance(mu), GAUSS.relative_variance(mu, 0.75), EXPO.relative_variance(mu, 0.75)))) for k, mu in enumerate(MUS, 1)]
+    return spark.createDataFrame(rows, "id long, inv_gauss double, inv_exp double, rv_gauss double, rv_exp double, rvd_gauss double, rvd_exp double")
+
+
+@query(f"""with {P} select (select round(sqrt(2.0::double) * pow(count(*), -1.0::double / 68) , 10) from points) as scott, round(-32 * ln(2 * pi()), 9) as gauss, round(-ln(2.0::double) - 32 * ln(pi()) + lgamma(32.0::double) - lgamma(64.0::double), 9) as expo,
+round(sqrt(sum(pow(x[1] / 2, 2))), 9) as first from points""")
+def scale_factors(spark, sf_dir):
+    """Scott's factor, the logarithms of the kernels' dimension factors, and points scaled by a bandwidth."""
+    v = vectors(spark, sf_dir)
+    scaled = v.select(scale(F.col("x"), 2.0).alias("x")).agg(F.round(F.sqrt(F.sum(F.col("x")[0] * F.col("x")[0])), 9).alias("first"))
+    made = (math.sqrt(2.0) * scalar.scott(v.count(), D), GAUSS.dimension_factor(D), EXPO.dimension_factor(D))
+    return scaled.select(F.lit(round(made[0], 10)).alias("scott"), F.lit(round(math.log(made[1]), 9)).alias("gauss"), F.lit(round(math.log(made[2]), 9)).alias("expo"), "first")
+
+
+@query("""select id, least(3 * ceil(pow(0.5 * d, 2)), ceil(0.5 * d * sqrt(pi() / 2)))::int as k, ceil(sqrt(2 * pi()) * 0.5 * ln(1 / (id * 0.01::double)))::int as of_density, ceil(0.5 * sqrt(pi() / 2) * d)::int as of_width,
+round(5 / (0.5 * sqrt(pi() / 2)), 10) as width from (select id, id * 0.13::double as d from range(1, 100) t(id))""")
+def hash_parameters(spark, sf_dir):
+    rows = [(k, scalar.hash_power(k * 0.13), scalar.hash_power_of_density(k * 0.01), scalar.hash_power_of_width(k * 0.13), round(scalar.hash_width(5), 10)) for k in range(1, 100)]
+    return spark.createDataFrame(rows, "id long, k int, of_density int, of_width int, width double")
 
 
 @query(f"""with {GRID} select id, least(9, ceil(ln(mu * exp(2 / pi())) / ln(0.25::double))::int)::int as g, least(9, ceil(ln(mu) / ln(0.25::double))::int)::int as e,
@@ -579,20 +597,81 @@ def sketch_members(spark, sf_dir):
     return estimators.sketch_members(vectors(spark, sf_dir), SKETCH[0]).select("id", "size", F.round("prob", 10).alias("prob"), F.round("weight", 8).alias("weight"))
 
 
-@query()
+def _members_sql(hashes: lsh.Hashes, p: str, source: str = "points") -> str:
+    """Members of a sketch, as CTEs; the last, c, with running sums of probabilities."""
+    prob = f"pow(size::double, g) / t / size"
+    return f"""k{p} as ({hashes.sql(source)}), s{p} as (select key, count(*) as size from k{p} group by key), g{p} as (select {GAMMA}::double as g, sum(size) as n from s{p}), t{p} as (select sum(pow(size::double, g)) as t from s{p}, g{p}),
+m{p} as (select id, {prob} as prob, 1 / ({prob} * n) as weight from k{p} join s{p} using (key), g{p}, t{p}), c{p} as (select *, sum(prob) over (order by id) as hi, sum(prob) over () as tot from m{p})"""
+
+
+def _drawn_sql(p: str, m: int, salt: str) -> str:
+    return f"select r, id, weight from c{p}, (select r, {uniform_sql('r', chr(39) + salt + chr(39))} as u from range({m}) t(r)) where u * tot >= hi - prob and u * tot < hi"
+
+
+def _hbs_sql(tables: list[lsh.Hashes], m: int, salt: str, p: str) -> tuple[str, str]:
+    """CTEs, and (id, weight) of the draws of all tables."""
+    ctes, draws = [], []
+    for k, h in enumerate(tables):
+        own, source = m // len(tables) + (m % len(tables) if k == 0 else 0), "points"
+        if len(tables) > 2:
+            source = f"r{p}{k}"
+            ctes.append(f"{source} as (select * from points order by {uniform_sql('id', chr(39) + f'{salt}{k}-rows' + chr(39))}, id limit (select 2 * count(*) // {len(tables)} from points))")
+        ctes.append(_members_sql(h, f"{p}{k}", source))
+        draws.append(f"select id, weight / {m} as w from ({_drawn_sql(f'{p}{k}', own, f'{salt}{k}')})")
+    return ", ".join(ctes), " union all ".join(draws)
+
+
+def _evaluated(draws: str) -> str:
+    return f"select qid, sum(e.w * {EXPO.sql('d2')}) as est from ({draws}) e join pairs using (id) group by qid"
+
+
+_HBS = _hbs_sql(SKETCH, 100, "hbs", "h")
+
+
+@query(f"with {P}, {_HBS[0]} select qid, round(est, 9) as est from ({_evaluated(_HBS[1])})")
 def hbs_sketch(spark, sf_dir):
     v = vectors(spark, sf_dir)
     sketch = estimators.hbs_sketch(v, SKETCH, 100)
     return rounded(estimators.evaluate_sketch(sketch, v, asked(v), EXPO), "est")
 
 
-@query()
+def _hbe_sketch_sql(scales: int | None) -> str:
+    """Tables over weighted draws from two sketches in turn, with or without scales."""
+    draws = " union all ".join(f"select id, {t} as tbl, weight from ({_drawn_sql(str(t % 2), 22, f'hs{t}')})" for t in range(8))
+    step = f"(pow(high / low, 1.0::double / {scales}) * 1.1)"
+    scale_, by = (f"floor(ln(one / low) / ln({step}))::int", ", scale") if scales else ("0", "")
+    return f"""with {P}, {_members_sql(SKETCH[0], "0")}, {_members_sql(SKETCH[1], "1")}, keyed as ({HASHES.sql("points")}),
+each as (select id, tbl::int as tbl, sum(weight) as w, max(weight) as one from ({draws}) group by all), ends as (select min(one) as low, max(one) as high from each),
+table_ as (select tbl, key{by}, sum(w) / 22 as mass, {_race("w", "hs")} as id from (select e.*, {scale_} as scale, key from each e join keyed using (id, tbl), ends) group by tbl, key{by}),
+met as (select k.id as qid, k.tbl, t.mass, t.id from keyed k left join table_ t using (tbl, key)),
+z as (select qid, sum({EXPO.sql("d2")} / {COLLIDE} * mass) as z from met join pairs using (qid, id) group by qid)
+select qid, round(coalesce(z, 0) / 8, 8) as est from queries left join z using (qid)"""
+
+
+@query(_hbe_sketch_sql(None))
 def hbe_sketch(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return rounded(estimators.hbe_sketch(v, asked(v), HASHES, SKETCH[:2], EXPO, 22), "est", places=8)
 
 
-@query()
+@query(_hbe_sketch_sql(3))
+def hbe_sketch_scales(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(estimators.hbe_sketch(v, asked(v), HASHES, SKETCH[:2], EXPO, 22, scales=3), "est", places=8)
+
+
+@query(_hbe_sketch_sql(None))
+def hbe_sketch_given(spark, sf_dir):
+    """Sketches that are given as rows, by their ids."""
+    v = vectors(spark, sf_dir)
+    given = [estimators.sketch_members(v, h) for h in SKETCH[:2]]
+    return rounded(estimators.hbe_sketch(v, asked(v), HASHES, given, EXPO, 22), "est", places=8)
+
+
+_MEDIAN = [_hbs_sql([h], 50, f"s{k}", f"d{k}") for k, h in enumerate(SKETCH)]
+
+
+@query(f"with {P}, {', '.join(c for c, _ in _MEDIAN)} select qid, round(median(est), 9) as est from ({' union all '.join(_evaluated(d) for _, d in _MEDIAN)}) group by qid")
 def sketch_median(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return rounded(estimators.median_of_sketches([estimators.hbs_sketch(v, [h], 50, f"s{k}") for k, h in enumerate(SKETCH)], v, asked(v), EXPO), "est")
@@ -620,11 +699,12 @@ A_LEVELS = estimators.levels(A_TAU, A_EPS)
 FOLD_KERNEL = Exponential(0.8)
 
 
-def _walk_sql(levels: list[estimators.Level]) -> str:
+def _walk_sql(levels: list[estimators.Level], cost: str = "m * 3", skip: bool = True) -> str:
     """The walk over levels, from a relation lv(qid, level, est)."""
     rows = _level_rows(levels)
+    stop, jump = (f"est >= mu or {cost} > (select count(*) from points)", "case when est > 0 then floor(ln(est) / ln(0.5::double))::int else lv.level + 1 end") if skip else ("est >= mu", "lv.level + 1")
     return f"""lt as (select * from ({rows}) as t(level, mu, m)),
-step as (select qid, lv.level, est, m * 3 as cost, est >= mu or m * 3 > (select count(*) from points) as stop, greatest(case when est > 0 then floor(ln(est) / ln(0.5::double))::int else lv.level + 1 end, lv.level + 1) as next from lv join lt on lt.level = lv.level),
+step as (select qid, lv.level, est, {cost} as cost, {stop} as stop, greatest({jump}, lv.level + 1) as next from lv join lt on lt.level = lv.level),
 walk as (select qid, level, est, cost::bigint as samples, stop, next from step where level = 0
     union all select s.qid, s.level, s.est, w.samples + s.cost, s.stop, s.next from walk w join step s on s.qid = w.qid and s.level = w.next where not w.stop)
 select qid, round(arg_max(est, level), 9) as est, max(samples)::bigint as samples, max(level)::int as level from walk group by qid"""
@@ -663,32 +743,96 @@ def diag_actual_level(spark, sf_dir):
     return diagnose.actual_level(est, exact.kde(v, asked(v), FOLD_KERNEL), len(A_LEVELS) - 1, 0.1)
 
 
-@query()
+def _hbe_levels_sql(levels: list[estimators.Level], groups: int, tables: int) -> str:
+    """(qid, level, est) of hashing estimates: at each level the median over groups of tables."""
+    out = []
+    for x in levels:
+        for g in range(groups):
+            h, p = estimators.level_hashes(x, g, D, tables), f"{x.level}/{g}"
+            collide = scalar.collision_sql("sqrt(d2)", repr(h.width), f"{float(x.k)}")
+            keyed = h.sql("points")
+            table = f"select tbl, key, count(*) / (select count(*) from points)::double as mass, {_race(salt=f'ah{p}')} as id from ({keyed}) group by tbl, key"
+            z = f"select qid, sum({FOLD_KERNEL.sql('d2')} / {collide} * mass) as z from (select k.id as qid, t.id, t.mass from ({keyed}) k join ({table}) t using (tbl, key)) join pairs using (qid, id) group by qid"
+            out.append(f"select qid, {x.level} as level, coalesce(z, 0) / {tables} as e from queries left join ({z}) using (qid)")
+    return f"select qid, level, median(e) as est from ({' union all '.join(out)}) group by qid, level"
+
+
+RH_LEVELS = estimators.relaxation_levels(1 / 4, 0.8, Gaussian())
+
+
+@query(f"with recursive {P}, lv as ({_hbe_levels_sql(RH_LEVELS, 1, 4)}), {_walk_sql(RH_LEVELS, '4', False)}")
 def relaxation_hbe(spark, sf_dir):
     """Mean relaxation over hashing levels, from density one on."""
     v = vectors(spark, sf_dir)
-    table = estimators.relaxation_levels(1 / 4, 0.8, Gaussian())
-    return rounded(estimators.adaptive_hbe(v, asked(v), FOLD_KERNEL, table, D, groups=1, tables=4), "est")
+    return rounded(estimators.adaptive_hbe(v, asked(v), FOLD_KERNEL, RH_LEVELS, D, groups=1, tables=4, skip=False), "est")
 
 
-B_LEVELS = [estimators.Level(i, 2.0 ** -(i + 1), 8 << i, 0.0, 2, 4.0 / (i + 1)) for i in range(3)]
+AH_LEVELS = estimators.levels(1 / 8, 0.8, Gaussian())
 
 
-@query()
+@query(f"with recursive {P}, lv as ({_hbe_levels_sql(AH_LEVELS, 3, 4)}), {_walk_sql(AH_LEVELS, '12')}")
 def adaptive_hbe(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return rounded(estimators.adaptive_hbe(v, asked(v), FOLD_KERNEL, B_LEVELS, D, tables=6), "est")
+    return rounded(estimators.adaptive_hbe(v, asked(v), FOLD_KERNEL, AH_LEVELS, D, tables=4), "est")
+
+
+D_LEVELS = [estimators.Level(x.level, x.mu, 3 * x.m, 0.0, 0, 0.0) for x in A_LEVELS]
+_DIAGNOSED = " union all ".join(
+    f"select qid, level, case when {x.m} * 3 > (select count(*) from points) then full_ else est end as est from ({_ars_levels([d], 'diag')}) join (select qid, avg({FOLD_KERNEL.sql('d2')}) as full_ from pairs group by qid) using (qid)"
+    for x, d in zip(A_LEVELS, D_LEVELS, strict=True)
+)
+_DIAG_COST = "case when m * 3 > (select count(*) from points) then (select count(*) from points) else m * 9 end"
+
+
+@query(f"with recursive {P}, {_rows()}, lv as ({_DIAGNOSED}), {_walk_sql(A_LEVELS, _DIAG_COST).replace(f'or {_DIAG_COST} >', 'or m * 9 >')}")
+def adaptive_rs_diagnosed(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(estimators.adaptive_rs_diagnosed(v, asked(v), FOLD_KERNEL, A_TAU, A_EPS), "est")
+
+
+_TRUE = f"truth as (select qid, avg({EXPO.sql('d2')}) as density from pairs group by qid)"
+
+
+@query(f"with {P}, {_TRUE} select qid from truth join queries using (qid) where density >= (select median(density) from truth)")
+def queries_above(spark, sf_dir):
+    """Queries whose exact density reaches a bound: here the median."""
+    v = vectors(spark, sf_dir)
+    truth = exact.kde(v, asked(v), EXPO)
+    tau = truth.agg(F.median("density")).first()[0]
+    return estimators.above(truth, asked(v), tau, "density").select("qid")
+
+
+@query(f"""with {P}, {_rows()}, drawn as ({_draws_sql(64, "rs")}), est as (select qid, avg({GAUSS.sql("d2")}) as est from drawn join rows_ using (row) join pairs using (qid, id) group by qid)
+select qid from est where est >= 0.001 order by {uniform_sql("qid", "'redraw'")}, qid limit 40""")
+def queries_redrawn(spark, sf_dir):
+    """Forty queries whose estimate reaches a bound; others are drawn anew."""
+    v = vectors(spark, sf_dir)
+    return estimators.drawn_above(asked(v), lambda q: estimators.random_sampling(v, q, GAUSS, 64), 0.001, 40).select("qid")
+
+
+@query(f"""with {P}, {_rows()}, e as ({" union all ".join(f"select qid, avg({GAUSS.sql('d2')}) as e from ({_draws_sql(40, f'mom/{g}')}) join rows_ using (row) join pairs using (qid, id) group by qid" for g in range(3))}),
+m as (select qid, median(e) as est from e group by qid) select qid, round(case when est < 0.002 then 0 else est end, 9) as est from m""")
+def mean_of_means(spark, sf_dir):
+    """The median of means of an estimator of one's own, small estimates as zero."""
+    v = vectors(spark, sf_dir)
+    return rounded(estimators.mean_of_means(lambda q, m, salt: estimators.random_sampling(v, q, GAUSS, m, salt), asked(v), 40, 3, 0.002), "est")
 
 
 # ------------------------------------------------------------------- diagnosis
-DIAG = f"""with {P}, con as (select qid, id, {GAUSS.sql("d2")} as c, {scalar.collision_sql("sqrt(d2)", "1.5", "4.0")} as p from pairs), con1 as (select * from con where c < 1),
-m as (select *, count(*) over (partition by qid) as n, avg(c) over (partition by qid) as u from con1),
-h as (select *, sum(case when c < u then c else 0 end) over (partition by qid) / n as u4,
+def _diag_ctes(width: float, power: int, p: str = "") -> str:
+    """Rings and their statistics, the last as <p>stats."""
+    return f"""{p}con as (select qid, id, {GAUSS.sql("d2")} as c, {scalar.collision_sql("sqrt(d2)", repr(width), repr(float(power)))} as p from pairs), {p}con1 as (select * from {p}con where c < 1),
+{p}m as (select *, count(*) over (partition by qid) as n, avg(c) over (partition by qid) as u from {p}con1),
+{p}h as (select *, sum(case when c < u then c else 0 end) over (partition by qid) / n as u4,
   coalesce(sum(case when c >= u then c else 0 end) over (partition by qid order by c, id rows between unbounded preceding and 1 preceding), 0) / n as up,
-  coalesce(sum(c) over (partition by qid order by c desc, id desc rows between unbounded preceding and 1 preceding), 0) / n as down from m),
-rings as (select *, case when c < u then 4 when up < (0.5 * u - u4) / 2 then 3 when down < (0.5 * u - u4) / 2 then 1 else 2 end as ring from h),
-stats as (select qid, ring, count(*) as cnt, sum(c) / max(n) as mass, count(*) / max(n) as share, coalesce(max(c) filter (c >= 1e-10), 0) as w_max, coalesce(min(c) filter (c >= 1e-10), 1) as w_min,
-  coalesce(min(p) filter (c >= 1e-10), 1) as p_min, max(c / p) filter (c >= 1e-10) as wp_max, min(c / p) filter (c >= 1e-10) as wp_min, max(c / p / p) filter (c >= 1e-10) as wpp_max from rings group by qid, ring)"""
+  coalesce(sum(c) over (partition by qid order by c desc, id desc rows between unbounded preceding and 1 preceding), 0) / n as down from {p}m),
+{p}rings as (select *, case when c < u then 4 when up < (0.5 * u - u4) / 2 then 3 when down < (0.5 * u - u4) / 2 then 1 else 2 end as ring from {p}h),
+{p}stats as (select qid, ring, count(*) as cnt, sum(c) / max(n) as mass, count(*) / max(n) as share, coalesce(max(c) filter (c >= 1e-10), 0) as w_max, coalesce(min(c) filter (c >= 1e-10), 1) as w_min,
+  coalesce(min(p) filter (c >= 1e-10), 1) as p_min, max(c / p) filter (c >= 1e-10) as wp_max, min(c / p) filter (c >= 1e-10) as wp_min, max(c / p / p) filter (c >= 1e-10) as wpp_max from {p}rings group by qid, ring)"""
+
+
+DIAG_QUERIES = P.replace("queries as (select id as qid, x as q, label as qlabel from points)", f"queries as (select id as qid, x as q, label as qlabel from points order by {uniform_sql('id', chr(39) + 'diag' + chr(39))}, id limit 300)")
+DIAG_SAMPLED = f"with {DIAG_QUERIES}, {_diag_ctes(1.5, 4)}"
 
 
 def _stats(spark, sf_dir):
@@ -698,7 +842,6 @@ def _stats(spark, sf_dir):
     return diagnose.ring_stats(diagnose.ringed(diagnose.contributions(v, q, GAUSS, 1.5, 4)))
 
 
-DIAG_SAMPLED = DIAG.replace("queries as (select id as qid, x as q, label as qlabel from points)", f"queries as (select id as qid, x as q, label as qlabel from points order by {uniform_sql('id', chr(39) + 'diag' + chr(39))}, id limit 300)")
 
 
 @query(f"{DIAG_SAMPLED} select qid, ring::int as ring, cnt, round(mass, 9) as mass, round(w_max, 9) as w_max, round(w_min, 9) as w_min from stats")
@@ -713,11 +856,33 @@ def diag_bound_rs(spark, sf_dir):
     return diagnose.variance_bounds(_stats(spark, sf_dir)).select("qid", F.round("rs", 9).alias("rs"))
 
 
-@query()
+def _hbe_bound(stats: str = "stats") -> str:
+    return f"""select qid, two.b + coalesce(one.b, 0) + coalesce(l.wp_max * l.mass, 0) as hbe from
+(select a.qid, sum(coalesce(case when a.ring = b.ring then greatest(1 / a.p_min, a.wpp_max / a.wp_min) when a.ring < b.ring then a.wpp_max / b.wp_min else a.wp_max / b.w_min end, 0) * a.mass * b.mass) as b
+    from {stats} a join {stats} b using (qid) where a.ring < 4 and b.ring < 4 group by a.qid) two
+left join (select a.qid, sum(coalesce(l.share * a.wpp_max, 0) * a.mass) as b from {stats} a join {stats} l using (qid) where a.ring < 4 and l.ring = 4 group by a.qid) one using (qid)
+left join (select * from {stats} where ring = 4) l using (qid)"""
+
+
+@query(f"{DIAG_SAMPLED} select qid, round(hbe, 6) as hbe from ({_hbe_bound()})")
 def diag_bound_hbe(spark, sf_dir):
     return diagnose.variance_bounds(_stats(spark, sf_dir)).select("qid", F.round("hbe", 6).alias("hbe"))
 
 
+SCHEMES = {"narrow": (1.0, 2), "middle": (1.5, 4), "wide": (4.0, 8)}
+
+
+_SCHEME_CTES = ", ".join(_diag_ctes(w, k, f"{name}_") for name, (w, k) in SCHEMES.items())
+
+
+@query(f"with {DIAG_QUERIES}, {_SCHEME_CTES} " + " union all ".join(f"select qid, '{name}' as scheme, round(hbe, 6) as hbe from ({_hbe_bound(f'{name}_stats')})" for name in SCHEMES))
+def scheme_bounds(spark, sf_dir):
+    """Bounds of several hashing schemes at once."""
+    v = vectors(spark, sf_dir)
+    q = sampling.pick_set(asked(v), 300, "diag", "qid")
+    return diagnose.scheme_bounds(v, q, GAUSS, SCHEMES).select("qid", "scheme", F.round("hbe", 6).alias("hbe"))
+
+
 # ------------------------------------------------------------------- clustering
 def _kcenter_sql(k: int) -> str:
     """Farthest-point seeds by a fixed unroll."""
@@ -734,12 +899,21 @@ def kcenter_summary(spark, sf_dir):
     return s.select("cluster", "n", F.round(F.col("center")[0], 7).alias("a"), F.round(F.col("center")[1], 7).alias("b"), F.round("radius", 7).alias("radius"))
 
 
-@query(f"with {PART}, {_kcenter_sql(5)}, c as (select cluster, [avg(x[1]), avg(x[2])] as m from own group by cluster), two as (select p.id, arg_min(c.cluster, [pow(p.x[1] - c.m[1], 2) + pow(p.x[2] - c.m[2], 2), c.cluster]) as cluster from points p, c group by p.id) select cluster::int as cluster, count(*) as n from two group by cluster")
+def _nearest_sql(c: str) -> str:
+    """(id, x, cluster, d) of the points by the nearest center of a relation (cluster, m)."""
+    return f"select p.id, p.x, arg_min(c.cluster, [pow(p.x[1] - c.m[1], 2) + pow(p.x[2] - c.m[2], 2), c.cluster]) as cluster, min(pow(p.x[1] - c.m[1], 2) + pow(p.x[2] - c.m[2], 2)) as d from points p, {c} c group by p.id, p.x"
+
+
+def _lloyd_sql(first: str, rounds: int) -> str:
+    """Centers c<rounds> after so many steps from a relation c0 of (cluster, m)."""
+    steps = [f"c{i} as (select cluster, [avg(x[1]), avg(x[2])] as m from ({_nearest_sql(f'c{i - 1}')}) group by cluster)" for i in range(1, rounds + 1)]
+    return ", ".join([f"c0 as ({first})", *steps])
+
+
+@query(f"with {PART}, {_kcenter_sql(5)}, {_lloyd_sql('select n as cluster, x as m from k4', 1)} select cluster::int as cluster, count(*) as n from ({_nearest_sql('c1')}) group by cluster")
 def kmeans_one_step(spark, sf_dir):
     v = parts(spark, sf_dir).cache()
-    seeds = [x for _, x in cluster.kcenter(v, 5)]
-    moved = {r["cluster"]: list(r["center"]) for r in cluster.means(cluster.assigned(v, seeds)).collect()}
-    centers = [moved.get(k, x) for k, x in enumerate(seeds)]
+    centers, _ = cluster.lloyd(v, [x for _, x in cluster.kcenter(v, 5)], rounds=1, tolerance=-1.0)
     return cluster.assigned(v, centers).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
@@ -749,11 +923,22 @@ def kmeans_variance_ratio(spark, sf_dir):
     return cluster.variance_ratio(v, [x for _, x in cluster.kcenter(v, 5)]).select(F.round("ratio", 7).alias("ratio"))
 
 
-@query()
+def _seeds_sql(k: int) -> str:
+    """Seeds by squared distance, as rows (cluster, m) s0 ... of k relations that grow."""
+    out = [f"s0 as (select 0 as cluster, x as m from points order by {uniform_sql('id', chr(39) + 'seed0' + chr(39))} limit 1)"]
+    for i in range(1, k):
+        u = uniform_sql("id", f"'seed{i}'")
+        out.append(f"s{i} as (select * from s{i - 1} union all (select {i}, x from ({_nearest_sql(f's{i - 1}')}) where d > 0 order by -ln({u}) / d, id limit 1))")
+    return ", ".join(out)
+
+
+@query(f"with {PART}, {_seeds_sql(4)}, {_lloyd_sql('select * from s3', 6)} select cluster::int as cluster, round(m[1], 6) as a, round(m[2], 6) as b, n from c6 join (select cluster, count(*) as n from ({_nearest_sql('c6')}) group by cluster) using (cluster)")
 def kmeans_lloyd(spark, sf_dir):
+    """Six steps from seeds by distance."""
     v = parts(spark, sf_dir).cache()
-    centers, _ = cluster.lloyd(v, cluster.seeds_by_distance(v, 4), rounds=10)
-    return cluster.assigned(v, centers).groupBy("cluster").agg(F.count("*").alias("n"))
+    centers, _ = cluster.lloyd(v, cluster.seeds_by_distance(v, 4), rounds=6, tolerance=-1.0)
+    rows = spark.createDataFrame([(k, round(a, 6), round(b, 6)) for k, (a, b) in enumerate(centers)], "cluster int, a double, b double")
+    return rows.join(cluster.assigned(v, centers).groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
 
 
 # ------------------------------------------------------------- Gauss transform
@@ -897,26 +1082,64 @@ def generate_normal(spark, sf_dir):
 
 
 INSTANCE = generate.Instance(30, 12, 3, 0.01, 30, 0.02)
+_FAR = INSTANCE.kernel.inverse(INSTANCE.density)
+_DIRECTIONS = f"dirs as (select c, j, z / sqrt(sum(z * z) over (partition by c)) as a from (select c, j, {normal_sql('c || chr(47) || j', 'instanced')} as z from range({INSTANCE.clusters}) t(c), range({INSTANCE.d}) u(j)))"
 
 
-@query()
+def _instance_sql() -> str:
+    parts, base = [], 0
+    for s_, r, n in INSTANCE.layout():
+        noise = INSTANCE.spread * r / math.sqrt(INSTANCE.d)
+        parts.append(f"select id + {base} as id, (id // {n})::int as cluster, {s_} as scale, {r!r}::double as r, {noise!r}::double as noise from range({n * INSTANCE.clusters}) t(id)")
+        base += n * INSTANCE.clusters
+    return f"rows_ as ({' union all '.join(parts)}), long as (select id, cluster, scale, j, a * r + {normal_sql('id || chr(47) || j', 'instancex')} * noise as v from rows_ join dirs on c = cluster)"
+
+
+@query(f"with {_DIRECTIONS}, {_instance_sql()} select id, cluster, scale, round(sqrt(sum(v * v)), 7) as r, round(sum(v) filter (j = 0), 7) as x0 from long group by all")
 def generate_instance(spark, sf_dir):
     x = INSTANCE.frame(spark)
-    return x.groupBy("scale", "cluster").agg(F.count("*").alias("n"), F.round(F.avg(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))), 4).alias("r"))
+    return x.select("id", "cluster", "scale", F.round(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), 7).alias("r"), F.round(F.col("x")[0], 7).alias("x0"))
 
 
-@query()
+@query(f"""with {_DIRECTIONS}, r as (select id, {uniform_sql("id", "'instancer'")} * {_FAR!r}::double as r, floor({uniform_sql("id", "'instancec'")} * {INSTANCE.clusters})::int as c from range(100) t(id))
+select 'correlated' as kind, id as qid, round(a * r, 7) as q0 from r join dirs using (c) where j = 0
+union all select 'free', id, round({normal_sql("id || chr(47) || 0", "instanceq")} * r / {math.sqrt(INSTANCE.d)!r}::double, 7) from r""")
 def generate_queries(spark, sf_dir):
     both = INSTANCE.queries(spark, 100).withColumn("kind", F.lit("correlated")).unionByName(INSTANCE.queries(spark, 100, False).withColumn("kind", F.lit("free")))
-    return both.select("kind", "qid", F.round(F.col("q")[0], 6).alias("q0"))
-
-
-@query()
+    return both.select("kind", "qid", F.round(F.col("q")[0], 7).alias("q0"))
+
+
+COVARIANCE = np.array([[2.0, 0.5], [0.5, 1.0]])
+PART_COVARIANCES = [generate.random_covariance(2, k) for k in range(3)]
+
+
+def _shapes_sql() -> str:
+    z = lambda j, salt: normal_sql(f"id || chr(47) || {j}", salt)
+    u = lambda key, salt: uniform_sql(key, f"'{salt}'")
+    size = lambda salt: "sqrt(" + " + ".join(f"pow({z(j, salt)}, 2)" for j in range(3)) + ")"
+    part = lambda n: f"floor({u('id', 'mp')} * {n})::int"
+    turn = generate.rotation(5, 5)[:2, 0].tolist()
+    factors = [np.linalg.cholesky(c)[0, 0] for c in PART_COVARIANCES]
+    first = {
+        "circle": f"cos({part(4)} * {2 * math.pi / 4!r}::double) + {z(0, 'm')} * 0.1",
+        "cube": f"({part(8)} % 2) + {z(0, 'm')} * 0.1",
+        "random": f"{u(part(4) + ' || chr(47) || 0', 'mc')} + {z(0, 'm')} * 0.1",
+        "covariances": f"cos({part(3)} * {2 * math.pi / 3!r}::double) + {z(0, 'm')} * ({np.array(factors).tolist()}::double[])[{part(3)} + 1]",
+        "surface": f"{z(0, 's')} / {size('s')}",
+        "spheres": f"{z(0, 'b')} / {size('b')} * pow({u('id', 'br')}, {1 / 3!r}::double) * 0.45 + id % 5",
+        "line": f"({u('chr(100) || chr(105) || chr(114) || chr(47) || 0', 'l')} - 0.5) * ({u('id', 'l')} * 2 - 1)",
+        "gauss": f"{z(0, 'g')} * {float(np.linalg.cholesky(COVARIANCE)[0, 0])!r}::double",
+        "embedded": f"{u('id || chr(47) || 0', 'u')} * {turn[0]!r}::double + {u('id || chr(47) || 1', 'u')} * {turn[1]!r}::double",
+    }
+    return " union all ".join(f"select '{k}' as shape, id, round({v}, 7) as x0 from range(500) t(id)" for k, v in first.items())
+
+
+@query(_shapes_sql())
 def generate_shapes(spark, sf_dir):
-    made = {"circle": generate.mixture(spark, 500, 3, 4), "cube": generate.mixture(spark, 500, 3, 8, means="cube"), "random": generate.mixture(spark, 500, 3, 4, means="random"), "surface": generate.sphere_surface(spark, 500, 3), "spheres": generate.spheres(spark, 500, 3, 5), "line": generate.line(spark, 500, 3), "gauss": generate.gaussian_points(spark, 500, np.array([[2.0, 0.5], [0.5, 1.0]])), "embedded": generate.embedded(generate.uniform_points(spark, 500, 2), 2, 5)}
+    made = {"circle": generate.mixture(spark, 500, 3, 4), "cube": generate.mixture(spark, 500, 3, 8, means="cube"), "random": generate.mixture(spark, 500, 3, 4, means="random"), "covariances": generate.mixture(spark, 500, 2, 3, covariances=PART_COVARIANCES), "surface": generate.sphere_surface(spark, 500, 3), "spheres": generate.spheres(spark, 500, 3, 5), "line": generate.line(spark, 500, 3), "gauss": generate.gaussian_points(spark, 500, COVARIANCE), "embedded": generate.embedded(generate.uniform_points(spark, 500, 2), 2, 5)}
     out = None
     for name, x in made.items():
-        own = x.agg(F.count("*").alias("n"), F.round(F.avg(F.col("x")[0]), 5).alias("mean")).select(F.lit(name).alias("shape"), "n", "mean")
+        own = x.select(F.lit(name).alias("shape"), "id", F.round(F.col("x")[0], 7).alias("x0"))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -951,6 +1174,26 @@ def io_matrix_csv(spark, sf_dir):
     return matrices.read_csv_matrix(spark, path, 1, 1).select("id", F.round(F.col("x")[0], 6).alias("b"))
 
 
+@query(f"with {P} select qid, round(sum(w * {GAUSS.sql('d2')}), 8) as potential from pairs group by qid")
+def io_potentials(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    path = _scratch(spark, "potentials")
+    matrices.write_potentials(exact.kernel_sums(v, asked(v), GAUSS, weights=["w"]).withColumnRenamed("sum", "potential"), path)
+    return rounded(matrices.read_potentials(spark, path), "potential", places=8)
+
+
+@query(f"with {PART}, {_kcenter_sql(5)}, c as (select n as cluster, x as m from k4) select id, cluster::int as cluster, round(d, 7) as d from ({_nearest_sql('c')})")
+def io_clusters(spark, sf_dir):
+    """Written as members and centers, read back, and distances taken anew."""
+    v = parts(spark, sf_dir).cache()
+    centers = [x for _, x in cluster.kcenter(v, 5)]
+    path = _scratch(spark, "clusters")
+    matrices.write_clusters(cluster.assigned(v, centers).select("id", "cluster"), centers, path)
+    members, read_back = matrices.read_clusters(spark, path)
+    both = members.join(read_back.select(F.col("id").alias("cluster"), F.col("x").alias("c")), "cluster").join(v, "id")
+    return both.select("id", "cluster", F.round(sqdist(F.col("x"), F.col("c")), 7).alias("d"))
+
+
 @query("select s_suppkey as id, round(1 / sqrt((select count(*) from supplier)), 9) as charge from supplier")
 def source_charges(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
@@ -958,20 +1201,18 @@ def source_charges(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- streaming
-@query(f"with {KEYS} select tbl, key, count(*) as cnt, {_race()} as rep_id from keyed group by tbl, key")
+@query(f"with {KEYS} select tbl, key, count(*) as cnt, count(*)::double as wsum, {_race()} as rep_id from keyed group by tbl, key")
 def stream_buckets(spark, sf_dir):
-    """Bucket tables kept over a stream of the embeddings' file."""
-    import uuid
-
+    """Bucket tables kept over a stream of the embeddings' file, in the shared folder."""
     from .streaming.buckets import bucket_stream
 
     schema = read(spark, sf_dir, "embeddings").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/embeddings.parquet*")
     points = raw.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    name = f"buckets_{uuid.uuid4().hex}"
-    run = bucket_stream(points, HASHES).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _scratch(spark, "stream")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("tbl", "key", "cnt", "rep_id")
+    path = _scratch(spark, "buckets")
+    kept = bucket_stream(points, HASHES).writeStream.outputMode("complete").foreachBatch(lambda table, _: table.write.mode("overwrite").parquet(path))
+    kept.option("checkpointLocation", _scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("tbl", "key", "cnt", "wsum", "rep_id")
 
 
 FLAGSHIP = "exact_kde_gaussian"

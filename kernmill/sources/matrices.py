@@ -74,6 +74,41 @@ def write_knn(lists: DataFrame, path: str) -> None:
     lists.groupBy("qid").agg(body.alias("b")).select(F.concat_ws(" ", F.col("qid").cast("string"), "b").alias("value")).write.text(path)
 
 
+def write_queries(queries: DataFrame, path: str, sep: str = ", ") -> None:
+    """Lines of numbers of (qid, q), in the order of the ids."""
+    write_matrix(in_order(queries.select("qid", F.col("q").alias("x")), "qid"), path, sep)
+
+
+def write_potentials(potentials: DataFrame, path: str, column: str = "potential") -> None:
+    """A line `qid potential` for each target, in the order of the ids, whatever order they were computed in."""
+    in_order(potentials, "qid").select(F.concat_ws(" ", F.col("qid").cast("string"), F.col(column).cast("string")).alias("value")).write.text(path)
+
+
+def read_potentials(spark: SparkSession, path: str) -> DataFrame:
+    """qid and potential."""
+    p = F.split("value", " ")
+    return spark.read.text(path).select(p[0].cast("long").alias("qid"), p[1].cast("double").alias("potential"))
+
+
+def write_clusters(assigned: DataFrame, centers: list[list[float]], path: str) -> None:
+    """Under path/members lines `id cluster` in the order of the ids, under path/centers the centers as a matrix."""
+    spark = assigned.sparkSession
+    in_order(assigned, "id").select(F.concat_ws(" ", F.col("id").cast("string"), F.col("cluster").cast("string")).alias("value")).write.text(f"{path}/members")
+    rows = spark.createDataFrame([(k, [float(v) for v in c]) for k, c in enumerate(centers)], "id long, x array<double>")
+    write_matrix(in_order(rows, "id"), f"{path}/centers", " ")
+
+
+def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster), and the centers as (id, x)."""
+    p = F.split("value", " ")
+    return spark.read.text(f"{path}/members").select(p[0].cast("long").alias("id"), p[1].cast("int").alias("cluster")), read_text_matrix(spark, f"{path}/centers")
+
+
+def in_order(rows: DataFrame, id_: str) -> DataFrame:
+    """Rows dealt by ranges of the ids and sorted, so that files in their order, and lines in them, ascend."""
+    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_).sortWithinPartitions(id_)
+
+
 def read_knn(spark: SparkSession, path: str) -> DataFrame:
     """qid, rank, dist2, id."""
     parts = spark.read.text(path).select(F.split("value", " ").alias("p"))

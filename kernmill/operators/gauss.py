@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -210,61 +211,92 @@ def interpolative(a: np.ndarray, rank: int | None = None, tolerance: float = 1e-
     return picks, np.linalg.lstsq(a[:, picks], a, rcond=None)[0] if picks else np.zeros((0, a.shape[1]))
 
 
-def skeleton_transform(points: DataFrame, queries: DataFrame, kernel: Gaussian, depth: int, rank: int, near: float, samples: int = 256, weight: str = "w") -> DataFrame:
-    """qid, potential: a treecode over the leaves of a space partition. A leaf
-    within `near` of the query's is summed exactly; a farther one acts through at
-    most `rank` skeleton points, whose charges an interpolative decomposition
-    against sampled targets gives."""
-    from .cluster import space_partition
-    from .exact import kernel_sums
-    from .sampling import pick_set
+@dataclass
+class Treecode:
+    """A space partition with a skeleton for each leaf, kept for any charges and targets.
+
+    A leaf within `near` of a target is summed exactly; a farther one acts through at
+    most `rank` skeleton points, whose charges an interpolative decomposition against
+    sampled targets gives from those of the leaf's points. A leaf far from none of the
+    sampled ones is near for all."""
+
+    placed: DataFrame  # id, x, leaf
+    nodes: DataFrame  # leaf, id, x, center, radius, row (of the decomposition, over the leaf's points by id)
+    kernel: Kernel
+    near: float
+
+    @classmethod
+    def fit(cls, points: DataFrame, kernel: Kernel, depth: int, rank: int, near: float, samples: int = 256) -> Treecode:
+        from ..storage import written
+        from .cluster import space_partition
+        from .sampling import pick_set
+
+        d = len(points.select("x").first()["x"])
+        placed, _ = written(space_partition(points.select("id", "x"), depth, d, keep=("id", "x")), "placed")
+        targets = matrix(pick_set(points.select("id", "x"), samples, "targets").select("x").toArrow().column("x"))
+        shared = points.sparkSession.sparkContext.broadcast(targets)
+
+        def skeleton(key: tuple, part: pa.Table) -> pa.Table:
+            part = part.sort_by("id")
+            x, ids = matrix(part.column("x")), part.column("id").to_numpy()
+            center = x.mean(axis=0)
+            radius = float(np.sqrt(((x - center) ** 2).sum(axis=1).max()))
+            far = shared.value[np.sqrt(((shared.value - center) ** 2).sum(axis=1)) > radius + near]
+            if len(far):
+                picks, build = interpolative(kernel.block(sqdist(far, x)), rank)
+            else:
+                picks, build, radius = [0], np.zeros((1, len(x))), float("inf")
+            n = len(picks)
+            return pa.table({"leaf": [key[0].as_py()] * n, "id": ids[picks], "x": x[picks].tolist(), "center": [center.tolist()] * n, "radius": [radius] * n, "row": build.tolist()})
+
+        made = placed.groupBy("leaf").applyInArrow(skeleton, "leaf long, id long, x array<double>, center array<double>, radius double, row array<double>")
+        return cls(placed, written(made, "nodes")[0], kernel, near)
+
+    def charged(self, weights: DataFrame) -> DataFrame:
+        """leaf, id, x, charge, center, radius of the skeletons under weights (id, w)."""
+
+        def charge(key: tuple, nodes: pa.Table, own: pa.Table) -> pa.Table:
+            w = own.sort_by("id").column("w").to_numpy().astype(float)
+            return nodes.drop_columns(["row"]).append_column("charge", pa.array(matrix(nodes.column("row")) @ w if nodes.num_rows else np.empty(0)))
+
+        own = self.placed.join(weights.select("id", "w"), "id").select("leaf", "id", "w")
+        return self.nodes.groupBy("leaf").cogroup(own.groupBy("leaf")).applyInArrow(charge, "leaf long, id long, x array<double>, center array<double>, radius double, charge double")
+
+    def potentials(self, queries: DataFrame, weights: DataFrame) -> DataFrame:
+        """qid and potential of any targets under any weights (id, w) of the points."""
+        from .sweep import sweep
+
+        kernel, near = self.kernel, self.near
+        table = self.charged(weights).orderBy("leaf", "id").toArrow()  # leaves x rank
+        leaves = np.array(table.column("leaf").to_pylist())
+        first = np.unique(leaves, return_index=True)[1]
+        held = queries.sparkSession.sparkContext.broadcast((leaves, matrix(table.column("x")), table.column("charge").to_numpy(), leaves[first], matrix(table.column("center"))[first], table.column("radius").to_numpy()[first]))
+
+        def far_field(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaf, x, charge, names, centers, radii = held.value
+            for b in batches:
+                if b.num_rows:
+                    q = matrix(b.column(1))
+                    far = np.sqrt(sqdist(q, centers)) > radii + near
+                    use = far[:, np.searchsorted(names, leaf)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array((kernel.block(sqdist(q, x)) * use) @ charge)], ["qid", "p"])
+
+        def near_field(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, _, _, names, centers, radii = held.value
+            close = np.sqrt(sqdist(q, centers)) <= radii + near
+            total = np.zeros(len(q))
+            for b in batches:
+                if b.num_rows:
+                    x, w = matrix(b.column(1)), b.column(2).to_numpy().astype(float)
+                    use = close[:, np.searchsorted(names, b.column(3).to_numpy())]
+                    total += (kernel.block(sqdist(q, x)) * use) @ w
+            yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(total)], ["qid", "p"])
+
+        far = queries.select("qid", "q").mapInArrow(far_field, "qid long, p double")
+        close = sweep(self.placed.join(weights.select("id", "w"), "id").select("id", "x", "w", "leaf"), queries, near_field, "qid long, p double")
+        return far.unionByName(close).groupBy("qid").agg(F.sum("p").alias("potential"))
 
-    d = len(points.select("x").first()["x"])
-    placed = space_partition(points.select("id", "x", weight), depth, d, keep=("id", "x", weight))
-    targets = matrix(pick_set(points.select("id", "x"), samples, "targets").select("x").toArrow().column("x"))
-    shared = points.sparkSession.sparkContext.broadcast(targets)
-
-    def skeleton(key: tuple, part: pa.Table) -> pa.Table:
-        x, w, ids = matrix(part.column("x")), part.column(weight).to_numpy().astype(float), part.column("id").to_numpy()
-        center = x.mean(axis=0)
-        radius = float(np.sqrt(((x - center) ** 2).sum(axis=1).max()))
-        far = shared.value[np.sqrt(((shared.value - center) ** 2).sum(axis=1)) > radius + near]
-        if len(far):
-            picks, build = interpolative(kernel.block(sqdist(far, x)), rank)
-            charge = build @ w
-        else:
-            picks, charge, radius = [0], np.zeros(1), float("inf")
-        n = len(picks)
-        return pa.table({"leaf": [key[0].as_py()] * n, "id": ids[picks], "x": x[picks].tolist(), "charge": charge, "center": [center.tolist()] * n, "radius": [radius] * n})
-
-    nodes = placed.groupBy("leaf").applyInArrow(skeleton, "leaf long, id long, x array<double>, charge double, center array<double>, radius double")
-    from .sweep import sweep
-
-    table = nodes.toArrow()  # leaves x rank
-    leaves = np.array(table.column("leaf").to_pylist())
-    first = np.unique(leaves, return_index=True)[1]
-    held = points.sparkSession.sparkContext.broadcast((leaves, matrix(table.column("x")), table.column("charge").to_numpy(), leaves[first], matrix(table.column("center"))[first], table.column("radius").to_numpy()[first]))
-
-    def far_field(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, x, charge, names, centers, radii = held.value
-        for b in batches:
-            if b.num_rows:
-                q = matrix(b.column(1))
-                far = np.sqrt(sqdist(q, centers)) > radii + near
-                use = far[:, np.searchsorted(names, leaf)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((kernel.block(sqdist(q, x)) * use) @ charge)], ["qid", "p"])
-
-    def near_field(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, _, names, centers, radii = held.value
-        close = np.sqrt(sqdist(q, centers)) <= radii + near
-        total = np.zeros(len(q))
-        for b in batches:
-            if b.num_rows:
-                x, w = matrix(b.column(1)), b.column(2).to_numpy().astype(float)
-                use = close[:, np.searchsorted(names, b.column(3).to_numpy())]
-                total += (kernel.block(sqdist(q, x)) * use) @ w
-        yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(total)], ["qid", "p"])
-
-    far = queries.select("qid", "q").mapInArrow(far_field, "qid long, p double")
-    close = sweep(placed.select("id", "x", weight, "leaf"), queries, near_field, "qid long, p double")
-    return far.unionByName(close).groupBy("qid").agg(F.sum("p").alias("potential"))
+
+def skeleton_transform(points: DataFrame, queries: DataFrame, kernel: Gaussian, depth: int, rank: int, near: float, samples: int = 256, weight: str = "w") -> DataFrame:
+    """qid, potential: by a Treecode of the points, once."""
+    return Treecode.fit(points, kernel, depth, rank, near, samples).potentials(queries, points.select("id", F.col(weight).alias("w")))

@@ -12,6 +12,13 @@ def column_stats(points: DataFrame) -> DataFrame:
     return v.groupBy("j").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_pop("v").alias("sd"), F.var_samp("v").alias("var"), (F.stddev_pop("v") / F.sqrt(F.count("*"))).alias("se"))
 
 
+def quantiles(rows: DataFrame, shares: dict[str, float], accuracy: int | None = None) -> DataFrame:
+    """One row: of each column the value below which a share of the rows lies, between
+    neighbours by interpolation; accuracy: of approximate ones, for large data."""
+    of = lambda c, p: F.percentile(c, p) if accuracy is None else F.percentile_approx(c, p, accuracy)
+    return rows.agg(*[of(c, p).alias(c) for c, p in shares.items()])
+
+
 def rescaled(points: DataFrame, shift: str, by: str) -> DataFrame:
     """points with x less a statistic, over another (a statistic of zero: one). The statistics are a row a dimension."""
     s = column_stats(points).withColumn("range", F.col("high") - F.col("low"))

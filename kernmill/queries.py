@@ -17,7 +17,7 @@ from .functions import scalar
 from .functions.kernels import Exponential, Gaussian, Kernel, Laplace, Matern, Polynomial, should_reject
 from .functions.random import normal_sql, uniform, uniform_sql, uniform_value
 from .functions.vector import scale, sqdist
-from .operators import cells, cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, tree
+from .operators import cells, cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, sets, tree
 from .plans import planner
 from .sources import matrices
 from .storage import shared_path
@@ -331,7 +331,8 @@ def diameter(spark, sf_dir):
 
 @query("select round(quantile_cont(l_quantity, 0.5), 6) as q, round(quantile_cont(l_extendedprice, 0.5), 6) as p, round(quantile_cont(l_discount, 0.25), 6) as d from lineitem")
 def column_quantiles(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").agg(F.round(F.percentile("l_quantity", 0.5), 6).alias("q"), F.round(F.percentile("l_extendedprice", 0.5), 6).alias("p"), F.round(F.percentile("l_discount", 0.25), 6).alias("d"))
+    q = metrics.quantiles(read(spark, sf_dir, "lineitem"), {"l_quantity": 0.5, "l_extendedprice": 0.5, "l_discount": 0.25})
+    return q.select(F.round("l_quantity", 6).alias("q"), F.round("l_extendedprice", 6).alias("p"), F.round("l_discount", 6).alias("d"))
 
 
 @query(f"with {PART} select id, (t > median(t) over ())::int as side from (select id, 0.6::double * x[1] + 0.8::double * x[2] as t from points)")
@@ -681,16 +682,47 @@ def _weights(spark: SparkSession, rows: list[tuple[int, float]]) -> DataFrame:
     return spark.sql("select * from values " + ", ".join(f"({i}L, {w!r}D)" for i, w in rows) + " as t(id, weight)")
 
 
-@query()
+def _sample_sql(name: str, n: int, salt: str) -> str:
+    return f"{name} as materialized (select id, x from points order by {uniform_sql('id', chr(39) + salt + chr(39))}, id limit {n})"
+
+
+def _herding_sql(n: int, m: int) -> str:
+    """Greedy picks by a fixed unroll: g<t> the running kernel sums, p<t> the pick."""
+    k = EXPO.sql("pow(list_distance(a.x, b.x), 2)")
+    ctes = [_sample_sql("s", n, "herd"), f"kk as materialized (select a.id as i, b.id as j, {k} as k from s a, s b)", "dens as materialized (select i as id, avg(k) as density from kk group by i)", "g0 as materialized (select id, 0.0::double as run from dens)"]
+    for t in range(m):
+        ctes.append(f"p{t} as materialized (select id from g{t} join dens using (id) order by round(density - run / {t + 1}, 12) desc, id limit 1)")
+        ctes.append(f"g{t + 1} as materialized (select g.id, run + k as run from g{t} g join kk on kk.i = g.id join p{t} on kk.j = p{t}.id)")
+    return ", ".join(ctes) + ", picks as (" + " union all ".join(f"select id from p{t}" for t in range(m)) + ")"
+
+
+@query(f"with {P}, {_herding_sql(256, 40)} select qid, round(est, 9) as est from ({_evaluated('select id, 1.0::double / 40 as w from picks')})")
 def herding(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return rounded(estimators.evaluate_sketch(_weights(spark, gauss.herding(v, EXPO, 256, 40)), v, asked(v), EXPO), "est")
 
 
-@query()
+def _ska_sql(n: int, k: int, centers: int) -> str:
+    d2 = "pow(list_distance(p.x, s.x), 2)"
+    ctes = [_sample_sql("smp", n, "ska"), "c0 as materialized (select 0 as n, id, x from smp order by id limit 1)"]
+    for i in range(1, centers):
+        ctes.append(f"c{i} as materialized (select * from c{i - 1} union all (select {i}, p.id, any_value(p.x) from smp p, c{i - 1} s group by p.id order by round(min({d2}), 12) desc, p.id limit 1))")
+    u = uniform_sql("id", "'ska-rest'")
+    ctes.append(f"rest as (select id from smp where id not in (select id from c{centers - 1}) order by {u}, id limit {k - centers})")
+    return ", ".join(ctes) + f" select id, true as center, 0.0::double as value from c{centers - 1} union all select id, false, round((1 - 1.0::double / {centers}) / {k - centers}, 9) from rest"
+
+
+@query(f"with {P}, {_ska_sql(256, 30, 6)}")
 def ska_sketch(spark, sf_dir):
+    """Of the centers by how much their weighted kernel sums miss the sample's means, which is nothing; of the rest the weights."""
     v = vectors(spark, sf_dir)
-    return rounded(estimators.evaluate_sketch(_weights(spark, gauss.ska(v, EXPO, 30, 256)), v, asked(v), EXPO), "est")
+    rows = gauss.ska(v, EXPO, 30, 256)
+    centers, rest = rows[:6], rows[6:]
+    points = _weights(spark, [(i, w * 6) for i, w in centers]).join(v.select("id", "x"), "id")
+    mean = exact.kde(sampling.pick_set(v.select("id", "x"), 256, "ska"), asked(points), EXPO)
+    sums = exact.kernel_sums(points, asked(points), EXPO, weights=["weight"]).join(mean, "qid")
+    missed = sums.select(F.col("qid").alias("id"), F.lit(True).alias("center"), F.abs(F.round(F.col("sum") - F.col("density"), 9)).alias("value"))
+    return missed.unionByName(_weights(spark, rest).select("id", F.lit(False).alias("center"), F.round("weight", 9).alias("value")))
 
 
 # -------------------------------------------------------------------- adaptive
@@ -982,10 +1014,30 @@ def gauss_direct_tree(spark, sf_dir):
     return cells.kernel_sums(v, asked(v), Gaussian(IFGT_H), reach).select("qid", F.round("sum", 6).alias("g"))
 
 
-@query()
+TREE_KERNEL = Gaussian(0.5)
+_TREE_EXACT = f"with {PART_PAIRS} select qid, round(sum(w * {TREE_KERNEL.sql('d2')}), 6) as exact, true as within from (select qid, %s::double as w, d2 from pairs%s) group by qid"
+
+
+def _against(found: DataFrame, v: DataFrame, q: DataFrame, weight: str) -> DataFrame:
+    """The exact sums, and whether a treecode's differ by a thousandth of all weights at most."""
+    total = v.agg(F.sum(weight).alias("t")).first()["t"]
+    full = exact.kernel_sums(v, q, TREE_KERNEL, weights=[weight]).select("qid", "sum")
+    return found.join(full, "qid").select("qid", F.round("sum", 6).alias("exact"), (F.abs(F.col("potential") - F.col("sum")) <= 1e-3 * total).alias("within"))
+
+
+@query(_TREE_EXACT % ("1", ""))
 def treecode(spark, sf_dir):
     v = parts(spark, sf_dir).cache()
-    return rounded(gauss.skeleton_transform(v, asked(v), Gaussian(0.5), 4, 48, 0.3), "potential", places=4)
+    return _against(gauss.skeleton_transform(v, asked(v), TREE_KERNEL, 4, 64, 0.5, 1024), v, asked(v), "w")
+
+
+@query(_TREE_EXACT % ("1 + id % 3", " where qid % 2 = 1"))
+def treecode_new_charges(spark, sf_dir):
+    """One tree, other charges, and other targets than all points."""
+    v = parts(spark, sf_dir).withColumn("w2", (F.col("id") % 3 + 1).cast("double")).cache()
+    kept = gauss.Treecode.fit(v, TREE_KERNEL, 4, 64, 0.5, 1024)
+    some = asked(v).where("qid % 2 = 1")
+    return _against(kept.potentials(some, v.select("id", F.col("w2").alias("w"))), v, some, "w2")
 
 
 # ----------------------------------------------------------------------- trees
@@ -1056,18 +1108,18 @@ def set_concat(spark, sf_dir):
 @query("select distinct o_custkey as id from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
 def set_difference(spark, sf_dir):
     c = read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
-    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).join(c, "id", "left_anti").distinct()
+    return sets.difference(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), c)
 
 
-@query("select c_custkey as id from customer where c_custkey not in (select o_custkey from orders)")
+@query("select o_orderkey as id from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")
 def set_complement(spark, sf_dir):
-    taken = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(taken, "id", "left_anti")
+    taken = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"))
+    return sets.complement(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), taken)
 
 
 @query("select distinct l_orderkey, l_linenumber from lineitem")
 def set_distinct(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates()
+    return sets.distinct(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
 
 
 # ------------------------------------------------------------------ generators

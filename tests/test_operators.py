@@ -168,12 +168,57 @@ def test_sketch_weights_are_unbiased(data):
     assert abs(m.agg(F.sum(F.col("prob") * F.col("weight"))).first()[0] - 1) < 1e-9
 
 
-def test_adaptive_fold_skips_levels(spark):
+def test_adaptive_levels_are_asked_for_open_queries_only(spark):
     table = estimators.levels(1 / 256, 0.5)
-    est = spark.createDataFrame([(1, k, e) for k, e in enumerate([0.01, 1.0, 1.0, 1.0, 1.0, 1.0, 0.02, 1.0])] + [(2, k, 0.0) for k in range(8)], "qid long, level int, est double")
-    got = {r["qid"]: r for r in estimators.adaptive_fold(est, table, 10**6).collect()}
+    given = {1: [0.01, 1.0, 1.0, 1.0, 1.0, 1.0, 0.02, 1.0], 2: [0.0] * 8, 3: [0.7] * 8}
+    asked_for = []
+
+    def estimate(x, queries):
+        ids = sorted(r["qid"] for r in queries.collect())
+        asked_for.append((x.level, ids))
+        return spark.createDataFrame([(i, given[i][x.level]) for i in ids], "qid long, est double")
+
+    queries = spark.createDataFrame([(i, [0.0]) for i in given], "qid long, q array<double>")
+    got = {r["qid"]: r for r in estimators.adaptive(queries, table, 10**6, estimate, lambda x: 3 * x.m).collect()}
     assert got[1]["level"] == 6 and got[1]["est"] == 0.02 and got[1]["samples"] == 3 * (table[0].m + table[6].m)
-    assert got[2]["level"] == 7 and got[2]["est"] == 0.0
+    assert got[2]["level"] == 7 and got[2]["est"] == 0.0 and got[3]["level"] == 0
+    assert asked_for == [(0, [1, 2, 3]), *[(k, [2]) for k in range(1, 6)], (6, [1, 2]), (7, [2])]
+    single = [r["level"] for r in estimators.adaptive(queries, table, 1, estimate, lambda x: x.m, skip=False).orderBy("qid").collect()]
+    assert single == [1, 7, 0]  # one by one, however many the samples
+
+
+def test_an_estimator_of_ones_own(data):
+    """Any draw of means, and any estimate of a level, can be plugged in."""
+    x, p = data
+    k = Gaussian(0.5)
+    truth = k.block(pairwise(x)).mean(axis=1)
+    drawn = estimators.mean_of_means(lambda q, m, salt: estimators.random_sampling(p, q, k, m, salt), asked(p), 80, 5)
+    assert np.abs(by_id(drawn, "est") / truth - 1).mean() < 0.1
+    exactly = lambda level, q: exact.kde(p, q, k).withColumnRenamed("density", "est")
+    out = estimators.adaptive(asked(p), estimators.levels(1 / 64, 0.5), len(x), exactly, lambda level: level.m)
+    assert np.allclose(by_id(out, "est"), truth)
+    few = estimators.drawn_above(asked(p), lambda q: exact.kde(p, q, k).withColumnRenamed("density", "est"), float(np.quantile(truth, 0.9)), 25)
+    assert few.count() == 25 and all(truth[r["qid"]] >= np.quantile(truth, 0.9) for r in few.collect())
+    assert estimators.drawn_above(asked(p), lambda q: exact.kde(p, q, k).withColumnRenamed("density", "est"), 2.0, 5).count() == 0
+
+
+def test_matern_between_closed_forms():
+    """The integral against the closed forms, and between them."""
+    s = np.array([1e-6, 0.01, 0.3, 1.0, 4.0, 100.0])
+    for nu in (0.5, 1.5, 2.5):
+        near = Matern(0.7, nu + 1e-9)
+        assert not near.closed and np.allclose(near.block(s), Matern(0.7, nu).block(s), rtol=1e-6, atol=1e-300)
+    assert (Matern(0.7, 1.0).block(s[2:]) > Matern(0.7, 0.5).block(s[2:]))[0]
+
+
+def test_a_tree_kept_for_new_charges(data):
+    x, p = data
+    k = Gaussian(0.5)
+    kept = gauss.Treecode.fit(p, k, 3, 60, 0.2)
+    for charges in (F.col("w"), F.lit(2.0), -F.col("w")):
+        w = p.select("id", charges.alias("w"))
+        want = k.block(pairwise(x)) @ by_id(w, "w", "id")
+        assert np.abs(by_id(kept.potentials(asked(p), w), "potential") - want).max() < 1e-3 * np.abs(want).max()
 
 
 @pytest.mark.parametrize("d", [1, 2, 3])
@@ -212,6 +257,17 @@ def test_herding_and_ska(data):
         assert np.abs(by_id(estimators.evaluate_sketch(sketch, p, asked(p), k), "est") / want - 1).mean() < 0.35
 
 
+def test_the_rest_of_ska_is_a_uniform_draw(data):
+    """Over many salts every row that is no center is drawn about as often."""
+    _, p = data
+    seen = np.zeros(300)
+    for k in range(60):
+        rows = gauss.ska(p, Gaussian(0.5), 60, 300, f"s{k}")
+        assert abs(sum(w for _, w in rows[6:]) - 5 / 6) < 1e-9 and len({i for i, _ in rows}) == 60
+        seen[[i for i, _ in rows[6:]]] += 1
+    assert seen[:150].sum() / seen.sum() == pytest.approx(0.5, abs=0.05)
+
+
 def test_clusters_of_obvious_groups(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([c + rng.normal(0, 0.01, (40, 2)) for c in ([0, 0], [5, 0], [0, 5], [5, 5])])
@@ -341,8 +397,11 @@ def test_far_samples_avoid_near_rows(spark):
 
     points = spark.range(64).select("id", (F.col("id") / 8).cast("long").alias("leaf"))
     near = spark.range(8).crossJoin(spark.range(8, 20).withColumnRenamed("id", "n")).select(F.col("id").alias("leaf"), F.col("n").alias("id"))
-    rows = tree.far_sample(points, near, 5).collect()
-    assert rows and all(r["id"] // 8 != r["leaf"] and not 8 <= r["id"] < 20 for r in rows)
+    for m in (5, 1000):
+        rows = tree.far_sample(points, near, m).collect()
+        assert all(r["id"] // 8 != r["leaf"] and not 8 <= r["id"] < 20 for r in rows)
+        away = {leaf: 64 - len(set(range(8 * leaf, 8 * leaf + 8)) | set(range(8, 20))) for leaf in range(8)}
+        assert {leaf: sum(r["leaf"] == leaf for r in rows) for leaf in range(8)} == {leaf: min(m, n) for leaf, n in away.items()}
 
 
 def test_further_files(spark, data, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import sqdist as distance_column
-from .sweep import Work, matrix, slices, sqdist, sweep
+from .lsh import Hashes
+from .sweep import BLOCK_QUERIES, Work, matrix, meeting, slices, sqdist, sweep
 
 
 def nearest(k: int) -> Work:
@@ -106,10 +107,43 @@ def _within(candidates: DataFrame, points: DataFrame, queries: DataFrame, k: int
     return merge(pairs.select("qid", "id", distance_column(F.col("q"), F.col("x")).alias("dist2")), k)
 
 
-def knn_by_keys(points: DataFrame, queries: DataFrame, point_keys: DataFrame, query_keys: DataFrame, k: int) -> DataFrame:
+def knn_by_keys(points: DataFrame, queries: DataFrame, point_keys: DataFrame, query_keys: DataFrame, k: int, part: int = 1 << 14, block: int = BLOCK_QUERIES) -> DataFrame:
     """The k nearest among points that share a (tbl, key) with the query.
-    point_keys: id, tbl, key; query_keys: qid, tbl, key."""
-    return _within(query_keys.join(point_keys, ["tbl", "key"]).select("qid", "id"), points, queries, k)
+    point_keys: id, tbl, key; query_keys: qid, tbl, key. The points and queries of a
+    bucket meet in one cell, which sends each query's best k and never all pairs; a
+    hot bucket is cut into parts of points and blocks of queries, each pair of which
+    is a cell."""
+    sizes = point_keys.groupBy("tbl", "key").agg(F.expr(f"cast(ceil(count(*) / {part}) as int)").alias("_p"))
+    sizes = sizes.join(query_keys.groupBy("tbl", "key").agg(F.expr(f"cast(ceil(count(*) / {block}) as int)").alias("_b")), ["tbl", "key"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = F.xxhash64("tbl", "key", "_i", "_j").alias("cell")
+    there = point_keys.join(sizes, ["tbl", "key"]).select("*", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int").alias("_i"), every("_b").alias("_j"))
+    asked = query_keys.join(sizes, ["tbl", "key"]).select("*", every("_p").alias("_i"), F.pmod(F.xxhash64("qid"), F.col("_b")).cast("int").alias("_j"))
+    met = meeting(there.select(cell, "id").join(points.select("id", "x"), "id").select("cell", "id", "x"), asked.select(cell, "qid").join(queries.select("qid", "q"), "qid").select("cell", "qid", "q"), nearest(k), "qid long, dist2 double, id long")
+    return merge(met, k)
+
+
+def knn_lsh(points: DataFrame, queries: DataFrame, k: int, hashes: Iterable[Hashes], target: float, checked: int = 64, salt: str = "lsh") -> DataFrame:
+    """The k nearest by one table of hashes after the other, lists being merged, until
+    on a seeded sample of queries the mean relative excess of distances, a missing
+    neighbour counting as one, is at most the target; or no hashes are left."""
+    from ..storage import forget, written
+    from .sampling import pick_set
+
+    some = pick_set(queries.select("qid", "q"), checked, salt, "qid").persist()
+    truth = knn(points, some, k).persist()
+    lists, path = None, None
+    for h in hashes:
+        own = knn_by_keys(points, queries, h.keys(points), h.keys(queries, "qid", "q"), k)
+        before = path
+        lists, path = written(own if lists is None else merge(lists.unionByName(own).select("qid", "dist2", "id"), k), "lists")
+        if before:
+            forget(points.sparkSession, before)
+        pairs = truth.select("qid", "rank", F.col("dist2").alias("_t")).join(lists.select("qid", "rank", F.col("dist2").alias("_f")), ["qid", "rank"], "left")
+        excess = F.when(F.col("_f").isNull(), 1.0).when(F.col("_t") > 1e-12, (F.sqrt("_f") - F.sqrt("_t")) / F.sqrt("_t")).otherwise(F.when(F.col("_f") > 1e-12, 1.0).otherwise(0.0))
+        if (pairs.agg(F.avg(excess).alias("e")).first()["e"] or 0.0) <= target:
+            break
+    return lists
 
 
 def refine(lists: DataFrame, graph: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:

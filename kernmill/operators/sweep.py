@@ -34,7 +34,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def sqdist(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Squared distances: summed by component in low dimensions, else from norms
     and products, and anew by component where cancellation leaves few digits."""
-    if x.shape[1] <= 16:
+    if x.shape[1] <= 4:
         out = np.zeros((len(q), len(x)))
         for j in range(x.shape[1]):
             d = q[:, j, None] - x[None, :, j]

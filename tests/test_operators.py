@@ -78,7 +78,7 @@ def test_estimators_take_any_number_of_queries(spark, data, monkeypatch):
     h = lsh.Hashes.seeded(4, 1, 3, 1.0)
     runs = (
         lambda: estimators.random_sampling(p, asked(p), Gaussian(0.3), 8), lambda: estimators.hbe_uniform(p, asked(p), h, Gaussian(0.3)),
-        lambda: estimators.adaptive_rs(p, asked(p), Gaussian(0.3), 0.25, 0.9), lambda: exact.kde_columns(p, asked(p), Gaussian(0.3)).withColumnRenamed("density", "est"),
+        lambda: estimators.rs_level(p, Gaussian(0.3), 300)(estimators.levels(0.25, 0.9)[0], asked(p)), lambda: exact.kde_columns(p, asked(p), Gaussian(0.3)).withColumnRenamed("density", "est"),
     )
     before = [by_id(r(), "est") for r in runs]
     monkeypatch.setattr(sweep, "BROADCAST_BYTES", 0)
@@ -202,6 +202,28 @@ def test_an_estimator_of_ones_own(data):
     assert estimators.drawn_above(asked(p), lambda q: exact.kde(p, q, k).withColumnRenamed("density", "est"), 2.0, 5).count() == 0
 
 
+def test_hot_buckets_in_parts(spark, data):
+    """A bucket of all points, in many cells, gives the exact neighbours."""
+    _, p = data
+    one = lsh.Hashes.seeded(1, 0, 3, 1.0)
+    got = knn.knn_by_keys(p, asked(p), one.keys(p), one.keys(asked(p), "qid", "q"), 4, part=70, block=50)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knn.knn(p, asked(p), 4).collect()))
+
+
+def test_tables_are_added_until_the_target(data):
+    _, p = data
+    made = []
+
+    def tables():
+        for k in range(30):
+            made.append(k)
+            yield lsh.Hashes.seeded(1, 3, 3, 0.3, seed=k)
+
+    found = knn.knn_lsh(p, asked(p), 3, tables(), 0.05)
+    truth = knn.knn(p, asked(p), 3)
+    assert 1 < len(made) < 30 and knn.quality(truth, found).first()["mean_error"] < 0.2
+
+
 def test_matern_between_closed_forms():
     """The integral against the closed forms, and between them."""
     s = np.array([1e-6, 0.01, 0.3, 1.0, 4.0, 100.0])

@@ -14,7 +14,7 @@ only a spanning star of each linked set is kept: short lists are compared by
 offsets, all at once; a long one is flooded, each reached fingerprint being
 compared with those not yet reached, which is linear for a tight group; one of
 strangers is split by a fourth position, which a pair that reaches the minimum
-shares, too.  Links meet in connected components by alternating large-star and small-star steps,
+shares, too, and the very longest are dealt over tasks so.  Links meet in connected components by alternating large-star and small-star steps,
 each written to the shared folder, where the one before it is deleted.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
@@ -196,7 +196,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, key.size))
         for k in np.flatnonzero(sizes > SHORT).tolist():
             own = fp[starts[k] : starts[k] + sizes[k]].view(np.uint64)
-            if len(own) > LONG:
+            if len(own) > LONG and key[starts[k]] < FOURTH:
                 triple = TRIPLES[int(key[starts[k]]) >> 24]
                 split(own, [q for q in range(8) if q not in triple], forest)
             else:
@@ -234,11 +234,34 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+#: Lists of about so many fingerprints are dealt by a fourth position over tasks, found by a sample of a SEEN-th.
+LIST, SEEN = 1 << 16, 64
+#: Keys of such lists that are broadcast; more are joined by a shuffle.
+MOST_HOT = 1 << 20
+#: Keys from here on are of four positions.
+FOURTH = 1 << 40
+
+
+def dealt(posted: DataFrame, sample: DataFrame) -> DataFrame:
+    """posted (fp, key) with the lists that are long, by the posted fingerprints of a
+    sample, dealt by a fourth position: what is linked shares one of those left. The
+    sample decides where lists are compared and never which links are found."""
+    hot = cut(sample.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") * SEEN >= LIST).select("key", F.lit(True).alias("_hot")))
+    hot = F.broadcast(hot) if hot.count() <= MOST_HOT else hot.hint("merge")
+    free = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in t]) for t in TRIPLES])
+    left = F.element_at(free, F.shiftright("key", 24).cast("int") + 1)
+    byte = lambda p: F.call_function("shiftright", F.col("fp"), p * 8).bitwiseAND(F.lit(255))
+    four = F.transform(left, lambda p: F.lit(FOURTH).bitwiseOR(F.shiftleft("key", 11)).bitwiseOR((p * 256).cast("long")).bitwiseOR(byte(p)))
+    both = posted.join(hot, "key", "left")
+    return both.select("fp", F.explode(F.when(F.col("_hot"), four).otherwise(F.array("key"))).alias("key"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints that keep their components whole. fps: a column fp of distinct values."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = fps.select("fp").mapInArrow(_post, POSTED)
-    return posted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct()
+    sample = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(SEEN)) == 0).mapInArrow(_post, POSTED)
+    return dealt(posted, sample).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct()
 
 
 # ------------------------------------------------------------------ components

@@ -205,7 +205,9 @@ def test_links_lose_none(spark, monkeypatch):
     fps = sorted(fps)
     want = slow_components(fps, fps)
     df = spark.createDataFrame(pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64)}))
-    for short, long in ((48, 1024), (3, 1024), (3, 5)):
+    for short, long, list_ in ((48, 1024, 1 << 16), (3, 1024, 1 << 16), (3, 5, 1 << 16), (48, 1024, 2)):
+        monkeypatch.setattr(simhash, "LIST", list_)
+        monkeypatch.setattr(simhash, "SEEN", 1 if list_ == 2 else 64)  # all lists of two and more, in the last case
         monkeypatch.setattr(simhash, "SHORT", short)
         monkeypatch.setattr(simhash, "LONG", long)
         stars = {r["a"]: r["b"] for r in simhash.components(simhash.links(df)).collect()}

@@ -68,29 +68,30 @@ class Encoder:
     def encode(self, group: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache = dict(islice(self.cache.items(), CACHE // 2))
-        # of each text its stretches between special tokens, which stand as themselves
-        stretches = [(k, m, part) for k, text in enumerate(group) for m, part in enumerate(self.special.split(text) if self.special else [text])]
-        latin, other, split = set(), set(), []
-        for k, m, part in stretches:
-            if m % 2:
-                split.append((k, m, [part]))
-            elif NOT_LATIN.search(part):
-                split.append((k, m, [p for p in SPACES.split(part) if p]))
-                other.update(split[-1][2])
+        out, latin, other, parted = [b""] * len(group), [], [], []
+        for k, text in enumerate(group):
+            if self.special and self.special.search(text):
+                parted.append(k)
+            elif NOT_LATIN.search(text):
+                other.append((k, [p for p in SPACES.split(text) if p]))
             else:
-                split.append((k, m, part.lower().split()))
-                latin.update(split[-1][2])
-        long = self._learn(latin.difference(self.cache))
-        unknown = list(other.difference(self.cache))
+                latin.append((k, text.lower().split()))
+        cache = self.cache
+        missing, unknown = (set().union(*(p for _, p in x)).difference(cache) for x in (latin, other))
+        long = self._learn(missing)
+        unknown = list(unknown.difference(cache))
         if unknown:
-            self.cache.update(zip(unknown, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)), strict=True))
-        out = [[] for _ in group]
-        for k, m, pieces in split:
-            out[k] += [self.reserved[pieces[0]]] if m % 2 else map(self.cache.__getitem__, pieces)
-        joined = [b"".join(x) for x in out]
-        for p in chain(long, (p for p in unknown if len(p) > LONG)):
-            self.cache.pop(p, None)
-        return joined
+            cache.update(zip(unknown, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)), strict=True))
+            long += [p for p in unknown if len(p) > LONG]
+        for k, pieces in [*latin, *other]:
+            out[k] = b"".join(map(cache.__getitem__, pieces))
+        for p in long:
+            cache.pop(p, None)
+        for k in parted:  # special tokens stand as themselves between the other stretches
+            parts = self.special.split(group[k])
+            parts[::2] = self.encode(parts[::2])
+            out[k] = b"".join(self.reserved[p] if m % 2 else p for m, p in enumerate(parts))
+        return out
 
     def _learn(self, pieces: set[str]) -> list[str]:
         """A piece of letters alone is one pre-token; others are put together from theirs. Returns what is too long to keep."""
@@ -109,7 +110,8 @@ class Encoder:
             cache.update(zip(some, map(data.__getitem__, map(slice, edges, edges[1:])), strict=True))
         for p, own in split:
             cache[p] = b"".join(map(cache.__getitem__, own))
-        return [p for p in chain(pieces, words) if len(p) > LONG]
+        longest = max(map(len, pieces), default=0)  # no pre-token is longer than its piece
+        return [p for p in chain(pieces, words) if len(p) > LONG] if longest > LONG else []
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:

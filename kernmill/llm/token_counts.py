@@ -2,9 +2,9 @@
 
 Tier one is a compact table of the lengths of frequent pre-tokens, FREQUENT at
 most, so that it can be broadcast.  A pass over all documents finds them: each task
-counts its own pre-tokens in a summary of SUMMARY entries and reports those that
-keep at least a SUMMARY-th of its occurrences, SUMMARY at most; whatever is twice as
-frequent over all is so in some task, and not missed.  Tier two is a cache in
+counts its own pre-tokens in a summary of SUMMARY entries and reports its FREQUENT
+most frequent, if they occur twice at least.  The table changes no count, only how
+many are found in it.  Tier two is a cache in
 each worker for the pre-tokens that miss; those of a chunk of documents that are in
 neither are encoded in one batch.  No pre-token of a document is shuffled, only the
 tasks' summaries are added up, and a document's count is the sum over its
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, quiet_tokenizers, texts, with_text
 
-#: Entries of tier one; and of a task's summary, the share (one over it) that makes a pre-token worth a report.
+#: Entries of tier one, and of a task's report; and of its summary.
 FREQUENT, SUMMARY = 65536, 4 * 65536
 #: A worker forgets its cache of misses when it holds so many; longer pre-tokens are never kept.
 CACHE, LONG = 400_000, 64
@@ -111,15 +111,15 @@ class Summary:
             self.counts = Counter({w: n - least for w, n in self.counts.items() if n > least})
 
 
-def frequent_pre_tokens(docs: DataFrame, path: str, most: int = SUMMARY) -> DataFrame:
-    """token and n: pre-tokens with at least a `most`-th of the occurrences in some task, and how often tasks report them."""
+def frequent_pre_tokens(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
+    """token and n: pre-tokens among the `most` most frequent of some task, and how often tasks report them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, summary = Splitter(path), Summary(most)
+        splitter, summary = Splitter(path), Summary(SUMMARY)
         for b in chunks(batches, most=1 << 20):
             for text in texts(b.column(1)):
                 summary.add([w for w in splitter.split(text)[0] if len(w) <= LONG])
-        own = {w: n for w, n in summary.counts.items() if n * most >= summary.seen}
+        own = {w: n for w, n in summary.counts.most_common(most) if n > 1}
         yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["token", "n"])
 
     return with_text(docs).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))

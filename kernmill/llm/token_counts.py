@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, quiet_tokenizers, texts, with_text
+from .common import chunks, cut, quiet_tokenizers, texts, with_text
 
 #: Entries of tier one, and of a task's report; and of its summary.
 FREQUENT, SUMMARY = 65536, 4 * 65536
@@ -125,10 +125,23 @@ def frequent_pre_tokens(docs: DataFrame, path: str, most: int = FREQUENT) -> Dat
     return with_text(docs).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+#: Steps of a doubling in which counts are told apart.
+STEPS = 32
+
+
 def frequent_table(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[str, int]:
-    """Pre-token -> number of tokens, for the `most` most frequent of all documents."""
-    found = [r["token"] for r in frequent_pre_tokens(docs, path).orderBy(F.desc("n"), "token").limit(most).collect()]
-    return dict(zip(found, lengths_of(load(path), found), strict=True))
+    """Pre-token -> number of tokens, for the most frequent of all documents, `most`
+    at most: those at and above the least count, in steps of STEPS to a doubling,
+    that no more reach. So no more than these come to the driver."""
+    step = F.floor(F.log2("n") * STEPS)
+    found = cut(frequent_pre_tokens(docs, path, most)).withColumn("step", step)
+    room, least = most, None
+    for r in sorted(found.groupBy("step").count().collect(), reverse=True):  # under 64 * STEPS rows
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["step"]
+    words = [] if least is None else sorted(r["token"] for r in found.where(F.col("step") >= least).select("token").collect())
+    return dict(zip(words, lengths_of(load(path), words), strict=True))
 
 
 def lengths_of(tokenizer, words: list[str]) -> list[int]:

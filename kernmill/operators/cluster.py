@@ -104,14 +104,14 @@ def lloyd(points: DataFrame, centers: list[list[float]], rounds: int = 20, toler
     return centers, cost or 0.0
 
 
-def balanced(points: DataFrame, k: int, folds: int = 3, salt: str = "fold") -> list[list[float]]:
+def balanced(points: DataFrame, k: int, folds: int = 3, salt: str = "fold", rounds: int = 20, tolerance: float = 1e-4) -> list[list[float]]:
     """Of several k-means runs from seeded rows the one with the most even sizes."""
     from .sampling import pick_set
 
     best = None
     for f in range(folds):
         rows = pick_set(points, k, f"{salt}{f}").select("x").collect()
-        centers, _ = lloyd(points, [list(r["x"]) for r in rows])
+        centers, _ = lloyd(points, [list(r["x"]) for r in rows], rounds, tolerance)
         sizes = [r["count"] for r in assigned(points, centers).groupBy("cluster").count().collect()]
         score = min(sizes) / max(sizes) if len(sizes) == k else 0.0
         if best is None or score > best[0]:
@@ -213,6 +213,32 @@ def space_partition(points: DataFrame, depth: int, d: int, salt: str = "tree", k
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("leaf", T.LongType())]))
 
 
+def variance_partition(points: DataFrame, depth: int, accuracy: int | None = None) -> DataFrame:
+    """points with leaf, as space_partition(), each node split at the median of the component
+    that varies most in it (ties: the first). Two aggregates a level, a row a node to the driver."""
+    if depth > 16:
+        raise ValueError("at most 16 levels")
+    spark, cuts = points.sparkSession, []
+
+    def placed(level: int) -> DataFrame:
+        out = points.withColumn("leaf", F.lit(1).cast("long"))
+        for table in cuts[:level]:
+            out = out.join(F.broadcast(spark.createDataFrame(table, "leaf long, _j int, _m double")), "leaf")
+            out = out.withColumn("leaf", F.col("leaf") * 2 + (F.element_at("x", F.col("_j") + 1) > F.col("_m")).cast("long")).drop("_j", "_m")
+        return out
+
+    for level in range(depth):
+        own = placed(level)
+        spreads = own.select("leaf", F.posexplode("x").alias("_j", "_v")).groupBy("leaf", "_j").agg(F.var_pop("_v").alias("_s"))
+        widest = [(r["leaf"], r["j"]) for r in spreads.groupBy("leaf").agg(F.max_by("_j", F.struct("_s", -F.col("_j"))).alias("j")).collect()]
+        if not widest:
+            break
+        value = own.join(F.broadcast(spark.createDataFrame(widest, "leaf long, _j int")), "leaf").select("leaf", "_j", F.element_at("x", F.col("_j") + 1).alias("t"))
+        middle = F.percentile("t", 0.5) if accuracy is None else F.percentile_approx("t", 0.5, accuracy)
+        cuts.append([(r["leaf"], r["_j"], r["m"]) for r in value.groupBy("leaf", "_j").agg(middle.alias("m")).collect()])
+    return placed(len(cuts))
+
+
 def routed(queries: DataFrame, cuts: list[dict[int, float]], salt: str = "tree", reach: float | None = None) -> DataFrame:
     """qid, leaf: the leaf of each query; with a reach, all leaves that its ball meets."""
 

@@ -8,11 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
 from ..functions.scalar import collision
+from ..storage import cut
+from .order import sums_around
 from .sweep import matrix, slices, sqdist, sweep
 
 #: Contributions below it count for masses, not for ratios.
@@ -40,20 +42,15 @@ def ringed(contrib: DataFrame, eps: float = 0.5, balanced: bool = True) -> DataF
     """contrib with n, u (mean) and ring: 4 below the mean; then 3 from below and
     1 from above, each until it holds half of what is left of eps * u; 2 between.
     Not balanced: 4 below the mean and 1 above, and no others."""
+    contrib = cut(contrib)  # all pairs, which are read three times
+    out = contrib.join(contrib.groupBy("qid").agg(F.count("*").alias("n"), F.avg("c").alias("u")), "qid")
     if not balanced:
-        whole = Window.partitionBy("qid")
-        out = contrib.withColumns({"n": F.count("*").over(whole), "u": F.avg("c").over(whole)})
         return out.withColumn("ring", F.when(F.col("c") < F.col("u"), 4).otherwise(1))
-    own = Window.partitionBy("qid")
-    up = own.orderBy("c", "id").rowsBetween(Window.unboundedPreceding, -1)
-    down = own.orderBy(F.desc("c"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-    out = contrib.withColumns({"n": F.count("*").over(own), "u": F.avg("c").over(own)})
-    out = out.withColumn("u4", F.sum(F.when(F.col("c") < F.col("u"), F.col("c")).otherwise(0.0)).over(own) / F.col("n"))
-    high = F.when(F.col("c") >= F.col("u"), F.col("c")).otherwise(0.0)
-    share = (F.lit(eps) * F.col("u") - F.col("u4")) / 2
-    out = out.withColumns({"_up": F.coalesce(F.sum(high).over(up), F.lit(0.0)) / F.col("n"), "_down": F.coalesce(F.sum("c").over(down), F.lit(0.0)) / F.col("n")})
-    ring = F.when(F.col("c") < F.col("u"), 4).when(F.col("_up") < share, 3).when(F.col("_down") < share, 1).otherwise(2)
-    return out.withColumn("ring", ring).drop("_up", "_down", "u4")
+    low = F.coalesce(F.sum(F.when(F.col("c") < F.col("u"), F.col("c"))), F.lit(0.0))
+    share = out.groupBy("qid").agg(((F.lit(eps) * F.max("u") - low / F.max("n")) / 2).alias("_share"))
+    high = sums_around(out.where("c >= u"), ["qid"], ["c", "id"], F.col("c")).join(share, "qid")
+    ring = F.when(F.col("before") / F.col("n") < F.col("_share"), 3).when(F.col("after") / F.col("n") < F.col("_share"), 1).otherwise(2)
+    return out.where("c < u").withColumn("ring", F.lit(4)).unionByName(high.select(*out.columns, ring.alias("ring")))
 
 
 def ring_stats(rings: DataFrame) -> DataFrame:

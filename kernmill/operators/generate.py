@@ -4,14 +4,17 @@ be made on any number of tasks."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Exponential, Kernel
-from ..functions.random import normal, uniform
+from ..functions.random import normal, uniform, uniform_value
+from .sweep import matrix
 
 
 def _vector(d: int, value) -> Column:
@@ -41,6 +44,40 @@ def rotation(d: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+@dataclass(frozen=True)
+class Rotation:
+    """A random rotation in a number of operations that grows with steps * d and not with
+    d * d: each step turns seeded pairs of components by seeded angles."""
+
+    d: int
+    steps: int = 10
+    salt: str = "rotation"
+
+    def turns(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(first components, second components, angles) by step."""
+        out = []
+        for s in range(self.steps):
+            order = np.argsort([uniform_value(j, f"{self.salt}{s}") for j in range(self.d)])
+            pairs = order[: self.d // 2 * 2].reshape(-1, 2)
+            out.append((pairs[:, 0], pairs[:, 1], np.array([2 * math.pi * uniform_value(int(i), f"{self.salt}{s}a") for i in pairs[:, 0]])))
+        return out
+
+    def applied(self, points: DataFrame, back: bool = False) -> DataFrame:
+        """id and x turned, or turned back."""
+        turns = [(i, j, -a) for i, j, a in reversed(self.turns())] if back else self.turns()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = matrix(b.column(1)).copy()
+                for i, j, a in turns if len(x) else ():
+                    first, second = x[:, i], x[:, j]
+                    x[:, i], x[:, j] = first * np.cos(a) - second * np.sin(a), first * np.sin(a) + second * np.cos(a)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * self.d, pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "x"])
+
+        return points.select("id", "x").mapInArrow(run, "id long, x array<double>")
+
+
 def transformed(points: DataFrame, matrix: np.ndarray, shift: np.ndarray | None = None) -> DataFrame:
     """x times a small matrix, plus a shift."""
     shift = np.zeros(matrix.shape[1]) if shift is None else shift
@@ -155,8 +192,11 @@ def mixed_queries(instance: Instance, spark: SparkSession, n: int) -> DataFrame:
 
 def sweep(spark: SparkSession, n: int, d: int, clusters: list[int], kernel: Kernel = Exponential(), scales: int = 4, spread: float = 0.001, density: float = 0.001) -> dict[int, DataFrame]:
     """Instances of about n points for each number of clusters."""
-    share = {c: Instance(max(1, n // (c * scales)), c, scales, density, d, spread, kernel, f"sweep{c}") for c in clusters}
-    return {c: i.frame(spark) for c, i in share.items()}
+    return {c: i.frame(spark) for c, i in sweep_instances(n, d, clusters, kernel, scales, spread, density).items()}
+
+
+def sweep_instances(n: int, d: int, clusters: list[int], kernel: Kernel = Exponential(), scales: int = 4, spread: float = 0.001, density: float = 0.001) -> dict[int, Instance]:
+    return {c: Instance(max(1, n // (c * scales)), c, scales, density, d, spread, kernel, f"sweep{c}") for c in clusters}
 
 
 def concat(parts: list[DataFrame]) -> DataFrame:

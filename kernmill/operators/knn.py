@@ -6,9 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.random import uniform
 from ..functions.vector import sqdist as distance_column
 from .lsh import Hashes
 from .sweep import BLOCK_QUERIES, Work, matrix, meeting, slices, sqdist, sweep
@@ -146,6 +147,29 @@ def knn_lsh(points: DataFrame, queries: DataFrame, k: int, hashes: Iterable[Hash
     return lists
 
 
+def knn_sampled(points: DataFrame, queries: DataFrame, k: int, leaves: int, rounds: int, salt: str = "leaf") -> DataFrame:
+    """The k nearest by leaves around sampled points: a point lies in the leaf of its
+    nearest one. A query searches its own leaf and, in each further round, one drawn in
+    inverse proportion to squared distance; ties go to the smaller id."""
+    from .cluster import MOST_CENTERS
+    from .sampling import pick_set
+
+    if leaves > MOST_CENTERS:
+        raise ValueError(f"at most {MOST_CENTERS} leaves")
+    chosen = pick_set(points.select("id", "x"), leaves, salt).agg(F.collect_list(F.struct("id", "x")).alias("_at"))  # one row, of bounded size
+
+    def leaf(x: str, race) -> Column:
+        return F.array_min(F.transform("_at", lambda c: F.struct((distance_column(F.col(x), c["x"]) * race(c)).alias("d"), c["id"].alias("id"))))["id"].cast("string")
+
+    def drawn(c: Column) -> Column:
+        u = uniform(F.concat_ws("/", F.col("qid").cast("string"), c["id"].cast("string"), F.col("_r").cast("string")), salt)
+        return F.when(F.col("_r") == 0, F.lit(1.0)).otherwise(-F.log(u))
+
+    own = points.select("id", "x").crossJoin(F.broadcast(chosen)).select("id", F.lit(0).alias("tbl"), leaf("x", lambda _: F.lit(1.0)).alias("key"))
+    asked = queries.select("qid", "q", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("_r")).crossJoin(F.broadcast(chosen))
+    return knn_by_keys(points, queries, own, asked.select("qid", F.lit(0).alias("tbl"), leaf("q", drawn).alias("key")).distinct(), k)
+
+
 def refine(lists: DataFrame, graph: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Neighbours of neighbours as candidates: lists (qid, id) joined with the
     points' own lists `graph` (id as qid)."""

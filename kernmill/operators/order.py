@@ -24,3 +24,17 @@ def prefix_sum(df: DataFrame, order: list[str], value: Column, name: str = "befo
 def dense_index(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
     """df with a row number from 0, ascending in a total order."""
     return prefix_sum(df, order, F.lit(1).cast("long"), name)
+
+
+def sums_around(df: DataFrame, by: list[str], order: list[str], value: Column) -> DataFrame:
+    """df with `before` and `after`: the sums of `value` over the rows that share `by` and come
+    before, and after, in a total order of columns. The rows of one key may lie on any number of tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.withColumn("_v", value).repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()))
+    down = [F.desc(c) for c in order]
+    earlier = lambda of, w: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    tasks, rows = Window.partitionBy(*by), Window.partitionBy("_p", *by)
+    totals = dealt.groupBy("_p", *by).agg(F.sum("_v").alias("_t"))  # a row a key and task
+    outer = totals.select("_p", *by, earlier("_t", tasks.orderBy("_p")).alias("_b"), earlier("_t", tasks.orderBy(F.desc("_p"))).alias("_a"))
+    own = dealt.withColumns({"before": earlier("_v", rows.orderBy(*order)), "after": earlier("_v", rows.orderBy(*down))})
+    return own.join(outer, ["_p", *by]).withColumns({"before": F.col("_b") + F.col("before"), "after": F.col("_a") + F.col("after")}).drop("_p", "_v", "_b", "_a")

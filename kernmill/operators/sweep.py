@@ -79,10 +79,10 @@ def sweep(points: DataFrame, queries: DataFrame, work: Work, schema: str, radius
                 yield from work(*shared.value, batches)
 
         return (spread(points, measured["n"]) if measured["n"] > 1024 else points).mapInArrow(run, schema)
-    return _dealt(points, queries, work, schema, -(-measured["n"] // BLOCK_QUERIES), radius)
+    return dealt(points, queries, work, schema, -(-measured["n"] // BLOCK_QUERIES), radius)
 
 
-def _dealt(points: DataFrame, queries: DataFrame, work: Work, schema: str, blocks: int, radius: str | None) -> DataFrame:
+def dealt(points: DataFrame, queries: DataFrame, work: Work, schema: str, blocks: int, radius: str | None) -> DataFrame:
     """Over a grid of cells: each block of queries meets each slice of the points in one."""
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, n // blocks)

@@ -18,7 +18,8 @@ from .functions.kernels import Exponential, Gaussian, Kernel, Laplace, Matern, P
 from .functions.random import normal_sql, uniform, uniform_sql, uniform_value
 from .functions.vector import scale, sqdist
 from .operators import cells, cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, sets, tree
-from .plans import planner
+from .operators.sweep import dealt
+from .plans import config, planner
 from .sources import matrices
 from .storage import shared_path
 
@@ -124,6 +125,15 @@ def kde_radius_cut(spark, sf_dir):
     return exact.kernel_sums(v, asked(v), EXPO, radius=1.3).select("qid", F.round("sum", 8).alias("g"), "n")
 
 
+@query(f"with {P} select qid, round(sum({GAUSS.sql('d2')}), 8) as g, count(*) as n from pairs group by qid")
+def kde_by_blocks(spark, sf_dir):
+    """Three blocks of queries, each against every slice of the points, over a grid of cells."""
+    v = vectors(spark, sf_dir)
+    columns, schema, work = exact.summing(v, GAUSS)
+    sums = dealt(v.select(*columns), asked(v), work, schema, 3, None)
+    return sums.groupBy("qid").agg(F.round(F.sum("sum"), 8).alias("g"), F.sum("n").alias("n"))
+
+
 def _of_kernel(name: str, kernel: Kernel, places: int = 8, columns: str = "embeddings") -> None:
     """A query for a kernel, over whole pairs of a table."""
     if columns == "embeddings":
@@ -285,6 +295,27 @@ def approx_knn_forest(spark, sf_dir):
     return knn.knn_by_keys(v, asked(v), keys, keys.withColumnRenamed("id", "qid"), 5).select("qid", "rank", "id", F.round("dist2", 8).alias("dist2"))
 
 
+SAMPLED = (24, 3, "rl")
+
+
+@query(f"""with {P}, rep as (select id from points order by {uniform_sql("id", "'rl'")}, id limit {SAMPLED[0]}), away as (select qid as id, pairs.id as rep, d2 from pairs join rep using (id)),
+leaf as (select id, arg_min(rep, [d2, rep]) as leaf from away group by id),
+asked as (select distinct qid, leaf from (select id as qid, r, arg_min(rep, [case when r = 0 then d2 else -ln({uniform_sql("id || '/' || rep || '/' || r", "'rl'")}) * d2 end, rep]) as leaf from away, range({SAMPLED[1] + 1}) t(r) group by id, r)),
+near as (select a.qid, l.id from asked a join leaf l using (leaf)), best as (select qid, id, d2, row_number() over (partition by qid order by d2, id)::int as rank from near join pairs using (qid, id))
+select qid, rank, id, round(d2, 8) as dist2 from best where rank <= 5""")
+def approx_knn_sampled(spark, sf_dir):
+    """Leaves around sampled points, of which a query searches its own and some drawn ones."""
+    v = vectors(spark, sf_dir)
+    return knn.knn_sampled(v, asked(v), 5, *SAMPLED).select("qid", "rank", "id", F.round("dist2", 8).alias("dist2"))
+
+
+@query(f"""with {P}, best as (select qid, id, d2, row_number() over (partition by qid order by d2, id)::int as rank from pairs) select qid, rank, id, round(d2, 8) as dist2 from best where rank <= 3""")
+def knn_by_blocks(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    lists = dealt(v.select("id", "x"), asked(v), knn.nearest(3), "qid long, dist2 double, id long", 3, None)
+    return knn.merge(lists, 3).select("qid", "rank", "id", F.round("dist2", 8).alias("dist2"))
+
+
 @query(f"""with {P}, keyed as ({HASHES.sql("points")}), near as (select distinct a.id as qid, b.id from keyed a join keyed b using (tbl, key)),
 found as (select * from (select qid, id, d2, row_number() over (partition by qid order by d2, id) as rank from near join pairs using (qid, id)) where rank <= 5),
 truth as (select * from ({KNN}) where rank <= 5)
@@ -358,6 +389,19 @@ def space_partition(spark, sf_dir):
     return cluster.space_partition(vectors(spark, sf_dir), 4, D, "sp").groupBy("leaf").agg(F.count("*").alias("n"), F.min("id").alias("low"))
 
 
+def _variance_sql(depth: int) -> str:
+    out = ["v0 as (select id, x, 1::bigint as leaf from points)"]
+    for n in range(depth):
+        out.append(f"j{n} as (select leaf, arg_max(j, [s, -j]) as j from (select leaf, j, var_pop(v) as s from (select leaf, generate_subscripts(x, 1) as j, unnest(x) as v from v{n}) group by leaf, j) group by leaf)")
+        out.append(f"v{n + 1} as (select id, x, leaf * 2 + (t > median(t) over (partition by leaf))::bigint as leaf from (select id, x, leaf, x[j] as t from v{n} join j{n} using (leaf)))")
+    return ", ".join(out)
+
+
+@query(f"with {P}, {_variance_sql(3)} select leaf, count(*) as n, min(id) as low from v3 group by leaf")
+def space_partition_variance(spark, sf_dir):
+    return cluster.variance_partition(vectors(spark, sf_dir), 3).groupBy("leaf").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+
+
 # ------------------------------------------------------------ scalar formulas
 def _grid(spark: SparkSession) -> DataFrame:
     return spark.range(1, 201).select("id", (F.col("id") * 0.02).alias("c"))
@@ -949,10 +993,10 @@ def _nearest_sql(c: str) -> str:
     return f"select p.id, p.x, arg_min(c.cluster, [pow(p.x[1] - c.m[1], 2) + pow(p.x[2] - c.m[2], 2), c.cluster]) as cluster, min(pow(p.x[1] - c.m[1], 2) + pow(p.x[2] - c.m[2], 2)) as d from points p, {c} c group by p.id, p.x"
 
 
-def _lloyd_sql(first: str, rounds: int) -> str:
-    """Centers c<rounds> after so many steps from a relation c0 of (cluster, m)."""
-    steps = [f"c{i} as (select cluster, [avg(x[1]), avg(x[2])] as m from ({_nearest_sql(f'c{i - 1}')}) group by cluster)" for i in range(1, rounds + 1)]
-    return ", ".join([f"c0 as ({first})", *steps])
+def _lloyd_sql(first: str, rounds: int, p: str = "c") -> str:
+    """Centers <p><rounds> after so many steps from a relation <p>0 of (cluster, m)."""
+    steps = [f"{p}{i} as (select cluster, [avg(x[1]), avg(x[2])] as m from ({_nearest_sql(f'{p}{i - 1}')}) group by cluster)" for i in range(1, rounds + 1)]
+    return ", ".join([f"{p}0 as ({first})", *steps])
 
 
 @query(f"with {PART}, {_kcenter_sql(5)}, {_lloyd_sql('select n as cluster, x as m from k4', 1)} select cluster::int as cluster, count(*) as n from ({_nearest_sql('c1')}) group by cluster")
@@ -986,7 +1030,53 @@ def kmeans_lloyd(spark, sf_dir):
     return rows.join(cluster.assigned(v, centers).groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
 
 
+@query(f"with {PART}, {_kcenter_sql(8)} select n::int as place, id from k7")
+def kcenter_more(spark, sf_dir):
+    """Four more centers for four given ones."""
+    v = parts(spark, sf_dir).cache()
+    seeds = cluster.kcenter(v, 8, seeds=cluster.kcenter(v, 4))
+    return spark.createDataFrame([(k, i) for k, (i, _) in enumerate(seeds)], "place int, id long")
+
+
+FOLDS = 3
+_FOLDS_SQL = ", ".join(_lloyd_sql(f"select row_number() over (order by u, id) - 1 as cluster, x as m from (select id, x, {uniform_sql('id', f'{chr(39)}fold{f}{chr(39)}')} as u from points order by u, id limit 4)", 3, f"f{f}_") for f in range(FOLDS))
+_SIZES_SQL = " union all ".join(f"select {f} as f, case when count(*) = 4 then min(n) / max(n) else 0 end as score from (select cluster, count(*) as n from ({_nearest_sql(f'f{f}_3')}) group by cluster)" for f in range(FOLDS))
+
+
+@query(f"with {PART}, {_FOLDS_SQL}, best as (select arg_min(f, [-score, f]) as f from ({_SIZES_SQL})) select cluster::int as cluster, round(m[1], 7) as a, round(m[2], 7) as b from ({' union all '.join(f'select {f} as f, * from f{f}_3' for f in range(FOLDS))}) join best using (f)")
+def kmeans_balanced(spark, sf_dir):
+    """The most even of three runs of three steps."""
+    centers = cluster.balanced(parts(spark, sf_dir).cache(), 4, FOLDS, rounds=3, tolerance=-1.0)
+    return spark.createDataFrame([(k, round(a, 7), round(b, 7)) for k, (a, b) in enumerate(centers)], "cluster int, a double, b double")
+
+
+def _elimination_sql(k: int, extra: int) -> str:
+    out = [f"e0 as (select * from s{k + extra - 1})"]
+    for n in range(extra):
+        out.append(f"""l{n} as (select cluster, sum(d2 - d) as loss from (select cluster, d, lead(d) over (partition by id order by d, cluster) as d2, row_number() over (partition by id order by d, cluster) as r
+  from (select p.id, c.cluster, pow(p.x[1] - c.m[1], 2) + pow(p.x[2] - c.m[2], 2) as d from points p, e{n} c)) where r = 1 group by cluster)""")
+        out.append(f"e{n + 1} as (select * from e{n} where cluster <> (select cluster from e{n} left join l{n} using (cluster) order by coalesce(loss, 0), cluster limit 1))")
+    return ", ".join(out)
+
+
+@query(f"with {PART}, {_seeds_sql(6)}, {_elimination_sql(4, 2)} select (row_number() over (order by cluster) - 1)::int as cluster, round(m[1], 7) as a, round(m[2], 7) as b from e2")
+def seeds_by_elimination(spark, sf_dir):
+    """Six seeds, less the two whose loss costs least."""
+    centers = cluster.seeds_by_elimination(parts(spark, sf_dir).cache(), 4, 2)
+    return spark.createDataFrame([(k, round(a, 7), round(b, 7)) for k, (a, b) in enumerate(centers)], "cluster int, a double, b double")
+
+
 # ------------------------------------------------------------- Gauss transform
+@query("""select a::int as a, b::int as b, round(pow(2.0::double, a + b) / (factorial(a::int) * factorial(b::int))::double, 12) as factor, round(pow(0.5::double, a) * pow(-1.5::double, b), 12) as value
+from range(7) s(a), range(7) t(b) where a + b < 7""")
+def series_terms(spark, sf_dir):
+    """All monomials of two variables below degree 7, at a point, and their factors in the series."""
+    alpha = gauss.multi_indices(2, 7)
+    value = gauss.monomials(np.array([[0.5, -1.5]]), alpha)[0]
+    rows = [(int(a), int(b), round(float(f), 12), round(float(v), 12)) for (a, b), f, v in zip(alpha, gauss.series(alpha), value, strict=True)]
+    return spark.createDataFrame(rows, "a int, b int, factor double, value double")
+
+
 IFGT_H, IFGT_EPS = 0.4, 1e-3
 
 
@@ -1148,19 +1238,25 @@ def generate_normal(spark, sf_dir):
 
 INSTANCE = generate.Instance(30, 12, 3, 0.01, 30, 0.02)
 _FAR = INSTANCE.kernel.inverse(INSTANCE.density)
-_DIRECTIONS = f"dirs as (select c, j, z / sqrt(sum(z * z) over (partition by c)) as a from (select c, j, {normal_sql('c || chr(47) || j', 'instanced')} as z from range({INSTANCE.clusters}) t(c), range({INSTANCE.d}) u(j)))"
 
 
-def _instance_sql() -> str:
+def _directions(i: generate.Instance, p: str = "") -> str:
+    return f"{p}dirs as (select c, j, z / sqrt(sum(z * z) over (partition by c)) as a from (select c, j, {normal_sql('c || chr(47) || j', f'{i.salt}d')} as z from range({i.clusters}) t(c), range({i.d}) u(j)))"
+
+
+def _instance_sql(i: generate.Instance, p: str = "") -> str:
     parts, base = [], 0
-    for s_, r, n in INSTANCE.layout():
-        noise = INSTANCE.spread * r / math.sqrt(INSTANCE.d)
-        parts.append(f"select id + {base} as id, (id // {n})::int as cluster, {s_} as scale, {r!r}::double as r, {noise!r}::double as noise from range({n * INSTANCE.clusters}) t(id)")
-        base += n * INSTANCE.clusters
-    return f"rows_ as ({' union all '.join(parts)}), long as (select id, cluster, scale, j, a * r + {normal_sql('id || chr(47) || j', 'instancex')} * noise as v from rows_ join dirs on c = cluster)"
+    for s_, r, n in i.layout():
+        noise = i.spread * r / math.sqrt(i.d)
+        parts.append(f"select id + {base} as id, (id // {n})::int as cluster, {s_} as scale, {r!r}::double as r, {noise!r}::double as noise from range({n * i.clusters}) t(id)")
+        base += n * i.clusters
+    return f"{p}rows_ as ({' union all '.join(parts)}), {p}long as (select id, cluster, scale, j, a * r + {normal_sql('id || chr(47) || j', f'{i.salt}x')} * noise as v from {p}rows_ join {p}dirs on c = cluster)"
+
 
+_DIRECTIONS = _directions(INSTANCE)
 
-@query(f"with {_DIRECTIONS}, {_instance_sql()} select id, cluster, scale, round(sqrt(sum(v * v)), 7) as r, round(sum(v) filter (j = 0), 7) as x0 from long group by all")
+
+@query(f"with {_DIRECTIONS}, {_instance_sql(INSTANCE)} select id, cluster, scale, round(sqrt(sum(v * v)), 7) as r, round(sum(v) filter (j = 0), 7) as x0 from long group by all")
 def generate_instance(spark, sf_dir):
     x = INSTANCE.frame(spark)
     return x.select("id", "cluster", "scale", F.round(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), 7).alias("r"), F.round(F.col("x")[0], 7).alias("x0"))
@@ -1174,6 +1270,49 @@ def generate_queries(spark, sf_dir):
     return both.select("kind", "qid", F.round(F.col("q")[0], 7).alias("q0"))
 
 
+@query(f"""with {_DIRECTIONS}, r as (select id, {uniform_sql("id", "'instancer'")} * {_FAR!r}::double as r, floor({uniform_sql("id", "'instancec'")} * {INSTANCE.clusters})::int as c from range(50) t(id))
+select id as qid, round(a * r, 7) as q0 from r join dirs using (c) where j = 0
+union all select id + 50, round({normal_sql("id || chr(47) || 0", "instanceq")} * r / {math.sqrt(INSTANCE.d)!r}::double, 7) from r""")
+def generate_mixed_queries(spark, sf_dir):
+    return generate.mixed_queries(INSTANCE, spark, 50).select("qid", F.round(F.col("q")[0], 7).alias("q0"))
+
+
+SWEEP = (2000, 4, [1, 5, 20])
+_SWEPT = generate.sweep_instances(*SWEEP, density=0.1)
+
+
+@query("with " + ", ".join(f"{_directions(i, f's{c}_')}, {_instance_sql(i, f's{c}_')}" for c, i in _SWEPT.items()) + " " + " union all ".join(f"select {c} as clusters, id, scale, round(sqrt(sum(v * v)), 7) as r from s{c}_long group by all" for c in _SWEPT))
+def generate_sweep(spark, sf_dir):
+    """About as many points for each of several numbers of clusters."""
+    out = None
+    for c, x in generate.sweep(spark, *SWEEP, density=0.1).items():
+        own = x.select(F.lit(c).alias("clusters"), "id", "scale", F.round(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), 7).alias("r"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+TURNS = generate.Rotation(2, 6, "turn")
+
+
+def _turned_sql() -> str:
+    out, last = [], "select id, x[1] as a, x[2] as b, x[1] as a0, x[2] as b0 from points"
+    for n, (i, _, angle) in enumerate(TURNS.turns()):
+        c, s = (f"({f(float(angle[0]))!r})::double" for f in (math.cos, math.sin))
+        one, two = ("a", "b") if i[0] == 0 else ("b", "a")
+        out.append(f"t{n} as (select id, {one} * {c} - {two} * {s} as {one}, {one} * {s} + {two} * {c} as {two}, a0, b0 from ({last}))")
+        last = f"select * from t{n}"
+    return f"{', '.join(out)} select id, round(a, 8) as a, round(b, 8) as b, round(a0, 8) as a0, round(b0, 8) as b0 from ({last})"
+
+
+@query(f"with {PART}, {_turned_sql()}")
+def rotate_points(spark, sf_dir):
+    """Turned, and turned back."""
+    v = parts(spark, sf_dir).cache()
+    there = TURNS.applied(v)
+    both = there.withColumnRenamed("x", "y").join(TURNS.applied(there, back=True), "id")
+    return both.select("id", *[F.round(F.col(c)[j], 8).alias(name) for c, names in (("y", "ab"), ("x", ("a0", "b0"))) for j, name in enumerate(names)])
+
+
 COVARIANCE = np.array([[2.0, 0.5], [0.5, 1.0]])
 PART_COVARIANCES = [generate.random_covariance(2, k) for k in range(3)]
 
@@ -1259,6 +1398,66 @@ def io_clusters(spark, sf_dir):
     return both.select("id", "cluster", F.round(sqdist(F.col("x"), F.col("c")), 7).alias("d"))
 
 
+@query(f"with {P} select qid, rank, round(d2, 8) as dist2, id from ({KNN}) where rank <= 3")
+def io_knn_binary(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    path = _scratch(spark, "knn")
+    matrices.write_knn_binary(knn.knn(v, asked(v), 4), path, 3)
+    return rounded(matrices.read_knn_binary(spark, path, 3), "dist2", places=8)
+
+
+@query(f"with {P} select row_number() over (order by id) - 1 as id, round(x[1], 8) as first, round(x[64], 8) as last from points")
+def io_matrix_binary(spark, sf_dir):
+    path = _scratch(spark, "matrix")
+    matrices.write_binary_matrix(vectors(spark, sf_dir), path)
+    return matrices.read_binary_matrix(spark, path, D).select("id", F.round(F.col("x")[0], 8).alias("first"), F.round(F.col("x")[D - 1], 8).alias("last"))
+
+
+@query(f"with {PART} select row_number() over (order by id) - 1 as id, round(x[1], 8) as a, round(x[2], 8) as b from points")
+def io_matrix_text(spark, sf_dir):
+    path = _scratch(spark, "matrix")
+    matrices.write_matrix(matrices.in_order(parts(spark, sf_dir), "id"), path, " ")
+    return matrices.read_text_matrix(spark, path).select("id", F.round(F.col("x")[0], 8).alias("a"), F.round(F.col("x")[1], 8).alias("b"))
+
+
+@query(f"with {PART} select * from (select row_number() over (order by id) - 1 as id, round((x[1]::float)::double, 6) as a from points) where id < 50")
+def io_matrix_head(spark, sf_dir):
+    """The first rows and columns of a matrix, written as queries are."""
+    path = _scratch(spark, "queries")
+    matrices.write_queries(asked(parts(spark, sf_dir)), path)
+    return matrices.read_csv_matrix(spark, path, 0, 0, rows=50).select("id", F.round(F.col("x")[0], 6).alias("a"))
+
+
+@query(f"with {PART} select 'points' as kind, round(x[1], 8) as a, round(x[2], 8) as b from points union all select 'queries', round(x[1], 8), round(x[2], 8) from points where id % 3 = 1")
+def io_convert(spark, sf_dir):
+    """Points, and the queries that exact densities name, as lines of numbers."""
+    v = parts(spark, sf_dir).cache()
+    to = [_scratch(spark, kind) for kind in ("points", "queries")]
+    matrices.convert_inputs(v, v.where("id % 3 = 1").select(F.lit(0.5).alias("density"), F.col("id").alias("idx")), *to)
+    both = [matrices.read_text_matrix(spark, path).select(F.lit(kind).alias("kind"), "x") for kind, path in zip(("points", "queries"), to, strict=True)]
+    return both[0].unionByName(both[1]).select("kind", F.round(F.col("x")[0], 8).alias("a"), F.round(F.col("x")[1], 8).alias("b"))
+
+
+@query("select count(*) as lines, 4::bigint as files from part")
+def io_listing(spark, sf_dir):
+    path = _scratch(spark, "listed")
+    matrices.write_matrix(parts(spark, sf_dir).repartition(4), path)
+    return matrices.listing(spark, path).where("length > 0").agg(F.lit(matrices.line_count(spark, path)).cast("long").alias("lines"), F.count("*").alias("files"))
+
+
+@query("""with raw as (select row_number() over (order by p_partkey) - 1 as id, (p_size::float)::double as a, (p_retailprice::float)::double as b, 2 * pow(count(*) over (), -1.0::double / 6) * sqrt(2.0::double) as h from part)
+select 'points' as side, id, round(a / h, 6) as a, round(b / h, 6) as b from raw union all select 'queries', id, round(a / h, 6), round(b / h, 6) from raw where id < 40""")
+def ingest_config(spark, sf_dir):
+    """Points and queries of a configuration, scaled by Scott's factor and the bandwidth."""
+    raw = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(*[F.col(c).cast("double") for c in ("p_partkey", "p_size", "p_retailprice")]).alias("x"))
+    path = _scratch(spark, "ingest")
+    matrices.write_matrix(matrices.in_order(raw, "id"), path, ",")
+    text = f'other {{ h = "9"; }} parts {{ name = "parts"; fpath = "{path}"; kernel = "gaussian"; d = "2"; m = "40"; h = "2"; start_col = "1"; end_col = "2"; }}'
+    points, queries, _, _ = config.ingest(spark, config.KdeConfig.parse(text, "parts"))
+    both = points.select(F.lit("points").alias("side"), "id", "x").unionByName(queries.select(F.lit("queries").alias("side"), F.col("qid").alias("id"), F.col("q").alias("x")))
+    return both.select("side", "id", F.round(F.col("x")[0], 6).alias("a"), F.round(F.col("x")[1], 6).alias("b"))
+
+
 @query("select s_suppkey as id, round(1 / sqrt((select count(*) from supplier)), 9) as charge from supplier")
 def source_charges(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))

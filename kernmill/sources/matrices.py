@@ -3,10 +3,12 @@ neighbour lists."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,21 +40,58 @@ def _numbered(raw: DataFrame, x) -> DataFrame:
     return dense_index(raw.select(*at, x.alias("x")), ["_f", "_b", "_m"], "id").select("id", "x")
 
 
+def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """_f, _k and record: the records of so many bytes, by their file's place among the names and their own in it.
+    Files are split like any others; a file that holds no whole number of records raises."""
+    files = sorted((r["path"], r["length"]) for r in listing(spark, path).collect())  # a name a file
+    if any(length % size for _, length in files):
+        raise ValueError(f"a file's length is no multiple of {size}")
+    context, kind = spark.sparkContext, "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    read = lambda f: context.newAPIHadoopFile(f, kind, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{kind}.recordLength": str(size)})
+    rows = [read(f).map(lambda r, k=k: (k, r[0], bytes(r[1]))) for k, (f, length) in enumerate(files) if length]
+    return spark.createDataFrame(context.union(rows) if rows else [], "_f int, _k long, record binary")
+
+
 def read_binary_matrix(spark: SparkSession, path: str, d: int) -> DataFrame:
     """id and x from files of little-endian doubles, row after row; files in the order of their names."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = np.frombuffer(data, "<f8").reshape(-1, d)
-                for k in range(0, len(m), 10_000):
-                    part = m[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(k, k + len(part))), pa.array(part.tolist(), pa.list_(pa.float64()))], ["_f", "_k", "x"])
+            flat = pa.array(np.frombuffer(b"".join(b.column(2).to_pylist()), "<f8"))
+            x = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * d, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["_f", "_k", "x"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "_f string, _k long, x array<double>")
+    raw = _records(spark, path, 8 * d).mapInArrow(rows, "_f int, _k long, x array<double>")
     return dense_index(raw, ["_f", "_k"], "id").select("id", "x")
 
 
+def _write_records(rows: DataFrame, path: str, packed: Callable[[pa.RecordBatch], bytes]) -> None:
+    """Raw bytes in a folder of any store that pyarrow's file systems reach, a file a
+    task. A task writes under the name of its attempt and renames the whole file, so
+    a repeated one puts the same bytes in the same place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        store, at = FileSystem.from_uri(re.sub("^file:/+", "/", path))
+        task, n = TaskContext.get(), 0
+        store.create_dir(at, recursive=True)
+        own = f"{at}/_{task.partitionId()}-{task.taskAttemptId()}"
+        with store.open_output_stream(own) as out:
+            for b in batches:
+                out.write(packed(b))
+                n += b.num_rows
+        store.move(own, f"{at}/part-{task.partitionId():05d}")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def write_binary_matrix(points: DataFrame, path: str) -> None:
+    """Little-endian doubles, row after row, of (id, x) in the order of the ids."""
+    _write_records(in_order(points.select("id", "x"), "id").select("x"), path, lambda b: b.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+
+
 def read_exact(spark: SparkSession, path: str) -> DataFrame:
     """density and idx."""
     return spark.read.csv(path, schema="density double, idx long")
@@ -117,18 +156,35 @@ def read_knn(spark: SparkSession, path: str) -> DataFrame:
     return parts.where("size(p) > 2").select(F.element_at("p", 1).cast("long").alias("qid"), F.explode(rows).alias("r")).select("qid", "r.*")
 
 
+def _list_record(k: int) -> np.dtype:
+    return np.dtype([("q", "<i8"), ("n", [("d", "<f8"), ("i", "<i8")], (k,))])
+
+
+def write_knn_binary(lists: DataFrame, path: str, k: int) -> None:
+    """Records as read_knn_binary() takes them, in the order of the queries; a shorter list ends in distances without end."""
+
+    def packed(b: pa.RecordBatch) -> bytes:
+        out = np.empty(b.num_rows, _list_record(k))
+        out["q"], out["n"]["d"], out["n"]["i"] = b.column(0).to_numpy(), np.inf, -1
+        for row, found in zip(out["n"], b.column(1).to_pylist(), strict=True):
+            row["d"][: len(found)], row["i"][: len(found)] = [x["dist2"] for x in found], [x["id"] for x in found]
+        return out.tobytes()
+
+    own = F.array_sort(F.collect_list(F.struct("rank", "dist2", "id"))).alias("found")
+    _write_records(in_order(lists.where(F.col("rank") <= k).groupBy("qid").agg(own), "qid"), path, packed)
+
+
 def read_knn_binary(spark: SparkSession, path: str, k: int) -> DataFrame:
     """qid, rank, dist2, id from files of records: the query's id, then k pairs of distance (double) and id, all of 64 bits."""
-    record = np.dtype([("q", "<i8"), ("n", [("d", "<f8"), ("i", "<i8")], (k,))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                m = np.frombuffer(data, record)
-                rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(m))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(m["q"], k)), pa.array(rank), pa.array(m["n"]["d"].ravel()), pa.array(m["n"]["i"].ravel())], ["qid", "rank", "dist2", "id"])
+            m = np.frombuffer(b"".join(b.column(2).to_pylist()), _list_record(k))
+            rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(m))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(m["q"], k)), pa.array(rank), pa.array(m["n"]["d"].ravel()), pa.array(m["n"]["i"].ravel())], ["qid", "rank", "dist2", "id"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "qid long, rank int, dist2 double, id long")
+    read = _records(spark, path, _list_record(k).itemsize).mapInArrow(rows, "qid long, rank int, dist2 double, id long")
+    return read.where(F.col("dist2") < float("inf"))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,8 @@ them.
 
 The partition is fitted on a bounded seeded sample, which decides how much is pruned
 and never what is found.  Leaves with more points than one task should hold are cut
-into parts by a hash of the id, and a query goes to all of them."""
+into parts by a hash of the id, and a query goes to all of them.  Of a cell with more
+queries than one task should hold these are cut into blocks, and the points go to each."""
 
 from __future__ import annotations
 
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernels import Kernel
-from .sweep import matrix, meeting
+from .sweep import Work, matrix, meeting
 
-#: Points that the partition is fitted on; points of a leaf, if the sample allows; points of a part.
-FIT, LEAF, PART = 1 << 16, 1024, 1 << 14
+#: Points that the partition is fitted on; points of a leaf, if the sample allows; points of a part; queries of a block.
+FIT, LEAF, PART, BLOCK = 1 << 16, 1024, 1 << 14, 1 << 14
+#: Blocks of a cell are numbered from a multiple of this on.
+BLOCKS = 1 << 20
 
 
 class Space:
@@ -140,6 +143,20 @@ def cells(points: DataFrame, leaf: int = LEAF, part: int = PART, salt: str = "ce
     return Cells(own, space, parts)
 
 
+def met(there: DataFrame, asked: DataFrame, work: Work, schema: str, radius: str | None = None) -> DataFrame:
+    """meeting(), the queries of crowded cells in blocks."""
+    sizes = asked.groupBy("cell").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("_n"))
+    crowded = sizes.where("_n > 1").persist()
+    if crowded.isEmpty():
+        return meeting(there, asked, work, schema, radius)
+    n = F.coalesce("_n", F.lit(1))
+    number = lambda block: (F.col("cell") * BLOCKS + block).alias("cell")
+    columns = lambda df: [c for c in df.columns if c != "cell"]
+    each = there.join(crowded, "cell", "left").select(F.explode(F.sequence(F.lit(0), n - 1)).alias("_b"), "*").select(number(F.col("_b")), *columns(there))
+    own = asked.join(crowded, "cell", "left").select(number(F.pmod(F.xxhash64("qid"), n)), *columns(asked))
+    return meeting(each, own, work, schema, radius)
+
+
 def range_join(points: DataFrame, queries: DataFrame, radius: float | str, most: int | None = None) -> DataFrame:
     """qid, id and dist2 of all points within a radius, as knn.range_join()."""
     from .knn import merge, within
@@ -147,7 +164,7 @@ def range_join(points: DataFrame, queries: DataFrame, radius: float | str, most:
     column = radius if isinstance(radius, str) else None
     queries = queries.select("qid", "q", *([column] if column else []))
     grid = cells(points.select("id", "x"))
-    out = meeting(grid.there, grid.asked(queries, radius), within(radius), "qid long, id long, dist2 double", column)
+    out = met(grid.there, grid.asked(queries, radius), within(radius), "qid long, id long, dist2 double", column)
     return merge(out, most).select("qid", "id", "dist2") if most else out
 
 
@@ -158,7 +175,7 @@ def kernel_sums(points: DataFrame, queries: DataFrame, kernel: Kernel, radius: f
     columns, schema, work = summing(points, kernel, weights, radius=radius)
     queries = queries.select("qid", "q")
     grid = cells(points.select(*columns))
-    found = meeting(grid.there, grid.asked(queries, radius), work, schema).groupBy("qid", "wset").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    found = met(grid.there, grid.asked(queries, radius), work, schema).groupBy("qid", "wset").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
     every = queries.select("qid", F.explode(F.sequence(F.lit(0), F.lit(max(1, len(weights)) - 1))).alias("wset"))
     zero = F.lit(0).cast("long")
     return every.join(found, ["qid", "wset"], "left").select("qid", "wset", F.coalesce("sum", F.lit(0.0)).alias("sum"), F.coalesce("n", zero).alias("n"))
@@ -172,9 +189,9 @@ def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     queries = queries.select("qid", "q")
     grid = cells(points.select("id", "x"))
     schema = "qid long, dist2 double, id long"
-    own = merge(meeting(grid.there, grid.asked(queries), nearest(k), schema), k)
+    own = merge(met(grid.there, grid.asked(queries), nearest(k), schema), k)
     own = own.persist()
     reach = own.groupBy("qid").agg(F.when(F.count("*") >= k, F.sqrt(F.max("dist2"))).alias("r"))
     further = queries.join(reach, "qid", "left").select("qid", "q", F.coalesce("r", F.lit(float("inf"))).alias("r"))
-    more = meeting(grid.there, grid.asked(further, "r", but_own=True), nearest(k), schema, "r")
+    more = met(grid.there, grid.asked(further, "r", but_own=True), nearest(k), schema, "r")
     return merge(more.unionByName(own.select("qid", "dist2", "id")), k)

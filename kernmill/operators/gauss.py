@@ -10,8 +10,10 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kernels import Gaussian, Kernel
 from .cluster import assigned
@@ -262,39 +264,88 @@ class Treecode:
         own = self.placed.join(weights.select("id", "w"), "id").select("leaf", "id", "w")
         return self.nodes.groupBy("leaf").cogroup(own.groupBy("leaf")).applyInArrow(charge, "leaf long, id long, x array<double>, center array<double>, radius double, charge double")
 
+    def balls(self) -> Broadcast:
+        """(leaves, centers, radii), at most a row for each of 2 ** 16 leaves."""
+        table = self.nodes.groupBy("leaf").agg(F.first("center").alias("center"), F.first("radius").alias("radius")).orderBy("leaf").toArrow()
+        return self.placed.sparkSession.sparkContext.broadcast((table.column("leaf").to_numpy(), matrix(table.column("center")), table.column("radius").to_numpy()))
+
+    def _near_field(self, asked: DataFrame, weights: DataFrame) -> DataFrame:
+        """qid and p: the sums over the points of leaves, of queries (cell, qid, q) that name them."""
+        from .cells import met
+        from .exact import summing
+
+        columns, schema, work = summing(weights, self.kernel, ["w"])
+        there = self.placed.join(weights.select("id", "w"), "id").select(F.col("leaf").alias("cell"), *columns)
+        return met(there, asked, work, schema).select("qid", F.col("sum").alias("p"))
+
     def potentials(self, queries: DataFrame, weights: DataFrame) -> DataFrame:
-        """qid and potential of any targets under any weights (id, w) of the points."""
-        from .sweep import sweep
+        """qid and potential of any targets under any weights (id, w) of the points. Skeletons are
+        swept like points; a target goes to the leaves near it and meets their points there."""
+        from .sweep import slices, sweep
 
-        kernel, near = self.kernel, self.near
-        table = self.charged(weights).orderBy("leaf", "id").toArrow()  # leaves x rank
-        leaves = np.array(table.column("leaf").to_pylist())
-        first = np.unique(leaves, return_index=True)[1]
-        held = queries.sparkSession.sparkContext.broadcast((leaves, matrix(table.column("x")), table.column("charge").to_numpy(), leaves[first], matrix(table.column("center"))[first], table.column("radius").to_numpy()[first]))
+        kernel, near, held = self.kernel, self.near, self.balls()
 
-        def far_field(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leaf, x, charge, names, centers, radii = held.value
-            for b in batches:
-                if b.num_rows:
-                    q = matrix(b.column(1))
-                    far = np.sqrt(sqdist(q, centers)) > radii + near
-                    use = far[:, np.searchsorted(names, leaf)]
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array((kernel.block(sqdist(q, x)) * use) @ charge)], ["qid", "p"])
-
-        def near_field(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, _, _, names, centers, radii = held.value
-            close = np.sqrt(sqdist(q, centers)) <= radii + near
+        def far_field(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(q))
             for b in batches:
-                if b.num_rows:
-                    x, w = matrix(b.column(1)), b.column(2).to_numpy().astype(float)
-                    use = close[:, np.searchsorted(names, b.column(3).to_numpy())]
-                    total += (kernel.block(sqdist(q, x)) * use) @ w
+                x, charge, centers, radii = (f(b.column(k)) for k, f in ((1, matrix), (2, pa.Array.to_numpy), (3, matrix), (4, pa.Array.to_numpy)))
+                for s in slices(len(q), x) if len(x) else ():
+                    far = np.sqrt(sqdist(q, centers[s])) > radii[s] + near
+                    total += (kernel.block(sqdist(q, x[s])) * far) @ charge[s]
             yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(total)], ["qid", "p"])
 
-        far = queries.select("qid", "q").mapInArrow(far_field, "qid long, p double")
-        close = sweep(self.placed.join(weights.select("id", "w"), "id").select("id", "x", "w", "leaf"), queries, near_field, "qid long, p double")
-        return far.unionByName(close).groupBy("qid").agg(F.sum("p").alias("potential"))
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, centers, radii = held.value
+            for batch in batches:
+                for b in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                    row, leaf = np.nonzero(np.sqrt(sqdist(matrix(b.column(1)), centers)) <= radii + near)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[leaf]), *b.take(pa.array(row)).columns], ["cell", "qid", "q"])
+
+        far = sweep(self.charged(weights).select("id", "x", "charge", "center", "radius"), queries, far_field, "qid long, p double")
+        kind = T.StructType([T.StructField("cell", T.LongType()), *queries.select("qid", "q").schema.fields])
+        own = self._near_field(queries.select("qid", "q").mapInArrow(close, kind), weights)
+        return far.unionByName(own).groupBy("qid").agg(F.sum("p").alias("potential"))
+
+    def mutual_potentials(self, weights: DataFrame) -> DataFrame:
+        """qid and potential of the points themselves under weights (id, w). Leaves act on
+        leaves: the skeleton of one on that of another, if their balls are further apart than
+        `near`, and the potentials of a skeleton are passed down to its leaf's points by the
+        decomposition, which holds both ways as the kernel is symmetric."""
+        from .sweep import slices, sweep
+
+        kernel, near, held = self.kernel, self.near, self.balls()
+        charged = self.charged(weights).select("id", "x", "charge", "center", "radius")
+
+        def at_skeletons(qids: np.ndarray, both: np.ndarray, own: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            d = both.shape[1] // 2
+            q, middle, total = both[:, :d], both[:, d:], np.zeros(len(both))
+            for b in batches:
+                x, charge, centers, radii = (f(b.column(k)) for k, f in ((1, matrix), (2, pa.Array.to_numpy), (3, matrix), (4, pa.Array.to_numpy)))
+                for s in slices(len(q), x) if len(x) else ():
+                    far = np.sqrt(sqdist(middle, centers[s])) - own[:, None] > radii[s] + near
+                    total += (kernel.block(sqdist(q, x[s])) * far) @ charge[s]
+            yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(total)], ["qid", "u"])
+
+        def down(key: tuple, nodes: pa.Table, own: pa.Table) -> pa.Table:
+            p = nodes.column("u").to_numpy() @ matrix(nodes.column("row")) if nodes.num_rows else np.zeros(own.num_rows)
+            return pa.table({"qid": own.sort_by("id").column("id"), "p": pa.array(p)})
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, centers, radii = held.value
+            for batch in batches:
+                for b in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                    own, which = np.unique(np.searchsorted(names, b.column(2).to_numpy()), return_inverse=True)
+                    pairs = np.sqrt(sqdist(centers[own], centers)) - radii[own, None] <= radii + near
+                    row, leaf = np.nonzero(pairs[which])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[leaf]), *b.select([0, 1]).take(pa.array(row)).columns], ["cell", "qid", "q"])
+
+        asked = self.nodes.select(F.col("id").alias("qid"), F.concat("x", "center").alias("q"), "radius")
+        felt = sweep(charged, asked, at_skeletons, "qid long, u double", "radius").groupBy("qid").agg(F.sum("u").alias("u"))
+        nodes = self.nodes.join(felt.withColumnRenamed("qid", "id"), "id").select("leaf", "u", "row")
+        far = nodes.groupBy("leaf").cogroup(self.placed.select("leaf", "id").groupBy("leaf")).applyInArrow(down, "qid long, p double")
+        targets = self.placed.select(F.col("id").alias("qid"), F.col("x").alias("q"), "leaf")
+        own = self._near_field(targets.mapInArrow(close, "cell long, qid long, q array<double>"), weights)
+        return far.unionByName(own).groupBy("qid").agg(F.sum("p").alias("potential"))
 
 
 def skeleton_transform(points: DataFrame, queries: DataFrame, kernel: Gaussian, depth: int, rank: int, near: float, samples: int = 256, weight: str = "w") -> DataFrame:

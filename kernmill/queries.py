@@ -1143,6 +1143,14 @@ def treecode_new_charges(spark, sf_dir):
     return _against(kept.potentials(some, v.select("id", F.col("w2").alias("w"))), v, some, "w2")
 
 
+@query(_TREE_EXACT % ("1 + id % 3", ""))
+def treecode_mutual(spark, sf_dir):
+    """Leaves acting on leaves, potentials passed down to the points."""
+    v = parts(spark, sf_dir).withColumn("w2", (F.col("id") % 3 + 1).cast("double")).cache()
+    kept = gauss.Treecode.fit(v, TREE_KERNEL, 4, 64, 0.5, 1024)
+    return _against(kept.mutual_potentials(v.select("id", F.col("w2").alias("w"))), v, asked(v), "w2")
+
+
 # ----------------------------------------------------------------------- trees
 NODES = "node_ as (select n::bigint as n from range(1, 64) t(n)), two as (select a.n as a, b.n as b, length(bin(a.n)) - 1 as la, length(bin(b.n)) - 1 as lb from node_ a, node_ b)"
 

@@ -84,6 +84,7 @@ def _write_records(rows: DataFrame, path: str, packed: Callable[[pa.RecordBatch]
         store.move(own, f"{at}/part-{task.partitionId():05d}")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
+    rows.sparkSession.createDataFrame([], "value string").write.text(path)  # the folder, which must be new
     rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 

@@ -243,6 +243,17 @@ def test_a_tree_kept_for_new_charges(data):
         assert np.abs(by_id(kept.potentials(asked(p), w), "potential") - want).max() < 1e-3 * np.abs(want).max()
 
 
+def test_leaves_act_on_leaves(data):
+    """The same sums as the exact ones, some of them far: with a narrow kernel and `near` zero, most leaves are."""
+    x, p = data
+    k, w = Gaussian(0.5), p.select("id", "w")
+    want = k.block(pairwise(x)) @ by_id(w, "w", "id")
+    for depth, near in ((3, 0.1), (5, 0.0), (0, 0.5)):
+        kept = gauss.Treecode.fit(p, k, depth, 60, near)
+        got = by_id(kept.mutual_potentials(w), "potential")
+        assert len(got) == len(x) and np.abs(got - want).max() < 1e-3 * np.abs(want).max()
+
+
 @pytest.mark.parametrize("d", [1, 2, 3])
 @pytest.mark.parametrize("h", [0.08, 0.3, 0.64])
 def test_gauss_transform_keeps_its_bound(spark, d, h):
@@ -353,15 +364,16 @@ def test_plans_follow_their_sizes():
     assert planner.seconds(planner.by_sweep(100, 10, 2, 1, 4)) < planner.seconds(planner.by_cells(100, 10, 2, 1, 50, 2, 1))
 
 
-@pytest.mark.parametrize("part", [40, 1 << 14])
-def test_cells_equal_sweeps(spark, monkeypatch, part):
-    """Ranges, neighbours and sums by leaves, with a hot leaf of copies, queries far off, and leaves in parts."""
+@pytest.mark.parametrize(("part", "block"), [(40, 1 << 14), (1 << 14, 1 << 14), (40, 30)])
+def test_cells_equal_sweeps(spark, monkeypatch, part, block):
+    """Ranges, neighbours and sums by leaves, with a hot leaf of copies, queries far off, leaves in parts, and queries in blocks."""
     from kernmill.operators import cells
 
     rng = np.random.default_rng(7)
     x = np.concatenate((rng.random((300, 2)), np.tile([[0.5, 0.25]], (150, 1))))
     p = spark.createDataFrame([(i, v.tolist(), 1.0 + i % 2) for i, v in enumerate(x)], "id long, x array<double>, w double").repartition(3).cache()
     q = asked(p).unionByName(spark.createDataFrame([(900, [5.0, -3.0])], "qid long, q array<double>"))
+    monkeypatch.setattr(cells, "BLOCK", block)
     monkeypatch.setattr(cells, "cells", lambda points, own=cells.cells: own(points, leaf=20, part=part))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(cells.knn(p, q, 5)) == rows(knn.knn(p, q, 5))
@@ -436,6 +448,44 @@ def test_further_files(spark, data, tmp_path):
     matrices.convert_inputs(data[1], exact_rows, str(tmp_path / "p"), str(tmp_path / "q"))
     assert matrices.line_count(spark, str(tmp_path / "p")) == 300 and matrices.line_count(spark, str(tmp_path / "q")) == 2
     assert matrices.listing(spark, str(tmp_path / "k.bin")).first()["length"] == rows.nbytes
+    with pytest.raises(ValueError, match="multiple"):
+        matrices.read_binary_matrix(spark, str(tmp_path / "k.bin"), 7)
+
+
+def test_binary_files_are_in_order_and_split(spark, data, tmp_path):
+    x, p = data
+    matrices.write_binary_matrix(p, str(tmp_path / "m"))
+    back = matrices.read_binary_matrix(spark, str(tmp_path / "m"), 3)
+    assert [r["x"] for r in back.orderBy("id").collect()] == x.tolist()
+    two = spark.createDataFrame([(7, 1, 0.5, 1), (7, 2, 0.75, 2), (9, 1, 0.25, 3)], "qid long, rank int, dist2 double, id long")
+    matrices.write_knn_binary(two, str(tmp_path / "k"), 2)
+    assert [tuple(r) for r in matrices.read_knn_binary(spark, str(tmp_path / "k"), 2).orderBy("qid", "rank").collect()] == [tuple(r) for r in two.collect()]
+    matrices.write_binary_matrix(p.limit(0), str(tmp_path / "none"))
+    assert matrices.read_binary_matrix(spark, str(tmp_path / "none"), 3).count() == 0
+
+
+def test_sums_around_over_many_tasks(spark):
+    """A key that holds nearly all rows, with ties that the id breaks."""
+    rows = [(0 if i < 500 else i, i, float(i % 7)) for i in range(520)]
+    own = order.sums_around(spark.createDataFrame(rows, "k long, id long, v double").repartition(5), ["k"], ["v", "id"], F.col("v")).collect()
+    assert len(own) == 520
+    for r in own:
+        same = [(v, i) for k, i, v in rows if k == r["k"]]
+        assert r["before"] == sum(v for v, i in same if (v, i) < (r["v"], r["id"])) and r["after"] == sum(v for v, i in same if (v, i) > (r["v"], r["id"]))
+
+
+def test_rotations_keep_distances(data):
+    x, p = data
+    there = generate.Rotation(3, 5).applied(p)
+    y = np.array([r["x"] for r in there.orderBy("id").collect()])
+    assert np.allclose(pairwise(y), pairwise(x)) and not np.allclose(y, x)
+
+
+def test_sampled_leaves_find_most(data):
+    x, p = data
+    every = knn.knn(p, asked(p), 4)
+    some = knn.quality(every, knn.knn_sampled(p, asked(p), 4, 10, 4)).first()["hit_rate"]
+    assert some > 0.6 and knn.quality(every, knn.knn_sampled(p, asked(p), 4, 1, 0)).first()["hit_rate"] == 1.0
 
 
 def test_seeding(data):

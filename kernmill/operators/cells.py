@@ -168,6 +168,14 @@ def range_join(points: DataFrame, queries: DataFrame, radius: float | str, most:
     return merge(out, most).select("qid", "id", "dist2") if most else out
 
 
+def range_count(there: DataFrame, asked: DataFrame, radius: float) -> DataFrame:
+    """qid and n, the number of points within a radius, of queries with any; there (cell, id, x, _n: the points
+    a row stands for) and asked (cell, qid, q) share the cells that a query's ball meets. No pairs are written."""
+    from .knn import counting
+
+    return met(there, asked, counting(radius), "qid long, n long").groupBy("qid").agg(F.sum("n").alias("n"))
+
+
 def kernel_sums(points: DataFrame, queries: DataFrame, kernel: Kernel, radius: float, weights: Sequence[str] = ()) -> DataFrame:
     """qid, wset, sum and n, as exact.kernel_sums() with a radius; a query without a point in reach has sum and n zero."""
     from .exact import summing

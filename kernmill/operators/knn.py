@@ -94,6 +94,23 @@ def within(radius: float | str) -> Work:
     return work
 
 
+def counting(radius: float) -> Work:
+    """For sweep() or meeting(): of each query the number of points (id, x, and the number _n that
+    a row stands for) within a radius."""
+
+    def work(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(q), np.int64)
+        for b in batches:
+            x, many = matrix(b.column(1)), b.column(2).to_numpy()
+            for s in slices(len(q), x):
+                i, j = np.nonzero(sqdist(q, x[s]) <= radius**2 * (1 + 1e-9) + 1e-12)
+                good = _exact(q, x[s], i, j) <= radius**2
+                np.add.at(total, i[good], many[s][j[good]])
+        yield pa.RecordBatch.from_arrays([pa.array(qids[total > 0]), pa.array(total[total > 0])], ["qid", "n"])
+
+    return work
+
+
 def range_join(points: DataFrame, queries: DataFrame, radius: float | str, most: int | None = None) -> DataFrame:
     """qid, id and dist2 of all points within a radius, of all queries or a
     column of theirs; most: at most so many nearest."""

@@ -18,7 +18,7 @@ from .functions.kernels import Exponential, Gaussian, Kernel, Laplace, Matern, P
 from .functions.random import normal_sql, uniform, uniform_sql, uniform_value
 from .functions.vector import scale, sqdist
 from .operators import cells, cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, sets, tree
-from .operators.sweep import dealt
+from .operators.sweep import dealt, once
 from .plans import config, planner
 from .sources import matrices
 from .storage import shared_path
@@ -332,14 +332,14 @@ def knn_quality(spark, sf_dir):
 
 @query(f"with {PART_PAIRS} select qid, count(*) as n from pairs where d2 <= 0.01 group by qid")
 def range_tree_count(spark, sf_dir):
-    """A range join over the leaves of a tree of random projections that each query's ball meets."""
+    """Points counted in the leaves of a tree of random projections that each query's ball meets, copies together."""
     v = parts(spark, sf_dir).cache()
     depth = 6
     cuts = cluster.partition_cuts(v, depth, 2, "rt")
-    leaves = cluster.space_partition(v, depth, 2, "rt", cuts=cuts)
-    there = cluster.routed(asked(v), cuts, "rt", reach=0.1 + 1e-9)
-    near = there.join(leaves, "leaf").join(asked(v), "qid").where(sqdist(F.col("x"), F.col("q")) <= 0.01)
-    return near.groupBy("qid").agg(F.count("*").alias("n"))
+    leaves = cluster.space_partition(exact.together(v, ["x"]), depth, 2, "rt", keep=("id", "x", "_n"), cuts=cuts)
+    some, back = once(asked(v))
+    there = cluster.routed(some, cuts, "rt", reach=0.1 + 1e-9).join(some, "qid").select(F.col("leaf").alias("cell"), "qid", "q")
+    return back(cells.range_count(leaves.select(F.col("leaf").alias("cell"), "id", "x", "_n"), there, 0.1))
 
 
 # ----------------------------------------------------------------- statistics

@@ -15,35 +15,58 @@ from .lsh import Hashes
 from .sweep import BLOCK_QUERIES, Work, matrix, meeting, slices, sqdist, sweep
 
 
+#: Points, and pairs, of a tile, whose distances stay in a core's cache.
+TILE_POINTS, TILE = 2048, 1 << 18
+
+
 def nearest(k: int) -> Work:
     """For sweep() or meeting(): of each query the k best (qid, dist2, id) of a task's points, ties to the smaller id."""
 
     def work(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
-        seen, size, every = 0, (q * q).sum(axis=1), np.arange(len(q))
+        size = (q * q).sum(axis=1)
+
+        def meet(rows: slice, x: np.ndarray, ids: np.ndarray, seen: int, most: float) -> None:
+            """The best of some queries after a tile of points; seen: points before it."""
+            part, held = q[rows], min(seen, k)
+            d = sqdist(part, x)
+            bound = best_d[rows, k - 1].copy() if seen >= k else np.full(len(part), np.inf)
+
+            def pairs() -> tuple[np.ndarray, np.ndarray]:
+                # all that tie with the k-th or that rounding may have put beyond it; exact distances and ids decide
+                slack = 1e-9 * bound + 1e-11 * (size[rows] + most)
+                return np.nonzero(~(d > (bound + slack)[:, None]))
+
+            i, j = pairs() if seen >= k else (None, None)
+            if d.shape[1] > k and (i is None or len(i) > 4 * k * len(part)):
+                near = np.argpartition(d, k - 1, axis=1)[:, :k]
+                bound = np.minimum(bound, _exact(part, x, np.repeat(np.arange(len(part)), k), near.ravel()).reshape(-1, k).max(axis=1))
+                i = None
+            if i is None:
+                i, j = pairs()
+            if not len(i):
+                return
+            hit, at = np.unique(i, return_inverse=True)
+            mine = hit + rows.start
+            all_q = np.concatenate((np.repeat(np.arange(len(hit)), held), at))
+            all_d = np.concatenate((best_d[mine, :held].ravel(), _exact(part, x, i, j)))
+            all_i = np.concatenate((best_i[mine, :held].ravel(), ids[j]))
+            order = np.lexsort((all_i, all_d, all_q))
+            n = np.bincount(all_q, minlength=len(hit))
+            place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+            order, place = order[place < k], place[place < k]
+            best_d[mine[all_q[order]], place], best_i[mine[all_q[order]], place] = all_d[order], all_i[order]
+
+        seen = 0
         for b in batches:
             if not b.num_rows:
                 continue
             x, ids = matrix(b.column(1)), b.column(0).to_numpy()
-            for s in slices(len(q), x):
-                own, own_ids = x[s], ids[s]
-                d = sqdist(q, own)
-                bound = best_d[:, k - 1] if seen >= k else np.full(len(q), np.inf)
-                if d.shape[1] > k:
-                    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    bound = np.minimum(bound, _exact(q, own, np.repeat(every, k), near.ravel()).reshape(-1, k).max(axis=1))
-                # all that tie with the k-th or that rounding may have put beyond it; exact distances and ids decide
-                slack = 1e-9 * bound + 1e-11 * (size + (own * own).sum(axis=1).max())
-                i, j = np.nonzero(~(d > (bound + slack)[:, None]))
-                held = min(seen, k)
-                all_q = np.concatenate((np.repeat(every, held), i))
-                all_d = np.concatenate((best_d[:, :held].ravel(), _exact(q, own, i, j)))
-                all_i = np.concatenate((best_i[:, :held].ravel(), own_ids[j]))
-                order = np.lexsort((all_i, all_d, all_q))
-                n = np.bincount(all_q, minlength=len(q))
-                place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-                order, place = order[place < k], place[place < k]
-                best_d[all_q[order], place], best_i[all_q[order], place] = all_d[order], all_i[order]
+            for t in range(0, len(x), TILE_POINTS):
+                own, own_ids = x[t : t + TILE_POINTS], ids[t : t + TILE_POINTS]
+                most, step = (own * own).sum(axis=1).max(), max(1, TILE // len(own))
+                for s in range(0, len(q), step):
+                    meet(slice(s, s + step), own, own_ids, seen, most)
                 seen += len(own)
         best_d, best_i = best_d[:, :seen], best_i[:, :seen]
         n = best_d.shape[1]

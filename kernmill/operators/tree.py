@@ -62,9 +62,10 @@ def far_sample(points: DataFrame, near: DataFrame, m: int, salt: str = "far") ->
 
     from .order import dense_index
 
+    near = near.select("leaf", "id").distinct().persist()  # perhaps a search, and met again with every draw
     n = points.count()
     rows = dense_index(points.select("id", F.col("leaf").alias("_own")), ["id"]).persist()
-    away = near.select("leaf", "id").distinct().join(rows, "id").where("leaf <> _own").groupBy("leaf").agg(F.count("*").alias("_n"))
+    away = near.join(rows, "id").where("leaf <> _own").groupBy("leaf").agg(F.count("*").alias("_n"))
     sizes = points.groupBy("leaf").agg(F.count("*").alias("_s")).join(away, "leaf", "left")
     wanted = sizes.select("leaf", F.least(F.lit(m), F.lit(n) - F.col("_s") - F.coalesce("_n", F.lit(0))).alias("_w")).persist()
     draws = 2 * m
@@ -72,7 +73,7 @@ def far_sample(points: DataFrame, near: DataFrame, m: int, salt: str = "far") ->
         drawn = wanted.where("_w > 0").select("leaf", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
         u = uniform(F.concat_ws("/", F.col("leaf").cast("string"), F.col("r").cast("string")), salt)
         drawn = drawn.withColumn("row", F.least(F.floor(u * n).cast("long"), F.lit(n - 1).cast("long")))
-        found = drawn.join(rows, "row").where("leaf <> _own").groupBy("leaf", "id").agg(F.min("r").alias("r")).join(near.select("leaf", "id"), ["leaf", "id"], "left_anti")
+        found = drawn.join(rows, "row").where("leaf <> _own").groupBy("leaf", "id").agg(F.min("r").alias("r")).join(near, ["leaf", "id"], "left_anti")
         kept = found.withColumn("_k", F.row_number().over(Window.partitionBy("leaf").orderBy("r"))).where(F.col("_k") <= m)
         short = wanted.join(kept.groupBy("leaf").agg(F.count("*").alias("_c")), "leaf", "left").where(F.col("_w") > F.coalesce("_c", F.lit(0)))
         if short.isEmpty():

@@ -220,6 +220,7 @@ def refine(lists: DataFrame, graph: DataFrame, points: DataFrame, queries: DataF
 def quality(truth: DataFrame, found: DataFrame) -> DataFrame:
     """One row: hit_rate (share of true neighbours that were found), mean_error
     (mean relative excess of distance by rank) and missed."""
+    truth, found = truth.persist(), found.persist()  # both are met twice, by id and by rank
     hits = truth.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("_hit")), ["qid", "id"], "left")
     rate = hits.agg(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")).alias("hit_rate"), F.sum(F.when(F.col("_hit").isNull(), 1).otherwise(0)).alias("missed"))
     by_rank = truth.select("qid", "rank", F.col("dist2").alias("_t")).join(found.select("qid", "rank", F.col("dist2").alias("_f")), ["qid", "rank"])

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.random import uniform
 from ..functions.vector import sqdist as distance_column
+from . import sweep as sweep_module
 from .lsh import Hashes
-from .sweep import BLOCK_QUERIES, Work, matrix, meeting, slices, sqdist, sweep
+from .sweep import BLOCK_QUERIES, Work, copied, matrix, meeting, once, slices, sqdist, sweep
 
 
 #: Points, and pairs, of a tile, whose distances stay in a core's cache.
@@ -78,8 +79,17 @@ def nearest(k: int) -> Work:
 
 def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, rank (from 1), dist2 and id of the k nearest points; ties to the
-    smaller id. Each partition sends its k best of each query, no more."""
-    return merge(sweep(points.select("id", "x"), queries, nearest(k), "qid long, dist2 double, id long"), k)
+    smaller id. Each partition sends its k best of each query, no more. Copies of
+    many queries are asked once, and of many copies of a point only the k of the
+    smallest ids can be among the nearest."""
+    points, queries, back = points.select("id", "x"), queries.select("qid", "q"), None
+    if points.count() * queries.count() >= sweep_module.COPY_PAIRS:
+        if copied(points, ["x"]):
+            points = points.withColumn("_k", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("_k") <= k).select("id", "x")
+        if copied(queries, ["q"]):
+            queries, back = once(queries)
+    out = merge(sweep(points, queries, nearest(k), "qid long, dist2 double, id long"), k)
+    return back(out) if back else out
 
 
 def _exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ small dense sketches that need linear algebra."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernels import Gaussian, Kernel
+from . import sweep as sweep_module
 from .cluster import assigned
-from .sweep import matrix, sqdist
+from .sweep import copied, matrix, once, sqdist
 
 
 def multi_indices(d: int, order: int) -> np.ndarray:
@@ -220,12 +221,15 @@ class Treecode:
     A leaf within `near` of a target is summed exactly; a farther one acts through at
     most `rank` skeleton points, whose charges an interpolative decomposition against
     sampled targets gives from those of the leaf's points. A leaf far from none of the
-    sampled ones is near for all."""
+    sampled ones is near for all. Copies of many points, and of many targets, are put
+    together: they share a place, and their charges add up."""
 
     placed: DataFrame  # id, x, leaf
     nodes: DataFrame  # leaf, id, x, center, radius, row (of the decomposition, over the leaf's points by id)
     kernel: Kernel
     near: float
+    same: DataFrame | None = None  # id, first: of copies put together the smallest id
+    back: Callable[[DataFrame], DataFrame] | None = None  # gives copies the rows of the first
 
     @classmethod
     def fit(cls, points: DataFrame, kernel: Kernel, depth: int, rank: int, near: float, samples: int = 256) -> Treecode:
@@ -233,7 +237,12 @@ class Treecode:
         from .cluster import space_partition
         from .sampling import pick_set
 
-        d = len(points.select("x").first()["x"])
+        d, points, same, back = len(points.select("x").first()["x"]), points.select("id", "x"), None, None
+        if points.count() ** 2 >= sweep_module.COPY_PAIRS and copied(points, ["x"]):
+            first, back = once(points.select(F.col("id").alias("qid"), F.col("x").alias("q")))
+            first, _ = written(first, "first")
+            same, _ = written(back(first.select("qid", F.col("qid").alias("first"))).withColumnRenamed("qid", "id"), "same")
+            points = first.select(F.col("qid").alias("id"), F.col("q").alias("x"))
         placed, _ = written(space_partition(points.select("id", "x"), depth, d, keep=("id", "x")), "placed")
         targets = matrix(pick_set(points.select("id", "x"), samples, "targets").select("x").toArrow().column("x"))
         shared = points.sparkSession.sparkContext.broadcast(targets)
@@ -252,7 +261,14 @@ class Treecode:
             return pa.table({"leaf": [key[0].as_py()] * n, "id": ids[picks], "x": x[picks].tolist(), "center": [center.tolist()] * n, "radius": [radius] * n, "row": build.tolist()})
 
         made = placed.groupBy("leaf").applyInArrow(skeleton, "leaf long, id long, x array<double>, center array<double>, radius double, row array<double>")
-        return cls(placed, written(made, "nodes")[0], kernel, near)
+        return cls(placed, written(made, "nodes")[0], kernel, near, same, back)
+
+    def weighed(self, weights: DataFrame) -> DataFrame:
+        """weights (id, w), those of copies that are put together added up."""
+        if self.same is None:
+            return weights
+        total = F.sum(F.coalesce(F.col("w").cast("double"), F.lit(float("nan"))))
+        return weights.join(self.same, "id").groupBy(F.col("first").alias("id")).agg(total.alias("w"))
 
     def charged(self, weights: DataFrame) -> DataFrame:
         """leaf, id, x, charge, center, radius of the skeletons under weights (id, w)."""
@@ -261,7 +277,7 @@ class Treecode:
             w = own.sort_by("id").column("w").to_numpy().astype(float)
             return nodes.drop_columns(["row"]).append_column("charge", pa.array(matrix(nodes.column("row")) @ w if nodes.num_rows else np.empty(0)))
 
-        own = self.placed.join(weights.select("id", "w"), "id").select("leaf", "id", "w")
+        own = self.placed.join(self.weighed(weights).select("id", "w"), "id").select("leaf", "id", "w")
         return self.nodes.groupBy("leaf").cogroup(own.groupBy("leaf")).applyInArrow(charge, "leaf long, id long, x array<double>, center array<double>, radius double, charge double")
 
     def balls(self) -> Broadcast:
@@ -275,7 +291,7 @@ class Treecode:
         from .exact import summing
 
         columns, schema, work = summing(weights, self.kernel, ["w"])
-        there = self.placed.join(weights.select("id", "w"), "id").select(F.col("leaf").alias("cell"), *columns)
+        there = self.placed.join(self.weighed(weights).select("id", "w"), "id").select(F.col("leaf").alias("cell"), *columns)
         return met(there, asked, work, schema).select("qid", F.col("sum").alias("p"))
 
     def potentials(self, queries: DataFrame, weights: DataFrame) -> DataFrame:
@@ -284,6 +300,9 @@ class Treecode:
         from .sweep import slices, sweep
 
         kernel, near, held = self.kernel, self.near, self.balls()
+        queries, back = queries.select("qid", "q"), None
+        if self.placed.count() * queries.count() >= sweep_module.COPY_PAIRS and copied(queries, ["q"]):
+            queries, back = once(queries)
 
         def far_field(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(q))
@@ -304,7 +323,8 @@ class Treecode:
         far = sweep(self.charged(weights).select("id", "x", "charge", "center", "radius"), queries, far_field, "qid long, p double")
         kind = T.StructType([T.StructField("cell", T.LongType()), *queries.select("qid", "q").schema.fields])
         own = self._near_field(queries.select("qid", "q").mapInArrow(close, kind), weights)
-        return far.unionByName(own).groupBy("qid").agg(F.sum("p").alias("potential"))
+        found = far.unionByName(own).groupBy("qid").agg(F.sum("p").alias("potential"))
+        return back(found) if back else found
 
     def mutual_potentials(self, weights: DataFrame) -> DataFrame:
         """qid and potential of the points themselves under weights (id, w). Leaves act on
@@ -345,7 +365,8 @@ class Treecode:
         far = nodes.groupBy("leaf").cogroup(self.placed.select("leaf", "id").groupBy("leaf")).applyInArrow(down, "qid long, p double")
         targets = self.placed.select(F.col("id").alias("qid"), F.col("x").alias("q"), "leaf")
         own = self._near_field(targets.mapInArrow(close, "cell long, qid long, q array<double>"), weights)
-        return far.unionByName(own).groupBy("qid").agg(F.sum("p").alias("potential"))
+        found = far.unionByName(own).groupBy("qid").agg(F.sum("p").alias("potential"))
+        return self.back(found) if self.back else found
 
 
 def skeleton_transform(points: DataFrame, queries: DataFrame, kernel: Gaussian, depth: int, rank: int, near: float, samples: int = 256, weight: str = "w") -> DataFrame:

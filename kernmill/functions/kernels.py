@@ -130,9 +130,14 @@ class Laplace(Kernel):
     def block(self, s):
         if self.d == 1:
             return np.sqrt(s)
-        safe = np.maximum(s, self.near)
-        value = np.log(np.sqrt(safe)) / (2 * math.pi) if self.d == 2 else safe ** ((2 - self.d) / 2) * self.constant
-        return np.where(s < self.near, 0.0, value)
+        value = np.maximum(s, self.near)
+        if self.d == 2:
+            np.log(value, out=value)
+            value *= 0.25 / math.pi  # of the squared distance, so half
+        else:
+            value = value ** ((2 - self.d) / 2) * self.constant
+        value[s < self.near] = 0.0
+        return value
 
     def sql(self, s):
         if self.d == 1:

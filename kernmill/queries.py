@@ -145,7 +145,7 @@ def _of_kernel(name: str, kernel: Kernel, places: int = 8, columns: str = "embed
         source = lambda s, d: vectors(s, d).withColumn("x", F.slice("x", 1, 3))
     else:
         sql = f"with {PART_PAIRS} select qid, round(avg({kernel.sql('d2')}), {places}) as density from pairs group by qid"
-        source = parts
+        source = lambda s, d: parts(s, d).cache()
 
     def run(spark, sf_dir):
         v = source(spark, sf_dir)

@@ -80,14 +80,23 @@ def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float,
     are measured over all points from the centers that the series use. A pass over the
     points adds up each cluster's coefficients, map-side first; they are bounded and
     broadcast. A pass over the queries evaluates the clusters within reach, each up to
-    the order that its cut-off needs."""
+    the order that its cut-off needs. Copies of many points and of many queries are
+    put together first."""
+    from .exact import together
     from .sampling import pick_set
     from .sweep import spread as over_cores
 
+    points, queries, back = points.select("id", "x", *weights), queries.select("qid", "q"), None
+    if points.count() * queries.count() >= sweep_module.COPY_PAIRS:
+        if copied(points, ["x"]):
+            points = together(points, ["x"], weights).select("id", "x", *weights).persist()
+        if copied(queries, ["q"]):
+            queries, back = once(queries)
     table = pick_set(points.select("id", "x"), FIT, "seeds").toArrow()
     if not table.num_rows:
         zero = F.explode(F.sequence(F.lit(0), F.lit(len(weights) - 1))).alias("wset")
-        return queries.select("qid", zero).withColumn("g", F.lit(0.0))
+        found = queries.select("qid", zero).withColumn("g", F.lit(0.0))
+        return back(found) if back else found
     x = matrix(table.column("x"))
     centers = x[farthest(table.column("id").to_numpy(), x, clusters)]
     own = assigned(over_cores(points.select("id", "x", *weights), 64 * len(centers)), centers.tolist(), ("id", "x", *weights))
@@ -146,7 +155,8 @@ def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float,
                     g[near] += (monomials((q[near] - centers[c]) / h, alpha[: terms[c]]) @ coef[c, : terms[c]]) * np.exp(-d2[near, c] / (h * h))[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sets)), pa.array(np.tile(np.arange(sets, dtype=np.int32), len(q))), pa.array(g.ravel())], ["qid", "wset", "g"])
 
-    return over_cores(queries.select("qid", "q"), len(centers) * len(alpha)).mapInArrow(evaluate, "qid long, wset int, g double")
+    found = over_cores(queries.select("qid", "q"), len(centers) * len(alpha)).mapInArrow(evaluate, "qid long, wset int, g double")
+    return back(found) if back else found
 
 
 # ----------------------------------------------------------------- small sketches

@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.kernels import Gaussian, Kernel
 from . import sweep as sweep_module
 from .cluster import assigned
-from .sweep import copied, matrix, once, sqdist
+from .sweep import copied, handed, linked, matrix, once, sqdist
 
 
 def multi_indices(d: int, order: int) -> np.ndarray:
@@ -249,9 +250,8 @@ class Treecode:
 
         d, points, same, back = len(points.select("x").first()["x"]), points.select("id", "x"), None, None
         if points.count() ** 2 >= sweep_module.COPY_PAIRS and copied(points, ["x"]):
-            first, back = once(points.select(F.col("id").alias("qid"), F.col("x").alias("q")))
-            first, _ = written(first, "first")
-            same, _ = written(back(first.select("qid", F.col("qid").alias("first"))).withColumnRenamed("qid", "id"), "same")
+            first, link = linked(points.select(F.col("id").alias("qid"), F.col("x").alias("q")))
+            same, back = link.select(F.col("qid").alias("id"), "first"), partial(handed, link)
             points = first.select(F.col("qid").alias("id"), F.col("q").alias("x"))
         placed, _ = written(space_partition(points.select("id", "x"), depth, d, keep=("id", "x")), "placed")
         targets = matrix(pick_set(points.select("id", "x"), samples, "targets").select("x").toArrow().column("x"))
@@ -270,24 +270,25 @@ class Treecode:
             n = len(picks)
             return pa.table({"leaf": [key[0].as_py()] * n, "id": ids[picks], "x": x[picks].tolist(), "center": [center.tolist()] * n, "radius": [radius] * n, "row": build.tolist()})
 
-        made = placed.groupBy("leaf").applyInArrow(skeleton, "leaf long, id long, x array<double>, center array<double>, radius double, row array<double>")
+        made = placed.repartition(1 << depth, "leaf").groupBy("leaf").applyInArrow(skeleton, "leaf long, id long, x array<double>, center array<double>, radius double, row array<double>")
         return cls(placed, written(made, "nodes")[0], kernel, near, same, back)
 
     def weighed(self, weights: DataFrame) -> DataFrame:
-        """weights (id, w), those of copies that are put together added up."""
+        """weights (id, w), those of copies that are put together added up, and kept."""
+        weights = weights.select("id", "w")
         if self.same is None:
             return weights
         total = F.sum(F.coalesce(F.col("w").cast("double"), F.lit(float("nan"))))
-        return weights.join(self.same, "id").groupBy(F.col("first").alias("id")).agg(total.alias("w"))
+        return weights.join(self.same, "id").groupBy(F.col("first").alias("id")).agg(total.alias("w")).persist()
 
     def charged(self, weights: DataFrame) -> DataFrame:
-        """leaf, id, x, charge, center, radius of the skeletons under weights (id, w)."""
+        """leaf, id, x, charge, center, radius of the skeletons under weights of weighed()."""
 
         def charge(key: tuple, nodes: pa.Table, own: pa.Table) -> pa.Table:
             w = own.sort_by("id").column("w").to_numpy().astype(float)
             return nodes.drop_columns(["row"]).append_column("charge", pa.array(matrix(nodes.column("row")) @ w if nodes.num_rows else np.empty(0)))
 
-        own = self.placed.join(self.weighed(weights).select("id", "w"), "id").select("leaf", "id", "w")
+        own = self.placed.join(weights, "id").select("leaf", "id", "w")
         return self.nodes.groupBy("leaf").cogroup(own.groupBy("leaf")).applyInArrow(charge, "leaf long, id long, x array<double>, center array<double>, radius double, charge double")
 
     def balls(self) -> Broadcast:
@@ -301,7 +302,7 @@ class Treecode:
         from .exact import summing
 
         columns, schema, work = summing(weights, self.kernel, ["w"])
-        there = self.placed.join(self.weighed(weights).select("id", "w"), "id").select(F.col("leaf").alias("cell"), *columns)
+        there = self.placed.join(weights, "id").select(F.col("leaf").alias("cell"), *columns)
         return met(there, asked, work, schema).select("qid", F.col("sum").alias("p"))
 
     def potentials(self, queries: DataFrame, weights: DataFrame) -> DataFrame:
@@ -309,7 +310,7 @@ class Treecode:
         swept like points; a target goes to the leaves near it and meets their points there."""
         from .sweep import slices, sweep
 
-        kernel, near, held = self.kernel, self.near, self.balls()
+        kernel, near, held, weights = self.kernel, self.near, self.balls(), self.weighed(weights)
         queries, back = queries.select("qid", "q"), None
         if self.placed.count() * queries.count() >= sweep_module.COPY_PAIRS and copied(queries, ["q"]):
             queries, back = once(queries)
@@ -343,7 +344,7 @@ class Treecode:
         decomposition, which holds both ways as the kernel is symmetric."""
         from .sweep import slices, sweep
 
-        kernel, near, held = self.kernel, self.near, self.balls()
+        kernel, near, held, weights = self.kernel, self.near, self.balls(), self.weighed(weights)
         charged = self.charged(weights).select("id", "x", "charge", "center", "radius")
 
         def at_skeletons(qids: np.ndarray, both: np.ndarray, own: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer, plain = load(path), special_pattern(path)
         self.special = re.compile(f"({plain.pattern})") if plain else None
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}  # what stands before and after white space
         vocabulary = self.tokenizer.get_vocab()
         self.reserved = {s: self._ids([self.tokenizer.token_to_id(s)]) for s in specials(path)}
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -73,27 +74,46 @@ class Encoder:
             if self.special and self.special.search(text):
                 parted.append(k)
             elif NOT_LATIN.search(text):
-                other.append((k, [p for p in SPACES.split(text) if p]))
+                other.append((k, text))
             else:
-                latin.append((k, text.lower().split()))
-        cache = self.cache
-        missing, unknown = (set().union(*(p for _, p in x)).difference(cache) for x in (latin, other))
-        long = self._learn(missing)
-        unknown = list(unknown.difference(cache))
-        if unknown:
-            cache.update(zip(unknown, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)), strict=True))
-            long += [p for p in unknown if len(p) > LONG]
-        for k, pieces in [*latin, *other]:
-            out[k] = b"".join(map(cache.__getitem__, pieces))
-        for p in long:
-            cache.pop(p, None)
+                latin.append((k, text.lower()))
+        for some, learn in ((latin, self._learn), (other, self._learn_whole)):
+            if some:
+                for (k, _), ids in zip(some, self._joined([text for _, text in some], learn), strict=True):
+                    out[k] = ids
         for k in parted:  # special tokens stand as themselves between the other stretches
             parts = self.special.split(group[k])
             parts[::2] = self.encode(parts[::2])
             out[k] = b"".join(self.reserved[p] if m % 2 else p for m, p in enumerate(parts))
         return out
 
-    def _learn(self, pieces: set[str]) -> list[str]:
+    def _joined(self, group: list[str], learn: Callable[[list[str]], list[str]]) -> list[bytes]:
+        """Texts are split and their pieces numbered outside of Python; each different one is looked up once."""
+        pieces = pa.compute.ascii_split_whitespace(pa.array(group, pa.large_string()))
+        own = pieces.values.dictionary_encode()
+        names = own.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, names))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        long = learn([names[k] for k in missing])
+        for k in missing:
+            found[k] = self.cache[names[k]]
+        for p in long:
+            self.cache.pop(p, None)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, row = np.frombuffer(b"".join(found), "<u4"), own.indices.to_numpy()
+        n = size[row]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        data = flat[np.repeat((np.cumsum(size) - size)[row] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[pieces.offsets.to_numpy()] * 4).tolist()
+        return [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn_whole(self, unknown: list[str]) -> list[str]:
+        """Pieces as the library has them. Returns what is too long to keep."""
+        if unknown:
+            self.cache.update(zip(unknown, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)), strict=True))
+        return [p for p in unknown if len(p) > LONG]
+
+    def _learn(self, pieces: list[str]) -> list[str]:
         """A piece of letters alone is one pre-token; others are put together from theirs. Returns what is too long to keep."""
         cache = self.cache
         split = [(p, PRE_TOKEN.findall(p)) for p in pieces if not p.isalpha()]

@@ -158,6 +158,29 @@ def test_ids_equal_the_library(monkeypatch):
     assert [encoder.encode([t])[0] for t in group] == want
 
 
+def test_different_pieces_are_looked_up_once():
+    """Of a group of texts, whatever their number of pieces."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+    encoder = token_store.Encoder(WORD)
+    encoder.cache = Counted(encoder.cache)
+    for word in ("stone's", "stone’s"):
+        group = [f" {word}  river\n" * 500, "", "River\t", f"river {word}"]
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(group, add_special_tokens=False)]
+        assert encoder.encode(group) == want
+    assert Counted.n < 40
+
+
 def test_store_query(spark, edge, none, clashing):
     tokenizer = Tokenizer.from_file(WORD)
     ordered = sorted(((i, t or "") for i, t, *_ in EDGE), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))

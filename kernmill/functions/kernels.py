@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 class Kernel:
     h: float = 1.0
     uses_dot = False
+    #: Whether the kernel of two vectors is the product of those of their halves.
+    factors = False
 
     def column(self, s: Column) -> Column:
         raise NotImplementedError
@@ -46,6 +48,10 @@ class Gaussian(Kernel):
 
     half: bool = False
 
+    @property
+    def factors(self):
+        return type(self).block is Gaussian.block
+
     @property
     def _s(self) -> float:
         return (2.0 if self.half else 1.0) * self.h * self.h

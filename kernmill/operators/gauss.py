@@ -34,7 +34,7 @@ def multi_indices(d: int, order: int) -> np.ndarray:
 def monomials(x: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     out = np.ones((len(x), len(alpha)))
     for j in range(x.shape[1]):
-        powers = x[:, j, None] ** np.arange(alpha[:, j].max(initial=0) + 1)
+        powers = np.vander(x[:, j], alpha[:, j].max(initial=0) + 1, increasing=True)
         out *= powers[:, alpha[:, j]]
     return out
 
@@ -44,6 +44,20 @@ def series(alpha: np.ndarray) -> np.ndarray:
     return np.array([2.0 ** a.sum() / math.prod(math.factorial(int(v)) for v in a) for a in alpha])
 
 
+def polynomial(alpha: np.ndarray, coef: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """monomials(x, alpha) @ coef as a function of x: the monomials of two halves of the variables meet by a matrix for each column."""
+    half = alpha.shape[1] // 2
+    (first, i), (second, j) = (np.unique(a, axis=0, return_inverse=True) if a.shape[1] else (np.zeros((1, 0), int), np.zeros(len(alpha), int)) for a in (alpha[:, :half], alpha[:, half:]))
+    table = np.zeros((coef.shape[1], len(first), len(second)))
+    table[:, i.ravel(), j.ravel()] = coef.T
+
+    def value(x: np.ndarray) -> np.ndarray:
+        left, right = monomials(x[:, :half], first), monomials(x[:, half:], second)
+        return np.stack([np.einsum("nb,nb->n", left @ t, right) for t in table], axis=1)
+
+    return value
+
+
 def truncation(d: int, h: float, eps: float, radius: float, spread: float, most: int = 100) -> int:
     """The least order whose remainder, at clusters of a radius in data that
     spread so far in a dimension, is below eps."""
@@ -73,7 +87,7 @@ def farthest(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return order[picks]
 
 
-def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float, clusters: int, weights: Sequence[str] = ("w",), order: int | None = None, cut_off: str = ONE) -> DataFrame:
+def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float, clusters: int, weights: Sequence[str] = ("w",), order: int | None = None, cut_off: str = ONE, copies: bool = True) -> DataFrame:
     """qid, wset, g: sum of weight * exp(-|x - q|^2 / h^2), each within eps times
     the sum of weights.
 
@@ -82,17 +96,17 @@ def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float,
     points adds up each cluster's coefficients, map-side first; they are bounded and
     broadcast. A pass over the queries evaluates the clusters within reach, each up to
     the order that its cut-off needs. Copies of many points and of many queries are
-    put together first."""
+    put together first; copies: whether to look for them."""
     from .exact import together
     from .sampling import pick_set
     from .sweep import spread as over_cores
 
     points, queries, back = points.select("id", "x", *weights), queries.select("qid", "q"), None
-    if points.count() * queries.count() >= sweep_module.COPY_PAIRS:
+    if copies and points.count() * queries.count() >= sweep_module.COPY_PAIRS:
         if copied(points, ["x"]):
             points = together(points, ["x"], weights).select("id", "x", *weights).persist()
-        if copied(queries, ["q"]):
-            queries, back = once(queries)
+        if places := copied(queries, ["q"]):
+            queries, back = once(queries, places * len(weights))
     table = pick_set(points.select("id", "x"), FIT, "seeds").toArrow()
     if not table.num_rows:
         zero = F.explode(F.sequence(F.lit(0), F.lit(len(weights) - 1))).alias("wset")
@@ -145,6 +159,7 @@ def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float,
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, radii, alpha, coef, terms = shared.value
+        at = [polynomial(alpha[:n], c[:n]) for n, c in zip(terms, coef, strict=True)]
         for batch in batches:
             for b in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
                 q = matrix(b.column(1))
@@ -153,7 +168,7 @@ def gauss_transform(points: DataFrame, queries: DataFrame, h: float, eps: float,
                 g = np.zeros((len(q), sets))
                 for c in np.flatnonzero(met.any(axis=0)):
                     near = np.flatnonzero(met[:, c])
-                    g[near] += (monomials((q[near] - centers[c]) / h, alpha[: terms[c]]) @ coef[c, : terms[c]]) * np.exp(-d2[near, c] / (h * h))[:, None]
+                    g[near] += at[c]((q[near] - centers[c]) / h) * np.exp(-d2[near, c] / (h * h))[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sets)), pa.array(np.tile(np.arange(sets, dtype=np.int32), len(q))), pa.array(g.ravel())], ["qid", "wset", "g"])
 
     found = over_cores(queries.select("qid", "q"), len(centers) * len(alpha)).mapInArrow(evaluate, "qid long, wset int, g double")
@@ -243,14 +258,14 @@ class Treecode:
     back: Callable[[DataFrame], DataFrame] | None = None  # gives copies the rows of the first
 
     @classmethod
-    def fit(cls, points: DataFrame, kernel: Kernel, depth: int, rank: int, near: float, samples: int = 256) -> Treecode:
+    def fit(cls, points: DataFrame, kernel: Kernel, depth: int, rank: int, near: float, samples: int = 256, copies: bool = True) -> Treecode:
         from ..storage import written
         from .cluster import space_partition
         from .sampling import pick_set
 
         d, points, same, back = len(points.select("x").first()["x"]), points.select("id", "x"), None, None
-        if points.count() ** 2 >= sweep_module.COPY_PAIRS and copied(points, ["x"]):
-            first, link = linked(points.select(F.col("id").alias("qid"), F.col("x").alias("q")))
+        if copies and points.count() ** 2 >= sweep_module.COPY_PAIRS and (places := copied(points, ["x"])):
+            first, link = linked(points.select(F.col("id").alias("qid"), F.col("x").alias("q")), places)
             same, back = link.select(F.col("qid").alias("id"), "first"), partial(handed, link)
             points = first.select(F.col("qid").alias("id"), F.col("q").alias("x"))
         placed, _ = written(space_partition(points.select("id", "x"), depth, d, keep=("id", "x")), "placed")
@@ -305,15 +320,15 @@ class Treecode:
         there = self.placed.join(weights, "id").select(F.col("leaf").alias("cell"), *columns)
         return met(there, asked, work, schema).select("qid", F.col("sum").alias("p"))
 
-    def potentials(self, queries: DataFrame, weights: DataFrame) -> DataFrame:
+    def potentials(self, queries: DataFrame, weights: DataFrame, copies: bool = True) -> DataFrame:
         """qid and potential of any targets under any weights (id, w) of the points. Skeletons are
         swept like points; a target goes to the leaves near it and meets their points there."""
         from .sweep import slices, sweep
 
         kernel, near, held, weights = self.kernel, self.near, self.balls(), self.weighed(weights)
         queries, back = queries.select("qid", "q"), None
-        if self.placed.count() * queries.count() >= sweep_module.COPY_PAIRS and copied(queries, ["q"]):
-            queries, back = once(queries)
+        if copies and self.placed.count() * queries.count() >= sweep_module.COPY_PAIRS and (places := copied(queries, ["q"])):
+            queries, back = once(queries, places)
 
         def far_field(qids: np.ndarray, q: np.ndarray, _: None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(q))
@@ -380,6 +395,6 @@ class Treecode:
         return self.back(found) if self.back else found
 
 
-def skeleton_transform(points: DataFrame, queries: DataFrame, kernel: Gaussian, depth: int, rank: int, near: float, samples: int = 256, weight: str = "w") -> DataFrame:
-    """qid, potential: by a Treecode of the points, once."""
-    return Treecode.fit(points, kernel, depth, rank, near, samples).potentials(queries, points.select("id", F.col(weight).alias("w")))
+def skeleton_transform(points: DataFrame, queries: DataFrame, kernel: Gaussian, depth: int, rank: int, near: float, samples: int = 256, weight: str = "w", copies: bool = True) -> DataFrame:
+    """qid, potential: by a Treecode of the points, once. copies: whether to look for some."""
+    return Treecode.fit(points, kernel, depth, rank, near, samples, copies).potentials(queries, points.select("id", F.col(weight).alias("w")), copies)

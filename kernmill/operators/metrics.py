@@ -19,16 +19,17 @@ def quantiles(rows: DataFrame, shares: dict[str, float], accuracy: int | None =
     return rows.agg(*[of(c, p).alias(c) for c, p in shares.items()])
 
 
-def rescaled(points: DataFrame, shift: str, by: str) -> DataFrame:
-    """points with x less a statistic, over another (a statistic of zero: one). The statistics are a row a dimension."""
-    s = column_stats(points).withColumn("range", F.col("high") - F.col("low"))
+def rescaled(points: DataFrame, shift: str, by: str, of: DataFrame | None = None) -> DataFrame:
+    """points with x less a statistic, over another (a statistic of zero: one). The statistics are a row a dimension,
+    those of other points, if given."""
+    s = column_stats(points if of is None else of).withColumn("range", F.col("high") - F.col("low"))
     rows = F.array_sort(F.collect_list(F.struct("j", F.col(shift).alias("a"), F.when(F.col(by) > 0, F.col(by)).otherwise(1.0).alias("b"))))
     one = F.broadcast(s.agg(rows.alias("_s")))
     return points.crossJoin(one).withColumn("x", F.zip_with("x", "_s", lambda v, r: (v - r["a"]) / r["b"])).drop("_s")
 
 
-def zscored(points: DataFrame) -> DataFrame:
-    return rescaled(points, "mean", "sd")
+def zscored(points: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    return rescaled(points, "mean", "sd", of)
 
 
 def unit_cube(points: DataFrame) -> DataFrame:

@@ -17,11 +17,11 @@ from .functions import scalar
 from .functions.kernels import Exponential, Gaussian, Kernel, Laplace, Matern, Polynomial, should_reject
 from .functions.random import normal_sql, uniform, uniform_sql, uniform_value
 from .functions.vector import scale, sqdist
-from .operators import cells, cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, sets, tree
+from .operators import cells, cluster, diagnose, estimators, exact, gauss, generate, knn, lsh, metrics, order, sampling, sets, sweep, tree
 from .operators.sweep import dealt, once
 from .plans import config, planner
 from .sources import matrices
-from .storage import shared_path
+from .storage import shared_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,10 +54,27 @@ def asked(points: DataFrame, *more) -> DataFrame:
     return points.select(F.col("id").alias("qid"), F.col("x").alias("q"), *more)
 
 
+def raw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("x"), F.lit(1.0).alias("w"))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, x, w of the parts, as z-scores."""
-    raw = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("x"), F.lit(1.0).alias("w"))
-    return metrics.zscored(raw)
+    return metrics.zscored(raw_parts(spark, sf_dir))
+
+
+def at_places(raw: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `run` finds, a row a qid, at the z-scores of points (id, x, w) under all their weights. Copies of many
+    points are put together before they are scaled, so `run` need not look for any, and the rows of a place are
+    handed back to all of its points."""
+    if raw.count() ** 2 < sweep.COPY_PAIRS or not (places := sweep.copied(raw, ["x"])):
+        return run(metrics.zscored(raw).cache())
+    there, _ = written(metrics.zscored(exact.together(raw, ["x"], ["w"]).withColumn("raw", F.col("x")), raw).select("id", "x", "w", "raw"), "places")
+    found, one = run(there), F.struct("raw").alias("_q")
+    if not sweep.few(raw, places):
+        return sweep.once(asked(raw))[1](found)
+    back = found.join(there.select(F.col("id").alias("qid"), one), "qid").drop("qid")
+    return raw.select(F.col("id").alias("qid"), F.struct(F.col("x").alias("raw")).alias("_q")).join(F.broadcast(back), "_q").select(*found.columns)
 
 
 P = """points as (select vec_id as id, embedding::double[] as x, (label + 1.0)::double as w, (label * 0.5 + 1.0)::double as w2, label, (label * 0.05 + 0.5)::double as bw from embeddings),
@@ -1093,13 +1110,15 @@ _EXACT_G = f"exact as (select qid, sum({Gaussian(IFGT_H).sql('d2')}) as g from p
 def _of_cut_off(name: str, cut_off: str) -> None:
     """Whether each target's error is within eps times the sum of weights, and how the exact sum, rounded, reads."""
 
-    def run(spark, sf_dir):
-        v = parts(spark, sf_dir).cache()
-        n = v.count()
-        full = exact.kernel_sums(v, asked(v), Gaussian(IFGT_H), weights=["w"]).select("qid", "sum")
-        found = gauss.gauss_transform(v, asked(v), IFGT_H, IFGT_EPS, 24, cut_off=cut_off).join(full, "qid")
+    def compared(v):
+        n = v.agg(F.sum("w").alias("n")).first()["n"]
+        full = exact.kernel_sums(v, asked(v), Gaussian(IFGT_H), weights=["w"], copies=False).select("qid", "sum")
+        found = gauss.gauss_transform(v, asked(v), IFGT_H, IFGT_EPS, 24, cut_off=cut_off, copies=False).join(full, "qid")
         return found.select("qid", F.round("sum", 6).alias("exact"), (F.abs(F.col("g") - F.col("sum")) <= IFGT_EPS * n).alias("within"))
 
+    def run(spark, sf_dir):
+        return at_places(raw_parts(spark, sf_dir), compared)
+
     run.__name__ = name
     query(f"with {PART_PAIRS}, {_EXACT_G} select qid, round(g, 6) as exact, true as within from exact")(run)
 
@@ -1121,10 +1140,10 @@ TREE_KERNEL = Gaussian(0.5)
 _TREE_EXACT = f"with {PART_PAIRS} select qid, round(sum(w * {TREE_KERNEL.sql('d2')}), 6) as exact, true as within from (select qid, %s::double as w, d2 from pairs%s) group by qid"
 
 
-def _against(found: DataFrame, v: DataFrame, q: DataFrame, weight: str) -> DataFrame:
+def _against(found: DataFrame, v: DataFrame, q: DataFrame, weight: str, copies: bool = True) -> DataFrame:
     """The exact sums, and whether a treecode's differ by a thousandth of all weights at most."""
     total = v.agg(F.sum(weight).alias("t")).first()["t"]
-    full = exact.kernel_sums(v, q, TREE_KERNEL, weights=[weight]).select("qid", "sum")
+    full = exact.kernel_sums(v, q, TREE_KERNEL, weights=[weight], copies=copies).select("qid", "sum")
     return found.join(full, "qid").select("qid", F.round("sum", 6).alias("exact"), (F.abs(F.col("potential") - F.col("sum")) <= 1e-3 * total).alias("within"))
 
 

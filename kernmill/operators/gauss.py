@@ -222,11 +222,15 @@ def ska(points: DataFrame, kernel: Kernel, k: int, sample: int, salt: str = "ska
     return [(int(ids[i]), float(v) * share) for i, v in zip(picks, w, strict=True)] + [(int(ids[i]), (1 - share) / len(rest)) for i in rest]
 
 
+#: Numbers of some columns that stay in a core's cache while a decomposition works on them.
+COLUMN_TILE = 1 << 15
+
+
 def interpolative(a: np.ndarray, rank: int | None = None, tolerance: float = 1e-6) -> tuple[list[int], np.ndarray]:
     """Skeleton columns and the matrix that rebuilds all columns from them, by
     pivoted Gram-Schmidt, to a rank or to a relative tolerance."""
-    rest, picks = a.astype(float).copy(), []
-    norms = (rest * rest).sum(axis=0)
+    rest, picks = np.array(a.T, float, order="C"), []  # a column a row
+    norms, step = np.einsum("ij,ij->i", rest, rest), max(1, COLUMN_TILE // max(1, rest.shape[1]))
     first = float(np.sqrt(norms.max(initial=0.0)))
     while len(picks) < min(rank or min(a.shape), *a.shape):
         j = int(np.argmax(norms))
@@ -234,9 +238,11 @@ def interpolative(a: np.ndarray, rank: int | None = None, tolerance: float = 1e-
         if size <= (tolerance if rank is None else 1e-14) * max(first, 1e-300):
             break
         picks.append(j)
-        v = rest[:, j] / size
-        rest -= np.outer(v, v @ rest)
-        norms = (rest * rest).sum(axis=0)
+        v = rest[j] / size
+        for k in range(0, len(rest), step):
+            tile = rest[k : k + step]
+            tile -= np.outer(tile @ v, v)
+            norms[k : k + step] = np.einsum("ij,ij->i", tile, tile)
     return picks, np.linalg.lstsq(a[:, picks], a, rcond=None)[0] if picks else np.zeros((0, a.shape[1]))
 
 

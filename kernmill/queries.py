@@ -1149,8 +1149,7 @@ def _against(found: DataFrame, v: DataFrame, q: DataFrame, weight: str, copies:
 
 @query(_TREE_EXACT % ("1", ""))
 def treecode(spark, sf_dir):
-    v = parts(spark, sf_dir).cache()
-    return _against(gauss.skeleton_transform(v, asked(v), TREE_KERNEL, 4, 64, 0.5, 1024), v, asked(v), "w")
+    return at_places(raw_parts(spark, sf_dir), lambda v: _against(gauss.skeleton_transform(v, asked(v), TREE_KERNEL, 4, 64, 0.5, 1024, copies=False), v, asked(v), "w", copies=False))
 
 
 @query(_TREE_EXACT % ("1 + id % 3", " where qid % 2 = 1"))
